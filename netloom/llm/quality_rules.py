@@ -30,23 +30,30 @@ WHITE = "[ \t-\r]"
 WINDOW = 5
 
 
-def shifted(array: Column, by: int) -> Column:
-    return F.slice(array, F.lit(by + 1), F.greatest(F.size(array) - by, F.lit(0)))
+WHITE_MARKS = (" ", "\t", "\n", "\x0b", "\f", "\r")
+SYMBOLS = ("#", "*", "$", "%", "&", "|", "<", ">")
 
 
-def whole(pair: Column) -> Column:
-    return F.filter(pair, lambda x: x.isNotNull())
+def count_of(text: Column, marks: tuple[str, ...]) -> Column:
+    """How often the ASCII marks stand in the text: bytes that go when they are taken out."""
+    rest = reduce(lambda x, m: F.replace(x, F.lit(m), F.lit("")), marks, text)
+    return (F.octet_length(text) - F.octet_length(rest)).cast("bigint")
+
+
+def beside(array: Column, by: int, other: Column) -> tuple[Column, Column]:
+    """``array`` and ``other`` from its ``by``-th element on, cut to the same length."""
+    n = F.greatest(F.least(F.size(array), F.size(other) - by), F.lit(0))
+    return F.slice(array, F.lit(1), n), F.slice(other, F.lit(by + 1), n)
 
 
 def window_hashes(hashes: Column) -> Column:
     """Hashes of all five-word windows from the words' hashes; shorter texts have none."""
 
-    def joined(a: Column, b: Column) -> Column:
-        # zip_with fills the shorter side with nulls; those pairs are no windows
-        return whole(F.zip_with(a, b, lambda x, y: F.when(y.isNotNull() & x.isNotNull(), F.xxhash64(x, y))))
+    def joined(a: Column, by: int, b: Column) -> Column:
+        return F.zip_with(*beside(a, by, b), lambda x, y: F.xxhash64(x, y))
 
-    pairs = joined(hashes, shifted(hashes, 1))
-    return joined(joined(pairs, shifted(pairs, 2)), shifted(hashes, 4))
+    pairs = joined(hashes, 1, hashes)
+    return joined(joined(pairs, 2, pairs), 4, hashes)
 
 
 def covered_words(windows: Column) -> Column:
@@ -56,9 +63,10 @@ def covered_words(windows: Column) -> Column:
     windows. Sorted places then cover 5 words each, or as many as lie before the next place.
     """
     placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twins = F.zip_with(placed, shifted(placed, 1), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    places = F.array_sort(F.array_distinct(F.flatten(whole(twins))))
-    steps = F.zip_with(places, shifted(places, 1), lambda a, b: F.least(F.coalesce(b - a, F.lit(WINDOW)), F.lit(WINDOW)))
+    twins = F.zip_with(*beside(placed, 1, placed), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    places = F.array_sort(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
+    # the last place has no next one and covers a whole window
+    steps = F.concat(F.zip_with(*beside(places, 1, places), lambda a, b: F.least(b - a, F.lit(WINDOW))), F.array(F.lit(WINDOW)))
     return F.aggregate(steps, F.lit(0).cast("bigint"), lambda total, x: total + x)
 
 
@@ -68,8 +76,8 @@ def quality_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     A null or empty text has no words, and all counts are 0.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("q_text", text)
-    out = out.withColumn("q_list", F.filter(F.split("q_text", WHITE + "+"), lambda w: w != ""))
+    trimmed = F.btrim(text, F.lit("".join(WHITE_MARKS)))
+    out = docs.withColumn("q_text", text).withColumn("q_list", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE + "+")))
     out = out.withColumn("q_windows", window_hashes(F.transform("q_list", lambda w: F.xxhash64(w))))
     lines = F.filter(F.split("q_text", "\n"), lambda x: x.rlike("[^ \t-\r]"))
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
@@ -77,9 +85,9 @@ def quality_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumns(
         {
             "q_n_words": n,
-            "q_word_chars": F.length(F.translate("q_text", " \t\n\x0b\f\r", "")).cast("bigint"),
-            "q_n_symbols": (F.length("q_text") - F.length(F.translate("q_text", "#*$%&|<>", ""))).cast("bigint"),
-            "q_n_marks": (F.length("q_text") - F.length(F.translate("q_text", "!", ""))).cast("bigint"),
+            "q_word_chars": F.length("q_text").cast("bigint") - count_of(F.col("q_text"), WHITE_MARKS),
+            "q_n_symbols": count_of(F.col("q_text"), SYMBOLS),
+            "q_n_marks": count_of(F.col("q_text"), ("!",)),
             "q_lines": lines,
             "q_stop_kinds": F.size(F.array_intersect("q_list", stop)),
             "q_n_repeat_words": F.when(F.size(F.array_distinct("q_windows")) < F.size("q_windows"), covered_words(F.col("q_windows"))).otherwise(F.lit(0).cast("bigint")),
