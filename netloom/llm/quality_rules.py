@@ -46,28 +46,30 @@ def beside(array: Column, by: int, other: Column) -> tuple[Column, Column]:
     return F.slice(array, F.lit(1), n), F.slice(other, F.lit(by + 1), n)
 
 
-def window_hashes(hashes: Column) -> Column:
-    """Hashes of all five-word windows from the words' hashes; shorter texts have none."""
+def with_windows(docs: DataFrame) -> DataFrame:
+    """Add ``q_windows``, hashes of all five-word windows of ``q_list``; shorter texts have none.
 
-    def joined(a: Column, by: int, b: Column) -> Column:
-        return F.zip_with(*beside(a, by, b), lambda x, y: F.xxhash64(x, y))
+    Every step is a column of its own: an expression that stands twice in another would be evaluated twice."""
+    out = docs.withColumn("q_hashes", F.transform("q_list", lambda w: F.xxhash64(w)))
+    for name, a, by, b in (("q_pairs", "q_hashes", 1, "q_hashes"), ("q_fours", "q_pairs", 2, "q_pairs"), ("q_windows", "q_fours", 4, "q_hashes")):
+        out = out.withColumn(name, F.zip_with(*beside(F.col(a), by, F.col(b)), lambda x, y: F.xxhash64(x, y)))
+    return out.drop("q_hashes", "q_pairs", "q_fours")
 
-    pairs = joined(hashes, 1, hashes)
-    return joined(joined(pairs, 2, pairs), 4, hashes)
 
-
-def covered_words(windows: Column) -> Column:
-    """How many words stand in a window that the text has twice or more.
+def with_repeat_words(docs: DataFrame) -> DataFrame:
+    """Add ``q_n_repeat_words``: how many words stand in a window that the text has twice or more.
 
     Windows are sorted by (hash, place); neighbours with equal hashes give the places of repeated
     windows. Sorted places then cover 5 words each, or as many as lie before the next place.
     """
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    twins = F.zip_with(*beside(placed, 1, placed), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    places = F.array_sort(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull()))))
+    repeats = F.size(F.array_distinct("q_windows")) < F.size("q_windows")
+    out = docs.withColumn("q_placed", F.when(repeats, F.sort_array(F.transform("q_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    twins = F.zip_with(*beside(F.col("q_placed"), 1, F.col("q_placed")), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    out = out.withColumn("q_places", F.sort_array(F.array_distinct(F.flatten(F.filter(twins, lambda x: x.isNotNull())))))
+    steps = F.zip_with(*beside(F.col("q_places"), 1, F.col("q_places")), lambda a, b: F.least(b - a, F.lit(WINDOW)))
     # the last place has no next one and covers a whole window
-    steps = F.concat(F.zip_with(*beside(places, 1, places), lambda a, b: F.least(b - a, F.lit(WINDOW))), F.array(F.lit(WINDOW)))
-    return F.aggregate(steps, F.lit(0).cast("bigint"), lambda total, x: total + x)
+    covered = F.aggregate(steps, F.lit(WINDOW).cast("bigint"), lambda total, x: total + x)
+    return out.withColumn("q_n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("q_placed", "q_places")
 
 
 def quality_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -78,7 +80,7 @@ def quality_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     trimmed = F.btrim(text, F.lit("".join(WHITE_MARKS)))
     out = docs.withColumn("q_text", text).withColumn("q_list", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE + "+")))
-    out = out.withColumn("q_windows", window_hashes(F.transform("q_list", lambda w: F.xxhash64(w))))
+    out = with_repeat_words(with_windows(out))
     lines = F.filter(F.split("q_text", "\n"), lambda x: x.rlike("[^ \t-\r]"))
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     n = F.size("q_list").cast("bigint")
@@ -90,7 +92,6 @@ def quality_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "q_n_marks": count_of(F.col("q_text"), ("!",)),
             "q_lines": lines,
             "q_stop_kinds": F.size(F.array_intersect("q_list", stop)),
-            "q_n_repeat_words": F.when(F.size(F.array_distinct("q_windows")) < F.size("q_windows"), covered_words(F.col("q_windows"))).otherwise(F.lit(0).cast("bigint")),
         }
     )
     out = out.withColumns({"q_n_lines": F.size("q_lines").cast("bigint"), "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint")})
