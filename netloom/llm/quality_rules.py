@@ -132,3 +132,13 @@ def quality_rules(docs: DataFrame, text_col: str = "text", thresholds: list[tupl
     result = {x: F.col("q_" + x) for x in names} | {"base_failed": failed, "kept": ~failed & verdict(thresholds)}
     keep = [c for c in docs.columns if c not in result]
     return out.select(*keep, *[v.alias(k) for k, v in result.items()])
+
+
+def kept_rows(docs: DataFrame, text_col: str = "text", thresholds: list[tuple[str, str, float]] = THRESHOLDS) -> DataFrame:
+    """The input's rows that ``quality_rules`` keeps, with the input's columns.
+
+    The verdict goes through a generator: a plain filter on it would be pushed down through all steps, and
+    each step's expression copied into the next one's as often as it stands there."""
+    judged = quality_rules(docs.withColumns({"__" + c: F.col(c) for c in docs.columns}), text_col, thresholds)
+    passed = judged.select(*[F.col("__" + c).alias(c) for c in docs.columns], F.explode_outer(F.array("kept")).alias("__passed"))
+    return passed.filter("__passed").drop("__passed")

@@ -36,3 +36,11 @@ def test_whole_table_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert q.quality_rules(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+def test_kept_rows_are_those_marked(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate([*TEXTS, "the cat is on the mat and the dog in it of to be"])], "doc_id bigint, text string, kept string")
+    marked = {r["doc_id"] for r in q.quality_rules(docs).collect() if r["kept"]}
+    kept = q.kept_rows(docs)
+    assert kept.columns == docs.columns
+    assert {r["doc_id"] for r in kept.collect()} == marked and marked
