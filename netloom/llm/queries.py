@@ -15,8 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "copy", "n_copies", "mix_key")
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
