@@ -8,8 +8,11 @@ the same on any cluster and in any order. Copies get a hashed position and are d
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,27 +30,32 @@ def unit_hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 
-def poisson_steps(rate: Column) -> Column:
-    """P(X <= 0), P(X <= 1), ... of a Poisson variable, as far as they differ from 1.
+def poisson_steps(rate: float) -> tuple[int, np.ndarray]:
+    """The least count k of note, and P(X <= k), P(X <= k + 1), ... of a Poisson variable, as far as they differ from 0 and 1.
 
-    A draw is the number of steps at or below a uniform number. Terms are summed from logarithms,
-    so rates above 745, where exp(-rate) is 0, work as well.
+    A draw is k and the number of steps at or below a uniform number. The steps reach 12 standard deviations and 30
+    counts to both sides, so their number follows the root of the rate: a tiny source of a large corpus may have a rate of
+    a million. Probabilities are taken from logarithms, as exp(-rate) may be 0.
     """
-    last = F.ceil(rate + F.lit(12.0) * F.sqrt(rate) + F.lit(30.0)).cast("int")
-    start = F.struct(F.lit(0.0).alias("log_p"), F.lit(0.0).alias("total"), F.array().cast("array<double>").alias("steps"))
+    if not rate > 0:
+        return 0, np.ones(1)
+    reach = math.ceil(12.0 * math.sqrt(rate) + 30.0)
+    k = np.arange(max(0, math.floor(rate) - reach), math.ceil(rate) + reach + 1)
+    log_p = k * math.log(rate) - rate - np.array([math.lgamma(x + 1.0) for x in k.tolist()])
+    return int(k[0]), np.cumsum(np.exp(log_p))
 
-    def add(acc: Column, k: Column) -> Column:
-        log_p = F.when(k == 0, -rate).otherwise(acc["log_p"] + F.ln(rate) - F.ln(F.greatest(k, F.lit(1))))
-        total = acc["total"] + F.exp(log_p)
-        return F.struct(log_p.alias("log_p"), total.alias("total"), F.concat(acc["steps"], F.array(total)).alias("steps"))
 
-    steps = F.aggregate(F.sequence(F.lit(0), last), start, add, lambda acc: acc["steps"])
-    return F.when(rate > 0, steps).otherwise(F.array(F.lit(1.0)))
+def _with_steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        drawn = [poisson_steps(rate) for rate in batch.column("rate").to_pylist()]
+        least = pa.array([k for k, _ in drawn], pa.int64())
+        steps = pa.array([x.tolist() for _, x in drawn], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns, least, steps], [*batch.schema.names, "least", "steps"])
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, temperature: float, budget: float) -> DataFrame:
     """One row per source (null is a source of its own): its size, target rate and Poisson steps."""
-    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("size"))
+    sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.length(F.coalesce("text", F.lit("")))).cast("double").alias("size"))
     sizes = materialize(sizes, "mix-sizes")
     raw = F.pow(F.col("size"), F.lit(temperature))
     if weights is not None:
@@ -57,7 +65,7 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, temperatu
     raw_total, size_total = totals["raw_total"] or 0.0, totals["size_total"] or 0.0
     share = raw / F.lit(raw_total) if raw_total > 0 else F.lit(0.0)
     rate = F.when(F.col("size") > 0, share * F.lit(budget * size_total) / F.col("size")).otherwise(F.lit(0.0))
-    return sizes.select("source", "size", rate.alias("rate")).withColumn("steps", poisson_steps(F.col("rate")))
+    return sizes.select("source", "size", rate.alias("rate")).mapInArrow(_with_steps, "source string, size double, rate double, least bigint, steps array<double>")
 
 
 def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, temperature: float = 0.5, budget: float = 1.0, seed: str = "mix-1") -> DataFrame:
@@ -74,7 +82,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     ``mix_key`` is replaced. An empty table gives an empty table.
     """
     docs = docs.drop("copy", "n_copies", "mix_key")
-    rates = materialize(source_rates(docs, weights, temperature, budget), "mix-rates").select(F.col("source").alias("__source"), F.col("steps").alias("__steps"))
+    rates = materialize(source_rates(docs, weights, temperature, budget), "mix-rates").select(F.col("source").alias("__source"), F.col("least").alias("__least"), F.col("steps").alias("__steps"))
     identity = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
     drawn = docs.withColumn("__draw", unit_hash(seed, identity)).withColumn("__identity", identity)
     steps = rates.agg(F.sum(F.size("__steps") + 8)).first()[0] or 0
@@ -84,7 +92,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
         salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         drawn = drawn.withColumn("__own", F.pmod(F.xxhash64("__identity"), F.lit(SALTS)).cast("int"))
         drawn = drawn.join(salted, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__salt"))).drop("__own", "__salt")
-    n = F.size(F.filter("__steps", lambda t: t <= F.col("__draw")))
+    n = F.col("__least") + F.size(F.filter("__steps", lambda t: t <= F.col("__draw")))
     drawn = drawn.withColumn("n_copies", n.cast("int")).filter("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), "__identity", F.col("copy").cast("string"))))
