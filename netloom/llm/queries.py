@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, lm_scoring, media, mixing, ngram_join, packing, pu_quality, quality_rules, toxicity, url_rules
+from . import licenses, lm_scoring, media, mixing, ngram_join, oracle, packing, pu_quality, quality_rules, toxicity, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,4 +61,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_lm_scoring, op4_pu_quality, op5_best_fit_packing, op6_url_rules, op7_media_columns, op8_quality_rules, op9_toxicity, op10_license_scan)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": oracle.MIX, "op2_ngram_jaccard_join": oracle.NGRAM_JOIN, "op8_quality_rules": oracle.QUALITY_RULES}
