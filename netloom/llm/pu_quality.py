@@ -231,7 +231,7 @@ def fit_quality_model(docs: DataFrame, labels: DataFrame, folds: int = 5, held_o
     # bounded by twice fit_rows
     texts = base.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     rows = texts.mapInArrow(_feature_rows, "doc_id bigint, label int, features array<double>").orderBy("doc_id", "label").collect()
-    x = np.array([r["features"] for r in rows], np.float32).reshape(len(rows), -1)
+    x = np.array([r["features"] for r in rows], np.float32) if rows else np.empty((0, 0), np.float32)
     y = np.array([r["label"] for r in rows], int)
     return QualityModel(x[y == 1], x[y == 0], x[y == -1])
 
