@@ -1,7 +1,6 @@
 """License scans: sparse TF-IDF cosine of licence statements to templates, then inheritance by directory.
 
-Everything is DataFrame functions. Words of all texts give the document frequencies of the templates'
-vocabulary. A text's lines are its possible headers; a line, or the whole text, is compared with every
+Everything is DataFrame functions. The document frequency of every word is counted over all texts. A text's lines are its possible headers; a line, or the whole text, is compared with every
 template. A line without any of the cue words can't reach the threshold (``cue_words`` shows why),
 so only lines with one are weighed. Files without a licence of their own take that of their nearest
 ancestor directory that has a licence file.
@@ -45,44 +44,36 @@ def tokens_of(text: str) -> list[str]:
     return [w for w in spaced.replace(". ", " ").split(" ") if w]
 
 
-def spaced(text: Column) -> Column:
-    """The text in lower case with one space or more around each token."""
-    plain = F.translate(F.lower(text), BREAKS, " " * len(BREAKS))
-    return F.replace(F.concat(F.lit(" "), plain, F.lit(" ")), F.lit(". "), F.lit(" "))
-
-
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(spaced(text), " "), lambda w: w != "")
+    """Words in lower case; a dot before a break is dropped, one within a word stays."""
+    breaks = "".join("\\" + c if c.isprintable() else c for c in BREAKS)
+    return F.filter(F.split(F.concat(F.lower(text), F.lit(" ")), rf"\.?[ {breaks}]+"), lambda w: w != "")
 
 
-def any_of(text: Column, words: list[str]) -> Column:
-    found = F.lit(False)
-    for w in words:
-        found = found | F.contains(text, F.lit(w))
-    return found
+def has_any(words: Column, cues: list[str]) -> Column:
+    return F.arrays_overlap(words, F.array(*[F.lit(w) for w in cues]))
 
 
-def template_weights(templates: dict[str, str], df: dict[str, int], n_docs: int) -> tuple[dict[str, float], float, dict[str, dict[str, float]]]:
-    """IDF of the vocabulary, IDF of words outside it, and each template's unit vector."""
+def template_weights(templates: dict[str, str], df: dict[str, int], n_docs: int) -> dict[str, dict[str, float]]:
+    """Each template's unit vector."""
     idf = {w: math.log((n_docs + 1) / (df.get(w, 0) + 1)) + 1 for t in templates.values() for w in tokens_of(t)}
-    other = math.log(n_docs + 1) + 1
     unit = {}
     for name, text in templates.items():
         raw = {w: n * idf[w] for w, n in Counter(tokens_of(text)).items()}
         norm = math.sqrt(sum(x * x for x in raw.values()))
         unit[name] = {w: x / norm for w, x in raw.items()}
-    return idf, other, unit
+    return unit
 
 
-def cue_words(unit: dict[str, dict[str, float]], threshold: float) -> list[str]:
-    """Heaviest words of every template, until the rest of its vector is shorter than the threshold.
+def cue_words(unit: dict[str, dict[str, float]], df: dict[str, int], threshold: float) -> list[str]:
+    """Words of every template, heavy and in few texts first, until the rest of its vector is shorter than the threshold.
 
     A cosine is at most the length of the template's part that both share, so a line with none of these words
     stays below the threshold."""
     cues = set()
     for vector in unit.values():
         rest = 1.0
-        for word, x in sorted(vector.items(), key=lambda p: (-p[1], -len(p[0]), p[0])):
+        for word, x in sorted(vector.items(), key=lambda p: (-p[1] * p[1] / (df.get(p[0], 0) + 1), p[0])):
             if math.sqrt(max(rest, 0.0)) < threshold * 0.999:
                 break
             cues.add(word)
@@ -90,26 +81,26 @@ def cue_words(unit: dict[str, dict[str, float]], threshold: float) -> list[str]:
     return sorted(cues)
 
 
-def cosines(units: DataFrame, idf: dict[str, float], other: float, unit: dict[str, dict[str, float]]) -> DataFrame:
-    """``(unit_key, best struct(score, license), n_words)`` of distinct ``(unit_key, unit)`` rows over all templates.
+def cosines(units: DataFrame, counted: DataFrame, n_docs: int, unit: dict[str, dict[str, float]]) -> DataFrame:
+    """``(unit_key, best struct(score, license), n_words)`` of distinct ``(unit_key, words)`` rows over all templates.
 
     The template table has a row for each template and word: its size is the given templates', not the data's."""
     spark = units.sparkSession
-    known = spark.createDataFrame([(w, float(x)) for w, x in idf.items()], "token string, idf double")
     vectors = spark.createDataFrame([(w, name, float(x)) for name, v in unit.items() for w, x in v.items()], "token string, license string, weight double")
-    terms = units.select("unit_key", F.explode(tokens(F.col("unit"))).alias("token")).groupBy("unit_key", "token").agg(F.count(F.lit(1)).alias("tf"))
-    terms = terms.join(F.broadcast(known), "token", "left").withColumn("x", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    terms = units.select("unit_key", F.explode("words").alias("token")).groupBy("unit_key", "token").agg(F.count(F.lit(1)).alias("tf"))
+    # only the words of the units, so that the join stays small beside the vocabulary
+    known = counted.join(terms.select("token").distinct(), "token", "left_semi")
+    terms = terms.join(known, "token", "left").withColumn("x", F.col("tf") * (F.log((F.lit(n_docs) + 1.0) / (F.coalesce("df", F.lit(0)) + 1)) + 1))
     norms = terms.groupBy("unit_key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").alias("n_words"))
-    dots = terms.filter("idf IS NOT NULL").join(F.broadcast(vectors), "token").groupBy("unit_key", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
+    dots = terms.join(F.broadcast(vectors), "token").groupBy("unit_key", "license").agg(F.sum(F.col("x") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, "unit_key").select("unit_key", "n_words", F.struct(F.round(F.col("dot") / F.col("norm"), 9).alias("score"), "license").alias("best"))
     return scored.groupBy("unit_key").agg(F.max("best").alias("best"), F.max("n_words").alias("n_words"))
 
 
-def document_frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[dict[str, int], int]:
-    """In how many texts each word of the vocabulary stands, over all texts."""
-    words = files.select(spaced(F.col("text")).alias("words"))
-    seen = words.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.contains("words", F.lit(f" {w} ")).cast("bigint")).alias(f"w{k}") for k, w in enumerate(vocabulary)]).first()
-    return {w: seen[f"w{k}"] or 0 for k, w in enumerate(vocabulary)}, seen["n"]
+def document_frequencies(files: DataFrame) -> DataFrame:
+    """``(token, df)``: in how many texts each word stands, of all words over all texts."""
+    words = files.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    return materialize(words.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "licences-words")
 
 
 def scan_texts(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, file_share: float = 0.2) -> DataFrame:
@@ -118,25 +109,22 @@ def scan_texts(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshol
     A licence file is named like one, or has ``file_share`` or more of its words in licence lines.
     Equal lines are weighed once, however many texts have them."""
     vocabulary = sorted({w for t in templates.values() for w in tokens_of(t)})
-    df, n = document_frequencies(files, vocabulary)
-    idf, other, unit = template_weights(templates, df, n)
-    cues = cue_words(unit, threshold)
-
-    whole_cues = [f" {w} " for w in cues]
+    counted, n = document_frequencies(files), files.count()
+    df = {r["token"]: r["df"] for r in counted.filter(F.col("token").isin(vocabulary)).collect()}
+    unit = template_weights(templates, df, n)
+    cues = cue_words(unit, df, threshold)
 
-    # substrings rule most texts out before the dearer cut into tokens
-    cued = files.withColumn("lower", F.lower("text")).withColumn("words", F.when(any_of(F.col("lower"), cues), spaced(F.col("text"))))
-    cued = cued.withColumn("cued", F.coalesce(any_of(F.col("words"), whole_cues), F.lit(False)))
-    files = materialize(cued.select("file_id", "path", F.when(F.col("cued"), F.col("text")).alias("text")), "licences-cued").withColumn("row_key", F.monotonically_increasing_id())
+    cued = has_any(tokens(F.col("text")), cues)
+    files = materialize(files.select("file_id", "path", F.when(cued, F.col("text")).alias("text")), "licences-cued").withColumn("row_key", F.monotonically_increasing_id())
     # a text of several lines counts as one unit as well; statements may run over line ends
     several = F.when(F.contains("text", F.lit("\n")), F.array("text")).otherwise(F.array().cast("array<string>"))
-    units = files.filter("text IS NOT NULL").select("row_key", F.size(tokens(F.col("text"))).alias("words"), F.posexplode(F.concat(several, F.split("text", "\n"))).alias("place", "unit"))
-    units = units.withColumn("spaced", spaced(F.col("unit"))).filter(any_of(F.col("spaced"), whole_cues)).drop("spaced")
-    units = materialize(units.withColumn("whole", F.contains("unit", F.lit("\n"))).withColumn("unit_key", F.md5("unit")), "licences-units")
-    best = cosines(units.groupBy("unit_key").agg(F.first("unit").alias("unit")), idf, other, unit).filter(F.col("best.score") >= threshold)
+    units = files.filter("text IS NOT NULL").select("row_key", F.size(tokens(F.col("text"))).alias("total"), F.explode(F.concat(several, F.split("text", "\n"))).alias("unit"))
+    units = units.withColumn("words", tokens(F.col("unit"))).filter(has_any(F.col("words"), cues))
+    units = materialize(units.select("row_key", "total", "words", F.contains("unit", F.lit("\n")).alias("whole"), F.md5("unit").alias("unit_key")), "licences-units")
+    best = cosines(units.groupBy("unit_key").agg(F.first("words").alias("words")), counted, n, unit).filter(F.col("best.score") >= threshold)
     best = materialize(best, "licences-best")
     in_lines = F.sum(F.when(~F.col("whole"), F.col("n_words")).otherwise(F.lit(0)))
-    own = units.join(best, "unit_key").groupBy("row_key").agg(F.max("best").alias("own"), F.max("whole").alias("whole"), (in_lines / F.greatest(F.max("words"), F.lit(1))).alias("share"))
+    own = units.join(best, "unit_key").groupBy("row_key").agg(F.max("best").alias("own"), F.max("whole").alias("whole"), (in_lines / F.greatest(F.max("total"), F.lit(1))).alias("share"))
     named = F.exists(F.array(*[F.lit(x) for x in LICENCE_FILES]), lambda x: F.split_part(F.lower(F.element_at(F.split("path", "/"), -1)), F.lit("."), F.lit(1)) == x)
     is_file = F.col("own").isNotNull() & (F.coalesce(named, F.lit(False)) | F.col("whole") | (F.col("share") >= file_share))
     return files.drop("text").join(own, "row_key", "left").withColumn("is_licence_file", F.coalesce(is_file, F.lit(False))).select("file_id", "path", "own", "is_licence_file")

@@ -160,3 +160,10 @@ def test_licences(spark):
     assert out[2]["license"] == "Apache-2.0"
     assert (out[3]["origin"], out[3]["licensed_by"]) == ("inherited", "p/a")
     assert out[4]["origin"] == out[5]["origin"] == out[100]["origin"] == "none"
+
+
+def test_licence_beside_a_frequent_word(spark):
+    rows = [(1, "p/x.txt", "Released under the MIT License only.")] + [(100 + i, f"r/{i}.txt", f"only plain words number {i} {('released', 'under', 'the', 'mit', 'license')[i % 5]}") for i in range(400)]
+    out = {r["file_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "file_id bigint, path string, text string")).collect()}
+    assert (out[1]["license"], out[1]["origin"]) == ("MIT", "own")
+    assert out[100]["origin"] == "none"
