@@ -167,3 +167,28 @@ def test_licence_beside_a_frequent_word(spark):
     out = {r["file_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "file_id bigint, path string, text string")).collect()}
     assert (out[1]["license"], out[1]["origin"]) == ("MIT", "own")
     assert out[100]["origin"] == "none"
+
+
+def test_licence_headers_and_files(spark):
+    apache = "#!/usr/bin/env python\n# Copyright 2019 The Authors. All Rights Reserved.\n#\n# Licensed under the Apache License, Version 2.0 (the \"License\");\n# you may not use this file except in compliance with the License.\n# You may obtain a copy of the License at\n#\n#     https://www.apache.org/licenses/LICENSE-2.0\n#\nimport os\nvalue = compute(first, second)\n"
+    gpl = "/* hello.c\n *\n * This program is free software: you can redistribute it and/or modify it under\n * the terms of the GNU General Public License as published by the Free Software\n * Foundation, either version 3 of the License, or (at your option) any later version.\n */\nint main(void) { return run(everything, else_too); }\n"
+    bsd = "Copyright (c) 2011, Jane Doe\n\nRedistribution and use in source and binary forms, with or without modification,\nare permitted provided that the following conditions are met:\n"
+    mit = "MIT License\n\nCopyright (c) 2017 Jane Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of\nthis software and associated documentation files (the \"Software\"), to deal in\nthe Software without restriction, including without limitation the rights to\nuse, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of\nthe Software, and to permit persons to whom the Software is furnished to do so,\nsubject to the following conditions:\n\nmore of it follows\n"
+    wanted = {
+        1: ("This file is released under the MIT License.", "MIT"),
+        2: ("Some code. Released under the MIT License by Jane Doe.", "MIT"),
+        3: ("// SPDX-License-Identifier: Apache-2.0\nint x;", "Apache-2.0"),
+        4: ("/* SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) */", "GPL-2.0"),
+        5: (mit, "MIT"),
+        6: (bsd, "BSD-3-Clause"),
+        7: (gpl, "GPL-3.0"),
+        8: (gpl.replace("General", "Affero General"), "AGPL-3.0"),
+        9: ("GNU GENERAL PUBLIC LICENSE\nand what else there is in it", "GPL-1.0-or-later"),
+        10: ("words before it\n# This work is licensed under the GNU General\n# Public License, version 3.\nwords after it", "GPL-3.0"),
+        11: (apache, "Apache-2.0"),
+        12: ("We talk of the GNU General Public License in passing here.", None),
+    }
+    rows = [(k, f"p{k}/x.txt", text) for k, (text, _) in wanted.items()] + [(100 + i, f"r/{i}.txt", f"plain words number {i} of the file by hand") for i in range(200)]
+    out = {r["file_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "file_id bigint, path string, text string")).collect()}
+    assert {k: out[k]["license"] for k in wanted} == {k: name for k, (_, name) in wanted.items()}
+    assert all(out[k]["origin"] == "none" for k in out if k >= 100)
