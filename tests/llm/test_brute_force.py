@@ -110,3 +110,18 @@ def test_shingles_do_not_depend_on_the_batch():
     texts = ["a b c d e f", "x " * 9, "", "long" * 40 + " b c d e"]
     whole = [s.tolist() for s in _text.shingle_sets(pa.array(texts))]
     assert whole == [next(_text.shingle_sets(pa.array([t]))).tolist() for t in texts]
+
+
+def test_lm_scores_do_not_depend_on_the_layout(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    one, other = ({r["doc_id"]: r for r in lm_scoring.score_documents(d).collect()} for d in (docs.coalesce(1), docs.orderBy("text").repartition(5, "n_chars")))
+    for i, r in one.items():
+        assert abs(r["base_score"] - other[i]["base_score"]) <= 1e-9 * abs(r["base_score"])
+        assert abs(r["score"] - other[i]["score"]) <= 1e-4 * abs(r["score"])
+
+
+def test_frequent_words_come_in_order(spark):
+    counts = spark.createDataFrame([(i, i % 7 * 100 + i % 3) for i in range(500)], "word bigint, n bigint")
+    keys, n = lm_scoring.frequent_words(counts, 40)
+    wanted = sorted(((-(i % 7 * 100 + i % 3), i) for i in range(500)))[:40]
+    assert list(zip((-n).tolist(), keys.tolist())) == wanted

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from netloom.llm import gru_lm, licenses, media, packing, url_rules, webp
+from netloom.llm import gru_lm, licenses, lm_scoring, media, packing, url_rules, webp
 from netloom.llm._text import utf8
 
 import pyarrow as pa
@@ -112,11 +112,15 @@ def test_broken_images_raise(data):
         webp.decode(data)
 
 
+SIDE = 8
+
+
 def test_language_model_gradient():
     rng = np.random.default_rng(0)
-    w = {k: v.astype(np.float64) for k, v in gru_lm.start_weights(np.arange(gru_lm.WORDS, 0, -1.0), 50.0).items()}
+    w = {k: v.astype(np.float64) for k, v in gru_lm.start_weights(np.arange(SIDE * SIDE, 0, -1.0), 50.0, SIDE).items()}
     w = {k: v + 0.05 * rng.normal(size=v.shape) for k, v in w.items()}
-    words = rng.integers(0, gru_lm.WORDS + 1, (4, 3))
+    words = rng.integers(0, SIDE * SIDE + 1, (4, 3))
+    words[3, 2] = -1
     fresh = np.zeros((4, 3), bool)
     fresh[0], fresh[2, 1] = True, True
     h = np.zeros((3, gru_lm.UNITS))
@@ -128,16 +132,56 @@ def test_language_model_gradient():
             moved = {k: v.copy() for k, v in w.items()}
             moved[name][place] += sign * step
             lossy.append(gru_lm.gradients(moved, h, words, fresh)[0])
-        assert abs((lossy[0] - lossy[1]) / (2 * step) - g[name][place]) < 1e-4
+        assert abs((lossy[0] - lossy[1]) / (2 * step) - g[name][place]) < 1e-6
 
 
 def test_language_model_shares_sum_to_one():
-    w = gru_lm.start_weights(np.arange(gru_lm.WORDS, 0, -1.0), 50.0)
+    w = gru_lm.start_weights(np.arange(SIDE * SIDE, 0, -1.0), 50.0, SIDE)
     h = np.random.default_rng(1).normal(size=(1, gru_lm.UNITS)).astype(np.float32)
-    each = [np.exp(gru_lm.output_log(w, h, np.array([k]))[0]) for k in range(gru_lm.WORDS + 1)]
+    each = [np.exp(gru_lm.output_log(w, h, np.array([k]))[0]) for k in range(SIDE * SIDE + 1)]
     assert abs(sum(each) - 1) < 1e-3
 
 
+def test_documents_side_by_side_score_as_one_by_one():
+    """A plain scorer: one word after the other, whole softmaxes."""
+    rng = np.random.default_rng(5)
+    w = {k: v + rng.normal(0, 0.2, v.shape).astype(np.float32) for k, v in gru_lm.start_weights(np.arange(SIDE * SIDE, 0, -1.0), 50.0, SIDE).items()}
+    sizes = [1, 70, 3, 24, 25, 49]
+    words = rng.integers(0, SIDE * SIDE + 1, sum(sizes))
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    soft = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    u = gru_lm.UNITS
+    for i, got in enumerate(gru_lm.document_logs(w, words, first)):
+        h, total = np.zeros(u), 0.0
+        for word in words[first[i] : first[i + 1]]:
+            group = word // SIDE
+            total += np.log(soft(h @ w["class_w"] + w["class_b"])[group])
+            if group < SIDE:
+                total += np.log(soft(h @ w["word_w"][group] + w["word_b"][group])[word % SIDE])
+            x, s = w["input"][word].astype(float), h @ w["state"]
+            z, r = (1 / (1 + np.exp(-(x[k : k + u] + s[k : k + u]))) for k in (0, u))
+            h = (1 - z) * np.tanh(x[2 * u :] + r * s[2 * u :]) + z * h
+        assert abs(got - total) <= 1e-4 * abs(total)
+
+
+def test_weights_travel_in_parts():
+    w = gru_lm.start_weights(np.arange(SIDE * SIDE, 0, -1.0), 50.0, SIDE)
+    back = gru_lm.from_parts(gru_lm.to_parts(w), w)
+    assert all((back[k] == w[k]).all() for k in w)
+
+
+def test_every_text_gives_a_segment():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(1, 900, 60)
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    keys = rng.integers(0, 2**60, first[-1]).astype(np.uint64)
+    start, end, hashed = lm_scoring.chosen_segments(keys, first, 0.25)
+    assert set(np.searchsorted(first, start, side="right") - 1) == set(range(60))
+    assert (end - start <= lm_scoring.SEGMENT).all() and 0.2 < (end - start).sum() / first[-1] < 0.5
+    whole = lm_scoring.chosen_segments(keys, first, 1.0)
+    assert (whole[1] - whole[0]).sum() == first[-1]
+
+
 def test_urls(spark):
     urls = [None, "", "no scheme", "http://A.Example.org/en/12?x#y", "https://example.org/es/1", "http://x.example.com/de/5", "http://x.example.com/fr/5", "http://example.net", "http://a.org", "http://notexample.org/es/1"]
     pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id bigint, url string, verdict string")
