@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .quality_rules import STOP_WORDS
+from .quality_rules import STOP_FORMS
 
-_STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+_STOP = ", ".join(f"'{w}'" for w in STOP_FORMS)
 
 #: Draws invert the summed Poisson probabilities at the first 52 bits of an MD5; 400 steps are enough for the rates of a test table.
 MIX = """WITH d AS (SELECT *, md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), ''), coalesce(text, ''))) AS identity FROM documents),
@@ -36,9 +36,11 @@ QUALITY_RULES = f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS text FROM do
  r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM w) WHERE n > 1),
  q AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, i + unnest([0, 1, 2, 3, 4]) AS place FROM r) GROUP BY doc_id),
  m AS (SELECT b.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(q.n, 0) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks,
-  len(list_distinct(list_filter(words, lambda x: x IN ({_STOP})))) AS stop_kinds FROM b LEFT JOIN q ON q.doc_id = b.doc_id),
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(q.n, 0) AS n_repeat_words, length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks,
+  len(list_filter(words, lambda x: x IN ({_STOP}))) AS n_stop,
+  len(list_filter(lines, lambda x: regexp_matches(x, '^ *[-*\u2022]'))) AS n_bullets, len(list_filter(lines, lambda x: NOT regexp_matches(x, '[^ \t-\r][ \t-\r]*[ ][ \t-\r]*[^ \t-\r]'))) AS n_one_word,
+  CAST(greatest(len(lines), 10) AS DOUBLE) AS l FROM b LEFT JOIN q ON q.doc_id = b.doc_id),
  f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CAST(greatest(n_words, 1) AS DOUBLE) AS d FROM m)
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND word_chars / d <= 40 AND n_symbols / d <= 0.1 AND n_marks / d <= 0.2 AND n_dup_lines / CAST(greatest(n_lines, 1) AS DOUBLE) <= 0.3
-   AND n_repeat_words / d <= 0.2 AND least(floor(n_words / 40.0), 2) <= stop_kinds AS kept FROM f"""
+  NOT base_failed AND word_chars / d >= 2 AND word_chars / d <= 40 AND n_symbols / d <= 0.1 AND n_marks / d <= 0.2 AND n_dup_lines / l <= 0.3
+   AND n_bullets / l <= 0.9 AND n_one_word / l <= 0.8 AND (n_words < 40 OR n_stop / d >= 0.02) AS kept FROM f"""

@@ -15,22 +15,31 @@ STOP_WORDS = (
     "al con del el ella es los las no para por se su sus y"
 ).split()
 
+#: As they stand in running text, at the start of a sentence, and in headings.
+STOP_FORMS = sorted({form for w in STOP_WORDS for form in (w, w[:1].upper() + w[1:], w.upper())})
+
 #: Metric, comparison that a kept text fulfils, threshold. A ratio of a text without words is 0.
 THRESHOLDS = [
-    ("n_words", ">=", 10.0),
+    ("mean_word_chars", ">=", 2.0),
     ("mean_word_chars", "<=", 40.0),
     ("symbol_ratio", "<=", 0.1),
     ("exclamation_ratio", "<=", 0.2),
     ("dup_line_ratio", "<=", 0.3),
-    ("repeat_word_ratio", "<=", 0.2),
-    ("stop_word_shortfall", "<=", 0.0),
+    ("bullet_line_ratio", "<=", 0.9),
+    ("one_word_line_ratio", "<=", 0.8),
+    ("stop_word_ratio", ">=", 0.02),
 ]
+#: Ratios of lines are taken of this many lines at least, so that a short text's one repeated or bulleted line isn't a third of it.
+LEAST_LINES = 10
+#: Words from which a text must have stop words; a shorter one's ratio counts as 1.
+LEAST_WORDS = 40
 
 WHITE = "[ \t-\r]"
 WINDOW = 5
 
 
 WHITE_MARKS = (" ", "\t", "\n", "\x0b", "\f", "\r")
+BULLETS = ("-", "*", "\u2022")
 SYMBOLS = ("#", "*", "$", "%", "&", "|", "<", ">")
 
 
@@ -73,16 +82,17 @@ def with_repeat_words(docs: DataFrame) -> DataFrame:
 
 
 def quality_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the metrics of ``THRESHOLDS`` and of the contract as columns prefixed ``q_``.
+    """The input's row as one column ``q_row``, so that no name in it can clash, and the metrics of ``THRESHOLDS`` and of the
+    contract as columns prefixed ``q_``.
 
     A null or empty text has no words, and all counts are 0.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    trimmed = F.btrim(text, F.lit("".join(WHITE_MARKS)))
-    out = docs.withColumn("q_text", text).withColumn("q_list", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE + "+")))
+    out = docs.select(F.struct("*").alias("q_row"), text.alias("q_text"))
+    trimmed = F.btrim(F.col("q_text"), F.lit("".join(WHITE_MARKS)))
+    out = out.withColumn("q_list", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, WHITE + "+")))
     out = with_repeat_words(with_windows(out))
     lines = F.filter(F.split("q_text", "\n"), lambda x: x.rlike("[^ \t-\r]"))
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
     n = F.size("q_list").cast("bigint")
     out = out.withColumns(
         {
@@ -91,24 +101,32 @@ def quality_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "q_n_symbols": count_of(F.col("q_text"), SYMBOLS),
             "q_n_marks": count_of(F.col("q_text"), ("!",)),
             "q_lines": lines,
-            "q_stop_kinds": F.size(F.array_intersect("q_list", stop)),
+            "q_n_stop": F.size(F.filter("q_list", lambda w: w.isin(*STOP_FORMS))).cast("bigint"),
+        }
+    )
+    one_word = lambda x: ~F.contains(F.btrim(x, F.lit("".join(WHITE_MARKS))), F.lit(" "))
+    out = out.withColumns(
+        {
+            "q_n_lines": F.size("q_lines").cast("bigint"),
+            "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint"),
+            "q_n_bullets": F.size(F.filter("q_lines", lambda x: F.substring(F.ltrim(x), 1, 1).isin(*BULLETS))).cast("bigint"),
+            "q_n_one_word": F.size(F.filter("q_lines", one_word)).cast("bigint"),
         }
     )
-    out = out.withColumns({"q_n_lines": F.size("q_lines").cast("bigint"), "q_n_dup_lines": (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("bigint")})
     return out.drop("q_text", "q_list", "q_windows", "q_lines")
 
 
 def metric_columns() -> dict[str, Column]:
     words = F.greatest(F.col("q_n_words"), F.lit(1)).cast("double")
+    lines = F.greatest(F.col("q_n_lines"), F.lit(LEAST_LINES)).cast("double")
     return {
-        "n_words": F.col("q_n_words").cast("double"),
         "mean_word_chars": F.col("q_word_chars") / words,
         "symbol_ratio": F.col("q_n_symbols") / words,
         "exclamation_ratio": F.col("q_n_marks") / words,
-        "dup_line_ratio": F.col("q_n_dup_lines") / F.greatest(F.col("q_n_lines"), F.lit(1)).cast("double"),
-        "repeat_word_ratio": F.col("q_n_repeat_words") / words,
-        # one kind of stop word for every 40 words, two at most, must occur
-        "stop_word_shortfall": F.least(F.floor(F.col("q_n_words") / 40.0), F.lit(2)).cast("double") - F.col("q_stop_kinds"),
+        "dup_line_ratio": F.col("q_n_dup_lines") / lines,
+        "bullet_line_ratio": F.col("q_n_bullets") / lines,
+        "one_word_line_ratio": F.col("q_n_one_word") / lines,
+        "stop_word_ratio": F.when(F.col("q_n_words") < LEAST_WORDS, 1.0).otherwise(F.col("q_n_stop") / words),
     }
 
 
@@ -130,7 +148,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", thresholds: list[tupl
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     failed = (F.col("q_n_words") < 10) | (100 * F.col("q_n_repeat_words") > 20 * F.col("q_n_words"))
     result = {x: F.col("q_" + x) for x in names} | {"base_failed": failed, "kept": ~failed & verdict(thresholds)}
-    keep = [c for c in docs.columns if c not in result]
+    keep = [F.col("q_row").getField(c).alias(c) for c in docs.columns if c not in result]
     return out.select(*keep, *[v.alias(k) for k, v in result.items()])
 
 
@@ -139,6 +157,7 @@ def kept_rows(docs: DataFrame, text_col: str = "text", thresholds: list[tuple[st
 
     The verdict goes through a generator: a plain filter on it would be pushed down through all steps, and
     each step's expression copied into the next one's as often as it stands there."""
-    judged = quality_rules(docs.withColumns({"__" + c: F.col(c) for c in docs.columns}), text_col, thresholds)
-    passed = judged.select(*[F.col("__" + c).alias(c) for c in docs.columns], F.explode_outer(F.array("kept")).alias("__passed"))
-    return passed.filter("__passed").drop("__passed")
+    whole = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))
+    judged = quality_rules(whole, "text", thresholds)
+    passed = judged.select("row", F.explode_outer(F.array("kept")).alias("passed"))
+    return passed.filter("passed").select("row.*")
