@@ -1,12 +1,14 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows of good quality; unlabelled web text is everything without a label.
-The class prior is estimated from both by comparing tails of a first positive-against-unlabelled score.
-A small network then minimises the non-negative unbiased risk
+Trusted positives are labelled rows of good quality; unlabelled web text is every row without a label. Features of
+all texts are computed once and written. A first positive-against-unlabelled score, trained like the model itself, gives the class
+prior: tails of its histogram over all unlabelled rows are compared with those of positives. A small network then minimises the
+non-negative unbiased risk
 
     prior * E_p[loss(+)] + max(0, E_u[loss(-)] - prior * E_p[loss(-)])
 
-and its output becomes a probability by a logistic fit on labelled training rows.
+over all unlabelled rows: slots of about ``SLOT_ROWS`` are trained on side by side against the same positives, and their weights
+averaged after every round. With the logistic loss its output is the log-odds of a positive, so no label of a negative is needed.
 """
 
 from __future__ import annotations
@@ -17,13 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StructField, StructType
 
 from . import _dense, _text
 from ._labels import fold, labelled_sample
 from ._store import materialize
 
-#: Labelled and unlabelled rows used for fitting, at most (each).
+#: Labelled positives used for fitting, at most; a third of them is kept apart for the prior.
 FIT_ROWS = 16_000
+#: Unlabelled rows in a slot; rounds after which weights are averaged, and passes over a slot in each.
+SLOT_ROWS, ROUNDS, EPOCHS = 20_000, 4, 6
 HIDDEN = 24
 
 STOP_WORDS = (
@@ -91,97 +96,80 @@ def text_features(column: pa.Array) -> np.ndarray:
     return np.vstack(parts) if parts else np.empty((0, 0), np.float32)
 
 
-class Network:
-    """One hidden layer of tanh units, trained by Adam on mini-batches."""
+Weights = list[np.ndarray]
 
-    def __init__(self, inputs: int, hidden: int, seed: int = 11):
-        rng = np.random.default_rng(seed)
-        self.rng = rng
-        self.w = [rng.normal(0, 1 / np.sqrt(inputs), (inputs, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
-        self.m = [np.zeros_like(x) for x in self.w]
-        self.v = [np.zeros_like(x) for x in self.w]
-        self.t = 0
 
-    def output(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(x @ self.w[0] + self.w[1]) @ self.w[2] + self.w[3][0]
+def start_network(inputs: int, hidden: int = HIDDEN, seed: int = 11) -> Weights:
+    """One hidden layer of tanh units."""
+    rng = np.random.default_rng(seed)
+    return [rng.normal(0, 1 / np.sqrt(inputs), (inputs, hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
 
-    def step(self, x: np.ndarray, slope: np.ndarray, rate: float) -> None:
-        """One step against the gradient, given d(risk)/d(output) of each row."""
-        h = np.tanh(x @ self.w[0] + self.w[1])
-        back = slope[:, None] * self.w[2] * (1 - h * h)
-        grads = [x.T @ back + 1e-4 * self.w[0], back.sum(0), h.T @ slope, np.array([slope.sum()])]
-        self.t += 1
-        for k, g in enumerate(grads):
-            self.m[k] = 0.9 * self.m[k] + 0.1 * g
-            self.v[k] = 0.999 * self.v[k] + 0.001 * g * g
-            self.w[k] -= rate * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
+
+def output(w: Weights, x: np.ndarray) -> np.ndarray:
+    return np.tanh(x @ w[0] + w[1]) @ w[2] + w[3][0]
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, epochs: int = 30, rate: float = 0.01) -> Network:
-    """Minimise the non-negative risk with the logistic loss; without a prior, plain positive against unlabelled."""
-    net = Network(positive.shape[1], HIDDEN)
+def risk_slopes(zp: np.ndarray, zu: np.ndarray, prior: float | None) -> np.ndarray:
+    """d(risk)/d(output) of positives, then of unlabelled rows, for the logistic loss.
+
+    Without a prior the risk is that of plain positives against unlabelled rows. Where the unbiased risk of negatives is below 0,
+    the step goes back on that part alone."""
+    if prior is None:
+        return np.concatenate([-(1 - sigmoid(zp)) / len(zp), sigmoid(zu) / len(zu)])
+    negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    down = np.concatenate([-prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)])
+    if negative < 0:
+        return -down
+    return down + np.concatenate([-prior * (1 - sigmoid(zp)) / len(zp), np.zeros(len(zu))])
+
+
+def descend(w: Weights, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, epochs: int, rate: float, seed: int = 0) -> Weights:
+    """Adam on mini-batches of both."""
+    w, rng = [x.copy() for x in w], np.random.default_rng(seed)
+    m, v, t = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w], 0
     batches = max(1, (len(positive) + len(unlabelled)) // 512)
-    for epoch in range(epochs):
-        p_order, u_order = np.array_split(net.rng.permutation(len(positive)), batches), np.array_split(net.rng.permutation(len(unlabelled)), batches)
-        step = rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
+    for _ in range(epochs):
+        p_order, u_order = (np.array_split(rng.permutation(len(x)), batches) for x in (positive, unlabelled))
         for p_rows, u_rows in zip(p_order, u_order, strict=True):
-            xp, xu = positive[p_rows], unlabelled[u_rows]
-            if not len(xp) or not len(xu):
+            if not len(p_rows) or not len(u_rows):
                 continue
-            zp, zu = net.output(xp), net.output(xu)
-            both = np.vstack([xp, xu])
-            if prior is None:
-                slope = np.concatenate([-(1 - sigmoid(zp)) / len(xp), sigmoid(zu) / len(xu)])
-            else:
-                negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-                down = np.concatenate([-prior * sigmoid(zp) / len(xp), sigmoid(zu) / len(xu)])
-                if negative < 0:
-                    # the unbiased part went below zero: step back on it alone
-                    slope = -down
-                else:
-                    slope = down + np.concatenate([-prior * (1 - sigmoid(zp)) / len(xp), np.zeros(len(xu))])
-            net.step(both, slope, step)
-    return net
-
-
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+            x = np.vstack([positive[p_rows], unlabelled[u_rows]])
+            h = np.tanh(x @ w[0] + w[1])
+            z = h @ w[2] + w[3][0]
+            slope = risk_slopes(z[: len(p_rows)], z[len(p_rows) :], prior)
+            back = slope[:, None] * w[2] * (1 - h * h)
+            t += 1
+            for k, g in enumerate([x.T @ back + 1e-4 * w[0], back.sum(0), h.T @ slope, np.array([slope.sum()])]):
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.999 * v[k] + 0.001 * g * g
+                w[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def estimate_prior(positive: np.ndarray, cuts: np.ndarray, u_counts: np.ndarray) -> float:
     """The share of positives in unlabelled rows: the least ratio of the two tails above a score.
 
+    ``u_counts[k]`` is the number of unlabelled rows with exactly ``k`` of the ascending ``cuts`` at or below their score.
     Any share of unlabelled rows above a score is at least prior times that of positives, so each ratio
     bounds the prior from above; a margin for the tails' sampling error is added before taking the least.
     """
-    p, u = np.sort(positive), np.sort(unlabelled)
-    cuts = np.unique(np.quantile(p, np.linspace(0.02, 0.9, 45)))
-    p_tail = 1 - np.searchsorted(p, cuts, "left") / len(p)
-    u_tail = 1 - np.searchsorted(u, cuts, "left") / len(u)
-    margin = np.sqrt(np.log(20) / (2 * len(u))) + np.sqrt(np.log(20) / (2 * len(p)))
+    p_tail = 1 - np.searchsorted(np.sort(positive), cuts, "left") / len(positive)
+    total = u_counts.sum()
+    u_tail = 1 - np.cumsum(u_counts)[: len(cuts)] / total
+    margin = np.sqrt(np.log(20) / (2 * total)) + np.sqrt(np.log(20) / (2 * len(positive)))
     best = int(np.argmin((u_tail + margin) / np.maximum(p_tail, 1e-9)))
     return float(np.clip(u_tail[best] / max(p_tail[best], 1e-9), 0.05, 0.98))
 
 
 class QualityModel:
-    """Standardised features, the network and its logistic calibration."""
-
-    def __init__(self, positive: np.ndarray, negative: np.ndarray, unlabelled: np.ndarray):
-        self.constant = None
-        if len(positive) < 10 or len(unlabelled) < 10:
-            known = len(positive) + len(negative)
-            self.constant, self.prior = (len(positive) / known if known else 0.5), 0.5
-            return
-        pool = np.vstack([positive, unlabelled]).astype(np.float64)
-        self.mean, self.scale = pool.mean(0), pool.std(0) + 1e-3
-        p, u = self.standard(positive), self.standard(unlabelled)
-        half = len(p) // 2
-        first = fit_nnpu(p[:half], u, None, epochs=10)
-        self.prior = estimate_prior(first.output(p[half:]), first.output(u))
-        self.net = fit_nnpu(p, u, self.prior)
-        z = np.concatenate([self.net.output(p), self.net.output(self.standard(negative))]) if len(negative) else self.net.output(p)
-        y = np.concatenate([np.ones(len(p)), np.zeros(len(negative))])
-        self.slope, self.shift = fit_logistic(z, y) if len(negative) >= 10 else (1.0, 0.0)
+    """Standardised features and the network's log-odds; without enough rows to fit, one constant score."""
+
+    def __init__(self, constant: float | None, mean: np.ndarray | None = None, scale: np.ndarray | None = None, weights: Weights | None = None, prior: float = 0.5):
+        self.constant, self.mean, self.scale, self.weights, self.prior = constant, mean, scale, weights, prior
 
     def standard(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6)
@@ -189,51 +177,107 @@ class QualityModel:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(x), self.constant)
-        return sigmoid(self.slope * self.net.output(self.standard(x)) + self.shift)
+        return sigmoid(output(self.weights, self.standard(x)))
 
 
-def fit_logistic(z: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope (kept positive) and shift of a logistic fit, by Newton's method."""
-    a, b = 1.0, 0.0
-    x = np.stack([z, np.ones(len(z))], axis=1)
-    for _ in range(steps):
-        p = sigmoid(a * z + b)
-        gradient = x.T @ (p - y) + np.array([1e-3 * a, 1e-3 * b])
-        curvature = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(2)
-        a, b = np.array([a, b]) - np.linalg.solve(curvature, gradient)
-    return max(float(a), 1e-3), float(b)
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Feature vectors as rows."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x = text_features(batch.column("text"))
-        rows = pa.array(list(x.astype(np.float64)), pa.list_(pa.float64())) if len(batch) else pa.array([], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), rows], ["doc_id", "label", "features"])
+        width = x.shape[1]
+        rows = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * width, pa.int32()), pa.array(x.ravel(), pa.float32()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], rows], [*batch.schema.names[:-1], "features"])
 
 
-def _scores(model: QualityModel, names: list[str]):
+def with_features(texts: DataFrame) -> DataFrame:
+    """The columns before ``text``, the last one, and the text's features; written, as several passes read them."""
+    schema = StructType([*texts.schema.fields[:-1], StructField("features", ArrayType(FloatType()))])
+    return materialize(texts.mapInArrow(_with_features, schema), "quality-features")
+
+
+def _train_slot(model: QualityModel, positive: np.ndarray, prior: float | None, number: int):
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        # in the order of hashes, so that the layout of the input doesn't matter
+        x = model.standard(matrix(table.sort_by("hash").column("features")))
+        fitted = descend(model.weights, positive, x, prior, EPOCHS, 0.01 / (1 + number), seed=number)
+        flat = np.concatenate([w.ravel() for w in fitted])
+        return pa.table([pa.array([0], pa.int32()), pa.array([len(x)], pa.int64()), pa.array([(flat * len(x)).tolist()], pa.list_(pa.float64()))], ["one", "size", "sums"])
+
+    return run
+
+
+def train(model: QualityModel, positive: np.ndarray, unlabelled: DataFrame, prior: float | None, rounds: int = ROUNDS) -> Weights:
+    """Weights averaged over the slots of ``(slot, hash, features)`` after every round; sums are taken in Spark."""
+    weights = start_network(positive.shape[1])
+    for number in range(rounds):
+        current = QualityModel(None, model.mean, model.scale, weights)
+        trained = unlabelled.groupBy("slot").applyInArrow(_train_slot(current, positive, prior, number), "one int, size bigint, sums array<double>")
+        parts = trained.select("size", F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x"), F.sum("size").alias("size")).orderBy("at").collect()
+        flat = np.array([r["x"] / r["size"] for r in parts])
+        weights = [x.reshape(w.shape) for x, w in zip(np.split(flat, np.cumsum([w.size for w in weights])[:-1]), weights, strict=True)]
+    return weights
+
+
+def _histogram(model: QualityModel, cuts: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(cuts) + 1, np.int64)
         for batch in batches:
-            x = text_features(batch.column("__text"))
-            score = model.score(x) if len(batch) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(score, pa.float64())], [*names, "__score"])
+            if len(batch):
+                z = output(model.weights, model.standard(matrix(batch.column("features"))))
+                counts += np.bincount(np.searchsorted(cuts, z, "right"), minlength=len(counts))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(counts)), pa.int32()), pa.array(counts)], ["at", "n"])
 
     return run
 
 
-def fit_quality_model(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, fit_rows: int = FIT_ROWS) -> QualityModel:
-    """The model from rows of the training folds alone; ``fit_rows`` bounds labelled and unlabelled rows each."""
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id IS NOT NULL")
-    train = fold("doc_id", folds) != held_out
-    known = materialize(labelled_sample(labels, "quality", fit_rows, train), "quality-sample")
-    unlabelled = base.select("doc_id").filter(train).join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti").groupBy("doc_id").agg(F.lit(-1).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
-    chosen = materialize(known.select("doc_id", "label").union(unlabelled.select("doc_id", "label")), "quality-chosen")
-    # bounded by twice fit_rows
-    texts = base.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = texts.mapInArrow(_feature_rows, "doc_id bigint, label int, features array<double>").orderBy("doc_id", "label").collect()
-    x = np.array([r["features"] for r in rows], np.float32) if rows else np.empty((0, 0), np.float32)
-    y = np.array([r["label"] for r in rows], int)
-    return QualityModel(x[y == 1], x[y == 0], x[y == -1])
+def fit_quality_model(feats: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, fit_rows: int = FIT_ROWS) -> QualityModel:
+    """The model from rows ``(doc_id, features)`` of the training folds alone.
+
+    ``fit_rows`` bounds the labelled positives. All unlabelled rows count: in the features' mean and spread, in the prior, and in the
+    risk. Repeats of a row count each; a null id is in no fold."""
+    train_rows = feats.filter("doc_id IS NOT NULL").filter(fold("doc_id", folds) != held_out).select("doc_id", "features")
+    known = materialize(labelled_sample(labels.filter("quality = 1"), "quality", fit_rows, fold("doc_id", folds) != held_out), "quality-sample")
+    # bounded by fit_rows
+    rows = train_rows.join(F.broadcast(known.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("features").alias("features")).orderBy("doc_id").collect()
+    positive = np.array([r["features"] for r in rows], np.float64)
+    unlabelled = train_rows.join(labels.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_anti")
+    stats = unlabelled.select(F.posexplode("features").alias("at", "x")).groupBy("at").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale")).orderBy("at").collect()
+    n = stats[0]["n"] if stats else 0
+    if len(positive) < 10 or n < 10:
+        share = labels.filter("quality IN (0, 1) AND doc_id IS NOT NULL").filter(fold("doc_id", folds) != held_out).agg(F.avg("quality")).first()[0]
+        return QualityModel(0.5 if share is None else float(share))
+    model = QualityModel(None, np.array([r["mean"] for r in stats]), np.array([r["scale"] for r in stats]) + 1e-3)
+    own = F.xxhash64("doc_id", F.lit("slot"))
+    slotted = unlabelled.select(F.pmod(own, F.lit(max(1, n // SLOT_ROWS))).alias("slot"), own.alias("hash"), "features")
+    slotted = materialize(slotted, "quality-unlabelled")
+
+    x = model.standard(positive)
+    apart = np.arange(len(x)) % 3 == 0
+    model.weights = train(model, x[~apart], slotted, None, rounds=1)
+    z = output(model.weights, x[apart])
+    cuts = np.unique(np.quantile(z, np.linspace(0.02, 0.9, 45)))
+    counts = np.zeros(len(cuts) + 1)
+    for r in slotted.mapInArrow(_histogram(model, cuts), "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        counts[r["at"]] = r["n"]
+    model.prior = estimate_prior(z, cuts, counts)
+    model.weights = train(model, x, slotted, model.prior)
+    return model
+
+
+def _scores(model: QualityModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column("features"))
+            score = model.score(x) if len(batch) else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "score"])
+
+    return run
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -243,15 +287,20 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     unlabelled rows the score is the labelled share of positives (0.5 without labels). Repeated rows
     stay; other columns aren't read. An empty table gives an empty table.
     """
-    model = fit_quality_model(docs, labels, folds, held_out, fit_rows)
-    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), (fold("doc_id", folds) == held_out).alias("held_out"), F.coalesce("text", F.lit("")).alias("__text"))
-    scored = base.mapInArrow(_scores(model, ["doc_id", "held_out"]), "doc_id bigint, held_out boolean, __score double").withColumnRenamed("__score", "score")
+    feats = with_features(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    model = fit_quality_model(feats, labels, folds, held_out, fit_rows)
+    shown = feats.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "features")
+    scored = shown.mapInArrow(_scores(model), "doc_id bigint, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """The input's rows whose text scores ``threshold`` or more; all its columns pass through."""
-    model = fit_quality_model(docs, labels, **options)
-    named = docs.withColumn("__text", F.coalesce("text", F.lit("")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __score double"
-    return named.mapInArrow(_scores(model, docs.columns), schema).filter(F.col("__score") >= threshold).select(*docs.columns)
+    """The input's rows whose text scores ``threshold`` or more; all its columns pass through, whatever their names.
+
+    Rows without an id are scored too. An empty table gives an empty table."""
+    # the input's row is one column, so that no name in it can clash
+    feats = with_features(docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    model = fit_quality_model(feats.select("doc_id", "features"), labels, **options)
+    shown = feats.select("row", "features")
+    scored = shown.mapInArrow(_scores(model), StructType([shown.schema["row"], StructField("score", DoubleType())]))
+    return scored.filter(F.col("score") >= threshold).select("row.*")
