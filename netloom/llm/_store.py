@@ -1,18 +1,27 @@
-"""Cut points of long jobs: tables written to the folder every executor shares."""
+"""Cut points of long jobs: tables written to the folder every executor shares, and joins that a hot key doesn't hold up."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_PATHS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where that is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a temporary folder of this machine serves a local master;
+    on a cluster each executor would write to its own disk, so that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or "file://" + os.path.join(tempfile.gettempdir(), "netloom-checkpoints")
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "netloom-checkpoints")
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -21,4 +30,33 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/netloom-{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    _PATHS[written] = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote; only for tables that no later plan reads."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path:
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: A key with more rows than this is looked up by broadcast, and that many such keys are at most.
+HOT_ROWS, HOT_KEYS = 256, 500_000
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` of one row per key. Rows of hot keys stay where they are and
+    meet a broadcast part of the table: a key is hot with over ``HOT_ROWS`` rows, so those parts are a small share of the rows; if
+    there are over ``HOT_KEYS`` of them, no single one can dominate and all are joined by shuffle."""
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > HOT_ROWS).select(key)
+    known = hot.limit(HOT_KEYS + 1).collect()
+    if not known or len(known) > HOT_KEYS:
+        return rows.join(table, key)
+    hot = F.broadcast(rows.sparkSession.createDataFrame(known, hot.schema))
+    few = table.join(hot, key, "left_semi")
+    return rows.join(hot, key, "left_anti").join(table, key).unionByName(rows.join(F.broadcast(few), key))

@@ -2,8 +2,9 @@
 
 1. Every text becomes its set of hashed five-word windows and a MinHash signature cut into bands.
    Texts with equal sets form a class of copies and go on as one node.
-2. Nodes are shuffled on band hashes. A bucket of many nodes is cut into blocks and each pair of
-   blocks is a group of its own, so no group holds more than two blocks however hot its key.
+2. Nodes are shuffled on band hashes. A bucket of many or large nodes is cut into blocks and each pair of
+   blocks is a group of its own. A node stands in a group once, however many rows it has, so that no group holds more than
+   two blocks, of about ``BLOCK`` nodes and ``BLOCK_SHINGLES`` shingles each, however hot its key.
 3. In a group, the full sets of all pairs are compared in one matrix product. A pair counts in the
    first band that its two signatures share. A group gives one row per linked node (its links and the
    least node it is linked to within the group), never a row per pair.
@@ -21,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._store import materialize
+from ._store import discard, look_up, materialize
 from .components import connected_components
 
 MAX_HASHES = 160
-#: Nodes in a block; a group compares two blocks at most.
-BLOCK = 512
+#: Nodes in a block, and their shingles in all; a group compares two blocks at most.
+BLOCK, BLOCK_SHINGLES = 512, 4_000_000
 _COLUMNS = 4096
 
 
@@ -73,15 +74,16 @@ def set_id(shingles: np.ndarray) -> tuple[int, int]:
 def _signatures(bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hi, lo, keys = [], [], []
+            hi, lo, keys, size = [], [], [], []
             for s in _text.shingle_sets(batch.column("text")):
                 a, b = set_id(s)
                 hi.append(a)
                 lo.append(b)
+                size.append(len(s))
                 keys.append(signature_bands(s, bands, rows) if len(s) else np.empty(0, np.int64))
             sizes = np.cumsum([0, *map(len, keys)])
             flat = pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["id", "digest", "set_hi", "set_lo", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("digest"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)], ["id", "digest", "set_hi", "set_lo", "size", "bands"])
 
     return run
 
@@ -200,17 +202,19 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float =
     digest = F.xxhash64(text)
     own = F.coalesce(F.col(id_col).cast("bigint"), -F.shiftrightunsigned(digest, 1) - 1)
     base = docs.select(own.alias("id"), digest.alias("digest"), text.alias("text"))
-    signed = materialize(base.mapInArrow(_signatures(bands, rows), "id bigint, digest bigint, set_hi bigint, set_lo bigint, bands array<bigint>"), "ngram-signed")
+    signed = materialize(base.mapInArrow(_signatures(bands, rows), "id bigint, digest bigint, set_hi bigint, set_lo bigint, size bigint, bands array<bigint>"), "ngram-signed")
 
-    classes = signed.groupBy("set_hi", "set_lo").agg(F.min(F.struct("id", "digest")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
+    classes = signed.groupBy("set_hi", "set_lo").agg(F.min(F.struct("id", "digest")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
 
-    keyed = classes.select("node", F.explode("bands").alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = keyed.join(sizes, "bucket").join(classes.select("node", "set_hi", "set_lo", "copies", "bands", "least.id", "least.digest"), "node")
-    members = members.withColumn("blocks", F.ceil(F.col("n") / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    members = members.join(base, ["id", "digest"])
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    keyed = classes.select("node", "size", F.explode("bands").alias("bucket"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(block)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int")
+    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), blocks.alias("blocks")).filter("n > 1").select("bucket", "blocks")
+    members = keyed.select("bucket", "node").join(shared, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # one text of each node that shares a bucket, however often its row is repeated
+    chosen = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "set_hi", "set_lo", "copies", "bands", "least.id", "least.digest")
+    texts = chosen.join(base.join(chosen, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]), ["id", "digest"])
+    members = members.join(texts, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "set_hi", "set_lo", "copies", "bands", (F.col("own") > F.col("other")).cast("int").alias("side"), "text")
     grouped = members.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
     found = materialize(grouped.mapInArrow(_compare(threshold), "u bigint, v bigint, links bigint"), "ngram-links")
@@ -218,9 +222,11 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, recall: float =
     links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     roots = connected_components(found.select("u", "v")).withColumnRenamed("u", "node")
     placed = classes.select("node", "set_hi", "set_lo", "copies", "least").join(links, "node", "left").join(roots, "node", "left")
-    placed = placed.withColumn("root", F.coalesce("root", "node"))
+    placed = materialize(placed.withColumn("root", F.coalesce("root", "node")), "ngram-rooted")
     least = placed.groupBy("root").agg(F.min("least").alias("class"))
-    placed = materialize(placed.join(least, "root").select("set_hi", "set_lo", "class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "ngram-placed")
+    rooted = placed
+    placed = materialize(look_up(rooted, least, "root").select("set_hi", "set_lo", "class", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "ngram-placed")
+    discard(rooted, found, classes)
     out = signed.select("id", "digest", "set_hi", "set_lo").join(placed, ["set_hi", "set_lo"])
     # an id that was null is hashed from its text
     shown = F.when(F.col("id") == -F.shiftrightunsigned(F.col("digest"), 1) - 1, F.lit(None)).otherwise(F.col("id"))
@@ -232,10 +238,11 @@ def keep_one_of_each_class(docs: DataFrame, **options) -> DataFrame:
 
     Rows are found again by id and text digest; of fully repeated rows, one stays."""
     joined = ngram_jaccard_join(docs, **options).filter("kept")
-    kept = joined.groupBy(F.col("doc_id").alias("__id"), F.col("text_digest").alias("__digest")).agg(F.count(F.lit(1)).alias("__n"))
-    kept = materialize(kept, "ngram-kept")
-    keyed = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__digest": F.xxhash64(F.coalesce("text", F.lit("")))})
-    same = keyed["__id"].eqNullSafe(F.col("k.__id")) & (keyed["__digest"] == F.col("k.__digest"))
-    once = keyed.join(kept.filter("__n = 1").alias("k"), same, "left_semi").select(*docs.columns)
-    more = keyed.join(kept.filter("__n > 1").alias("k"), same, "left_semi").dropDuplicates(["__id", "__digest"]).select(*docs.columns)
-    return once.union(more)
+    kept = joined.groupBy(F.col("doc_id").alias("id"), F.col("text_digest").alias("digest")).agg(F.count(F.lit(1)).alias("n"))
+    kept = materialize(kept, "ngram-kept").alias("k")
+    # the input's row is one column, so that no name in it can clash
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("k.id")) & (F.col("d.digest") == F.col("k.digest"))
+    once = keyed.join(kept.filter("n = 1"), same, "left_semi").select("row")
+    more = keyed.join(kept.filter("n > 1"), same, "left_semi").dropDuplicates(["id", "digest"]).select("row")
+    return once.union(more).select("row.*")
