@@ -82,18 +82,20 @@ def mix_sources(docs: DataFrame, weights: Mapping[str, float] | None = None, tem
     ``mix_key`` is replaced. An empty table gives an empty table.
     """
     docs = docs.drop("copy", "n_copies", "mix_key")
-    rates = materialize(source_rates(docs, weights, temperature, budget), "mix-rates").select(F.col("source").alias("__source"), F.col("least").alias("__least"), F.col("steps").alias("__steps"))
+    rates = materialize(source_rates(docs, weights, temperature, budget), "mix-rates").select(F.col("source").alias("from"), "least", "steps")
     identity = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
-    drawn = docs.withColumn("__draw", unit_hash(seed, identity)).withColumn("__identity", identity)
-    steps = rates.agg(F.sum(F.size("__steps") + 8)).first()[0] or 0
+    # the input's row is one column, so that no name in it can clash
+    drawn = docs.select(F.struct("*").alias("row"), F.col("source").cast("string").alias("source"), identity.alias("identity"))
+    drawn = drawn.withColumn("draw", unit_hash(seed, F.col("identity")))
+    steps = rates.agg(F.sum(F.size("steps") + 8)).first()[0] or 0
     if steps <= BROADCAST_STEPS:
-        drawn = drawn.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("__source")))
+        drawn = drawn.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("from")))
     else:
-        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        drawn = drawn.withColumn("__own", F.pmod(F.xxhash64("__identity"), F.lit(SALTS)).cast("int"))
-        drawn = drawn.join(salted, F.col("source").eqNullSafe(F.col("__source")) & (F.col("__own") == F.col("__salt"))).drop("__own", "__salt")
-    n = F.col("__least") + F.size(F.filter("__steps", lambda t: t <= F.col("__draw")))
-    drawn = drawn.withColumn("n_copies", n.cast("int")).filter("n_copies > 0")
+        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        drawn = drawn.withColumn("own", F.pmod(F.xxhash64("identity"), F.lit(SALTS)).cast("int"))
+        drawn = drawn.join(salted, F.col("source").eqNullSafe(F.col("from")) & (F.col("own") == F.col("salt")))
+    n = F.col("least") + F.size(F.filter("steps", lambda t: t <= F.col("draw")))
+    drawn = drawn.select("row", "identity", n.cast("int").alias("n_copies")).filter("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), "__identity", F.col("copy").cast("string"))))
-    return keyed.select(*docs.columns, "copy", "n_copies", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key")
+    keyed = copies.withColumn("mix_key", F.md5(F.concat_ws("|", F.lit(seed), "identity", F.col("copy").cast("string"))))
+    return keyed.select("row", "copy", "n_copies", "mix_key").repartition("mix_key").sortWithinPartitions("mix_key").select("row.*", "copy", "n_copies", "mix_key")

@@ -14,6 +14,7 @@ import os
 import re
 import zlib
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -128,7 +129,7 @@ def _pieces(path: str, size: int, end_id: int):
         if path not in _ENCODERS:
             _ENCODERS[path] = ChunkEncoder(path)
         encoder = _ENCODERS[path]
-        part = TaskContext.get().partitionId()
+        part, number = TaskContext.get().partitionId(), 0
         seen = np.zeros(size + 1, np.int64)
         for batch in batches:
             data, at = _text.utf8(batch.column("text"))
@@ -154,7 +155,9 @@ def _pieces(path: str, size: int, end_id: int):
                 seen += np.bincount(length_of, minlength=size + 1)
                 taken = batch.column("doc_id").take(pa.array(rows))
                 count = len(rows)
-                yield pa.RecordBatch.from_arrays([taken, pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(count, part), pa.int32()), pa.array(rank)], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+                row_id = (part << 33) + number + np.array(rows, np.int64)
+                yield pa.RecordBatch.from_arrays([taken, pa.array(row_id), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(np.full(count, part), pa.int32()), pa.array(rank)], ["doc_id", "row_id", "piece", "start", "length", "ids_crc32", "part", "rank"])
+            number += len(batch)
 
     return run
 
@@ -162,11 +165,16 @@ def _pieces(path: str, size: int, end_id: int):
 # --- the plan -------------------------------------------------------------------------------------------------
 
 
-def enumerate_patterns(lengths: np.ndarray, counts: np.ndarray, size: int, limit: int = 6000) -> list[tuple[int, ...]]:
+#: Patterns kept for every length that occurs, least room first; a round of fitting has so many for each at most.
+PER_LENGTH = 3
+
+
+def enumerate_patterns(lengths: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[int, ...]]:
     """Multisets of one to four lengths that leave the least room: full pairs and triples, and longer ones built by
-    topping a frequent length up with the longest lengths that still fit."""
+    topping two lengths up with the longest that still fits. For every length the best ``PER_LENGTH`` with it are kept."""
     have = sorted(lengths.tolist())
-    frequent = [int(x) for x in lengths[np.argsort(-counts, kind="stable")][:256]]
+    # every length is topped up together with the frequent ones; all lengths are tried first in some pattern
+    frequent = [int(x) for x in lengths[np.argsort(-counts, kind="stable")][:64]]
     found: set[tuple[int, ...]] = {(size,)} if size in set(have) else set()
 
     def fitting(room: int) -> int | None:
@@ -177,30 +185,36 @@ def enumerate_patterns(lengths: np.ndarray, counts: np.ndarray, size: int, limit
         b = fitting(size - a)
         if b is not None:
             found.add(tuple(sorted((a, b), reverse=True)))
-    for a in frequent:
         for b in frequent:
-            if a + b >= size:
-                continue
-            c = fitting(size - a - b)
+            c = fitting(size - a - b) if a + b < size else None
             if c is not None:
                 found.add(tuple(sorted((a, b, c), reverse=True)))
                 rest = size - a - b - c
                 d = fitting(rest) if rest else None
                 if d is not None:
                     found.add(tuple(sorted((a, b, c, d), reverse=True)))
-    return sorted(found, key=lambda p: (size - sum(p), len(p), p))[:limit]
+    best: set[tuple[int, ...]] = set()
+    taken: Counter = Counter()
+    for p in sorted(found, key=lambda p: (size - sum(p), len(p), p)):
+        if any(taken[x] < PER_LENGTH for x in p):
+            best.add(p)
+            taken.update(set(p))
+    # the fit takes them in this order: long pieces pair off before short ones are used up
+    return sorted(best, key=lambda p: (len(p), size - sum(p), p))
 
 
 def fit_counts(patterns: list[tuple[int, ...]], need: np.ndarray, sweeps: int = 60) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - need|^2 by cyclic coordinate descent; column p of A counts the
-    lengths of pattern p."""
+    """Repeat counts x >= 0 that minimise |W (A x - need)|^2 by cyclic coordinate descent; column p of A counts the
+    lengths of pattern p, and W weighs a length by itself, since a long piece that is left over costs most of a sequence."""
     x = np.zeros(len(patterns))
     columns = [np.unique(np.array(p), return_counts=True) for p in patterns]
+    weighed = [times * rows.astype(np.float64) ** 2 for rows, times in columns]
+    norm = [float(w @ times) for w, (_, times) in zip(weighed, columns, strict=True)]
     rest = need.astype(np.float64).copy()
     for _ in range(sweeps):
         moved = 0.0
         for p, (rows, times) in enumerate(columns):
-            step = max(float(rest[rows] @ times) / float(times @ times), -x[p])
+            step = max(float(rest[rows] @ weighed[p]) / norm[p], -x[p])
             if step:
                 x[p] += step
                 rest[rows] -= step * times
@@ -222,16 +236,20 @@ def make_plan(histogram: np.ndarray, size: int = SIZE) -> list[tuple[tuple[int,
 
     if left[size]:
         use((size,), int(left[size]))
-    lengths = np.flatnonzero(left)
-    if len(lengths) > 1:
-        patterns = [p for p in enumerate_patterns(lengths, left[lengths], size) if sum(p) >= 0.99 * size]
-        wanted = np.floor(fit_counts(patterns, left)).astype(np.int64)
-        for p in np.argsort(-wanted, kind="stable"):
-            pattern = patterns[p]
-            rows, times = np.unique(pattern, return_counts=True)
-            repeats = min(int(wanted[p]), int((left[rows] // times).min()))
-            if repeats > 0:
-                use(pattern, repeats)
+    # patterns of what is left are fitted again while that packs a good part of it
+    while True:
+        lengths, before = np.flatnonzero(left), int(left.sum())
+        if len(lengths) > 1:
+            patterns = [p for p in enumerate_patterns(lengths, left[lengths], size) if sum(p) >= 0.99 * size]
+            wanted = np.floor(fit_counts(patterns, left)).astype(np.int64)
+            for p in np.argsort(-wanted, kind="stable"):
+                pattern = patterns[p]
+                rows, times = np.unique(pattern, return_counts=True)
+                repeats = min(int(wanted[p]), int((left[rows] // times).min()))
+                if repeats > 0:
+                    use(pattern, repeats)
+        if before - int(left.sum()) <= 0.1 * before:
+            break
     # residuals: the longest piece first, then whatever fills the room best
     while True:
         lengths = np.flatnonzero(left)
@@ -288,20 +306,21 @@ def _place(table: dict[int, tuple[np.ndarray, ...]]):
                 within = rank[rows] - first[k]
                 sequence[rows] = base[k] + within // slots[k]
                 offset[rows] = places[k, within % slots[k]]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            names = ["doc_id", "row_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(sequence), pa.array(offset)], [*names, "sequence_id", "offset"])
 
     return run
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
-    """``doc_id, piece, start, length, ids_crc32, sequence_id, offset``: one row per piece.
+    """``doc_id, row_id, piece, start, length, ids_crc32, sequence_id, offset``: one row per piece.
 
+    ``row_id`` numbers the input's rows, so that ``(row_id, piece)`` is a key where an id stands twice.
     A null or empty text is its end id alone. Repeated rows are packed each. Other columns aren't read. An
     empty table gives an empty table. Sequences number from 0; a sequence's pieces lie gapless from offset 0.
     """
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint"
+    schema = "doc_id bigint, row_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint"
     pieces = materialize(base.mapInArrow(_pieces(tokenizer_path, size, end_id), schema), "pack-pieces")
     counts = materialize(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "pack-counts")
     histogram = np.zeros(size + 1, np.int64)
@@ -309,22 +328,30 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = SIZE, end_i
         histogram[r["length"]] = r["n"]
     # pieces of a length that lie in earlier tasks come first: one row per task and length, summed within a length
     before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("part", "length", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = pieces.join(before, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(_place(plan_intervals(make_plan(histogram, size))), "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    ranked = pieces.join(before, ["part", "length"]).select("doc_id", "row_id", "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
+    return ranked.mapInArrow(_place(plan_intervals(make_plan(histogram, size))), "doc_id bigint, row_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
 def packed_ids(docs: DataFrame, placed: DataFrame, tokenizer_path: str, size: int = SIZE, end_id: int = 0) -> DataFrame:
-    """``sequence_id, ids``: the packed sequences themselves, for documents with unique ids."""
+    """``sequence_id, ids``: the packed sequences themselves, of ``docs`` that ``placed`` was made from.
+
+    Pieces find their ids by document, start and checksum, so that repeated rows and equal ids with other texts are no trouble."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(tokenizer_path)
         for batch in batches:
             data, at = _text.utf8(batch.column("text"))
-            ids, offsets = encoder.batch(data, at)
-            rows = [(batch.column("doc_id")[i].as_py(), s, own[s : s + n].tolist()) for i in range(len(at) - 1) for own in [np.append(ids[offsets[i] : offsets[i + 1]], end_id)] for s, n in cut(len(own), size)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["doc_id", "start", "ids"])
+            for a, b in _text.chunks(data, at):
+                ids, offsets = encoder.batch(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                rows = []
+                for i in range(b - a):
+                    own = np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)).astype("<u4")
+                    rows += [(batch.column("doc_id")[a + i].as_py(), s, zlib.crc32(own[s : s + n].tobytes()), own[s : s + n].tolist()) for s, n in cut(len(own), size)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())))], ["doc_id", "start", "ids_crc32", "ids"])
 
-    tokens = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, start bigint, ids array<int>")
-    joined = placed.join(tokens, ["doc_id", "start"])
+    tokens = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id bigint, start bigint, ids_crc32 bigint, ids array<int>")
+    own = tokens.groupBy("doc_id", "start", "ids_crc32").agg(F.first("ids").alias("ids")).alias("t")
+    same = F.col("p.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("p.start") == F.col("t.start")) & (F.col("p.ids_crc32") == F.col("t.ids_crc32"))
+    joined = placed.alias("p").join(own, same).select("sequence_id", "offset", "ids")
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return joined.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))

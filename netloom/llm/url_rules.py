@@ -60,6 +60,19 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     )
 
 
+def merged_tokens(labelled: DataFrame, least: float) -> DataFrame:
+    """``(tokens, verdict)`` with rare tokens left out, and of tokens that stand in the same rows only the first by name.
+
+    Itemsets of such companions number two to the power of their count, though they all say the same: their support and
+    confidence are those of the first. Rows are told apart by a hash of their place, summed for every token."""
+    rows = materialize(labelled.withColumn("row", F.xxhash64(F.monotonically_increasing_id())), "url-labelled")
+    each = rows.select("row", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("row").cast("decimal(38,0)")).alias("rows"))
+    first = each.filter(F.col("n") >= least).groupBy("n", "rows").agg(F.min("token").alias("token"))
+    # at most the mean number of tokens in a row, divided by the support
+    frequent = [r["token"] for r in first.orderBy("token").collect()]
+    return rows.select(F.array_intersect("tokens", F.array(*[F.lit(t) for t in frequent]).cast("array<string>")).alias("tokens"), "verdict")
+
+
 def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, lift: float = 1.2) -> DataFrame:
     """``(rule_id, antecedent, verdict, confidence, support)`` from ``(tokens, verdict)`` rows.
 
@@ -70,7 +83,7 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, l
     n = labelled.count()
     if n == 0:
         return labelled.sparkSession.createDataFrame([], "rule_id bigint, antecedent array<string>, verdict string, confidence double, support double")
-    basket = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("label="), "verdict"))).alias("items"))
+    basket = merged_tokens(labelled, min_support * n).select(F.concat("tokens", F.array(F.concat(F.lit("label="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(basket)
     mined = model.associationRules.filter(F.startswith(F.col("consequent")[0], F.lit("label="))).filter(F.size("antecedent") <= MAX_TOKENS)
     mined = mined.filter(~F.exists("antecedent", lambda x: F.startswith(x, F.lit("label=")))).filter(F.coalesce("lift", F.lit(99.0)) >= lift)
@@ -118,8 +131,10 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, min_suppo
     mined = mine_rules(parsed.filter("explicit IS NOT NULL").select("tokens", F.col("explicit.verdict").alias("verdict")), min_support, min_confidence)
     # equal token sets are judged once; the shuffle on a hot set is pre-aggregated
     sets = parsed.filter("explicit IS NULL").groupBy("token_key").agg(F.first("tokens").alias("tokens"))
-    fired = fired_rules(sets, mined)
-    judged = parsed.filter("explicit IS NULL").join(fired, "token_key", "left")
+    fired = materialize(fired_rules(sets, mined), "url-fired")
+    # one row for each set of tokens; a hot set's urls needn't move where these are few
+    few = F.broadcast(fired) if fired.count() <= BROADCAST_POSTINGS else fired
+    judged = parsed.filter("explicit IS NULL").join(few, "token_key", "left")
     rest = judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("mined.verdict", F.lit("allow")).alias("verdict"), F.col("mined.confidence").alias("mined_confidence"))
     known = parsed.filter("explicit IS NOT NULL").select("page_id", "host", "path", F.col("explicit.rule").alias("rule"), F.col("explicit.verdict").alias("verdict"), F.lit(None).cast("double").alias("mined_confidence"))
     return known.unionByName(rest)
