@@ -125,3 +125,146 @@ def test_frequent_words_come_in_order(spark):
     keys, n = lm_scoring.frequent_words(counts, 40)
     wanted = sorted(((-(i % 7 * 100 + i % 3), i) for i in range(500)))[:40]
     assert list(zip((-n).tolist(), keys.tolist())) == wanted
+
+
+def test_repeats_cost_no_more_than_one(spark, monkeypatch):
+    """A row repeated 20,000 times, null ids included, is one node: no group compares it more than once."""
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base)] * 20_000 + [(None, base)] * 20_000 + [(2, base + " x"), (3, "other words stand here alone today")]
+    out = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string")).groupBy("doc_id", "class_id", "n_links").count().collect()
+    got = {r["doc_id"]: (r["n_links"], r["count"]) for r in out}
+    assert got == {1: (40_000, 20_000), None: (40_000, 20_000), 2: (40_000, 1), 3: (0, 1)}
+    assert len({r["class_id"] for r in out if r["doc_id"] != 3}) == 1
+
+
+def test_look_up_of_hot_keys(spark):
+    from netloom.llm import _store
+
+    rows = spark.createDataFrame([(0, i) for i in range(1000)] + [(i, i) for i in range(1, 50)], "k bigint, x bigint")
+    table = spark.createDataFrame([(i, i * 2) for i in range(0, 40)], "k bigint, y bigint")
+    plain = sorted(map(tuple, rows.join(table, "k").collect()))
+    assert sorted(map(tuple, _store.look_up(rows, table, "k").select("k", "x", "y").collect())) == plain
+
+
+def test_packed_sequences_hold_every_id(spark):
+    """Whole table, and repeated rows: sequences are gapless, and their ids are those of each text by the tokenizer itself."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from netloom.llm import packing
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(docs.filter("doc_id < 5")).union(spark.createDataFrame([(None, None), (7_000, "word " * 9000)], docs.schema))
+    placed = packing.pack_documents(docs, path)
+    rows = placed.collect()
+    assert len({(r["row_id"], r["piece"]) for r in rows}) == len(rows)
+    tokenizer = Tokenizer.from_file(path)
+    wanted = Counter(tuple([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0]) for r in docs.collect())
+    texts = {}
+    for r in docs.collect():
+        texts[r["doc_id"]] = [*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 0]
+    sequences = {r["sequence_id"]: r["ids"] for r in packing.packed_ids(docs, placed, path).collect()}
+    filled = Counter()
+    whole = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert filled[r["sequence_id"]] == r["offset"]
+        filled[r["sequence_id"]] += r["length"]
+        own = texts[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert sequences[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]] == own
+        assert zlib.crc32(b"".join(i.to_bytes(4, "little") for i in own)) == r["ids_crc32"]
+        whole.setdefault(r["row_id"], {})[r["piece"]] = own
+    assert max(filled.values()) <= 2048 and {k: len(v) for k, v in sequences.items()} == dict(filled)
+    assert Counter(tuple(i for p in sorted(v) for i in v[p]) for v in whole.values()) == wanted
+    assert len(filled) <= sum(map(len, texts.values())) / 2048 * 1.05 + 2
+
+
+def test_uniform_histogram_is_packed_near_the_bound():
+    import numpy as np
+
+    from netloom.llm import packing
+
+    histogram = np.bincount(np.random.default_rng(1).integers(1, 2049, 20_000), minlength=2049)
+    sequences = sum(n for _, n in packing.make_plan(histogram))
+    bound = -(-int((histogram * np.arange(2049)).sum()) // 2048)
+    assert sequences <= 1.02 * bound
+
+
+def test_class_prior_and_risk_on_known_mixtures(spark):
+    """Positives and unlabelled rows from known distributions: the prior is found, and rows are told apart without a labelled negative."""
+    import numpy as np
+
+    from netloom.llm import pu_quality as pu
+
+    for share in (0.2, 0.5, 0.8):
+        rng = np.random.default_rng(int(share * 10))
+        p = rng.normal(1, 1, (1500, 4))
+        is_p = rng.random(6000) < share
+        u = np.where(is_p[:, None], rng.normal(1, 1, (6000, 4)), rng.normal(-1, 1, (6000, 4)))
+        first = pu.descend(pu.start_network(4), p[::2], u, None, 6, 0.01)
+        z = pu.output(first, p[1::2])
+        cuts = np.unique(np.quantile(z, np.linspace(0.02, 0.9, 45)))
+        counts = np.bincount(np.searchsorted(cuts, pu.output(first, u), "right"), minlength=len(cuts) + 1)
+        prior = pu.estimate_prior(z, cuts, counts)
+        assert abs(prior - share) < 0.07, (share, prior)
+        net = pu.descend(pu.start_network(4), p, u, prior, 15, 0.01)
+        assert ((pu.output(net, u) > 0) != is_p).mean() < 0.06
+    # the unbiased part below 0: the step leads away from it
+    z = np.array([3.0, 3.0])
+    assert (pu.risk_slopes(z, -z, 0.9)[:2] > 0).all() and (pu.risk_slopes(z, -z, 0.9)[2:] < 0).all()
+
+
+def test_quality_of_held_out_rows(spark):
+    from netloom.llm import pu_quality as pu
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = pu.score_quality(docs, labels).filter("held_out").join(labels, "doc_id").collect()
+    assert len(rows) > 500 and sum(r["predicted"] != r["quality"] for r in rows) <= 0.02 * len(rows)
+
+
+def test_toxicity_of_held_out_rows(spark):
+    from netloom.llm import toxicity
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score_toxicity(docs, labels).filter("held_out").join(labels.filter("toxic IS NOT NULL"), "doc_id").collect()
+    assert len(rows) > 500 and sum(r["predicted"] != r["toxic"] for r in rows) <= 0.02 * len(rows)
+    assert len({r["score"] for r in rows}) > 1 and all(0 <= r["score"] <= 1 for r in rows)
+
+
+def test_mined_rules_equal_counting(spark):
+    """Every antecedent of up to three tokens counted by hand; companions that stand in the same rows count once."""
+    import random
+    from itertools import combinations
+
+    from netloom.llm import url_rules
+
+    rng = random.Random(4)
+    rows = []
+    for _ in range(400):
+        tokens = {t for t in "abcdef" if rng.random() < 0.4}
+        bad = {"a", "b"} <= tokens or "f" in tokens and rng.random() < 0.9
+        rows.append((sorted(tokens | ({"a2"} if "a" in tokens else set()) | {f"one{rng.random()}"}), "block" if bad else "allow"))
+    got = {(tuple(r["antecedent"]), r["verdict"]): round(r["confidence"], 9) for r in url_rules.mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8).collect()}
+    base = Counter(v for _, v in rows)
+    wanted = {}
+    for k in (1, 2, 3):
+        for items in combinations("abcdef", k):
+            has = [v for t, v in rows if set(items) <= set(t)]
+            for verdict, n in Counter(has).items():
+                confidence = n / len(has)
+                if n >= 0.05 * len(rows) and confidence >= 0.8 and confidence / (base[verdict] / len(rows)) >= 1.2:
+                    parts = [p for j in range(1, k) for p in combinations(items, j)]
+                    if not any(wanted.get((p, verdict, "all"), 0) >= confidence for p in parts):
+                        wanted[(items, verdict)] = round(confidence, 9)
+                    wanted[(items, verdict, "all")] = confidence
+    assert got and got == {k: v for k, v in wanted.items() if len(k) == 2}
+
+
+def test_mined_verdicts_reach_urls_without_a_rule(spark):
+    from netloom.llm import url_rules
+
+    urls = [f"http://x{i}.example.com/de/{i}" for i in range(60)] + [f"http://x{i}.example.com/fr/{i}" for i in range(60)] + ["http://new.example.net/de/5", "http://new.example.net/fr/5", "http://new.example.net/it/5"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    out = {r["page_id"]: r for r in url_rules.judge_urls(pages).collect()}
+    assert [(out[k]["rule"], out[k]["verdict"]) for k in (120, 121, 122)] == [(None, "block"), (None, "allow"), (None, "allow")]
+    assert out[120]["mined_confidence"] >= 0.8 and out[122]["mined_confidence"] is None

@@ -10,7 +10,7 @@ TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 PLAIN = "the cat and the dog sat on the mat in the house by the river and it was a fine day for all of us number {}"
 ROWS = [(None, None, None, None), (None, "text without id", "en", "web"), (1, None, "en", None), (2, "", None, "web"), (3, "word " * 60_000, "en", "web"), (4, "same text here", "en", "web"), (4, "same text here", "en", "web"), (5, "same text here", "de", "books"), (6, " \t\n\x0b", "en", "web"), (7, "ÄÖ \U0001f600   ﻿", "en", "web")]
 ROWS += [(10 + i, PLAIN.format(i), "en", "web") for i in range(30)]
-CLASH = "score text_digest label block path file_id features copy __text __id kept held_out"
+CLASH = "score text_digest label block path file_id features copy row kept held_out q_text q_list q_row __text __id __digest __steps __identity __draw __score identity draw steps least source_ text2 row_id id digest passed"
 
 
 def documents(spark, rows=ROWS):
@@ -56,13 +56,31 @@ def test_operator_on_an_empty_table(spark, name):
     assert OPERATORS[name](spark, documents(spark).filter("false")).count() == 0
 
 
+PASSING = {
+    "rules": lambda s, d: quality_rules.kept_rows(d),
+    "quality": lambda s, d: pu_quality.keep_good(d, labels(s)),
+    "join": lambda s, d: ngram_join.keep_one_of_each_class(d),
+    "mixing": lambda s, d: mixing.mix_sources(d.drop("copy")),
+    "rules with columns": lambda s, d: quality_rules.quality_rules(d.drop("kept")),
+}
+
+
+@pytest.mark.parametrize("name", list(PASSING))
+def test_extra_columns_pass_unharmed(spark, name):
+    out = PASSING[name](spark, documents(spark))
+    extra = [c for c in CLASH.split() if c in out.columns and c not in ("copy", "kept")]
+    assert len(extra) >= 28
+    rows = out.select(*extra).distinct().collect()
+    assert [set(r) for r in rows] == [{"extra"}]
+
+
 def test_stages_on_odd_rows_and_nothing(spark, tmp_path):
     labels(spark).write.parquet(str(tmp_path / "labels.parquet"))
-    docs = documents(spark).select(*corpus_pipeline.COLUMNS)
+    docs = documents(spark)
     for start in (docs, docs.filter("false")):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, start, str(tmp_path))
-            rows = out.collect()
+            out.collect()
             if name != "best_fit_packing":
                 assert out.columns == corpus_pipeline.COLUMNS, name
 
