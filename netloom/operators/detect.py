@@ -1,40 +1,126 @@
-"""Grouped detection rules over flows, and the numbering of their alerts."""
+"""Detection rules over groups of flows, and over packets with names or hardware addresses. All give alerts (``rules.ALERT``).
+
+Flow rules read src, dst, protocol, initiator_port, responder_port, basis, state, back_packets, bytes_out, bytes_back, first_seen_ns, last_seen_ns, flow_id.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.functions.text import entropy
+
+from . import rules
+from .rules import WindowRule, cited_group, evidence, placed, shaped
+from .windows import cited, sliding_count, sliding_distinct
+
+HAS_PORTS = "(protocol IN (6, 17) AND responder_port <> 0)"
+#: Never answered, or refused before any data moved.
+FAILED = "(protocol = 6 AND basis = 'tcp_syn' AND (state = 'syn_sent' OR (state = 'reset' AND payload = 0)))"
+ANSWERED = f"(back_packets > 0 AND NOT {FAILED})"
+
+
+def scan_rules(width_ns: int, ports: int, any_ports: int, hosts: int, failures: int) -> list[WindowRule]:
+    """The four windowed rules over flows, with the thresholds given."""
+    return [
+        WindowRule("scan_syn", FAILED, ("src", "dst"), "responder_port", width_ns, ports, "src", "dst", None, "distinct_ports_unanswered_or_refused"),
+        WindowRule("scan_ports", HAS_PORTS, ("src", "dst"), "port_of_protocol", width_ns, any_ports, "src", "dst", None, "distinct_destination_ports"),
+        WindowRule("scan_hosts", f"{HAS_PORTS} AND NOT {ANSWERED}", ("src", "protocol", "responder_port"), "dst", width_ns, hosts, "src", None, "responder_port", "distinct_hosts_unanswered_or_refused"),
+        WindowRule("tcp_fail", FAILED, ("src",), None, width_ns, failures, "src", None, None, "failed_connection_attempts"),
+    ]
+
 
-def beacons(flows: DataFrame, key: list[str], at: str, min_flows: int, min_mean_s: float, max_jitter: float) -> DataFrame:
-    """Groups whose starts are evenly spaced: pop-stddev / mean of the intervals at most ``max_jitter``."""
-    gap = (F.col(at) - F.lag(at).over(Window.partitionBy(*key).orderBy(at))) / 1e9
-    spaced = flows.withColumn("__gap", F.greatest(gap, F.lit(0.0)))
-    groups = spaced.groupBy(*key).agg(F.count(F.lit(1)).alias("flows"), F.avg("__gap").alias("mean_s"), F.stddev_pop("__gap").alias("stddev_s"))
-    steady = groups.filter((F.col("flows") >= min_flows) & (F.col("mean_s") >= min_mean_s))
-    return steady.withColumn("jitter", F.try_divide("stddev_s", "mean_s")).filter(F.col("jitter") <= max_jitter)
+def packet_rules(width_ns: int, queries: int, addresses: int, gratuitous: int) -> list[WindowRule]:
+    """The windowed rules over packets: DNS query volume of a client, several hardware addresses of one IP address, gratuitous ARP."""
+    return [
+        WindowRule("dns_volume", "dns_query IS NOT NULL AND NOT dns_response AND src_ip IS NOT NULL", ("src_ip",), None, width_ns, queries, "src_ip", None, None, "queries_in_window"),
+        WindowRule("arp_conflict", "sender_ip IS NOT NULL AND sender_ip <> '0.0.0.0'", ("sender_ip",), "sender_mac", width_ns, addresses, "sender_ip", None, None, "mac_addresses_in_window"),
+        WindowRule("arp_gratuitous", "gratuitous AND sender_ip <> '0.0.0.0'", ("sender_mac",), None, width_ns, gratuitous, "sender_mac", None, None, "gratuitous_arp_in_window"),
+    ]
 
 
-def rare_ports(flows: DataFrame, min_flows: int, max_uses: int, common: list[int]) -> DataFrame:
-    """Ports used at most ``max_uses`` times, answered by any, when there are ``min_flows`` flows in all."""
-    used = flows.groupBy("protocol", "responder_port").agg(F.count(F.lit(1)).alias("uses"), F.bool_or(F.col("state") != "syn_sent").alias("answered"))
-    enough = flows.limit(min_flows).count() >= min_flows
-    return used.filter(F.lit(enough) & (F.col("uses") <= max_uses) & F.col("answered") & ~F.col("responder_port").isin(common))
+def beacons(flows: DataFrame, min_flows: int, min_mean_s: float, max_jitter: float) -> DataFrame:
+    """Pairs and ports whose flows start evenly spaced: pop-stddev / mean of the intervals at most ``max_jitter``."""
+    key = ["src", "dst", "protocol", "responder_port"]
+    ported = flows.filter(HAS_PORTS).filter("first_seen_ns IS NOT NULL")
+    # most groups are too small; they are left out before anything is sorted
+    enough = ported.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(min_flows, 3)).drop("n")
+    at = F.col("first_seen_ns") / 1e9
+    order = Window.partitionBy(*key).orderBy("first_seen_ns", "flow_id")
+    spaced = placed(ported.join(enough, key, "left_semi"), key).withColumn("gap", F.greatest(at - F.lag(at).over(order), F.lit(0.0)))
+    groups = spaced.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("stddev"), *cited_group())
+    steady = groups.filter((F.col("mean") >= min_mean_s) & (F.col("mean") > 0)).withColumn("jitter", F.try_divide("stddev", "mean")).filter(F.col("jitter") <= max_jitter)
+    confidence = F.when((F.col("n") >= 2 * max(min_flows, 3)) & (F.col("jitter") <= max_jitter / 2), "high").otherwise("medium")
+    facts = evidence(connections=F.col("n"), mean_interval_seconds=F.round("mean", 3), interval_stddev_seconds=F.round("stddev", 3), jitter_ratio=F.round("jitter", 3))
+    return shaped(steady.withColumns({"confidence": confidence, "evidence": facts, "source": F.col("src"), "destination": F.col("dst"), "destination_port": F.col("responder_port")}), "beacon")
 
 
-def outbound_ratio(flows: DataFrame, min_bytes: int, min_ratio: float) -> DataFrame:
-    """Pairs with flows that send ``min_bytes`` and ``min_ratio`` times what comes back; nothing back passes."""
+def rare_ports(flows: DataFrame, min_flows: int, max_uses: int) -> DataFrame:
+    """Ports used at most ``max_uses`` times by flows whose direction is known, answered by any, when ``min_flows`` flows have ports."""
+    ported = flows.filter(HAS_PORTS)
+    known = F.when(F.col("protocol") == 17, (F.col("initiator_port") >= 1024) & ~F.col("initiator_port").isin(rules.COMMON_PORTS)).otherwise(F.col("basis") != "first_packet")
+    few = ported.groupBy("protocol", "responder_port").agg(F.count(F.lit(1)).alias("uses"), F.bool_and(known).alias("known"), F.bool_or(F.expr(ANSWERED)).alias("answered"))
+    few = few.filter((F.col("uses") <= max_uses) & F.col("known") & F.col("answered") & ~F.col("responder_port").isin(rules.COMMON_PORTS) & (F.col("responder_port") < rules.DYNAMIC_PORTS))
+    total = ported.agg(F.count(F.lit(1))).scalar()
+    key = ["protocol", "responder_port"]
+    users = placed(ported.join(few.filter(total >= min_flows).select(*key), key), key)
+    groups = users.groupBy(*key).agg(F.count(F.lit(1)).alias("uses"), F.min_by("src", "place").alias("source"), F.min_by("dst", "place").alias("destination"), *cited_group())
+    facts = evidence(flows_to_port=F.col("uses"), protocol=F.when(F.col("protocol") == 6, "TCP").otherwise("UDP"), flows_in_capture=total)
+    return shaped(groups.withColumns({"confidence": F.lit("low"), "destination_port": F.col("responder_port"), "evidence": facts}), "rare_port")
+
+
+def outbound_ratio(flows: DataFrame, min_bytes: int, min_ratio: float, internal: Column, external: Column) -> DataFrame:
+    """Pairs with flows from ``internal`` to ``external`` that send ``min_bytes`` and ``min_ratio`` times what comes back; nothing back passes."""
     ratio = F.try_divide(F.col("bytes_out").cast("double"), F.col("bytes_back"))
-    large = flows.filter((F.col("bytes_out") >= min_bytes) & (ratio.isNull() | (ratio >= min_ratio)))
-    return large.groupBy("initiator", "responder").agg(F.count(F.lit(1)).alias("flows"), F.sum("bytes_out").alias("sent"), F.sum("bytes_back").alias("back"))
+    large = flows.filter(internal & external & (F.col("bytes_out") >= min_bytes) & (ratio.isNull() | (ratio >= min_ratio))).withColumn("ratio", ratio)
+    key = ["src", "dst"]
+    groups = placed(large, key).groupBy(*key).agg(F.count(F.lit(1)).alias("flows"), F.sum("bytes_out").alias("sent"), F.sum("bytes_back").alias("back"), F.min("ratio").alias("lowest"), *cited_group())
+    confidence = F.when(F.col("sent") >= 10 * min_bytes, "high").otherwise("medium")
+    facts = evidence(bytes_sent=F.col("sent"), bytes_received=F.col("back"), flows=F.col("flows"), lowest_flow_ratio=F.coalesce(F.round("lowest", 1).cast("string"), F.lit("no reply bytes")))
+    return shaped(groups.withColumns({"confidence": confidence, "evidence": facts, "source": F.col("src"), "destination": F.col("dst")}), "outbound_ratio")
 
 
-def cleartext(flows: DataFrame, ports: list[int]) -> DataFrame:
+def cleartext(flows: DataFrame, ports: list[int] = rules.CLEARTEXT_PORTS) -> DataFrame:
     """Answered TCP flows to ports of unencrypted protocols, by pair and port."""
-    found = flows.filter((F.col("protocol") == 6) & (F.col("state") != "syn_sent") & F.col("responder_port").isin(ports))
-    return found.groupBy("initiator", "responder", "responder_port").agg(F.count(F.lit(1)).alias("flows"), F.min("first_seen_ns").alias("first_seen_ns"))
+    key = ["src", "dst", "responder_port"]
+    found = flows.filter(F.expr(f"protocol = 6 AND {ANSWERED}") & F.col("responder_port").isin(ports))
+    groups = placed(found, key).groupBy(*key).agg(F.count(F.lit(1)).alias("flows"), *cited_group())
+    facts = evidence(destination_port=F.col("responder_port"), connections=F.col("flows"))
+    return shaped(groups.withColumns({"confidence": F.lit("medium"), "evidence": facts, "source": F.col("src"), "destination": F.col("dst"), "destination_port": F.col("responder_port")}), "cleartext")
+
+
+def suspicious_name(name: Column, record_type: Column, label: int = 40, whole: int = 100, bits: float = 3.8) -> Column:
+    """A name that may carry data: a long label below the parent, a long name, a label of 16 or more with high entropy, or a type
+    that answers with data (NULL, TXT)."""
+    labels = F.split(rules.split_name(name)[1], r"\.")
+    long = F.exists(labels, lambda x: F.octet_length(x) >= label) | (F.octet_length(name) >= whole)
+    dense = F.exists(labels, lambda x: (F.octet_length(x) >= 16) & (entropy(x) >= bits))
+    return F.coalesce(long | dense | record_type.isin(10, 16), F.lit(False))
+
 
+def dns_tunnels(packets: DataFrame, width_ns: int, min_suspicious: int, min_subdomains: int, **limits: float) -> DataFrame:
+    """Clients and parent domains with many suspicious queries, or many distinct subdomains of which the present one is suspicious.
 
-def capped_per_rule(alerts: DataFrame, rule: str, order: list, limit: int) -> DataFrame:
-    """The earliest ``limit`` groups of each rule, numbered from 1 within it."""
-    return alerts.withColumn("rank", F.row_number().over(Window.partitionBy(rule).orderBy(*order))).filter(F.col("rank") <= limit)
+    Subdomains are counted over all questions with three labels or more, suspicious ones by themselves; the rows of both meet by packet."""
+    parent, sub = rules.split_name(F.col("dns_query"))
+    asked = packets.filter("dns_query IS NOT NULL AND NOT dns_response AND src_ip IS NOT NULL").select("packet_index", "ts_ns", "src_ip", parent.alias("parent"), sub.alias("sub"), suspicious_name(F.col("dns_query"), F.col("record_type"), **limits).alias("suspicious")).filter("parent IS NOT NULL")
+    key = ["src_ip", "parent"]
+    spread = sliding_distinct(asked, key, "ts_ns", "sub", width_ns, "packet_index")
+    counted = sliding_count(asked.filter("suspicious"), key, "ts_ns", width_ns, "packet_index").select("packet_index", "n")
+    both = spread.join(counted, "packet_index", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    by_count, by_spread = F.col("n") >= min_suspicious, (F.col("n_distinct") >= min_subdomains) & (F.col("n") > 0)
+    first = both.filter(by_count | by_spread).groupBy(*key).agg(F.min(F.struct(F.col("ts_ns").alias("at"), F.col("packet_index").alias("id"), by_count.alias("by_count"), by_spread.alias("by_spread"))).alias("c"))
+    first = first.select(*key, F.col("c.at").alias("crossed_ns"), F.col("c.id").alias("crossed"), "c.by_count", "c.by_spread")
+    later = (F.col("ts_ns") > F.col("crossed_ns")) | ((F.col("ts_ns") == F.col("crossed_ns")) & (F.col("packet_index") >= F.col("crossed")))
+    peaks = both.join(first, key).filter(later).groupBy(*key).agg(F.max("n").alias("peak"), F.max("n_distinct").alias("peak_spread"), F.max("ts_ns").alias("last_ns"))
+    # cited are the window's suspicious questions, then every question of the key
+    bearing = cited(asked, first, key, "ts_ns", "packet_index", width_ns, newest=False)
+    bearing = bearing.filter(F.col("later") | F.col("suspicious") | (F.col("packet_index") == F.col("crossed")))
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy("ts_ns", "packet_index"))
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("packet_index").alias("id")))), lambda x: x["id"])
+    grouped = bearing.withColumn("rank", rank).filter(F.col("rank") <= rules.CITATIONS).groupBy(*key).agg(F.min("ts_ns").alias("first_seen_ns"), ids.alias("related"))
+    out = grouped.join(first, key).join(peaks, key)
+    reached = F.when(F.col("by_count") & F.col("by_spread"), "both").when(F.col("by_spread"), "min_distinct_subdomains").otherwise("min_suspicious_queries")
+    facts = evidence(parent_domain=F.col("parent"), suspicious_queries_in_window=F.col("peak"), distinct_subdomains_in_window=F.col("peak_spread"), threshold_reached=reached)
+    shown = {"confidence": F.when(reached == "both", "high").otherwise("medium"), "evidence": facts, "source": F.concat_ws(" ", "src_ip", "parent"), "last_seen_ns": F.col("last_ns")}
+    return shaped(out.withColumns(shown), "dns_tunnel")

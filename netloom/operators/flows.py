@@ -1,10 +1,20 @@
-"""Flow reconstruction by key: idle-gap sessions on the capture's clock, their statistics, and names as of their start."""
+"""Flow reconstruction: the capture's clock, idle-gap sessions, flows of a bidirectional key, their records, and names as of their start."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import SPAN, carry
+
+SECOND = 1_000_000_000
+# Idle times that end a flow, by what it is.
+TCP_IDLE, OTHER_IDLE, FINISHED_LINGER = 300 * SECOND, 60 * SECOND, 10 * SECOND
+FIN, SYN, RST, ACK = 1, 2, 4, 16
+
 
 def with_clock(packets: DataFrame, order: str = "packet_index", ts: str = "ts_ns", span: int = 4096) -> DataFrame:
     """Add ``clock``, the running maximum of ``ts`` in ``order``.
@@ -22,20 +32,38 @@ def with_clock(packets: DataFrame, order: str = "packet_index", ts: str = "ts_ns
     return ranged.join(starts, "__range").withColumn("clock", F.greatest(running, "__start")).drop("__range", "__start")
 
 
-def sessionize(packets: DataFrame, key: list[str], timeout: int, order: str = "packet_index") -> DataFrame:
-    """Add ``session``, numbered from 0 per key: a new one begins where the clock is over ``timeout`` past its last."""
-    w = Window.partitionBy(*key).orderBy(order)
-    gap = F.col("clock") - F.lag("clock").over(w)
-    return packets.withColumn("__new", F.coalesce((gap > timeout).cast("int"), F.lit(0))).withColumn("session", F.sum("__new").over(w)).drop("__new")
+def sessionize(packets: DataFrame, key: list[str], timeout: Column | int, order: str = "packet_index", span: int = SPAN, name: str = "session") -> DataFrame:
+    """Add ``session``, numbered from 0 per key: a new one begins where the clock is over ``timeout`` past its last.
+
+    Keys are cut into ranges of ``span`` indexes, which hand on their last clock and their number of sessions."""
+    cut = packets.withColumn("__part", F.floor(F.col(order) / span))
+    cut = carry(cut, key, "__part", __last=(F.max, F.col("clock")))
+    w = Window.partitionBy(*key, "__part").orderBy(order)
+    gap = F.col("clock") - F.coalesce(F.lag("clock").over(w), "__last")
+    cut = cut.withColumn("__new", F.coalesce((gap > timeout).cast("int"), F.lit(0)))
+    cut = carry(cut, key, "__part", __before=(F.sum, F.col("__new")))
+    return cut.withColumn(name, F.coalesce("__before", F.lit(0)) + F.sum("__new").over(w)).drop("__new", "__part", "__last", "__before")
+
+
+def idle_runs(packets: DataFrame, key: list[str], timeout: Column | int, order: str = "packet_index", span: int = SPAN) -> DataFrame:
+    """As ``sessionize``, but a session is named by the index of its first packet, ``run_first``, which no other one has."""
+    cut = packets.withColumn("__part", F.floor(F.col(order) / span))
+    cut = carry(cut, key, "__part", __last=(F.max, F.col("clock")))
+    w = Window.partitionBy(*key, "__part").orderBy(order)
+    gap = F.col("clock") - F.coalesce(F.lag("clock").over(w), "__last")
+    cut = cut.withColumn("__start", F.when(gap.isNull() | (gap > timeout), F.col(order)))
+    cut = carry(cut, key, "__part", __handed=(F.max, F.col("__start")))
+    return cut.withColumn("run_first", F.greatest(F.max("__start").over(w), "__handed")).drop("__part", "__last", "__start", "__handed")
 
 
-def session_statistics(sessions: DataFrame, key: list[str], ts: str = "ts_ns", size: str = "original_length") -> DataFrame:
+def session_statistics(sessions: DataFrame, key: list[str], ts: str = "ts_ns", size: str = "original_length", span: int = SPAN) -> DataFrame:
     """Packets, bytes, sizes, inter-arrival gaps and late packets of each session.
 
     A gap runs from the greatest earlier time of the session and is 0 for a late packet."""
     by = [*key, "session"]
-    before = F.max(ts).over(Window.partitionBy(*by).orderBy("packet_index").rowsBetween(Window.unboundedPreceding, -1))
-    gaps = sessions.withColumn("__before", before).withColumn("__gap", F.greatest(F.col(ts) - F.col("__before"), F.lit(0)))
+    cut = carry(sessions.withColumn("__part", F.floor(F.col("packet_index") / span)), by, "__part", __top=(F.max, F.col(ts)))
+    before = F.max(ts).over(Window.partitionBy(*by, "__part").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, -1))
+    gaps = cut.withColumn("__before", F.greatest(before, "__top")).withColumn("__gap", F.greatest(F.col(ts) - F.col("__before"), F.lit(0)))
     return gaps.groupBy(*by).agg(
         F.count(F.lit(1)).alias("packets"),
         F.sum(size).alias("bytes"),
@@ -46,6 +74,7 @@ def session_statistics(sessions: DataFrame, key: list[str], ts: str = "ts_ns", s
         F.min("__gap").alias("gap_min"),
         F.max("__gap").alias("gap_max"),
         F.avg("__gap").alias("gap_mean"),
+        F.stddev_pop("__gap").alias("gap_stddev"),
         F.count_if(F.col(ts) < F.col("__before")).alias("late"),
         F.min("packet_index").alias("first_packet"),
         ((F.max(ts) - F.min(ts)) / 1e9).alias("duration_s"),
@@ -58,10 +87,205 @@ def dominant_side(sent: Column, received: Column) -> Column:
     return F.when(sent * 100 > total * 55, "initiator").when(received * 100 > total * 55, "responder").otherwise("balanced")
 
 
-def latest_before(events: DataFrame, facts: DataFrame, key: str, at: str, fact_at: str, value: str) -> DataFrame:
-    """As-of join: each event with the value of the last fact of its key at or before it, by one sorted pass."""
+def latest_before(events: DataFrame, facts: DataFrame, key: str, at: str, fact_at: str, value: str, span: int = 1 << 44) -> DataFrame:
+    """As-of join: each event with the value of the last fact of its key at or before it, by one sorted pass.
+
+    Keys are cut into ranges of ``span`` of the time (about five hours of nanoseconds), which hand on their last fact."""
     marked = events.withColumn("__value", F.lit(None).cast(facts.schema[value].dataType)).withColumn("__at", F.col(at)).withColumn("__fact", F.lit(1))
     told = facts.select(F.col(key), F.col(value).alias("__value"), F.col(fact_at).alias("__at"), F.lit(0).alias("__fact"))
-    both = marked.unionByName(told, allowMissingColumns=True)
-    last = F.last("__value", ignorenulls=True).over(Window.partitionBy(key).orderBy("__at", "__fact").rowsBetween(Window.unboundedPreceding, 0))
-    return both.withColumn(value, last).filter("__fact = 1").drop("__value", "__at", "__fact")
+    both = marked.unionByName(told, allowMissingColumns=True).withColumn("__part", F.expr(f"__at DIV {span}"))
+    fact = F.when(F.col("__value").isNotNull(), F.struct("__at", "__value"))
+    both = carry(both, [key], "__part", __handed=(F.max, fact))
+    last = F.last("__value", ignorenulls=True).over(Window.partitionBy(key, "__part").orderBy("__at", "__fact").rowsBetween(Window.unboundedPreceding, 0))
+    return both.withColumn(value, F.coalesce(last, "__handed.__value")).filter("__fact = 1").drop("__value", "__at", "__fact", "__part", "__handed")
+
+
+# --- flows of a bidirectional key ------------------------------------------------------------------------------
+
+
+def observed(packets: DataFrame) -> DataFrame:
+    """Packets with an address, with the endpoints ``a`` and ``b`` of their key, lower one first, and ``from_a``.
+
+    An endpoint is (family, address bytes, port), so IPv4 comes before IPv6; without a transport header ports are 0."""
+    end = lambda side: F.struct(F.octet_length(f"{side}_bin").alias("family"), F.col(f"{side}_bin").alias("bin"), F.coalesce(f"{side}_port", F.lit(0)).alias("port"), F.col(f"{side}_ip").alias("ip"))
+    seen = packets.filter("src_bin IS NOT NULL AND dst_bin IS NOT NULL").withColumns({"src": end("src"), "dst": end("dst")})
+    seen = seen.withColumns({"a": F.least("src", "dst"), "b": F.greatest("src", "dst"), "from_a": F.col("src") <= F.col("dst")})
+    return seen.withColumn("has_tcp", F.coalesce((F.col("protocol") == 6) & F.col("tcp_flags").isNotNull(), F.lit(False)))
+
+
+KEY = ["protocol", "a", "b"]
+
+
+def _flow_starts(linger: int):
+    """Mark where flows begin within runs of one key, rows in order; the state is that of one flow, however long the run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, fins, reset, tracked, clock = None, set(), False, False, 0
+        for batch in batches:
+            starts = []
+            for key, from_a, flags, now in zip(*[batch.column(c).to_pylist() for c in ("run_first", "from_a", "flags", "clock")], strict=True):
+                finished = tracked and (reset or len(fins) == 2)
+                opening = flags is not None and flags & (SYN | ACK) == SYN
+                begins = key != last or finished and (opening or now - clock > linger)
+                if begins:
+                    last, fins, reset, tracked = key, set(), False, flags is not None
+                if tracked and flags is not None:
+                    reset = reset or bool(flags & RST)
+                    if flags & FIN:
+                        fins.add(from_a)
+                clock = now
+                starts.append(begins)
+            yield pa.RecordBatch.from_arrays([batch.column("packet_index"), pa.array(starts, pa.bool_())], ["packet_index", "starts"])
+
+    return run
+
+
+def flows_of(packets: DataFrame, tcp_idle: int = TCP_IDLE, other_idle: int = OTHER_IDLE, linger: int = FINISHED_LINGER, span: int = SPAN) -> DataFrame:
+    """Each packet with its flow: ``first_packet`` (the index of its flow's first packet, which names the flow), ``initiator``,
+    ``basis`` and ``forward``.
+
+    A gap over the protocol's idle time always ends a flow, so keys are first cut into runs by it, without any state. In
+    a TCP run a finished flow (reset, or FIN from both sides) also ends after ``linger`` or at a SYN without ACK; that depends
+    on where the flow began and is a fold over the run's rows in order, with one flow's state. Runs, not keys, are
+    dealt to tasks. Packets without an address are left out, and indexes are unique."""
+    idle = F.when(F.col("protocol") == 6, tcp_idle).otherwise(other_idle)
+    runs = idle_runs(observed(with_clock(packets)), KEY, idle, span=span)
+    tcp = runs.filter("protocol = 6").select("run_first", "packet_index", "from_a", F.when(F.col("has_tcp"), F.col("tcp_flags")).alias("flags"), "clock")
+    starts = tcp.repartition("run_first").sortWithinPartitions("run_first", "packet_index").mapInArrow(_flow_starts(linger), "packet_index bigint, starts boolean")
+    marked = runs.join(starts.filter("starts"), "packet_index", "left").withColumn("__part", F.floor(F.col("packet_index") / span))
+    flags = F.when(F.col("has_tcp"), F.col("tcp_flags")).otherwise(0).bitwiseAND(SYN | ACK)
+    basis = F.when(flags == SYN, "tcp_syn").when(flags == SYN | ACK, "tcp_syn_ack").otherwise("first_packet")
+    starter = F.when(flags == SYN | ACK, F.col("dst")).otherwise(F.col("src"))
+    opened = F.struct(F.col("packet_index").alias("first_packet"), starter.alias("initiator"), basis.alias("basis"))
+    marked = marked.withColumn("opened", F.when(F.col("starts") | (F.col("packet_index") == F.col("run_first")), opened))
+    marked = carry(marked, ["run_first"], "__part", __handed=(F.max, F.col("opened")))
+    w = Window.partitionBy("run_first", "__part").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, 0)
+    flowed = marked.withColumn("flow", F.coalesce(F.last("opened", ignorenulls=True).over(w), "__handed"))
+    flowed = flowed.select("*", "flow.first_packet", "flow.initiator", "flow.basis").drop("flow", "opened", "starts", "__part", "__handed")
+    return flowed.withColumn("forward", F.col("src") == F.col("initiator"))
+
+
+def arrival_gaps(flowed: DataFrame, span: int = SPAN) -> DataFrame:
+    """Add ``earlier_ns``, the greatest earlier time of the flow, and ``gap_s`` from it, 0 for a packet out of order."""
+    cut = carry(flowed.withColumn("__part", F.floor(F.col("packet_index") / span)), ["first_packet"], "__part", __top=(F.max, F.col("ts_ns")))
+    before = F.max("ts_ns").over(Window.partitionBy("first_packet", "__part").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, -1))
+    out = cut.withColumn("earlier_ns", F.greatest(before, "__top"))
+    return out.withColumn("gap_s", F.greatest(F.col("ts_ns") - F.col("earlier_ns"), F.lit(0)) / 1e9).drop("__part", "__top")
+
+
+def repeated_segments(flowed: DataFrame, span: int = SPAN) -> DataFrame:
+    """``first_packet, duplicates``: segments with payload, SYN or FIN that equal the one before in their direction, in flags,
+    sequence number and length."""
+    own = ["first_packet", "forward"]
+    segments = flowed.filter("has_tcp").filter((F.col("payload_length") > 0) | (F.col("tcp_flags").bitwiseAND(SYN | FIN) != 0)).withColumn("__part", F.floor(F.col("packet_index") / span))
+    view = F.struct("tcp_flags", "seq", "payload_length")
+    segments = carry(segments, own, "__part", __handed=(F.max, F.struct("packet_index", view.alias("view"))))
+    before = F.coalesce(F.lag(view).over(Window.partitionBy(*own, "__part").orderBy("packet_index")), "__handed.view")
+    return segments.withColumn("again", before == view).groupBy("first_packet").agg(F.count_if("again").alias("duplicates"))
+
+
+def first_values(flowed: DataFrame, value: Column, limit: int = 4) -> DataFrame:
+    """``first_packet, values``: the flow's first ``limit`` distinct values in order of arrival, joined by commas.
+
+    Equal values of a flow are one row before any of them are put side by side."""
+    each = flowed.select("first_packet", "packet_index", value.alias("value")).filter("value IS NOT NULL").groupBy("first_packet", "value").agg(F.min("packet_index").alias("at"))
+    ranked = each.withColumn("rank", F.row_number().over(Window.partitionBy("first_packet").orderBy("at", "value"))).filter(F.col("rank") <= limit)
+    return ranked.groupBy("first_packet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), ",").alias("values"))
+
+
+def tcp_summary(flowed: DataFrame) -> DataFrame:
+    """``first_packet`` and the flow's TCP state, flags of both sides and counts; only flows whose first packet has a TCP header.
+
+    The state is closed over the whole flow: a reset wins, then FINs; else the handshake as far as it came in order."""
+    flag = lambda mask: F.col("tcp_flags").bitwiseAND(mask) != 0
+    when = lambda cond: F.when(cond, F.col("packet_index"))
+    tcp = flowed.filter("has_tcp")
+    first = F.col("packet_index") == F.col("first_packet")
+    agree, plain = flag(SYN) & flag(ACK), flag(ACK) & ~flag(SYN)
+    seen = tcp.groupBy("first_packet").agg(
+        F.max(F.when(first, F.col("tcp_flags"))).alias("opening"),
+        F.bool_or(flag(RST)).alias("reset"),
+        F.bool_or(flag(FIN) & F.col("forward")).alias("fin_forward"),
+        F.bool_or(flag(FIN) & ~F.col("forward")).alias("fin_back"),
+        F.min(when(agree & ~first)).alias("agreed"),
+        F.max(when(plain)).alias("acked"),
+        F.coalesce(F.bit_or(F.when(F.col("forward"), F.col("tcp_flags"))), F.lit(0)).alias("flags_initiator"),
+        F.coalesce(F.bit_or(F.when(~F.col("forward"), F.col("tcp_flags"))), F.lit(0)).alias("flags_responder"),
+        F.count_if(flag(SYN)).alias("syn"),
+        F.count_if(flag(FIN)).alias("fin"),
+        F.count_if(flag(RST)).alias("rst"),
+    )
+    opening = F.col("opening").bitwiseAND(SYN | ACK)
+    handshake = (
+        F.when((opening == SYN) & F.col("agreed").isNull(), "syn_sent")
+        .when(opening == SYN, F.when(F.col("acked") > F.col("agreed"), "established").otherwise("syn_received"))
+        .when(opening == SYN | ACK, F.when(F.col("acked") > F.col("first_packet"), "established").otherwise("syn_received"))
+        .otherwise("midstream")
+    )
+    state = F.when(F.col("reset"), "reset").when(F.col("fin_forward") & F.col("fin_back"), "closed").when(F.col("fin_forward") | F.col("fin_back"), "closing").otherwise(handshake)
+    return seen.filter("opening IS NOT NULL").select("first_packet", state.alias("tcp_state"), "flags_initiator", "flags_responder", "syn", "fin", "rst")
+
+
+def flow_records(flowed: DataFrame) -> DataFrame:
+    """One row per flow: endpoints, counters of both directions, sizes, times, warnings and the dominant side."""
+    side = lambda x, forward: F.coalesce(F.sum(F.when(F.col("forward") == forward, x)), F.lit(0)).cast("bigint")
+    one = F.lit(1)
+    records = flowed.groupBy("first_packet").agg(
+        F.first("protocol").alias("protocol"),
+        F.first("initiator").alias("initiator"),
+        F.first(F.when(F.col("a") == F.col("initiator"), F.col("b")).otherwise(F.col("a"))).alias("responder"),
+        F.first("basis").alias("basis"),
+        F.first(F.struct("protocol", "a", "b")).alias("flow_key"),
+        F.min("ts_ns").alias("first_seen_ns"),
+        F.max("ts_ns").alias("last_seen_ns"),
+        F.max("clock").alias("last_clock"),
+        F.count(one).alias("packets_total"),
+        F.sum("original_length").cast("bigint").alias("bytes_total"),
+        side(one, True).alias("packets_initiator"),
+        side(one, False).alias("packets_responder"),
+        side(F.col("original_length"), True).alias("bytes_initiator"),
+        side(F.col("original_length"), False).alias("bytes_responder"),
+        side(F.col("payload_length"), True).alias("payload_initiator"),
+        side(F.col("payload_length"), False).alias("payload_responder"),
+        F.min("original_length").alias("size_min"),
+        F.max("original_length").alias("size_max"),
+        F.avg("original_length").alias("size_mean"),
+        F.stddev_pop("original_length").alias("size_stddev"),
+        F.count_if(F.col("ts_ns").isNull()).alias("missing_timestamp"),
+        F.count_if(F.col("fragment")).alias("fragments"),
+    )
+    shown = records.withColumns({f"{end}_{x}": F.col(f"{end}.{x}") for end in ("initiator", "responder") for x in ("ip", "bin", "port")}).drop("initiator", "responder")
+    duration = F.coalesce((F.col("last_seen_ns") - F.col("first_seen_ns")) / 1e9, F.lit(0.0))
+    return shown.withColumns({"duration_s": duration, "dominant": dominant_side(F.col("bytes_initiator"), F.col("bytes_responder"))})
+
+
+def end_reasons(records: DataFrame, states: DataFrame, final_clock: DataFrame, tcp_idle: int = TCP_IDLE, other_idle: int = OTHER_IDLE, linger: int = FINISHED_LINGER) -> DataFrame:
+    """Records with ``tcp_state`` and ``end_reason``: a flow ended if another one of its key follows or the capture's clock
+    passed its deadline; then it was finished or idle. ``final_clock`` is one row."""
+    joined = records.join(states, "first_packet", "left")
+    finished = F.coalesce(F.col("tcp_state").isin("reset", "closed"), F.lit(False))
+    idle = F.when(F.col("protocol") == 6, F.when(finished, linger).otherwise(tcp_idle)).otherwise(other_idle)
+    last = joined.groupBy("flow_key").agg(F.max("first_packet").alias("last_of_key"))
+    over = (F.col("first_packet") < F.col("last_of_key")) | (final_clock.scalar() > F.col("last_clock") + idle)
+    reason = F.when(~over, "capture_end").when(finished, "tcp_finished").otherwise("idle_timeout")
+    return joined.join(last, "flow_key").withColumn("end_reason", reason).drop("flow_key", "last_of_key")
+
+
+def peak_active(spans: DataFrame, begin: str, end: str, span: int = 1 << 44) -> DataFrame:
+    """``peak``: the most rows of ``[begin, end]`` that cover one point, by running sums over ranges of ``span``."""
+    steps = spans.select(F.col(begin).alias("at"), F.lit(1).alias("step")).union(spans.select((F.col(end) + 1).alias("at"), F.lit(-1).alias("step")))
+    steps = steps.groupBy("at").agg(F.sum("step").alias("step")).withColumn("part", F.expr(f"at DIV {span}")).withColumn("all", F.lit(0))
+    steps = carry(steps, ["all"], "part", before=(F.sum, F.col("step")))
+    within = F.sum("step").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return steps.select((F.coalesce("before", F.lit(0)) + within).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("peak"))
+
+
+def names_at_start(starts: DataFrame, answers: DataFrame, limit: int = 4) -> DataFrame:
+    """``first_packet, names``: of flows ``(first_packet, responder_ip)`` the first ``limit`` names that answers ``(name, ip, at)``
+    had given the responder's address by the flow's first packet.
+
+    Only the first ``limit`` distinct names of an address can ever be among them, so each address has as many rows."""
+    told = answers.groupBy("ip", "name").agg(F.min("at").alias("at"))
+    few = told.withColumn("rank", F.row_number().over(Window.partitionBy("ip").orderBy("at", "name"))).filter(F.col("rank") <= limit)
+    joined = starts.join(few, (F.col("ip") == F.col("responder_ip")) & (F.col("at") <= F.col("first_packet")))
+    return joined.groupBy("first_packet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]), ",").alias("names"))

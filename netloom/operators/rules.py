@@ -1,39 +1,138 @@
-"""Threshold rules over sliding windows: one definition per rule, one operator for all of them."""
+"""Detection rules: thresholds over sliding windows, groups of flows, and the table of alerts that all of them give.
+
+An alert is a row of ``ALERT``: the rule with its severity, who and where, first and last time, what it cites, and evidence.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import crossings, sliding_count, sliding_distinct
+from .windows import cited, crossings, sliding_count, sliding_distinct
+
+# The rules in catalogue order, with their severities.
+RULES = [
+    ("scan_syn", "medium"), ("scan_ports", "medium"), ("scan_hosts", "medium"), ("tcp_fail", "low"), ("beacon", "medium"), ("rare_port", "low"),
+    ("outbound_ratio", "medium"), ("cleartext", "low"), ("dns_volume", "low"), ("dns_tunnel", "high"), ("arp_conflict", "high"), ("arp_gratuitous", "low"),
+]
+# Ports that are never rare, and the first of the dynamic ones.
+COMMON_PORTS = [20, 21, 22, 23, 25, 53, 67, 68, 80, 110, 123, 143, 161, 389, 443, 445, 465, 587, 636, 993, 995, 3389, 5353, 8080]
+DYNAMIC_PORTS = 49_152
+CLEARTEXT_PORTS = [21, 23, 110, 143, 513, 514]
+CITATIONS, PER_RULE, PER_FLOW = 50, 1000, 16
+
+ALERT = ["rule", "severity", "confidence", "source", "destination", "destination_port", "first_seen_ns", "last_seen_ns", "related", "evidence"]
 
 
 @dataclass(frozen=True)
 class WindowRule:
     """Rows that meet ``applies``, by ``key``; an alert where a window of ``width_ns`` reaches ``threshold``.
 
-    With ``value`` its distinct values are counted, without it rows."""
+    With ``value`` its distinct values are counted, without it rows. ``source``, ``destination`` and ``port`` are the columns of the
+    key (or none) that the alert shows, ``evidence`` the name of the peak."""
 
     rule: str
-    severity: str
     applies: str
     key: tuple[str, ...]
     value: str | None
     width_ns: int
     threshold: int
+    source: str | None = None
+    destination: str | None = None
+    port: str | None = None
+    evidence: str = "peak"
+
+
+def severity_of(rule: str) -> str:
+    return dict(RULES)[rule]
+
 
+def evidence(**facts: Column) -> Column:
+    """Named facts as text."""
+    return F.array(*[F.struct(F.lit(k).alias("name"), v.cast("string").alias("value")) for k, v in facts.items()])
 
-def alerts(rows: DataFrame, rule: WindowRule, ts: str, order: str) -> DataFrame:
-    """One row per key: the key's columns, ``first`` (``order`` of the row that crossed), ``peak``, ``rows_after``."""
-    kept = rows.filter(rule.applies)
+
+def shaped(alerts: DataFrame, rule: str) -> DataFrame:
+    """Fill what a rule leaves out, and order the columns."""
+    missing = {"source": F.lit(None).cast("string"), "destination": F.lit(None).cast("string"), "destination_port": F.lit(None).cast("int")}
+    out = alerts.withColumns({"rule": F.lit(rule), "severity": F.lit(severity_of(rule))} | {k: v for k, v in missing.items() if k not in alerts.columns})
+    casts = {"source": "string", "destination": "string", "destination_port": "int", "first_seen_ns": "bigint", "last_seen_ns": "bigint"}
+    return out.select(*[F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(c) for c in ALERT])
+
+
+def windowed(rows: DataFrame, rule: WindowRule, ts: str, order: str) -> DataFrame:
+    """One row per key that reaches the threshold: the key's columns, ``crossed_ns``, ``crossed`` and ``peak``."""
+    kept = rows.filter(rule.applies).filter(F.col(ts).isNotNull())
     if rule.value is None:
-        windowed, counted = sliding_count(kept, list(rule.key), ts, rule.width_ns), "n"
+        counted, name = sliding_count(kept, list(rule.key), ts, rule.width_ns, order), "n"
     else:
-        windowed, counted = sliding_distinct(kept, list(rule.key), ts, rule.value, rule.width_ns, rule.threshold), "n_distinct"
-    found = crossings(windowed, list(rule.key), [order], counted, rule.threshold)
-    return found.select(*rule.key, F.col("first")[order].alias("first"), "peak", "rows_after")
+        counted, name = sliding_distinct(kept, list(rule.key), ts, rule.value, rule.width_ns, order), "n_distinct"
+    return crossings(counted, list(rule.key), ts, order, name, rule.threshold)
+
+
+def window_alerts(rows: DataFrame, rule: WindowRule, ts: str, order: str, last: str | None = None, newest: bool = True) -> DataFrame:
+    """The rule's alerts. Flow rules cite the ``newest`` rows of the window and packet rules the oldest; confidence is high from twice
+    the threshold on. ``last`` is the column of a row's last time, its own time without it."""
+    kept = rows.filter(rule.applies).filter(F.col(ts).isNotNull())
+    found = windowed(rows, rule, ts, order)
+    bearing = cited(kept, found, list(rule.key), ts, order, rule.width_ns, newest, CITATIONS)
+    # rows of the window that aren't cited don't move the alert's times, later ones do
+    bearing = bearing.filter(F.col("place").isNotNull() | F.col("later"))
+    grouped = bearing.groupBy(*rule.key).agg(
+        F.min(ts).alias("first_seen_ns"),
+        F.max(last or ts).alias("last_seen_ns"),
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct(F.col("place"), F.col(order).alias("id"))))), lambda x: x["id"]).alias("related"),
+    )
+    out = grouped.join(found.select(*rule.key, "peak"), list(rule.key))
+    shown = {name: F.col(column) for name, column in (("source", rule.source), ("destination", rule.destination), ("destination_port", rule.port)) if column}
+    facts = evidence(**{rule.evidence: F.col("peak"), "threshold": F.lit(rule.threshold), "window_s": F.lit(rule.width_ns // 1_000_000_000)})
+    confidence = F.when(F.col("peak") >= 2 * rule.threshold, "high").otherwise("medium")
+    return shaped(out.withColumns({"confidence": confidence, "evidence": facts} | shown), rule.rule)
+
+
+def cited_group(order: str = "flow_id", limit: int = CITATIONS) -> list[Column]:
+    """Aggregates of a group rule: its times and the first ``limit`` flows, for rows that hold their ``place`` in the group."""
+    held = F.when(F.col("place") <= limit, F.struct("place", F.col(order).alias("id")))
+    return [F.min("first_seen_ns").alias("first_seen_ns"), F.max("last_seen_ns").alias("last_seen_ns"), F.transform(F.array_sort(F.collect_list(held)), lambda x: x["id"]).alias("related")]
+
+
+def placed(flows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows with their place in the group by start and id; the group's order is that in which flows are looked at."""
+    return flows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.asc_nulls_first("first_seen_ns"), "flow_id")))
+
+
+def earliest_groups(groups: DataFrame, rule: str, start: str, key: list[str], limit: int = PER_RULE) -> DataFrame:
+    """The ``limit`` groups of each rule that start first, groups without a start last, ties by key."""
+    w = Window.partitionBy(rule).orderBy(F.asc_nulls_last(start), *key)
+    return groups.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("rank")
+
+
+def numbered(alerts: list[DataFrame], limit: int = PER_RULE) -> DataFrame:
+    """All rules' alerts with ``alert_id`` from 1, in catalogue order, then by first time, then by source, destination and port;
+    ``limit`` of each rule at most. What is numbered is ``limit`` times the number of rules at most."""
+    position = F.element_at(F.create_map(*[F.lit(x) for i, (r, _) in enumerate(RULES) for x in (r, i)]), F.col("rule"))
+    every = reduce(DataFrame.unionByName, alerts).withColumn("position", position)
+    order = [F.asc_nulls_last("first_seen_ns"), "source", "destination", "destination_port"]
+    capped = every.withColumn("rank", F.row_number().over(Window.partitionBy("rule").orderBy(*order))).filter(F.col("rank") <= limit)
+    return capped.withColumn("alert_id", F.row_number().over(Window.orderBy("position", "rank"))).drop("position", "rank")
+
+
+def with_alerts(flows: DataFrame, alerts: DataFrame, limit: int = PER_FLOW) -> DataFrame:
+    """Flows with the alerts that cite them: ``alert_ids`` (the first ``limit``), ``alert_count`` and ``max_severity``."""
+    rank = F.create_map(*[F.lit(x) for pair in (("low", 1), ("medium", 2), ("high", 3)) for x in pair])
+    pairs = alerts.select(F.explode("related").alias("flow_id"), "alert_id", "severity")
+    ids = F.slice(F.sort_array(F.collect_list("alert_id")), 1, limit)
+    links = pairs.groupBy("flow_id").agg(ids.alias("alert_ids"), F.max_by("severity", F.element_at(rank, F.col("severity"))).alias("max_severity"))
+    joined = flows.join(links, "flow_id", "left")
+    return joined.withColumn("alert_count", F.coalesce(F.size("alert_ids"), F.lit(0)))
+
+
+def summary(alerts: DataFrame) -> DataFrame:
+    """Alerts by rule and severity."""
+    return alerts.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("alerts"), F.count_if(F.col("confidence") == "high").alias("high_confidence"))
 
 
 def split_name(name: Column) -> tuple[Column, Column]:

@@ -1,28 +1,77 @@
-"""Sliding time windows per key: counts, distinct counts, and the rows that cross a threshold."""
+"""Sliding time windows per key: counts, distinct counts, the rows that cross a threshold, and what an alert cites.
+
+Counts are running sums of +1 where something enters and -1 where it leaves, so a row costs the same however wide the window is.
+Keys are cut into ranges of one width, which hand on their sums. Rows of one key count one after the other, by time and then ``order``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import carry
+
+
+def _running(rows: DataFrame, key: list[str], ts: str, order: str, width: int, enters, leaves, name: str) -> DataFrame:
+    """Add the sum of ``enters`` so far less the number of rows that left; ``leaves`` says whether one leaves ``width`` after it."""
+    ups = rows.withColumns({"__at": F.col(ts), "__step": enters, "__real": F.lit(1)})
+    downs = rows.filter(leaves).select(*key, (F.col(ts) + F.lit(width + 1)).alias("__at"), F.lit(-1).alias("__step"), F.lit(0).alias("__real"))
+    both = ups.unionByName(downs, allowMissingColumns=True).withColumn("__part", F.expr(f"__at DIV {width + 1}"))
+    both = carry(both, key, "__part", __before=(F.sum, F.col("__step")))
+    w = Window.partitionBy(*key, "__part").orderBy("__at", "__real", order).rowsBetween(Window.unboundedPreceding, 0)
+    total = F.coalesce("__before", F.lit(0)) + F.sum("__step").over(w)
+    return both.withColumn(name, total).filter("__real = 1").drop("__at", "__step", "__real", "__part", "__before")
+
+
+def sliding_count(rows: DataFrame, key: list[str], ts: str, width: int, order: str) -> DataFrame:
+    """Add ``n``: rows of the key in the closed interval [ts - width, ts], up to this one. Times must not be null."""
+    return _running(rows, key, ts, order, width, F.lit(1), F.lit(True), "n")
+
+
+def sliding_distinct(rows: DataFrame, key: list[str], ts: str, value: str, width: int, order: str) -> DataFrame:
+    """Add ``n_distinct``: distinct values of the key in [ts - width, ts], up to this row.
+
+    A value enters where it hasn't stood for ``width``, and leaves where it doesn't stand again within it. Only the ranges
+    beside a row's own can hold its neighbours within ``width``."""
+    own = [*key, value]
+    cut = rows.withColumn("__range", F.expr(f"`{ts}` DIV {width + 1}"))
+    ends = cut.groupBy(*own, "__range").agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"))
+    w = Window.partitionBy(*own).orderBy("__range")
+    beside = ends.select(*own, "__range", F.lag("__last").over(w).alias("__last"), F.lead("__first").over(w).alias("__next"))
+    v = Window.partitionBy(*own, "__range").orderBy(ts, order)
+    cut = cut.join(beside, [*own, "__range"]).withColumns({"__last": F.coalesce(F.lag(ts).over(v), "__last"), "__next": F.coalesce(F.lead(ts).over(v), "__next")})
+    enters = F.when(F.col(ts) - F.col("__last") <= width, 0).otherwise(1)
+    leaves = F.col("__next").isNull() | (F.col("__next") - F.col(ts) > width)
+    return _running(cut, key, ts, order, width, enters, leaves, "n_distinct").drop("__range", "__last", "__next")
+
+
+def crossings(windowed: DataFrame, key: list[str], ts: str, order: str, value: str, threshold: int) -> DataFrame:
+    """One row per key that reaches the threshold: ``crossed_ns`` and ``crossed`` (time and order of the first row that does) and ``peak``."""
+    reached = windowed.filter(F.col(value) >= threshold)
+    return reached.groupBy(*key).agg(F.min(F.struct(F.col(ts).alias("at"), F.col(order).alias("id"))).alias("c"), F.max(value).alias("peak")).select(*key, F.col("c.at").alias("crossed_ns"), F.col("c.id").alias("crossed"), "peak")
 
-def sliding_count(rows: DataFrame, key: list[str], ts: str, width: int) -> DataFrame:
-    """Add ``n``: rows of the key in the closed interval [ts - width, ts]."""
-    return rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*key).orderBy(ts).rangeBetween(-width, 0)))
 
+def cited(rows: DataFrame, found: DataFrame, key: list[str], ts: str, order: str, width: int, newest: bool, limit: int = 50) -> DataFrame:
+    """The rows of crossing keys that bear on their alert, with ``place`` (1 to ``limit`` where cited, else null).
 
-def sliding_distinct(rows: DataFrame, key: list[str], ts: str, value: str, width: int, threshold: int) -> DataFrame:
-    """Add ``n_distinct``: distinct values of the key in [ts - width, ts]; only keys that have ``threshold``
-    distinct values at all are windowed, since no other can reach it."""
-    enough = rows.groupBy(*key).agg(F.countDistinct(value).alias("__all")).filter(F.col("__all") >= threshold).drop("__all")
-    kept = rows.join(enough, key, "left_semi")
-    return kept.withColumn("n_distinct", F.size(F.collect_set(value).over(Window.partitionBy(*key).orderBy(ts).rangeBetween(-width, 0))))
+    Cited are rows in the window of the crossing row, the ``newest`` or the oldest ``limit`` of them, then later rows of the key
+    whenever they come, until there are ``limit``. Later rows beyond that are kept too, since they move an alert's last time."""
+    joined = rows.join(found.select(*key, "crossed_ns", "crossed"), key)
+    later = (F.col(ts) > F.col("crossed_ns")) | ((F.col(ts) == F.col("crossed_ns")) & (F.col(order) > F.col("crossed")))
+    joined = joined.withColumn("later", later).filter(F.col("later") | (F.col(ts) >= F.col("crossed_ns") - width))
+    # rank within the window from the end that is kept, and among later rows in order
+    sign = F.when(F.col("later") | F.lit(not newest), 1).otherwise(-1)
+    w = Window.partitionBy(*key, "later").orderBy(F.col(ts) * sign, F.col(order) * sign)
+    ranked = joined.withColumn("rank", F.row_number().over(w))
+    held = ranked.filter(~F.col("later")).groupBy(*key).agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("held"))
+    ranked = ranked.join(held, key)
+    place = F.when(F.col("later"), F.col("held") + F.col("rank")).otherwise(F.col("held") + 1 - F.col("rank") if newest else F.col("rank"))
+    shown = F.when(F.col("later"), F.col("held") + F.col("rank") <= limit).otherwise(F.col("rank") <= limit)
+    return ranked.withColumn("place", F.when(shown, place)).drop("rank", "held")
 
 
-def crossings(windowed: DataFrame, key: list[str], order: list[str], value: str, threshold: int) -> DataFrame:
-    """One row per key that reaches the threshold: where first, the peak, and rows from there on."""
-    first = F.min(F.when(F.col(value) >= threshold, F.struct(*order)))
-    spread = windowed.withColumn("__first", first.over(Window.partitionBy(*key)))
-    reached = spread.filter(F.col("__first").isNotNull())
-    later = F.count_if(F.struct(*order) >= F.col("__first"))
-    return reached.groupBy(*key).agg(F.first("__first").alias("first"), F.max(value).alias("peak"), later.alias("rows_after"))
+def confirmed_clock(rows: DataFrame, key: list[str], ts: str, order: str) -> DataFrame:
+    """Add ``clock``, which goes forward to the lower of the last two times only, so that one wrong time can't move it."""
+    w = Window.partitionBy(*key).orderBy(order)
+    two = F.least(F.col(ts), F.coalesce(F.lag(ts).over(w), F.col(ts)))
+    return rows.withColumn("__two", two).withColumn("clock", F.max("__two").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__two")

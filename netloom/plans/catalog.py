@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import predicates as p
-from netloom.functions import text
-from netloom.operators import detect, flows, windows
+from netloom.operators import flows, lists, windows
 from netloom.sources import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,33 +35,38 @@ def query(sql: str | None = None):
 
 @query(f"WITH {FLOWS} SELECT flow_id, initiator, responder, bytes_out, state FROM flows WHERE bytes_out > 50000 AND protocol = 6 ORDER BY bytes_out DESC, flow_id LIMIT 50 OFFSET 50")
 def q7_list_flows(spark, d):
-    wanted = p.compare(p.FLOW_FIELDS, "flow.bytes", ">", 50_000) & p.present(p.FLOW_FIELDS, "tcp")
-    return views.flows(spark, d).filter(wanted).orderBy(F.desc("bytes_out"), "flow_id").offset(50).limit(50).select("flow_id", "initiator", "responder", "bytes_out", "state")
+    wanted = p.compare(p.LINE_FIELDS, "flow.bytes", ">", 50_000) & p.present(p.LINE_FIELDS, "tcp")
+    # every line has its order, so a page is cut before the join
+    top = lists.page(views.flow_lines(spark, d).filter(wanted).orderBy(F.desc("bytes_out"), "flow_id"), 2, 50)
+    return views.with_initiator(spark, d, top).orderBy(F.desc("bytes_out"), "flow_id").select("flow_id", "initiator", "responder", "bytes_out", "state")
 
 
 @query(f"WITH {PACKETS} SELECT packet_index, src, dst_port FROM packets WHERE protocol = 6 AND (tcp_flags & 2) <> 0 AND dst_port <> 40 AND NOT (src = 7)")
 def f8_packet_filter(spark, d):
-    wanted = p.present(p.PACKET_FIELDS, "tcp.flags.syn") & p.compare(p.PACKET_FIELDS, "port", "!=", 40) & p.negate(p.compare(p.PACKET_FIELDS, "ip.src", "==", 7))
+    wanted = p.present(p.EVENT_FIELDS, "tcp.flags.syn") & p.compare(p.EVENT_FIELDS, "port", "!=", 40) & p.negate(p.compare(p.EVENT_FIELDS, "ip.src", "==", 7))
     return views.packets(spark, d).filter(wanted).select("packet_index", "src", "dst_port")
 
 
 @query(f"WITH {FLOWS} SELECT count(*) AS n FROM flows WHERE (initiator = 12 OR responder = 12) AND lower(state) LIKE '%set%'")
 def f10_either_side(spark, d):
-    wanted = p.compare(p.FLOW_FIELDS, "flow.addr", "==", 12) & p.compare(p.FLOW_FIELDS, "flow.state", "contains", "SET")
+    wanted = p.compare(p.LINE_FIELDS, "flow.addr", "==", 12) & p.compare(p.LINE_FIELDS, "flow.state", "contains", "SET")
     return views.flows(spark, d).filter(wanted).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH {PACKETS} SELECT packet_index, count(*) OVER (PARTITION BY src ORDER BY ts_ns RANGE BETWEEN {DAY} PRECEDING AND CURRENT ROW) AS n FROM packets")
 def t1_sliding_count(spark, d):
-    return windows.sliding_count(views.packets(spark, d), ["src"], "ts_ns", DAY).select("packet_index", "n")
+    return windows.sliding_count(views.packets(spark, d), ["src"], "ts_ns", DAY, "packet_index").select("packet_index", "n")
 
 
 @query(f"""WITH {PACKETS}, w AS (SELECT *, count(DISTINCT dst_port) OVER (PARTITION BY src ORDER BY ts_ns RANGE BETWEEN {3 * DAY} PRECEDING AND CURRENT ROW) AS n FROM packets),
  f AS (SELECT src, min(packet_index) AS first_index FROM w WHERE n >= 12 GROUP BY src)
  SELECT w.src, f.first_index, max(n) AS peak, count(*) FILTER (packet_index >= first_index) AS rows_after FROM w JOIN f ON w.src = f.src GROUP BY w.src, f.first_index""")
 def t9_distinct_crossing(spark, d):
-    seen = windows.sliding_distinct(views.packets(spark, d), ["src"], "ts_ns", "dst_port", 3 * DAY, 12)
-    return windows.crossings(seen, ["src"], ["packet_index"], "n_distinct", 12).select("src", F.col("first.packet_index").alias("first_index"), "peak", "rows_after")
+    packets = views.packets(spark, d)
+    seen = windows.sliding_distinct(packets, ["src"], "ts_ns", "dst_port", 3 * DAY, "packet_index")
+    found = windows.crossings(seen, ["src"], "ts_ns", "packet_index", "n_distinct", 12)
+    later = packets.join(found, "src").filter("packet_index >= crossed").groupBy("src").agg(F.count(F.lit(1)).alias("rows_after"))
+    return found.join(later, "src").select("src", F.col("crossed").alias("first_index"), "peak", "rows_after")
 
 
 SESSIONS = f"""{PACKETS}, c AS (SELECT *, max(ts_ns) OVER (ORDER BY packet_index) AS clock FROM packets),
@@ -83,7 +87,7 @@ def w4_w13_sessions(spark, d):
 @query(f"""WITH {FLOWS} SELECT dominant, count(*) AS n FROM (SELECT CASE WHEN bytes_out * 100 > (bytes_out + bytes_back) * 55 THEN 'initiator' WHEN bytes_back * 100 > (bytes_out + bytes_back) * 55 THEN 'responder' ELSE 'balanced' END AS dominant FROM flows) GROUP BY dominant""")
 def w20_dominant_side(spark, d):
     side = flows.dominant_side(F.col("bytes_out"), F.col("bytes_back"))
-    return views.flows(spark, d).groupBy(side.alias("dominant")).agg(F.count(F.lit(1)).alias("n"))
+    return views.flow_lines(spark, d).groupBy(side.alias("dominant")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {PACKETS}, names AS (SELECT src, ts_ns AS told, max(dst_port) AS port FROM packets WHERE protocol = 17 GROUP BY src, ts_ns)
@@ -94,37 +98,10 @@ def w19_asof_names(spark, d):
     return flows.latest_before(packets.filter("protocol = 6"), told, "src", "ts_ns", "told", "port").select("packet_index", "port")
 
 
-@query(f"""WITH {PACKETS}, g AS (SELECT src, protocol, greatest((ts_ns - lag(ts_ns) OVER (PARTITION BY src, protocol ORDER BY ts_ns)) / 1e9, 0) AS gap FROM packets)
- SELECT src, protocol, count(*) AS flows, round(avg(gap), 4) AS mean_s, round(stddev_pop(gap) / avg(gap), 6) AS jitter FROM g GROUP BY src, protocol HAVING count(*) >= 6 AND avg(gap) >= 10 AND stddev_pop(gap) / avg(gap) <= 0.8""")
-def r5_beacons(spark, d):
-    found = detect.beacons(views.packets(spark, d), ["src", "protocol"], "ts_ns", 6, 10.0, 0.8)
-    return found.select("src", "protocol", "flows", F.round("mean_s", 4).alias("mean_s"), F.round("jitter", 6).alias("jitter"))
-
-
-@query(f"WITH {FLOWS} SELECT protocol, responder_port, count(*) AS uses FROM flows GROUP BY protocol, responder_port HAVING count(*) <= 20 AND bool_or(state <> 'syn_sent') AND responder_port NOT IN (80, 443)")
-def r6_rare_ports(spark, d):
-    return detect.rare_ports(views.flows(spark, d), 50, 20, [80, 443]).select("protocol", "responder_port", "uses")
-
-
-@query(f"""WITH {FLOWS} SELECT initiator, responder, count(*) AS flows, CAST(sum(bytes_out) AS BIGINT) AS sent, CAST(sum(bytes_back) AS BIGINT) AS back FROM flows
- WHERE bytes_out >= 1000000 AND (bytes_back = 0 OR CAST(bytes_out AS DOUBLE) / bytes_back >= 1500) GROUP BY initiator, responder""")
-def r7_outbound_ratio(spark, d):
-    return detect.outbound_ratio(views.flows(spark, d), 1_000_000, 1500)
-
-
-@query(f"WITH {FLOWS} SELECT initiator, responder, responder_port, count(*) AS flows, min(first_seen_ns) AS first_seen_ns FROM flows WHERE protocol = 6 AND state <> 'syn_sent' AND responder_port IN (21, 23, 110, 143, 513, 514) GROUP BY ALL")
-def r8_cleartext(spark, d):
-    return detect.cleartext(views.flows(spark, d), [21, 23, 110, 143, 513, 514])
-
-
 @query(f"""WITH {FLOWS}, r AS (SELECT state, flow_id, first_seen_ns, row_number() OVER (PARTITION BY state ORDER BY first_seen_ns, flow_id) AS rank FROM flows) SELECT state, flow_id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 100""")
 def u7_capped_groups(spark, d):
-    return detect.capped_per_rule(views.flows(spark, d), "state", ["first_seen_ns", "flow_id"], 100).select("state", "flow_id", "rank")
-
-
-@query("SELECT page_id, CASE WHEN regexp_matches(lower(url), '^https?://') THEN regexp_replace(regexp_replace(url, '[?#].*$', ''), '^([A-Za-z]+://)[^/@]*@', '\\1') END AS target FROM pages")
-def d14_redacted_targets(spark, d):
-    return views.table(spark, d, "pages").select("page_id", text.redact_target(F.col("url")).alias("target"))
+    first = F.row_number().over(Window.partitionBy("state").orderBy("first_seen_ns", "flow_id"))
+    return views.flow_lines(spark, d).select("state", "flow_id", first.alias("rank")).filter("rank <= 100")
 
 
 @query(f"WITH {PACKETS} SELECT protocol, tcp_flags, count(*) AS n, min(packet_index) AS first_index, CAST(sum(original_length) AS BIGINT) AS bytes FROM packets GROUP BY protocol, tcp_flags")

@@ -1,4 +1,4 @@
-"""Further queries of the library outside ``llm``: windowed rules, alert numbering, name parts, events and sorts."""
+"""Further queries of the library outside ``llm``: name parts, flow numbers, flags and medians."""
 
 from __future__ import annotations
 
@@ -6,53 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netloom.operators import rules
-from netloom.plans.catalog import DAY, FLOWS, PACKETS, query
+from netloom.plans.catalog import PACKETS, query
 from netloom.sources import views
 
-# Rules as the catalogue has them, with widths and thresholds that fit the test tables' days.
-SCAN_SYN = rules.WindowRule("scan_syn", "medium", "protocol = 6 AND state = 'syn_sent'", ("initiator",), "responder_port", 400 * DAY, 6)
-SCAN_PORTS = rules.WindowRule("scan_ports", "medium", "true", ("initiator",), "responder_port", 200 * DAY, 12)
-SCAN_HOSTS = rules.WindowRule("scan_hosts", "medium", "state = 'syn_sent'", ("protocol", "responder_port"), "responder", 300 * DAY, 5)
-TCP_FAIL = rules.WindowRule("tcp_fail", "low", "protocol = 6 AND state = 'syn_sent'", ("initiator",), None, 400 * DAY, 7)
-DNS_VOLUME = rules.WindowRule("dns_volume", "low", "protocol = 17", ("src",), None, 2 * DAY, 4)
-
-
-def rule_sql(rows: str, table: str, rule: rules.WindowRule, ts: str, order: str) -> str:
-    """The rule's alerts in SQL."""
-    key = ", ".join(rule.key)
-    counted = "count(*)" if rule.value is None else f"count(DISTINCT {rule.value})"
-    same = " AND ".join(f"w.{k} = f.{k}" for k in rule.key)
-    own = ", ".join(f"w.{k}" for k in rule.key)
-    return f"""WITH {rows}, w AS (SELECT *, {counted} OVER (PARTITION BY {key} ORDER BY {ts} RANGE BETWEEN {rule.width_ns} PRECEDING AND CURRENT ROW) AS seen FROM {table} WHERE {rule.applies}),
- f AS (SELECT {key}, min({order}) AS first FROM w WHERE seen >= {rule.threshold} GROUP BY {key})
- SELECT {own}, f.first, max(seen) AS peak, count(*) FILTER ({order} >= f.first) AS rows_after FROM w JOIN f ON {same} GROUP BY {own}, f.first"""
-
-
-@query(rule_sql(FLOWS, "flows", SCAN_SYN, "first_seen_ns", "flow_id"))
-def r1_scan_syn(spark, d):
-    return rules.alerts(views.flows(spark, d), SCAN_SYN, "first_seen_ns", "flow_id")
-
-
-@query(rule_sql(FLOWS, "flows", SCAN_PORTS, "first_seen_ns", "flow_id"))
-def r2_scan_ports(spark, d):
-    return rules.alerts(views.flows(spark, d), SCAN_PORTS, "first_seen_ns", "flow_id")
-
-
-@query(rule_sql(FLOWS, "flows", SCAN_HOSTS, "first_seen_ns", "flow_id"))
-def r3_scan_hosts(spark, d):
-    return rules.alerts(views.flows(spark, d), SCAN_HOSTS, "first_seen_ns", "flow_id")
-
-
-@query(rule_sql(FLOWS, "flows", TCP_FAIL, "first_seen_ns", "flow_id"))
-def r4_tcp_fail(spark, d):
-    return rules.alerts(views.flows(spark, d), TCP_FAIL, "first_seen_ns", "flow_id")
-
-
-@query(rule_sql(PACKETS, "packets", DNS_VOLUME, "ts_ns", "packet_index"))
-def r9_dns_volume(spark, d):
-    return rules.alerts(views.packets(spark, d), DNS_VOLUME, "ts_ns", "packet_index")
-
-
 @query("""WITH h AS (SELECT page_id, string_split(rtrim(lower(regexp_extract(url, '://([^/?#]*)', 1)), '.'), '.') AS l FROM pages)
  SELECT page_id, CASE WHEN len(l) >= 3 THEN array_to_string(l[len(l) - 1 :], '.') END AS parent, CASE WHEN len(l) >= 3 THEN array_to_string(l[: len(l) - 2], '.') END AS rest FROM h""")
 def u2_split_name(spark, d):
@@ -75,12 +31,9 @@ def w16_flag_unions(spark, d):
 @query(f"""WITH {PACKETS}, r AS (SELECT src, original_length, row_number() OVER (PARTITION BY src ORDER BY packet_index) AS place FROM packets)
  SELECT src, median(original_length) FILTER (place <= 256) AS size_median, count(*) <= 256 AS exact FROM r GROUP BY src""")
 def w11_bounded_median(spark, d):
+    # the window drops rows beyond the 256th in each task before anything is shuffled; counts are pre-aggregated
+    packets = views.packets(spark, d)
     place = F.row_number().over(Window.partitionBy("src").orderBy("packet_index"))
-    ranked = views.packets(spark, d).withColumn("place", place)
-    return ranked.groupBy("src").agg(F.median(F.when(F.col("place") <= 256, F.col("original_length"))).alias("size_median"), (F.count(F.lit(1)) <= 256).alias("exact"))
-
-
-@query("SELECT count(*) AS captures, CAST(sum(l_quantity) AS DOUBLE) AS packets, count(*) FILTER (l_returnflag = 'R') AS high, count(*) FILTER (l_returnflag = 'A') AS medium, count(*) FILTER (l_returnflag = 'N') AS low FROM lineitem")
-def q12_overview(spark, d):
-    of = lambda x: F.count_if(F.col("l_returnflag") == x)
-    return views.table(spark, d, "lineitem").agg(F.count(F.lit(1)).alias("captures"), F.sum("l_quantity").cast("double").alias("packets"), of("R").alias("high"), of("A").alias("medium"), of("N").alias("low"))
+    medians = packets.withColumn("place", place).filter("place <= 256").groupBy("src").agg(F.median("original_length").alias("size_median"))
+    counts = packets.groupBy("src").agg((F.count(F.lit(1)) <= 256).alias("exact"))
+    return medians.join(counts, "src")
