@@ -14,7 +14,7 @@ _HOST = r"^[A-Za-z0-9_-][A-Za-z0-9._-]*(:[0-9]{1,5})?$"
 _GROUP = "[0-9A-Fa-f]{1,4}"
 _DOTTED = r"(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\.(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}"
 #: An IPv6 literal: eight groups, or fewer around one gap; the last two may be a dotted IPv4 address.
-_SIX = "^\\[(" + "|".join([rf"({_GROUP}:){{7}}{_GROUP}", rf"({_GROUP}:){{6}}{_DOTTED}", *[rf"({_GROUP}(:{_GROUP}){{0,{n}}})?::({_GROUP}(:{_GROUP}){{0,{5 - n}}})?" for n in range(6)], rf"({_GROUP}(:{_GROUP}){{0,6}})?::", rf"({_GROUP}(:{_GROUP}){{0,4}})?::({_GROUP}:)?{_DOTTED}"]) + ")\\](:[0-9]{1,5})?$"
+_SIX = "^\\[(" + "|".join([rf"({_GROUP}:){{7}}{_GROUP}", rf"({_GROUP}:){{6}}{_DOTTED}", *[rf"({_GROUP}(:{_GROUP}){{0,{n}}})?::({_GROUP}(:{_GROUP}){{0,{5 - n}}})?" for n in range(6)], rf"({_GROUP}(:{_GROUP}){{0,6}})?::", rf"::{_GROUP}(:{_GROUP}){{0,6}}", rf"({_GROUP}(:{_GROUP}){{0,4}})?::({_GROUP}:)?{_DOTTED}"]) + ")\\](:[0-9]{1,5})?$"
 
 
 def host_value(host: Column) -> Column:

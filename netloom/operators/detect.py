@@ -47,7 +47,9 @@ def beacons(flows: DataFrame, min_flows: int, min_mean_s: float, max_jitter: flo
     enough = ported.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(min_flows, 3)).drop("n")
     at = F.col("first_seen_ns") / 1e9
     order = Window.partitionBy(*key).orderBy("first_seen_ns", "flow_id")
-    spaced = placed(ported.join(enough, key, "left_semi"), key).withColumn("gap", F.greatest(at - F.lag(at).over(order), F.lit(0.0)))
+    spaced = placed(ported.join(enough, key, "left_semi"), key).withColumn("before", F.lag(at).over(order))
+    # the first flow of a group has no interval
+    spaced = spaced.withColumn("gap", F.when(F.col("before").isNotNull(), F.greatest(at - F.col("before"), F.lit(0.0))))
     groups = spaced.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("stddev"), *cited_group())
     steady = groups.filter((F.col("mean") >= min_mean_s) & (F.col("mean") > 0)).withColumn("jitter", F.try_divide("stddev", "mean")).filter(F.col("jitter") <= max_jitter)
     confidence = F.when((F.col("n") >= 2 * max(min_flows, 3)) & (F.col("jitter") <= max_jitter / 2), "high").otherwise("medium")

@@ -59,11 +59,11 @@ def idle_runs(packets: DataFrame, key: list[str], timeout: Column | int, order:
 def session_statistics(sessions: DataFrame, key: list[str], ts: str = "ts_ns", size: str = "original_length", span: int = SPAN) -> DataFrame:
     """Packets, bytes, sizes, inter-arrival gaps and late packets of each session.
 
-    A gap runs from the greatest earlier time of the session and is 0 for a late packet."""
+    A gap runs from the greatest earlier time of the session and is 0 for a late packet; the first packet has none."""
     by = [*key, "session"]
     cut = carry(sessions.withColumn("__part", F.floor(F.col("packet_index") / span)), by, "__part", __top=(F.max, F.col(ts)))
     before = F.max(ts).over(Window.partitionBy(*by, "__part").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, -1))
-    gaps = cut.withColumn("__before", F.greatest(before, "__top")).withColumn("__gap", F.greatest(F.col(ts) - F.col("__before"), F.lit(0)))
+    gaps = cut.withColumn("__before", F.greatest(before, "__top")).withColumn("__gap", F.when(F.col("__before").isNotNull(), F.greatest(F.col(ts) - F.col("__before"), F.lit(0))))
     return gaps.groupBy(*by).agg(
         F.count(F.lit(1)).alias("packets"),
         F.sum(size).alias("bytes"),
@@ -166,11 +166,11 @@ def flows_of(packets: DataFrame, tcp_idle: int = TCP_IDLE, other_idle: int = OTH
 
 
 def arrival_gaps(flowed: DataFrame, span: int = SPAN) -> DataFrame:
-    """Add ``earlier_ns``, the greatest earlier time of the flow, and ``gap_s`` from it, 0 for a packet out of order."""
+    """Add ``earlier_ns``, the greatest earlier time of the flow, and ``gap_s`` from it, 0 for a packet out of order, null for the first."""
     cut = carry(flowed.withColumn("__part", F.floor(F.col("packet_index") / span)), ["first_packet"], "__part", __top=(F.max, F.col("ts_ns")))
     before = F.max("ts_ns").over(Window.partitionBy("first_packet", "__part").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, -1))
     out = cut.withColumn("earlier_ns", F.greatest(before, "__top"))
-    return out.withColumn("gap_s", F.greatest(F.col("ts_ns") - F.col("earlier_ns"), F.lit(0)) / 1e9).drop("__part", "__top")
+    return out.withColumn("gap_s", F.when(F.col("earlier_ns").isNotNull(), F.greatest(F.col("ts_ns") - F.col("earlier_ns"), F.lit(0)) / 1e9)).drop("__part", "__top")
 
 
 def repeated_segments(flowed: DataFrame, span: int = SPAN) -> DataFrame:

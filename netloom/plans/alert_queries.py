@@ -70,7 +70,7 @@ def r4_tcp_fail(spark, d):
     return shown(flow_alerts(spark, d, 3))
 
 
-@query(f"""WITH {HOSTS}, g AS (SELECT *, row_number() OVER w AS r, greatest(first_seen_ns / 1e9 - lag(first_seen_ns / 1e9) OVER w, 0) AS gap FROM hosts WHERE ported WINDOW w AS (PARTITION BY src, dst, protocol, responder_port ORDER BY first_seen_ns, flow_id))
+@query(f"""WITH {HOSTS}, g AS (SELECT *, row_number() OVER w AS r, CASE WHEN lag(first_seen_ns) OVER w IS NOT NULL THEN greatest(first_seen_ns / 1e9 - lag(first_seen_ns / 1e9) OVER w, 0) END AS gap FROM hosts WHERE ported WINDOW w AS (PARTITION BY src, dst, protocol, responder_port ORDER BY first_seen_ns, flow_id))
  SELECT CAST(src AS VARCHAR) AS source, CAST(dst AS VARCHAR) AS destination, responder_port AS destination_port, CASE WHEN count(*) >= 6 AND stddev_pop(gap) / avg(gap) <= 0.4 THEN 'high' ELSE 'medium' END AS confidence, min(first_seen_ns) AS first_seen_ns, max(last_seen_ns) AS last_seen_ns,
  string_agg(CAST(flow_id AS VARCHAR), ',' ORDER BY r) FILTER (r <= 50) AS related, count(*) AS connections, round(stddev_pop(gap) / avg(gap), 6) AS jitter FROM g GROUP BY src, dst, protocol, responder_port HAVING count(*) >= 3 AND avg(gap) >= 10 AND stddev_pop(gap) / avg(gap) <= 0.8""")
 def r5_beacons(spark, d):

@@ -76,12 +76,12 @@ SESSIONS = f"""{PACKETS}, c AS (SELECT *, max(ts_ns) OVER (ORDER BY packet_index
 
 @query(f"""WITH {SESSIONS}, b AS (SELECT *, max(ts_ns) OVER (PARTITION BY src, session ORDER BY packet_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM s)
  SELECT src, CAST(session AS BIGINT) AS session, count(*) AS packets, CAST(sum(original_length) AS BIGINT) AS bytes, min(original_length) AS size_min, max(original_length) AS size_max,
- round(avg(original_length), 4) AS size_mean, round(stddev_pop(original_length), 4) AS size_stddev, max(greatest(ts_ns - earlier, 0)) AS gap_max, min(packet_index) AS first_packet,
+ round(avg(original_length), 4) AS size_mean, round(stddev_pop(original_length), 4) AS size_stddev, max(CASE WHEN earlier IS NOT NULL THEN greatest(ts_ns - earlier, 0) END) AS gap_max, min(CASE WHEN earlier IS NOT NULL THEN greatest(ts_ns - earlier, 0) END) AS gap_min, round(avg(CASE WHEN earlier IS NOT NULL THEN greatest(ts_ns - earlier, 0) / 1e9 END), 4) AS gap_mean, min(packet_index) AS first_packet,
  round((max(ts_ns) - min(ts_ns)) / 1e9, 6) AS duration_s FROM b GROUP BY src, session""")
 def w4_w13_sessions(spark, d):
     clocked = flows.with_clock(views.packets(spark, d))
     stats = flows.session_statistics(flows.sessionize(clocked, ["src"], DAY // 2), ["src"])
-    return stats.select("src", "session", "packets", "bytes", "size_min", "size_max", F.round("size_mean", 4).alias("size_mean"), F.round("size_stddev", 4).alias("size_stddev"), "gap_max", "first_packet", F.round("duration_s", 6).alias("duration_s"))
+    return stats.select("src", "session", "packets", "bytes", "size_min", "size_max", F.round("size_mean", 4).alias("size_mean"), F.round("size_stddev", 4).alias("size_stddev"), "gap_max", "gap_min", F.round(F.col("gap_mean") / 1e9, 4).alias("gap_mean"), "first_packet", F.round("duration_s", 6).alias("duration_s"))
 
 
 @query(f"""WITH {FLOWS} SELECT dominant, count(*) AS n FROM (SELECT CASE WHEN bytes_out * 100 > (bytes_out + bytes_back) * 55 THEN 'initiator' WHEN bytes_back * 100 > (bytes_out + bytes_back) * 55 THEN 'responder' ELSE 'balanced' END AS dominant FROM flows) GROUP BY dominant""")

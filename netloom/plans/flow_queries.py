@@ -93,7 +93,7 @@ def w7_w9_directions(spark, d):
     return flows.flow_records(flowed(spark, d)).select(*names, *[f"{x}_{side}" for x in ("packets", "bytes", "payload") for side in ("initiator", "responder")])
 
 
-@query(f"""WITH RECURSIVE {WALK}, g AS (SELECT *, max(ts_ns) OVER (PARTITION BY first_packet ORDER BY packet_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM flowed), h AS (SELECT *, greatest(ts_ns - earlier, 0) / 1e9 AS gap FROM g)
+@query(f"""WITH RECURSIVE {WALK}, g AS (SELECT *, max(ts_ns) OVER (PARTITION BY first_packet ORDER BY packet_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM flowed), h AS (SELECT *, CASE WHEN earlier IS NOT NULL THEN greatest(ts_ns - earlier, 0) / 1e9 END AS gap FROM g)
  SELECT first_packet, round(min(gap), 6) AS gap_min, round(max(gap), 6) AS gap_max, round(avg(gap), 4) AS gap_mean, round(stddev_pop(gap), 4) AS gap_stddev, count(*) FILTER (ts_ns < earlier) AS out_of_order, count(*) FILTER (fragment) AS fragments FROM h GROUP BY first_packet""")
 def w12_w14_arrivals(spark, d):
     gaps = flows.arrival_gaps(flowed(spark, d))

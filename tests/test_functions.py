@@ -29,7 +29,8 @@ TARGETS = {
     "//h.example/a": (None, None),
     "/plain/path?x": (None, "/plain/path"),
     "/fetch/http://u:secret@h/x": (None, "/fetch/{redacted}"),
-    "/fetch/http://": (None, "/fetch/http://"),
+    "/fetch/http://": (None, "/fetch/{redacted}"),
+    "/fetch/http:/": (None, "/fetch/http:/"),
     "/reset/abcdef1234567890": (None, "/reset/{redacted}"),
     "/reset/abcdefabcdefabcd/me%40x": (None, "/reset/abcdefabcdefabcd/{redacted}"),
     "": (None, None),
