@@ -99,13 +99,110 @@ def test_inverse_transforms():
     table = np.array([0xFF000001, 0xFF000002], np.uint32)
     packed = np.array([[0b10110 << 8]], np.uint32)
     assert webp.undo_palette(packed, table, 5).tolist() == [[0xFF000000 + 1 + x for x in (0, 1, 1, 0, 1)]]
-    flat = np.zeros((2, 3), np.uint32)
-    modes = np.array([[1 << 8]], np.uint32)
-    assert (webp.undo_predictor(flat, modes, 2) == np.uint32(0xFF000000)).all()
     same = np.array([[0xFF102030]], np.uint32)
     assert (webp.undo_cross_color(same, np.zeros((1, 1), np.uint32), 2) == same).all()
 
 
+def plain_predictor(pixels, modes, size_bits):
+    """Pixel by pixel, channel by channel, as the format describes it."""
+    height, width = pixels.shape
+    out = [[None] * width for _ in range(height)]
+    split = lambda p: [(int(p) >> s) & 255 for s in (24, 16, 8, 0)]
+    mean = lambda a, b: [(x + y) // 2 for x, y in zip(a, b)]
+    clip = lambda v: max(0, min(255, v))
+    for y in range(height):
+        for x in range(width):
+            if x == y == 0:
+                guess = [255, 0, 0, 0]
+            elif y == 0:
+                guess = out[0][x - 1]
+            elif x == 0:
+                guess = out[y - 1][0]
+            else:
+                left, top, corner = out[y][x - 1], out[y - 1][x], out[y - 1][x - 1]
+                right = out[y - 1][x + 1] if x + 1 < width else out[y][0]
+                mode = (int(modes[y >> size_bits, x >> size_bits]) >> 8) & 15
+                if mode == 11:
+                    estimate = [a + b - c for a, b, c in zip(left, top, corner)]
+                    guess = left if sum(abs(e - a) for e, a in zip(estimate, left)) < sum(abs(e - b) for e, b in zip(estimate, top)) else top
+                else:
+                    guess = {
+                        0: [255, 0, 0, 0], 1: left, 2: top, 3: right, 4: corner, 5: mean(mean(left, right), top), 6: mean(left, corner), 7: mean(left, top),
+                        8: mean(corner, top), 9: mean(top, right), 10: mean(mean(left, corner), mean(top, right)),
+                        12: [clip(a + b - c) for a, b, c in zip(left, top, corner)], 13: [clip(m + int((m - c) / 2)) for m, c in zip(mean(left, top), corner)],
+                    }[mode]
+            out[y][x] = [(a + b) & 255 for a, b in zip(split(pixels[y, x]), guess)]
+    return np.array([[(p[0] << 24) | (p[1] << 16) | (p[2] << 8) | p[3] for p in row] for row in out], np.uint32)
+
+
+@pytest.mark.parametrize("mode", range(14))
+def test_each_predictor_mode_equals_a_plain_one(mode):
+    rng = np.random.default_rng(mode)
+    for shape in ((1, 1), (1, 7), (6, 1), (9, 11)):
+        pixels = rng.integers(0, 2**32, shape, dtype=np.uint32)
+        tiles = np.full((-(-shape[0] >> 2), -(-shape[1] >> 2)), mode << 8, np.uint32)
+        undone = webp.undo_predictor(pixels, tiles, 2)
+        assert (undone == plain_predictor(pixels, tiles, 2)).all()
+        assert (webp.apply_predictor(undone, tiles, 2) == pixels).all()
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_files_with_every_feature_round_trip(data):
+    rng = np.random.default_rng(data.draw(st.integers(0, 2**32)))
+    height, width = data.draw(st.integers(1, 20)), data.draw(st.integers(1, 30))
+    colours = rng.integers(0, 2**32, data.draw(st.sampled_from([1, 2, 5, 16, 17, 200])), dtype=np.uint32)
+    pixels = rng.choice(colours, (height, width))
+    tile = lambda w: tuple(-(-n >> 2) for n in (height, w))
+    ways = {
+        "predictor": (webp.PREDICTOR, 2, rng.integers(0, 14, tile(width)).astype(np.uint32) << np.uint32(8)),
+        "cross": (webp.CROSS_COLOR, 2, rng.integers(0, 2**24, tile(width), dtype=np.uint32)),
+        "green": (webp.SUBTRACT_GREEN,),
+        "palette": (webp.PALETTE, np.unique(pixels)),
+    }
+    # a palette changes the width, so it comes last
+    names = data.draw(st.permutations(["predictor", "cross", "green"]))[: data.draw(st.integers(0, 3))]
+    transforms = [ways[n] for n in names] or ([ways["palette"]] if data.draw(st.booleans()) else [])
+    moved = pixels
+    for t in transforms:
+        moved = webp.transformed(moved, t)
+    copies = webp.find_copies(moved.ravel(), data.draw(st.sampled_from([1, 3, 8])))
+    back, _ = webp.decode(webp.encode(pixels, tuple(transforms), data.draw(st.sampled_from([0, 1, 6, 11])), copies))
+    assert (back == pixels).all()
+
+
+def test_payloads_use_every_feature(monkeypatch):
+    seen = set()
+    encode = webp.encode
+
+    def watched(pixels, transforms=(), cache_bits=0, copies=None):
+        seen.update((t[0], int(t[2][0, 0] >> 8) & 15) if t[0] == webp.PREDICTOR else t[0] for t in transforms)
+        seen.update({"cache"} if cache_bits else set())
+        seen.update({"copies"} if copies else set())
+        return encode(pixels, transforms, cache_bits, copies)
+
+    monkeypatch.setattr(webp, "encode", watched)
+    for k in range(4000):
+        payload = media.to_payload(f"text number {k} of them, text number {k} of them".encode() * 3)
+        assert media.read_back(media.store(payload), len(payload)) == payload
+    media.store(media.to_payload(b"abababab" * 40))
+    assert {"cache", "copies", webp.CROSS_COLOR, webp.SUBTRACT_GREEN, webp.PALETTE, *[(webp.PREDICTOR, m) for m in range(14)]} <= seen
+
+
+def test_long_payload_is_several_files():
+    payload = np.random.default_rng(0).integers(97, 123, media.IMAGE_BYTES + 64, dtype=np.uint8).tobytes()
+    stored = media.store(payload)
+    assert stored.count(b"WEBPVP8L") == 2 and media.read_back(stored, len(payload)) == payload
+
+
+def test_images_become_pixels(spark):
+    pixels = np.arange(12, dtype=np.uint32).reshape(3, 4) * 12345
+    rows = [(1, bytearray(webp.encode(pixels))), (2, None), (3, bytearray(b"not an image"))]
+    out = {r["id"]: r for r in media.decode_images(spark.createDataFrame(rows, "id bigint, media binary"), "id", "media").collect()}
+    assert (out[1]["width"], out[1]["height"]) == (4, 3) and (np.frombuffer(out[1]["pixels"], "<u4").reshape(3, 4) == pixels).all()
+    assert out[2]["error"] and out[3]["error"] and out[2]["pixels"] is None
+
+
 @pytest.mark.parametrize("data", [b"", b"RIFF", b"RIFF\x20\0\0\0WEBPVP8L\x05\0\0\0\x2f\0\0\0\0aaaaaaa", b"x" * 50])
 def test_broken_images_raise(data):
     with pytest.raises(webp.WebpError):
