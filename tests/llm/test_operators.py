@@ -182,7 +182,7 @@ def test_payloads_use_every_feature(monkeypatch):
         return encode(pixels, transforms, cache_bits, copies)
 
     monkeypatch.setattr(webp, "encode", watched)
-    for k in range(4000):
+    for k in range(8000):
         payload = media.to_payload(f"text number {k} of them, text number {k} of them".encode() * 3)
         assert media.read_back(media.store(payload), len(payload)) == payload
     media.store(media.to_payload(b"abababab" * 40))
