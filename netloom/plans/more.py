@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from netloom.operators import rules
-from netloom.plans.catalog import PACKETS, query
+from netloom.operators import rules, windows
+from netloom.plans.catalog import DAY, PACKETS, query
 from netloom.sources import views
 
 @query("""WITH h AS (SELECT page_id, string_split(rtrim(lower(regexp_extract(url, '://([^/?#]*)', 1)), '.'), '.') AS l FROM pages)
@@ -37,3 +37,18 @@ def w11_bounded_median(spark, d):
     medians = packets.withColumn("place", place).filter("place <= 256").groupBy("src").agg(F.median("original_length").alias("size_median"))
     counts = packets.groupBy("src").agg((F.count(F.lit(1)) <= 256).alias("exact"))
     return medians.join(counts, "src")
+
+
+@query(f"WITH {PACKETS}, l AS (SELECT *, least(ts_ns, coalesce(lag(ts_ns) OVER (PARTITION BY src ORDER BY packet_index), ts_ns)) AS two FROM packets) SELECT packet_index, max(two) OVER (PARTITION BY src ORDER BY packet_index) AS clock FROM l")
+def t4_confirmed_clock(spark, d):
+    return windows.confirmed_clock(views.packets(spark, d), ["src"], "ts_ns", "packet_index").select("packet_index", "clock")
+
+
+@query(f"""WITH {PACKETS}, a AS (SELECT p.src, p.packet_index, p.ts_ns, count(DISTINCT q.dst_port) AS n FROM packets p JOIN packets q ON p.src = q.src AND q.ts_ns BETWEEN p.ts_ns - {3 * DAY} AND p.ts_ns GROUP BY ALL), c AS (SELECT src, min(packet_index) AS crossed, arg_min(ts_ns, packet_index) AS t FROM a WHERE n >= 12 GROUP BY src),
+ b AS (SELECT p.*, crossed, row_number() OVER (PARTITION BY p.src ORDER BY p.packet_index) AS r FROM packets p JOIN c ON p.src = c.src WHERE p.ts_ns >= t - {3 * DAY}) SELECT src, string_agg(CAST(packet_index AS VARCHAR), ',' ORDER BY packet_index) AS cited FROM b WHERE r <= 50 GROUP BY src""")
+def t2_earliest_of_a_crossing(spark, d):
+    packets = views.packets(spark, d)
+    seen = windows.sliding_distinct(packets, ["src"], "ts_ns", "dst_port", 3 * DAY, "packet_index")
+    found = windows.crossings(seen, ["src"], "ts_ns", "packet_index", "n_distinct", 12)
+    shown = windows.cited(packets, found, ["src"], "ts_ns", "packet_index", 3 * DAY, newest=False).filter("place IS NOT NULL")
+    return shown.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "packet_index"))), lambda x: x["packet_index"].cast("string")), ",").alias("cited"))
