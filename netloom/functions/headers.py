@@ -17,16 +17,16 @@ EXTENSIONS, FRAGMENT = (0, 43, 60), 44
 def number(data: Column, at: Column | int, size: int) -> Column:
     """A big-endian number of up to seven bytes; null where the bytes end before it."""
     at = F.lit(at) if isinstance(at, int) else at
-    part = F.substring(data, at + 1, F.lit(size))
-    return F.when(F.octet_length(part) == size, F.conv(F.hex(part), 16, 10).cast("bigint"))
+    return F.when(F.octet_length(data) >= at + size, F.conv(F.hex(F.substring(data, at + 1, F.lit(size))), 16, 10).cast("bigint"))
 
 
 def ones_sum(header: Column) -> Column:
     """The Internet checksum of a header with an even number of bytes: 0 where the one it holds is right."""
     words = F.sequence(F.lit(0), F.floor(F.octet_length(header) / 2).cast("int") - 1)
-    total = F.aggregate(words, F.lit(0).cast("bigint"), lambda a, i: a + number(header, i * 2, 2))
-    once = total.bitwiseAND(65535) + F.shiftright(total, 16)
-    return F.lit(65535) - (once.bitwiseAND(65535) + F.shiftright(once, 16))
+    fold = lambda t: t.bitwiseAND(65535) + F.shiftright(t, 16)
+    # once the sum is one lambda's variable it isn't taken again wherever it stands
+    once = F.aggregate(words, F.lit(0).cast("bigint"), lambda a, i: a + number(header, i * 2, 2), fold)
+    return F.element_at(F.transform(F.array(once), lambda t: F.lit(65535) - fold(t)), 1)
 
 
 def address_text(address: Column) -> Column:
@@ -34,10 +34,14 @@ def address_text(address: Column) -> Column:
     byte = lambda i: number(address, i, 1).cast("string")
     four = F.concat_ws(".", *[byte(i) for i in range(4)])
     groups = F.concat_ws(":", *[F.lower(F.conv(number(address, 2 * i, 2).cast("string"), 10, 16)) for i in range(8)])
-    six = groups
-    for n in range(2, 9):
-        run = rf"(^|:)0(:0){{{n - 1}}}(:|$)"
-        six = F.when(groups.rlike(run), F.regexp_replace(groups, rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)", "$1::")).otherwise(six)
+
+    def shortest(g: Column) -> Column:
+        out = g
+        for n in range(2, 9):
+            out = F.when(g.rlike(rf"(^|:)0(:0){{{n - 1}}}(:|$)"), F.regexp_replace(g, rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?::|$)", "$1::")).otherwise(out)
+        return out
+
+    six = F.element_at(F.transform(F.array(groups), shortest), 1)
     return F.when(F.octet_length(address) == 4, four).when(F.octet_length(address) == 16, six)
 
 
@@ -45,6 +49,11 @@ def mac_text(address: Column) -> Column:
     return F.rtrim(F.regexp_replace(F.lower(F.hex(address)), "(..)", "$1:"), F.lit(":"))
 
 
+def _settled(rows: DataFrame) -> DataFrame:
+    """The same rows, through a generator, so that later steps read these columns and don't repeat the expressions that made them."""
+    return rows.select(F.explode(F.array(F.struct("*"))).alias("row")).select("row.*")
+
+
 def decoded(frames: DataFrame) -> DataFrame:
     """``frames`` (``packet_index``, ``data``, ``original_length``, ``link_type``; others pass through but ``data``) with their headers.
 
@@ -54,8 +63,9 @@ def decoded(frames: DataFrame) -> DataFrame:
     first = number(data, 12, 2)
     second = F.when(first.isin(*VLAN_TYPES), number(data, 16, 2))
     tags = F.when(second.isin(*VLAN_TYPES), 2).when(first.isin(*VLAN_TYPES), 1).otherwise(0)
-    out = out.withColumn("vlan_tags", tags)
+    out = _settled(out.withColumn("vlan_tags", tags))
     out = out.withColumn("ethertype", number(data, 12 + 4 * F.col("vlan_tags"), 2)).withColumn("l3", F.substring(data, 15 + 4 * F.col("vlan_tags"), F.lit(1 << 30)))
+    out = _settled(out)
     l3, kind = F.col("l3"), F.col("ethertype")
     head = (number(l3, 0, 1).bitwiseAND(15) * 4).cast("int")
     out = out.withColumns(
@@ -73,6 +83,7 @@ def decoded(frames: DataFrame) -> DataFrame:
             "target_ip": F.when((kind == ARP) & (number(l3, 2, 2) == IPV4), address_text(F.substring(l3, 25, 4))),
         }
     )
+    out = _settled(out)
     # extension headers: the next header's number, where it begins, and whether a later fragment was met
     begin = F.struct(F.when(kind == IPV4, number(l3, 9, 1)).otherwise(number(l3, 6, 1)).alias("next"), F.col("head").cast("bigint").alias("at"), F.coalesce(F.col("fragment_word").bitwiseAND(0x1FFF) > 0, F.lit(False)).alias("part"))
 
@@ -85,7 +96,9 @@ def decoded(frames: DataFrame) -> DataFrame:
         return F.struct(following.alias("next"), moved.alias("at"), part.alias("part"))
 
     out = out.withColumn("walk", F.when(F.col("family").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(8)), begin, step)))
+    out = _settled(out)
     out = out.withColumns({"protocol": F.col("walk.next").cast("int"), "l4": F.substring(l3, (F.col("walk.at") + 1).cast("int"), F.lit(1 << 30)), "fragment": F.coalesce("walk.part", F.lit(False))})
+    out = _settled(out)
     l4, whole = F.col("l4"), ~F.col("fragment")
     tcp, udp, icmp = (F.coalesce(whole & F.col("protocol").isin(*p), F.lit(False)) for p in ((6,), (17,), (1, 58)))
     room = F.col("ip_length") - F.col("walk.at")
@@ -103,6 +116,7 @@ def decoded(frames: DataFrame) -> DataFrame:
             "echo_id": F.when(echo, number(l4, 4, 2)).cast("int"),
         }
     )
+    out = _settled(out)
     need = F.when(kind == ARP, 28).when(kind == IPV4, 20).when(kind == IPV6, 40)
     short = (F.octet_length(data) < 14) | (F.octet_length(l3) < need) | (F.octet_length(l3) < F.col("head")) | (F.octet_length(l4) < F.when(tcp, 20).when(udp, 8).when(icmp, 4))
     wrong = ((kind > 1500) & (kind < 0x0600)) | (F.col("head") < 20) | (F.col("ip_length") < F.col("head")) | (tcp & ((offset < 20) | (room < offset))) | (udp & ((number(l4, 4, 2) < 8) | (number(l4, 4, 2) > room))) | (F.shiftright(number(l3, 0, 1), 4) != F.col("family"))
@@ -122,15 +136,20 @@ def ethernet_frame(packets: DataFrame) -> DataFrame:
     zeros = F.repeat(F.lit("00"), F.col("payload_length").cast("int"))
     tcp = F.concat(hexed(F.col("src_port"), 2), hexed(F.col("dst_port"), 2), hexed(F.col("seq"), 4), F.lit("00000000"), hexed(F.col("tcp_flags") + 0x5000, 2), F.lit("FFFF00000000"))
     udp = F.concat(hexed(F.col("src_port"), 2), hexed(F.col("dst_port"), 2), hexed(F.col("payload_length") + 8, 2), F.lit("0000"))
-    segment = F.when(F.col("fragment"), F.repeat(F.lit("00"), 16)).otherwise(F.concat(F.when(F.col("protocol") == 6, tcp).otherwise(udp), zeros))
-    length = F.length(segment) / 2
-    four = lambda check: F.concat(F.lit("4500"), hexed(length + 20, 2), F.lit("0001"), F.when(F.col("fragment"), "0003").otherwise("0000"), F.lit("40"), hexed(F.col("protocol"), 1), check, F.hex("src_bin"), F.hex("dst_bin"))
+    whole = F.concat(F.when(F.col("protocol") == 6, tcp).otherwise(udp), zeros)
+    packets = _settled(packets.withColumn("segment", F.when(F.col("fragment"), F.repeat(F.lit("00"), 16)).otherwise(whole)))
+    segment, length = F.col("segment"), F.length("segment") / 2
+    ends = F.concat(F.hex("src_bin"), F.hex("dst_bin"))
+    before = F.concat(F.lit("4500"), hexed(length + 20, 2), F.lit("0001"), F.when(F.col("fragment"), "0003").otherwise("0000"), F.lit("40"), hexed(F.col("protocol"), 1))
+    packets = _settled(packets.withColumns({"before": before, "ends": ends}))
+    four = F.concat("before", hexed(ones_sum(F.unhex(F.concat("before", F.lit("0000"), "ends"))), 2), "ends")
     part = F.when(F.col("fragment"), F.concat(hexed(F.col("protocol"), 1), F.lit("00001800000001"))).otherwise("")
-    six = F.concat(F.lit("60000000"), hexed(length + F.length(part) / 2, 2), F.when(F.col("fragment"), "2C").otherwise(hexed(F.col("protocol"), 1)), F.lit("40"), F.hex("src_bin"), F.hex("dst_bin"), part)
-    ip = F.when(F.octet_length("src_bin") == 16, F.concat(F.lit("86DD"), six)).otherwise(F.concat(F.lit("0800"), four(hexed(ones_sum(F.unhex(four(F.lit("0000")))), 2))))
+    six = F.concat(F.lit("60000000"), hexed(length + F.length(part) / 2, 2), F.when(F.col("fragment"), "2C").otherwise(hexed(F.col("protocol"), 1)), F.lit("40"), "ends", part)
+    ip = F.when(F.octet_length("src_bin") == 16, F.concat(F.lit("86DD"), six)).otherwise(F.concat(F.lit("0800"), four))
     octets = lambda c: F.array_join(F.transform(F.split(c, r"\."), lambda x: hexed(x.cast("int"), 1)), "")
     mac = F.upper(F.regexp_replace("sender_mac", ":", ""))
     arp = F.concat(F.lit("08060001080006040001"), mac, octets(F.col("sender_ip")), F.lit("000000000000"), octets(F.when(F.col("gratuitous"), F.col("sender_ip")).otherwise("192.0.2.99")))
     body = F.when(F.col("src_bin").isNull(), arp).otherwise(F.concat(ip, segment))
     whole = F.unhex(F.concat(F.lit("020000000001020000000002"), body))
-    return packets.select("packet_index", whole.alias("data"), F.octet_length(whole).cast("bigint").alias("original_length"), F.lit(1).alias("link_type"))
+    made = _settled(packets.select("packet_index", whole.alias("data")))
+    return made.select("packet_index", "data", F.octet_length("data").cast("bigint").alias("original_length"), F.lit(1).alias("link_type"))
