@@ -96,7 +96,8 @@ def with_idf(terms: DataFrame, counted: DataFrame, n_docs: int) -> DataFrame:
 def cosines(units: DataFrame, counted: DataFrame, n_docs: int, vectors: DataFrame, threshold: float) -> DataFrame:
     """``(unit_key, best struct(rank, score, license), n_words)`` of distinct ``(unit_key, words)`` rows that reach the threshold.
 
-    The template table has a row for each template and word: its size is the given templates', not the data's."""
+    The template table has a row for each template and word: its size is the given templates', not the data's. Units without
+    words and an empty table give nothing; equal units must be one row."""
     terms = units.select("unit_key", F.explode("words").alias("token")).groupBy("unit_key", "token").agg(F.count(F.lit(1)).alias("tf"))
     terms = with_idf(terms, counted, n_docs).withColumn("x", F.col("tf") * F.col("idf"))
     norms = terms.groupBy("unit_key").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"), F.sum("tf").alias("n_words"))
@@ -152,7 +153,8 @@ def scan_texts(files: DataFrame, templates: dict[str, str] = TEMPLATES, threshol
     """Put ``own`` (best licence of any line, run of words, tag or of the whole text, with its score) and ``is_licence_file`` for ``text``.
 
     A licence file is named like one, or has ``file_share`` or more of its words in licence lines or a licence's run; a tag
-    speaks for its own file only. Equal lines and runs are weighed once, however many texts have them.
+    speaks for its own file only. Equal lines and runs are weighed once, however many texts have them. ``text`` must not be null; an empty
+    one has no licence. Repeated rows stay, ties go to the licence last by name.
     The passages of ``licence_texts`` are added to the templates; those shared by licences count where nothing else is found."""
     items = [(name, 1, text) for name, text in [*templates.items(), *PASSAGES]] + [(name, 0, text) for name, text in SHARED]
     vocabulary = sorted({w for _, _, text in items for w in tokens_of(text)})
@@ -212,7 +214,9 @@ def license_scan(files: DataFrame, templates: dict[str, str] = TEMPLATES, thresh
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:
-    """Documents laid out as a tree: source / language / thousand of the id / id."""
+    """Documents laid out as a tree: source / language / thousand of the id / id.
+
+    A null source or language is ``unknown``; a null id leaves its parts of the path out. Repeated rows stay; other columns are left out."""
     doc_id = F.col("doc_id").cast("bigint")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.floor(doc_id / 1000).cast("string"), F.concat(doc_id.cast("string"), F.lit(".txt")))
     return docs.select(doc_id.alias("file_id"), path.alias("path"), "text")
