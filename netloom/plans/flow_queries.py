@@ -158,9 +158,8 @@ def w27_peak_active(spark, d):
 def w28_flow_sorts(spark, d):
     from netloom.operators import lists
 
-    records = flows.flow_records(flowed(spark, d))
-    pages = [lists.page(lists.sorted_by(records, lists.FLOW_SORTS, by), 1, 20).select("first_packet") for by in lists.FLOW_SORTS]
-    return lists.labelled_pages(dict(zip(lists.FLOW_SORTS, pages, strict=True)))
+    orders = {"start": -F.col("first_seen_ns"), "bytes": F.col("bytes_total"), "packets": F.col("packets_total"), "duration": F.col("last_seen_ns") - F.col("first_seen_ns")}
+    return lists.top_by(flows.flow_records(flowed(spark, d)), orders, "first_packet", 20)
 
 
 @query(f"""WITH RECURSIVE {WALK}, told AS (SELECT lower(dns_query) AS name, dns_answer_ip AS ip, min(packet_index) AS seen_at FROM wire WHERE dns_answer_ip IS NOT NULL GROUP BY ALL),

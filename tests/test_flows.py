@@ -31,7 +31,7 @@ def capture(spark):
 
 
 def records(spark, packets, span=1 << 20):
-    flowed = flows.flows_of(packets, span=span)
+    flowed = flows.flows_of(packets, span=span).cache()
     done = flows.end_reasons(flows.flow_records(flowed), flows.tcp_summary(flowed).select("first_packet", "tcp_state"), packets.agg(F.max("ts_ns")))
     return flowed, {r["first_packet"]: r for r in done.collect()}
 
@@ -64,10 +64,11 @@ def test_ranges_change_nothing(spark):
         src, dst = rng.choice([(a, b), (b, a)])
         rows.append(packet(i + 1, at, src, dst, 6, rng.choice([2, 16, 17, 4, 18]), rng.choice([0, 10]), rng.choice([1, 2])))
     packets = spark.createDataFrame(rows, SCHEMA)
+    built = {span: records(spark, packets, span) for span in (3, 1 << 20)}
     for look in (
-        lambda span: [(k, tuple(map(str, r))) for k, r in sorted(records(spark, packets, span)[1].items())],
-        lambda span: sorted((r["first_packet"], r["duplicates"]) for r in flows.repeated_segments(flows.flows_of(packets, span=span), span).collect()),
-        lambda span: sorted((r["packet_index"], r["gap_s"]) for r in flows.arrival_gaps(flows.flows_of(packets, span=span), span).select("packet_index", F.coalesce("gap_s", F.lit(-1.0)).alias("gap_s")).collect()),
+        lambda span: [(k, tuple(map(str, r))) for k, r in sorted(built[span][1].items())],
+        lambda span: sorted((r["first_packet"], r["duplicates"]) for r in flows.repeated_segments(built[span][0], span).collect()),
+        lambda span: sorted((r["packet_index"], r["gap_s"]) for r in flows.arrival_gaps(built[span][0], span).select("packet_index", F.coalesce("gap_s", F.lit(-1.0)).alias("gap_s")).collect()),
         lambda span: sorted((r["packet_index"], r["session"]) for r in flows.sessionize(flows.with_clock(packets), ["protocol"], 10 * S, span=span).collect()),
     ):
         assert look(3) == look(1 << 20)
