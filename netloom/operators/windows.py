@@ -75,3 +75,20 @@ def confirmed_clock(rows: DataFrame, key: list[str], ts: str, order: str) -> Dat
     w = Window.partitionBy(*key).orderBy(order)
     two = F.least(F.col(ts), F.coalesce(F.lag(ts).over(w), F.col(ts)))
     return rows.withColumn("__two", two).withColumn("clock", F.max("__two").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__two")
+
+
+def values_at_crossing(rows: DataFrame, found: DataFrame, key: list[str], ts: str, order: str, value: str, width: int, shown: int = 8) -> DataFrame:
+    """The key, the window's distinct values where it crossed (the least ``shown`` of them) and how many more there were.
+
+    Equal values of a key are one row before they are ranked, and no more than ``shown`` are put side by side."""
+    inside = rows.join(found.select(*key, "crossed_ns", "crossed"), key).filter((F.col(ts) >= F.col("crossed_ns") - width) & ((F.col(ts) < F.col("crossed_ns")) | ((F.col(ts) == F.col("crossed_ns")) & (F.col(order) <= F.col("crossed")))))
+    each = inside.select(*key, value).distinct()
+    counts = each.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    first = each.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(value))).filter(F.col("rank") <= shown)
+    listed = first.groupBy(*key).agg(F.array_sort(F.collect_list(value)).alias("values"))
+    return listed.join(counts, key).select(*key, "values", F.greatest(F.col("n") - shown, F.lit(0)).alias("more"))
+
+
+def within_reach(rows: DataFrame, key: list[str], ts: str, order: str, width: int) -> DataFrame:
+    """Rows with ``evaluated``: false where the time lies over ``width`` past the confirmed clock, as one wrong time does."""
+    return confirmed_clock(rows, key, ts, order).withColumn("evaluated", F.col(ts) <= F.col("clock") + width)

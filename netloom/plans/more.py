@@ -52,3 +52,20 @@ def t2_earliest_of_a_crossing(spark, d):
     found = windows.crossings(seen, ["src"], "ts_ns", "packet_index", "n_distinct", 12)
     shown = windows.cited(packets, found, ["src"], "ts_ns", "packet_index", 3 * DAY, newest=False).filter("place IS NOT NULL")
     return shown.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "packet_index"))), lambda x: x["packet_index"].cast("string")), ",").alias("cited"))
+
+
+@query(f"""WITH {PACKETS}, a AS (SELECT p.src, p.packet_index, p.ts_ns, count(DISTINCT q.dst_port) AS n FROM packets p JOIN packets q ON p.src = q.src AND q.ts_ns BETWEEN p.ts_ns - {3 * DAY} AND p.ts_ns GROUP BY ALL), c AS (SELECT src, min(packet_index) AS crossed, arg_min(ts_ns, packet_index) AS t FROM a WHERE n >= 12 GROUP BY src),
+ v AS (SELECT DISTINCT p.src, dst_port FROM packets p JOIN c ON p.src = c.src AND p.packet_index <= crossed AND p.ts_ns >= t - {3 * DAY}), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst_port) AS r FROM v)
+ SELECT src, string_agg(CAST(dst_port AS VARCHAR), ',' ORDER BY dst_port) FILTER (r <= 8) AS listed, greatest(count(*) - 8, 0) AS more FROM r GROUP BY src""")
+def t3_values_at_crossing(spark, d):
+    packets = views.packets(spark, d)
+    seen = windows.sliding_distinct(packets, ["src"], "ts_ns", "dst_port", 3 * DAY, "packet_index")
+    found = windows.crossings(seen, ["src"], "ts_ns", "packet_index", "n_distinct", 12)
+    out = windows.values_at_crossing(packets, found, ["src"], "ts_ns", "packet_index", "dst_port", 3 * DAY)
+    return out.select("src", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("listed"), "more")
+
+
+@query(f"WITH {PACKETS}, l AS (SELECT *, least(ts_ns, coalesce(lag(ts_ns) OVER (PARTITION BY src ORDER BY packet_index), ts_ns)) AS two FROM packets), k AS (SELECT *, max(two) OVER (PARTITION BY src ORDER BY packet_index) AS clock FROM l) SELECT src, count(*) FILTER (ts_ns > clock + {DAY // 2}) AS dropped FROM k GROUP BY src")
+def t5_far_future(spark, d):
+    rows = windows.within_reach(views.packets(spark, d), ["src"], "ts_ns", "packet_index", DAY // 2)
+    return rows.groupBy("src").agg(F.count_if(~F.col("evaluated")).alias("dropped"))
