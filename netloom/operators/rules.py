@@ -84,13 +84,13 @@ def window_alerts(rows: DataFrame, rule: WindowRule, ts: str, order: str, last:
     grouped = bearing.groupBy(*rule.key).agg(
         F.min(ts).alias("first_seen_ns"),
         F.max(last or ts).alias("last_seen_ns"),
+        F.first("peak").alias("peak"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct(F.col("place"), F.col(order).alias("id"))))), lambda x: x["id"]).alias("related"),
     )
-    out = grouped.join(found.select(*rule.key, "peak"), list(rule.key))
     shown = {name: F.col(column) for name, column in (("source", rule.source), ("destination", rule.destination), ("destination_port", rule.port)) if column}
     facts = evidence(**{rule.evidence: F.col("peak"), "threshold": F.lit(rule.threshold), "window_s": F.lit(rule.width_ns // 1_000_000_000)})
     confidence = F.when(F.col("peak") >= 2 * rule.threshold, "high").otherwise("medium")
-    return shaped(out.withColumns({"confidence": confidence, "evidence": facts} | shown), rule.rule)
+    return shaped(grouped.withColumns({"confidence": confidence, "evidence": facts} | shown), rule.rule)
 
 
 def cited_group(order: str = "flow_id", limit: int = CITATIONS) -> list[Column]:

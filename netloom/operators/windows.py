@@ -52,19 +52,18 @@ def crossings(windowed: DataFrame, key: list[str], ts: str, order: str, value: s
 
 
 def cited(rows: DataFrame, found: DataFrame, key: list[str], ts: str, order: str, width: int, newest: bool, limit: int = 50) -> DataFrame:
-    """The rows of crossing keys that bear on their alert, with ``place`` (1 to ``limit`` where cited, else null).
+    """The rows of crossing keys that bear on their alert, with the columns of ``found`` and ``place`` (1 to ``limit`` where cited, else null).
 
     Cited are rows in the window of the crossing row, the ``newest`` or the oldest ``limit`` of them, then later rows of the key
     whenever they come, until there are ``limit``. Later rows beyond that are kept too, since they move an alert's last time."""
-    joined = rows.join(found.select(*key, "crossed_ns", "crossed"), key)
+    joined = rows.join(found, key)
     later = (F.col(ts) > F.col("crossed_ns")) | ((F.col(ts) == F.col("crossed_ns")) & (F.col(order) > F.col("crossed")))
     joined = joined.withColumn("later", later).filter(F.col("later") | (F.col(ts) >= F.col("crossed_ns") - width))
     # rank within the window from the end that is kept, and among later rows in order
     sign = F.when(F.col("later") | F.lit(not newest), 1).otherwise(-1)
     w = Window.partitionBy(*key, "later").orderBy(F.col(ts) * sign, F.col(order) * sign)
-    ranked = joined.withColumn("rank", F.row_number().over(w))
-    held = ranked.filter(~F.col("later")).groupBy(*key).agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("held"))
-    ranked = ranked.join(held, key)
+    held = F.least(F.count_if(~F.col("later")).over(Window.partitionBy(*key)), F.lit(limit))
+    ranked = joined.withColumn("held", held).withColumn("rank", F.row_number().over(w))
     place = F.when(F.col("later"), F.col("held") + F.col("rank")).otherwise(F.col("held") + 1 - F.col("rank") if newest else F.col("rank"))
     shown = F.when(F.col("later"), F.col("held") + F.col("rank") <= limit).otherwise(F.col("rank") <= limit)
     return ranked.withColumn("place", F.when(shown, place)).drop("rank", "held")
