@@ -44,3 +44,21 @@ QUALITY_RULES = f"""WITH a AS (SELECT doc_id, coalesce(text, '') AS text FROM do
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND word_chars / d >= 2 AND word_chars / d <= 40 AND n_symbols / d <= 0.1 AND n_marks / d <= 0.2 AND n_dup_lines / l <= 0.3
    AND n_bullets / l <= 0.9 AND n_one_word / l <= 0.8 AND (n_words < 40 OR n_stop / d >= 0.02) AS kept FROM f"""
+
+#: Every order is applied by counting documents; sums over all orders are taken from them.
+FILTER_AUDIT = """WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+ w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \\t-\\r]+'), lambda x: x <> '') AS words FROM t),
+ f AS (SELECT doc_id, part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b, 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c,
+  regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM w),
+ l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+ g AS (SELECT part, [a, b, c, d, e] AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic FROM f LEFT JOIN l USING (doc_id)),
+ n AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+ o AS (SELECT p.x || q.x || r.x || s.x || u.x AS filter_order FROM n p JOIN n q ON q.x <> p.x JOIN n r ON r.x NOT IN (p.x, q.x) JOIN n s ON s.x NOT IN (p.x, q.x, r.x) JOIN n u ON u.x NOT IN (p.x, q.x, r.x, s.x)),
+ k AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+ j AS (SELECT *, ascii(filter_order[step]) - 64 AS own, list_transform(range(1, step), lambda i: ascii(filter_order[i]) - 64) AS earlier FROM k),
+ m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM g GROUP BY part, fails),
+ x AS (SELECT part, filter_order, step, own, n, good, toxic, fails[own] AS fails_it, len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda i: i)) = 1 AS alone FROM m, j),
+ y AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT gone AND NOT fails_it), 0) AS kept, coalesce(sum(n) FILTER (fails_it AND NOT gone), 0) AS removed, coalesce(sum(n) FILTER (fails_it AND gone), 0) AS redundant,
+  coalesce(sum(n) FILTER (fails_it AND alone), 0) AS unique_fails, coalesce(sum(good) FILTER (fails_it AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails_it AND NOT gone), 0) AS toxic_lost FROM x GROUP BY ALL)
+ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM y"""
