@@ -62,3 +62,22 @@ FILTER_AUDIT = """WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce
   coalesce(sum(n) FILTER (fails_it AND alone), 0) AS unique_fails, coalesce(sum(good) FILTER (fails_it AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails_it AND NOT gone), 0) AS toxic_lost FROM x GROUP BY ALL)
  SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
   CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM y"""
+
+
+def vector_codes() -> str:
+    """All rounds written out: parts of integer vectors as lists, every distance by a plain sum."""
+    distance = "list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = [
+        """k AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ v AS MATERIALIZED (SELECT vec_id, label, part, x[part * len(x) // 8 + 1 : (part + 1) * len(x) // 8] AS x FROM k, (SELECT unnest(range(0, 8)) AS part)),
+ b0 AS MATERIALIZED (SELECT part, e, x FROM v JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < 16) USING (vec_id))"""
+    ]
+    for r in range(7):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT v.vec_id, v.label, v.part, v.x, arg_min(b.e, d * 16 + b.e) AS e, min(d) AS d FROM v JOIN b{r} b ON b.part = v.part, LATERAL (SELECT CAST({distance} AS BIGINT) AS d) GROUP BY ALL)")
+        if r < 6:
+            steps.append(f"m{r} AS (SELECT part, e, i, sum(y) AS total, count(*) AS n FROM (SELECT part, e, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY ALL)")
+            steps.append(f"""b{r + 1} AS MATERIALIZED (SELECT part, e, coalesce(n.x, o.x) AS x FROM b{r} o LEFT JOIN (SELECT part, e, list(CAST((total - ((total % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM m{r} GROUP BY part, e) n USING (part, e))""")
+    return "WITH " + ",\n ".join(steps) + """,
+ h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b6),
+ c AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id, label)
+ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, h"""

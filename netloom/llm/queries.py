@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_audit, licenses, lm_scoring, media, mixing, ngram_join, oracle, packing, pu_quality, quality_rules, toxicity, url_rules
+from . import filter_audit, licenses, lm_scoring, media, mixing, ngram_join, oracle, packing, pu_quality, quality_rules, toxicity, url_rules, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +60,13 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_lm_scoring, op4_pu_quality, op5_best_fit_packing, op6_url_rules, op7_media_columns, op8_quality_rules, op9_toxicity, op10_license_scan, op11_filter_audit)
+    for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_lm_scoring, op4_pu_quality, op5_best_fit_packing, op6_url_rules, op7_media_columns, op8_quality_rules, op9_toxicity, op10_license_scan, op11_filter_audit, op12_vector_codes)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": oracle.MIX, "op2_ngram_jaccard_join": oracle.NGRAM_JOIN, "op8_quality_rules": oracle.QUALITY_RULES, "op11_filter_audit": oracle.FILTER_AUDIT}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": oracle.MIX, "op2_ngram_jaccard_join": oracle.NGRAM_JOIN, "op8_quality_rules": oracle.QUALITY_RULES, "op11_filter_audit": oracle.FILTER_AUDIT, "op12_vector_codes": oracle.vector_codes()}
