@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import filter_audit, licenses, lm_scoring, media, mixing, ngram_join, oracle, packing, pu_quality, quality_rules, toxicity, url_rules, vector_codes
+from . import filter_audit, licenses, lm_scoring, media, mixing, ngram_join, oracle, packing, pu_quality, quality_rules, repeats, toxicity, url_rules, vector_codes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,9 +64,13 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_lm_scoring, op4_pu_quality, op5_best_fit_packing, op6_url_rules, op7_media_columns, op8_quality_rules, op9_toxicity, op10_license_scan, op11_filter_audit, op12_vector_codes)
+    for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_lm_scoring, op4_pu_quality, op5_best_fit_packing, op6_url_rules, op7_media_columns, op8_quality_rules, op9_toxicity, op10_license_scan, op11_filter_audit, op12_vector_codes, op13_suffix_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_mix_sources": oracle.MIX, "op2_ngram_jaccard_join": oracle.NGRAM_JOIN, "op8_quality_rules": oracle.QUALITY_RULES, "op11_filter_audit": oracle.FILTER_AUDIT, "op12_vector_codes": oracle.vector_codes()}
