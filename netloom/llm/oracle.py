@@ -81,3 +81,14 @@ def vector_codes() -> str:
  h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b6),
  c AS (SELECT vec_id, label, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a6 GROUP BY vec_id, label)
  SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM c, h"""
+
+
+#: Every window of 200 bytes, as hexadecimal digits, is counted; places of those that stand twice are joined to runs.
+SUFFIX_DEDUP = """WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+ w AS (SELECT doc_id, i, md5(substring(h, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM t WHERE n >= 200)),
+ r AS (SELECT doc_id, i FROM w WHERE m IN (SELECT m FROM w GROUP BY m HAVING count(*) > 1)),
+ g AS (SELECT doc_id, i, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS fresh FROM r)),
+ s AS (SELECT doc_id, k, min(i) AS b, max(i) + 200 AS e FROM g GROUP BY doc_id, k),
+ p AS (SELECT doc_id, k, b, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY k), 0) AS from_ FROM s),
+ a AS (SELECT doc_id, t.n, string_agg(substring(h, 2 * from_ + 1, 2 * (b - from_)), '' ORDER BY k) AS head, sum(e - b) AS gone, count(*) AS spans, max(e) AS last FROM p JOIN t USING (doc_id) GROUP BY doc_id, t.n)
+ SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM t LEFT JOIN a USING (doc_id)"""

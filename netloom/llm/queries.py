@@ -73,4 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_mix_sources, op2_ngram_jaccard_join, op3_lm_scoring, op4_pu_quality, op5_best_fit_packing, op6_url_rules, op7_media_columns, op8_quality_rules, op9_toxicity, op10_license_scan, op11_filter_audit, op12_vector_codes, op13_suffix_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_mix_sources": oracle.MIX, "op2_ngram_jaccard_join": oracle.NGRAM_JOIN, "op8_quality_rules": oracle.QUALITY_RULES, "op11_filter_audit": oracle.FILTER_AUDIT, "op12_vector_codes": oracle.vector_codes()}
+ORACLE_SQL: dict[str, str] = {"op1_mix_sources": oracle.MIX, "op2_ngram_jaccard_join": oracle.NGRAM_JOIN, "op8_quality_rules": oracle.QUALITY_RULES, "op11_filter_audit": oracle.FILTER_AUDIT, "op12_vector_codes": oracle.vector_codes(), "op13_suffix_dedup": oracle.SUFFIX_DEDUP}
