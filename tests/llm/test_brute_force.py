@@ -20,7 +20,7 @@ def words(text):
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "labels", "pages"):
+    for table in ("documents", "labels", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     got = queries.QUERIES[name](spark, SMALL)
     wanted = con.execute(queries.ORACLE_SQL[name])
