@@ -26,7 +26,7 @@ from ._store import discard, look_up, materialize, release
 #: Bytes of a repeated string, and of an anchor within it.
 LEAST, GRAM = 200, 40
 #: Different slices of one key in a block, and bytes of slices that are compared at once.
-BLOCK, CHUNK = 4096, 2 << 20
+BLOCK, CHUNK = 1024, 1 << 20
 #: Bits of a place within a piece of text; the rest of 64 are the anchor's hash.
 PLACE_BITS = 20
 PIECE = (1 << PLACE_BITS) - 1024
