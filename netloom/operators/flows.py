@@ -1,59 +1,40 @@
-"""Flow reconstruction: the capture's clock, idle-gap sessions, flows of a bidirectional key, their records, and names as of their start."""
+"""Flow reconstruction: idle-gap sessions, flows of a bidirectional key, their records, and names as of their start."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.stored import materialize
+
+from .clock import FORWARD, RANGE, TOLERANCE, clocked, ranged_maximum
+from .flow_starts import ACK, BASES, ENTRY, ENTRY_SCHEMA, EXIT_SCHEMA, FIN, RST, SYN, Idle, entries, exits, starts
 from .ranges import SPAN, carry
 
 SECOND = 1_000_000_000
 # Idle times that end a flow, by what it is.
 TCP_IDLE, OTHER_IDLE, FINISHED_LINGER = 300 * SECOND, 60 * SECOND, 10 * SECOND
-FIN, SYN, RST, ACK = 1, 2, 4, 16
-
 
-def with_clock(packets: DataFrame, order: str = "packet_index", ts: str = "ts_ns", span: int = 4096) -> DataFrame:
-    """Add ``clock``, the running maximum of ``ts`` in ``order``.
 
-    In two steps, so that no task sees all rows: the maximum of each range of ``span`` indexes, a running
-    maximum over those, then one within each range."""
-    ranged = packets.withColumn("__range", F.floor(F.col(order) / span))
-    tops = ranged.groupBy("__range").agg(F.max(ts).alias("top"))
-    # ranges are few; their running maximum is taken in blocks of ranges again
-    blocks = tops.withColumn("__block", F.floor(F.col("__range") / span))
-    block_tops = blocks.groupBy("__block").agg(F.max("top").alias("block_top")).withColumn("before_block", F.max("block_top").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))).select("__block", "before_block")
-    earlier = F.max("top").over(Window.partitionBy("__block").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    starts = blocks.withColumn("__own", earlier).join(block_tops, "__block").select("__range", F.greatest("__own", "before_block").alias("__start"))
-    running = F.max(ts).over(Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return ranged.join(starts, "__range").withColumn("clock", F.greatest(running, "__start")).drop("__range", "__start")
+def with_clock(packets: DataFrame, order: str = "packet_index", ts: str = "ts_ns", span: int = RANGE) -> DataFrame:
+    """Add ``clock``, the running maximum of ``ts`` in ``order``; ``clock.clocked`` is the same but for times that are far off."""
+    return ranged_maximum(packets, order, ts, span).withColumn("clock", F.greatest(ts, "before")).drop("before")
 
 
 def sessionize(packets: DataFrame, key: list[str], timeout: Column | int, order: str = "packet_index", span: int = SPAN, name: str = "session") -> DataFrame:
     """Add ``session``, numbered from 0 per key: a new one begins where the clock is over ``timeout`` past its last.
 
-    Keys are cut into ranges of ``span`` indexes, which hand on their last clock and their number of sessions."""
-    cut = packets.withColumn("__part", F.floor(F.col(order) / span))
-    cut = carry(cut, key, "__part", __last=(F.max, F.col("clock")))
-    w = Window.partitionBy(*key, "__part").orderBy(order)
-    gap = F.col("clock") - F.coalesce(F.lag("clock").over(w), "__last")
-    cut = cut.withColumn("__new", F.coalesce((gap > timeout).cast("int"), F.lit(0)))
-    cut = carry(cut, key, "__part", __before=(F.sum, F.col("__new")))
-    return cut.withColumn(name, F.coalesce("__before", F.lit(0)) + F.sum("__new").over(w)).drop("__new", "__part", "__last", "__before")
-
-
-def idle_runs(packets: DataFrame, key: list[str], timeout: Column | int, order: str = "packet_index", span: int = SPAN) -> DataFrame:
-    """As ``sessionize``, but a session is named by the index of its first packet, ``run_first``, which no other one has."""
-    cut = packets.withColumn("__part", F.floor(F.col(order) / span))
-    cut = carry(cut, key, "__part", __last=(F.max, F.col("clock")))
+    Keys are cut into ranges of ``span`` indexes. A range is a row of its first and last clock and the sessions that begin within
+    it; those rows give each range the number of its first session."""
+    cut = packets.withColumn("__part", F.floor(F.col(order) / span)).withColumn("__limit", timeout if isinstance(timeout, Column) else F.lit(timeout))
     w = Window.partitionBy(*key, "__part").orderBy(order)
-    gap = F.col("clock") - F.coalesce(F.lag("clock").over(w), "__last")
-    cut = cut.withColumn("__start", F.when(gap.isNull() | (gap > timeout), F.col(order)))
-    cut = carry(cut, key, "__part", __handed=(F.max, F.col("__start")))
-    return cut.withColumn("run_first", F.greatest(F.max("__start").over(w), "__handed")).drop("__part", "__last", "__start", "__handed")
+    cut = cut.withColumn("__new", F.coalesce((F.col("clock") - F.lag("clock").over(w) > F.col("__limit")).cast("int"), F.lit(0)))
+    ends = cut.groupBy(*key, "__part").agg(F.min("clock").alias("__first"), F.max("clock").alias("__last"), F.sum("__new").alias("__n"), F.first("__limit").alias("__limit"))
+    v = Window.partitionBy(*key).orderBy("__part")
+    ends = ends.withColumn("__begins", F.coalesce((F.col("__first") - F.lag("__last").over(v) > F.col("__limit")).cast("int"), F.lit(0)))
+    first = F.sum(F.col("__begins") + F.col("__n")).over(v.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    numbered = cut.join(ends.select(*key, "__part", first.alias("__before")), [*key, "__part"])
+    return numbered.withColumn(name, F.col("__before") + F.sum("__new").over(w)).drop("__new", "__part", "__limit", "__before")
 
 
 def session_statistics(sessions: DataFrame, key: list[str], ts: str = "ts_ns", size: str = "original_length", span: int = SPAN) -> DataFrame:
@@ -113,64 +94,49 @@ def observed(packets: DataFrame) -> DataFrame:
     return seen.withColumn("has_tcp", F.coalesce((F.col("protocol") == 6) & F.col("tcp_flags").isNotNull(), F.lit(False)))
 
 
-KEY = ["protocol", "a", "b"]
+#: Packet indexes in a part of a key; as many packets are walked at once at most.
+PART = 1 << 18
 
 
-def _flow_starts(linger: int):
-    """Mark where flows begin within runs of one key, rows in order; the state is that of one flow, however long the run."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, fins, reset, tracked, clock = None, set(), False, False, 0
-        for batch in batches:
-            starts = []
-            for key, from_a, flags, now in zip(*[batch.column(c).to_pylist() for c in ("run_first", "from_a", "flags", "clock")], strict=True):
-                finished = tracked and (reset or len(fins) == 2)
-                opening = flags is not None and flags & (SYN | ACK) == SYN
-                begins = key != last or finished and (opening or now - clock > linger)
-                if begins:
-                    last, fins, reset, tracked = key, set(), False, flags is not None
-                if tracked and flags is not None:
-                    reset = reset or bool(flags & RST)
-                    if flags & FIN:
-                        fins.add(from_a)
-                clock = now
-                starts.append(begins)
-            yield pa.RecordBatch.from_arrays([batch.column("packet_index"), pa.array(starts, pa.bool_())], ["packet_index", "starts"])
-
-    return run
-
-
-def flows_of(packets: DataFrame, tcp_idle: int = TCP_IDLE, other_idle: int = OTHER_IDLE, linger: int = FINISHED_LINGER, span: int = SPAN) -> DataFrame:
+def flows_of(packets: DataFrame, tcp_idle: int = TCP_IDLE, other_idle: int = OTHER_IDLE, linger: int = FINISHED_LINGER, span: int = PART, tolerance: int = TOLERANCE) -> DataFrame:
     """Each packet with its flow: ``first_packet`` (the index of its flow's first packet, which names the flow), ``initiator``,
-    ``basis`` and ``forward``.
-
-    A gap over the protocol's idle time always ends a flow, so keys are first cut into runs by it, without any state. In
-    a TCP run a finished flow (reset, or FIN from both sides) also ends after ``linger`` or at a SYN without ACK; that depends
-    on where the flow began and is a fold over the run's rows in order, with one flow's state. Runs, not keys, are
-    dealt to tasks. Packets without an address are left out, and indexes are unique."""
-    idle = F.when(F.col("protocol") == 6, tcp_idle).otherwise(other_idle)
-    runs = idle_runs(observed(with_clock(packets)), KEY, idle, span=span)
-    tcp = runs.filter("protocol = 6").select("run_first", "packet_index", "from_a", F.when(F.col("has_tcp"), F.col("tcp_flags")).alias("flags"), "clock")
-    starts = tcp.repartition("run_first").sortWithinPartitions("run_first", "packet_index").mapInArrow(_flow_starts(linger), "packet_index bigint, starts boolean")
-    marked = runs.join(starts.filter("starts"), "packet_index", "left").withColumn("__part", F.floor(F.col("packet_index") / span))
-    flags = F.when(F.col("has_tcp"), F.col("tcp_flags")).otherwise(0).bitwiseAND(SYN | ACK)
-    basis = F.when(flags == SYN, "tcp_syn").when(flags == SYN | ACK, "tcp_syn_ack").otherwise("first_packet")
-    starter = F.when(flags == SYN | ACK, F.col("dst")).otherwise(F.col("src"))
-    opened = F.struct(F.col("packet_index").alias("first_packet"), starter.alias("initiator"), basis.alias("basis"))
-    marked = marked.withColumn("opened", F.when(F.col("starts") | (F.col("packet_index") == F.col("run_first")), opened))
-    marked = carry(marked, ["run_first"], "__part", __handed=(F.max, F.col("opened")))
-    w = Window.partitionBy("run_first", "__part").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, 0)
-    flowed = marked.withColumn("flow", F.coalesce(F.last("opened", ignorenulls=True).over(w), "__handed"))
-    flowed = flowed.select("*", "flow.first_packet", "flow.initiator", "flow.basis").drop("flow", "opened", "starts", "__part", "__handed")
-    return flowed.withColumn("forward", F.col("src") == F.col("initiator"))
+    ``basis`` and ``forward``; and with the clock's columns (packets that have them already are ``clock.clocked``) and ``valid_ns``, the time if it counts.
+
+    A flow ends after its protocol's idle time; if it is finished, after ``linger`` or at a SYN without ACK; and at a jump back of the clock.
+    A held time that a jump forward confirms is its flow's last. Packets without an address are left out, and indexes are unique.
+    A key's packets are walked by parts of ``span`` indexes (``flow_starts``), so a key with all packets is many tasks."""
+    idle = Idle(tcp_idle, other_idle, linger)
+    table = packets if "clock" in packets.columns else clocked(packets, tolerance)
+    seen = observed(table).withColumn("valid_ns", F.when(~F.col("held") | (F.col("confirmed") > 0), F.col("ts_ns")))
+    key = F.concat_ws("|", "epoch", "protocol", F.hex("a.bin"), "a.port", F.hex("b.bin"), "b.port")
+    reached = F.greatest("clock", F.when(F.col("confirmed") == FORWARD, F.col("ts_ns")))
+    part, flags = F.floor(F.col("packet_index") / span), F.when(F.col("has_tcp"), F.col("tcp_flags")).cast("int")
+    rows = seen.select(F.encode(key, "utf-8").alias("key"), part.alias("part"), "packet_index", F.col("protocol").cast("int").alias("protocol"), "clock", reached.alias("reached"), "from_a", flags.alias("flags"), F.struct("*").alias("row"))
+    ends = table.agg(F.min(part).alias("first"), F.max(part).alias("last")).first()
+    if ends["first"] == ends["last"]:
+        dealt = rows.withColumns({f"in_{c}": F.lit(0).cast("bigint") for c in ENTRY})
+    else:
+        places = rows.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n")).drop("n")
+        several = places.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high").select("key")
+        walked = rows.drop("row").join(places.join(several, "key"), ["key", "part"], "left_semi")
+        left = walked.repartition("key", "part").sortWithinPartitions("key", "part", "packet_index").mapInArrow(exits(idle), EXIT_SCHEMA)
+        entered = materialize(left.repartition("key").sortWithinPartitions("key", "part").mapInArrow(entries(idle), ENTRY_SCHEMA), "flow-entries")
+        dealt = rows.join(entered, ["key", "part"], "left")
+    row = rows.schema["row"].dataType.simpleString()
+    out = dealt.repartition("key", "part").sortWithinPartitions("key", "part", "packet_index").mapInArrow(starts(idle), f"row {row}, first_packet bigint, a_began boolean, basis int")
+    out = out.select("row.*", "first_packet", "a_began", F.element_at(F.array(*map(F.lit, BASES)), F.col("basis") + 1).alias("basis"))
+    return out.withColumns({"initiator": F.when(F.col("a_began"), F.col("a")).otherwise(F.col("b")), "forward": F.col("from_a") == F.col("a_began")}).drop("a_began")
 
 
 def arrival_gaps(flowed: DataFrame, span: int = SPAN) -> DataFrame:
-    """Add ``earlier_ns``, the greatest earlier time of the flow, and ``gap_s`` from it, 0 for a packet out of order, null for the first."""
-    cut = carry(flowed.withColumn("__part", F.floor(F.col("packet_index") / span)), ["first_packet"], "__part", __top=(F.max, F.col("ts_ns")))
-    before = F.max("ts_ns").over(Window.partitionBy("first_packet", "__part").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, -1))
+    """Add ``earlier_ns``, the greatest earlier time of the flow that counts, and ``gap_s`` from it, 0 for a packet out of order; null
+    for the first, and for a time that was held when it came. ``out_of_order`` says that it lies before ``earlier_ns``."""
+    cut = carry(flowed.withColumn("__part", F.floor(F.col("packet_index") / span)), ["first_packet"], "__part", __top=(F.max, F.col("valid_ns")))
+    before = F.max("valid_ns").over(Window.partitionBy("first_packet", "__part").orderBy("packet_index").rowsBetween(Window.unboundedPreceding, -1))
     out = cut.withColumn("earlier_ns", F.greatest(before, "__top"))
-    return out.withColumn("gap_s", F.when(F.col("earlier_ns").isNotNull(), F.greatest(F.col("ts_ns") - F.col("earlier_ns"), F.lit(0)) / 1e9)).drop("__part", "__top")
+    counts = F.col("earlier_ns").isNotNull() & ~F.col("held")
+    gap = F.when(counts, F.greatest(F.col("ts_ns") - F.col("earlier_ns"), F.lit(0)) / 1e9)
+    return out.withColumns({"gap_s": gap, "out_of_order": F.coalesce(counts & (F.col("ts_ns") < F.col("earlier_ns")), F.lit(False))}).drop("__part", "__top")
 
 
 def repeated_segments(flowed: DataFrame, span: int = SPAN) -> DataFrame:
@@ -235,10 +201,11 @@ def flow_records(flowed: DataFrame) -> DataFrame:
         F.first("initiator").alias("initiator"),
         F.first(F.when(F.col("a") == F.col("initiator"), F.col("b")).otherwise(F.col("a"))).alias("responder"),
         F.first("basis").alias("basis"),
-        F.first(F.struct("protocol", "a", "b")).alias("flow_key"),
-        F.min("ts_ns").alias("first_seen_ns"),
-        F.max("ts_ns").alias("last_seen_ns"),
-        F.max("clock").alias("last_clock"),
+        F.first(F.struct("epoch", "protocol", "a", "b")).alias("flow_key"),
+        F.first("epoch").alias("epoch"),
+        F.min("valid_ns").alias("first_seen_ns"),
+        F.max("valid_ns").alias("last_seen_ns"),
+        F.max(F.greatest("clock", F.when(F.col("confirmed") == FORWARD, F.col("ts_ns")))).alias("last_clock"),
         F.count(one).alias("packets_total"),
         F.sum("original_length").cast("bigint").alias("bytes_total"),
         side(one, True).alias("packets_initiator"),
@@ -253,22 +220,34 @@ def flow_records(flowed: DataFrame) -> DataFrame:
         F.stddev_pop("original_length").alias("size_stddev"),
         F.count_if(F.col("ts_ns").isNull()).alias("missing_timestamp"),
         F.count_if(F.col("fragment")).alias("fragments"),
+        F.count_if(F.col("protocol").isin(6, 17) & ~F.col("fragment") & F.col("src_port").isNull()).alias("missing_transport"),
+        F.count_if(F.col("held") & (F.col("confirmed") == 0)).alias("timestamp_outliers"),
     )
     shown = records.withColumns({f"{end}_{x}": F.col(f"{end}.{x}") for end in ("initiator", "responder") for x in ("ip", "bin", "port")}).drop("initiator", "responder")
     duration = F.coalesce((F.col("last_seen_ns") - F.col("first_seen_ns")) / 1e9, F.lit(0.0))
     return shown.withColumns({"duration_s": duration, "dominant": dominant_side(F.col("bytes_initiator"), F.col("bytes_responder"))})
 
 
-def end_reasons(records: DataFrame, states: DataFrame, final_clock: DataFrame, tcp_idle: int = TCP_IDLE, other_idle: int = OTHER_IDLE, linger: int = FINISHED_LINGER) -> DataFrame:
-    """Records with ``tcp_state`` and ``end_reason``: a flow ended if another one of its key follows or the capture's clock
-    passed its deadline; then it was finished or idle. ``final_clock`` is one row."""
+def epoch_ends(table: DataFrame) -> DataFrame:
+    """``epoch, final_clock`` of a ``clocked`` table: as far as the clock came before it jumped back, or the capture ended."""
+    return table.groupBy("epoch").agg(F.max("clock").alias("final_clock"))
+
+
+def end_reasons(records: DataFrame, states: DataFrame, ends: DataFrame, tcp_idle: int = TCP_IDLE, other_idle: int = OTHER_IDLE, linger: int = FINISHED_LINGER) -> DataFrame:
+    """Records with ``tcp_state`` and ``end_reason``: a flow ended if another one of its key follows or the clock passed its deadline;
+    then it was finished or idle. What is left ends with its epoch. ``ends`` is ``epoch_ends``, a row for each jump back and one more."""
     joined = records.join(states, "first_packet", "left")
     finished = F.coalesce(F.col("tcp_state").isin("reset", "closed"), F.lit(False))
     idle = F.when(F.col("protocol") == 6, F.when(finished, linger).otherwise(tcp_idle)).otherwise(other_idle)
-    last = joined.groupBy("flow_key").agg(F.max("first_packet").alias("last_of_key"))
-    over = (F.col("first_packet") < F.col("last_of_key")) | (final_clock.scalar() > F.col("last_clock") + idle)
-    reason = F.when(~over, "capture_end").when(finished, "tcp_finished").otherwise("idle_timeout")
-    return joined.join(last, "flow_key").withColumn("end_reason", reason).drop("flow_key", "last_of_key")
+    # the last flow of each key is found again by its own number, so that no key's flows meet
+    last = joined.groupBy("flow_key").agg(F.max("first_packet").alias("first_packet")).select("first_packet", F.lit(True).alias("__last_of_key"))
+    if ends.limit(2).count() < 2:
+        timed = joined.withColumns({"final_clock": ends.agg(F.max("final_clock")).scalar(), "__last_epoch": F.lit(True)})
+    else:
+        timed = joined.join(ends, "epoch").withColumn("__last_epoch", F.col("epoch") == ends.agg(F.max("epoch")).scalar())
+    over = F.col("__last_of_key").isNull() | (F.col("final_clock") > F.col("last_clock") + idle)
+    reason = F.when(~over, F.when(F.col("__last_epoch"), "capture_end").otherwise("clock_reset")).when(finished, "tcp_finished").otherwise("idle_timeout")
+    return timed.join(last, "first_packet", "left").withColumn("end_reason", reason).drop("flow_key", "final_clock", "__last_epoch", "__last_of_key")
 
 
 def peak_active(spans: DataFrame, begin: str, end: str, span: int = 1 << 44) -> DataFrame:

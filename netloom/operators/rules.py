@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import carry
 from .windows import cited, crossings, sliding_count, sliding_distinct
 
 # The rules in catalogue order, with their severities.
@@ -149,9 +150,10 @@ def flow_numbers(flows: DataFrame, first_packet: str, buckets: str, span: int =
 
     Rows are ranked within ranges of ``span`` packet indexes; counts of the ranges before are added."""
     ranged = flows.withColumn(buckets, F.floor(F.col(first_packet) / span))
-    sizes = ranged.groupBy(buckets).agg(F.count(F.lit(1)).alias("__n"))
-    # a row per range: a window over all of them sees 1/span of the indexes
-    before = F.expr(f"coalesce(sum(__n) OVER (ORDER BY `{buckets}` ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
-    starts = sizes.select(buckets, before.alias("__before"))
-    within = F.expr(f"row_number() OVER (PARTITION BY `{buckets}` ORDER BY `{first_packet}`)")
+    # a row per range, in blocks of as many ranges again
+    sizes = ranged.groupBy(buckets).agg(F.count(F.lit(1)).alias("__n")).withColumn("__block", F.floor(F.col(buckets) / span)).withColumn("__all", F.lit(0))
+    sizes = carry(sizes, ["__all"], "__block", __earlier=(F.sum, F.col("__n")))
+    own = F.sum("__n").over(Window.partitionBy("__block").orderBy(buckets).rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select(buckets, (F.coalesce("__earlier", F.lit(0)) + F.coalesce(own, F.lit(0))).alias("__before"))
+    within = F.row_number().over(Window.partitionBy(buckets).orderBy(first_packet))
     return ranged.join(starts, buckets).withColumn("flow_number", F.col("__before") + within).drop(buckets, "__before")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from netloom.operators import flows, rules
+from netloom.operators import clock, flows, rules
 from netloom.plans.catalog import query
 from netloom.sources import views
+from netloom.stored import materialize
 
 DAY = 86_400_000_000_000
 # idle times that fit the test tables' days
@@ -60,10 +61,15 @@ def flowed(spark, d):
     return flows.flows_of(views.wire(spark, d), TCP_IDLE, OTHER_IDLE, LINGER)
 
 
-def ended(spark, d, packets=None):
-    packets = flowed(spark, d) if packets is None else packets
-    final = views.wire(spark, d).agg(F.max("ts_ns").alias("final_clock"))
-    return flows.end_reasons(flows.flow_records(packets), flows.tcp_summary(packets).select("first_packet", "tcp_state"), final, TCP_IDLE, OTHER_IDLE, LINGER)
+def stored(spark, d):
+    """Packets with their flows, written once for what reads them more than once."""
+    return materialize(flowed(spark, d), "flowed")
+
+
+def ended(table):
+    """The records of a ``clocked`` table's flows with their end; what is read twice is written."""
+    packets = materialize(flows.flows_of(table, TCP_IDLE, OTHER_IDLE, LINGER), "flowed")
+    return flows.end_reasons(flows.flow_records(packets), flows.tcp_summary(packets).select("first_packet", "tcp_state"), flows.epoch_ends(table), TCP_IDLE, OTHER_IDLE, LINGER)
 
 
 @query(f"WITH {WIRE} SELECT protocol, fragment, src_port IS NULL AND dst_port IS NULL AS portless, count(*) AS packets, CAST(sum(payload_length) AS BIGINT) AS payload FROM wire WHERE src_ip IS NOT NULL GROUP BY ALL")
@@ -96,14 +102,14 @@ def w7_w9_directions(spark, d):
 @query(f"""WITH RECURSIVE {WALK}, g AS (SELECT *, max(ts_ns) OVER (PARTITION BY first_packet ORDER BY packet_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM flowed), h AS (SELECT *, CASE WHEN earlier IS NOT NULL THEN greatest(ts_ns - earlier, 0) / 1e9 END AS gap FROM g)
  SELECT first_packet, round(min(gap), 6) AS gap_min, round(max(gap), 6) AS gap_max, round(avg(gap), 4) AS gap_mean, round(stddev_pop(gap), 4) AS gap_stddev, count(*) FILTER (ts_ns < earlier) AS out_of_order, count(*) FILTER (fragment) AS fragments FROM h GROUP BY first_packet""")
 def w12_w14_arrivals(spark, d):
-    gaps = flows.arrival_gaps(flowed(spark, d))
+    gaps = flows.arrival_gaps(stored(spark, d))
     g = F.col("gap_s")
     return gaps.groupBy("first_packet").agg(
         F.round(F.min(g), 6).alias("gap_min"),
         F.round(F.max(g), 6).alias("gap_max"),
         F.round(F.avg(g), 4).alias("gap_mean"),
         F.round(F.stddev_pop(g), 4).alias("gap_stddev"),
-        F.count_if(F.col("ts_ns") < F.col("earlier_ns")).alias("out_of_order"),
+        F.count_if("out_of_order").alias("out_of_order"),
         F.count_if("fragment").alias("fragments"),
     )
 
@@ -116,7 +122,7 @@ def w15_w16_tcp_state(spark, d):
 @query(f"""WITH RECURSIVE {WALK}, s AS (SELECT *, lag(tcp_flags) OVER w AS f, lag(seq) OVER w AS q, lag(payload_length) OVER w AS l FROM flowed WHERE tcp_flags IS NOT NULL AND (payload_length > 0 OR tcp_flags & 3 <> 0) WINDOW w AS (PARTITION BY first_packet, forward ORDER BY packet_index))
  SELECT first_packet, count(*) FILTER (f = tcp_flags AND q = seq AND l = payload_length) AS duplicates FROM s GROUP BY first_packet""")
 def w17_duplicate_segments(spark, d):
-    return flows.repeated_segments(flowed(spark, d))
+    return flows.repeated_segments(stored(spark, d))
 
 
 @query(f"""WITH RECURSIVE {WALK}, v AS (SELECT first_packet, coalesce(http_host, tls_sni, lower(dns_query)) AS value, min(packet_index) AS seen_at FROM flowed WHERE coalesce(http_host, tls_sni, dns_query) IS NOT NULL GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY first_packet ORDER BY seen_at, value) AS rank FROM v)
@@ -127,12 +133,13 @@ def w18_first_names(spark, d):
 
 @query(f"WITH RECURSIVE {WALK}, {ENDS} SELECT first_packet, end_reason, tcp_state FROM endings")
 def w22_end_reasons(spark, d):
-    return ended(spark, d).select("first_packet", "end_reason", "tcp_state")
+    return ended(clock.clocked(views.wire(spark, d))).select("first_packet", "end_reason", "tcp_state")
 
 
 @query(f"""WITH RECURSIVE {WALK}, {ENDS}, n AS (SELECT *, row_number() OVER (ORDER BY first_packet) AS flow_id FROM endings) SELECT flow_id <= 500 AS retained, count(*) AS flows, CAST(sum(bytes) AS BIGINT) AS bytes FROM n GROUP BY ALL""")
 def w24_retention(spark, d):
-    numbered = rules.flow_numbers(flows.flow_records(flowed(spark, d)), "first_packet", "__range")
+    records = materialize(flows.flow_records(flowed(spark, d)).select("first_packet", "bytes_total"), "records")
+    numbered = rules.flow_numbers(records, "first_packet", "__range")
     return numbered.groupBy((F.col("flow_number") <= 500).alias("retained")).agg(F.count(F.lit(1)).alias("flows"), F.sum("bytes_total").alias("bytes"))
 
 
@@ -140,16 +147,17 @@ def w24_retention(spark, d):
  count(*) FILTER (end_reason = 'capture_end') AS capture_end FROM endings""")
 def w27_flow_summary(spark, d):
     of = lambda reason: F.count_if(F.col("end_reason") == reason).alias(reason)
-    wire = views.wire(spark, d)
+    wire = clock.clocked(views.wire(spark, d))
     packets = wire.agg(F.count(F.lit(1))).scalar()
     without = wire.filter("src_bin IS NULL").agg(F.count(F.lit(1))).scalar()
-    totals = ended(spark, d).agg(F.sum("packets_total").alias("packets_in_flows"), F.count(F.lit(1)).alias("flows_total"), of("tcp_finished"), of("idle_timeout"), of("capture_end"))
+    totals = ended(wire).agg(F.sum("packets_total").alias("packets_in_flows"), F.count(F.lit(1)).alias("flows_total"), of("tcp_finished"), of("idle_timeout"), of("capture_end"))
     return totals.select(packets.alias("packets"), without.alias("packets_without_ip"), "*")
 
 
 @query(f"""WITH RECURSIVE {WALK}, {ENDS}, steps AS (SELECT moment, sum(step) AS step FROM (SELECT begin_ns AS moment, 1 AS step FROM endings UNION ALL SELECT end_ns + 1, -1 FROM endings) GROUP BY moment), running AS (SELECT sum(step) OVER (ORDER BY moment) AS n FROM steps) SELECT CAST(max(n) AS BIGINT) AS peak FROM running""")
 def w27_peak_active(spark, d):
-    return flows.peak_active(flows.flow_records(flowed(spark, d)), "first_seen_ns", "last_seen_ns")
+    spans = materialize(flows.flow_records(flowed(spark, d)).select("first_seen_ns", "last_seen_ns"), "records")
+    return flows.peak_active(spans, "first_seen_ns", "last_seen_ns")
 
 
 @query(f"""WITH RECURSIVE {WALK}, {ENDS} SELECT sort, place, first_packet FROM (
@@ -159,7 +167,8 @@ def w28_flow_sorts(spark, d):
     from netloom.operators import lists
 
     orders = {"start": -F.col("first_seen_ns"), "bytes": F.col("bytes_total"), "packets": F.col("packets_total"), "duration": F.col("last_seen_ns") - F.col("first_seen_ns")}
-    return lists.top_by(flows.flow_records(flowed(spark, d)), orders, "first_packet", 20)
+    columns = ["first_packet", "first_seen_ns", "last_seen_ns", "bytes_total", "packets_total"]
+    return lists.top_by(materialize(flows.flow_records(flowed(spark, d)).select(*columns), "records"), orders, "first_packet", 20)
 
 
 @query(f"""WITH RECURSIVE {WALK}, told AS (SELECT lower(dns_query) AS name, dns_answer_ip AS ip, min(packet_index) AS seen_at FROM wire WHERE dns_answer_ip IS NOT NULL GROUP BY ALL),
