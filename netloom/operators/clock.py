@@ -93,7 +93,32 @@ def _times(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.fill_null(0)), timed
 
 
-def _exits(tolerance: int):
+def confirm_all(times: np.ndarray, now: int | None, previous: int | None, width: int) -> tuple[np.ndarray, np.ndarray, int | None, int | None]:
+    """``(clock, step, now, previous)`` of a rule's clock, which goes forward to the lower of the last two times, and back to the higher
+    of them where both lie over ``width`` behind it. Before the second time it is ``-1``."""
+    clock, step, i, n = np.empty(len(times), np.int64), np.zeros(len(times), np.int8), 0, len(times)
+    if n and previous is None:
+        clock[0], previous, i = -1, int(times[0]), 1
+    while i < n:
+        before = np.concatenate([[previous], times[i:-1]])
+        low, high = np.minimum(before, times[i:]), np.maximum(before, times[i:])
+        running = np.maximum.accumulate(low if now is None else np.concatenate([[now], low]))
+        known = np.concatenate([[np.iinfo(np.int64).min // 2], running[:-1]]) if now is None else running[:-1]
+        back = np.flatnonzero(high + width < known)
+        good = int(back[0]) if len(back) else n - i
+        running = running if now is None else running[1:]
+        clock[i : i + good] = running[:good]
+        if good:
+            now, previous = int(running[good - 1]), int(times[i + good - 1])
+        i += good
+        if i < n:
+            now, step[i] = int(high[good]), BACKWARD
+            clock[i], previous = now, int(times[i])
+            i += 1
+    return clock, step, now, previous
+
+
+def _exits(machine, limit: int):
     """One row per range: the state it was entered and left with, and what happened on the way."""
     names = ["range", "in_now", "in_candidate", "now", "candidate", "first_step", "resets"]
 
@@ -101,7 +126,7 @@ def _exits(tolerance: int):
         for group in _groups(batches, "range"):
             at, timed = _times(group)
             entry = _entry(group)
-            _, step, now, candidate = step_all(at[timed], *entry, tolerance)
+            _, step, now, candidate = machine(at[timed], *entry, limit)
             row = (group.column("range")[0].as_py(), *entry, now, candidate, int(step[0]) if len(step) else None, int((step == BACKWARD).sum()))
             yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in row], names)
 
@@ -111,7 +136,7 @@ def _exits(tolerance: int):
 EXIT = "range bigint, in_now bigint, in_candidate bigint, now bigint, candidate bigint, first_step bigint, resets bigint"
 
 
-def _clocks(tolerance: int):
+def _clocks(machine, limit: int):
     """Every row with its clock, epoch and what became of its time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +144,7 @@ def _clocks(tolerance: int):
             at, timed = _times(group)
             now, candidate = _entry(group)
             epoch, confirms = group.column("in_epoch")[0].as_py(), group.column("next_confirms")[0].as_py()
-            clock, step, *_ = step_all(at[timed], now, candidate, tolerance)
+            clock, step, *_ = machine(at[timed], now, candidate, limit)
             # a row without a time has the clock of the timed one before it
             place = np.cumsum(timed)
             known = np.concatenate([[now or 0], clock])[place]
@@ -157,11 +182,11 @@ def _before(exits: DataFrame, order: str = "range") -> DataFrame:
     return cut.withColumn("__l", last).select("*", F.col("__l.now").alias("at_now"), F.col("__l.candidate").alias("at_candidate")).drop("__block", "__all", "__last", "__l")
 
 
-def range_states(rows: DataFrame, tolerance: int) -> DataFrame:
+def range_states(rows: DataFrame, machine, limit: int) -> DataFrame:
     """``EXIT`` of every range of the written table ``rows`` (range, packet_index, at), each stepped from where the one before it ended."""
 
     def stepped(part: DataFrame) -> DataFrame:
-        return part.select("range", "packet_index", "at", "in_now", "in_candidate").repartition("range").sortWithinPartitions("range", "packet_index").mapInArrow(_exits(tolerance), EXIT)
+        return part.select("range", "packet_index", "at", "in_now", "in_candidate").repartition("range").sortWithinPartitions("range", "packet_index").mapInArrow(_exits(machine, limit), EXIT)
 
     none = F.lit(None).cast("bigint")
     exits = materialize(stepped(rows.withColumn("in_now", none).withColumn("in_candidate", none)), "clock-exits")
@@ -192,7 +217,14 @@ def clocked(packets: DataFrame, tolerance: int = TOLERANCE, order: str = "packet
         table = table.drop("__far")
         return table if not seen["untimed"] else table.withColumn("clock", F.coalesce("clock", first(table), F.lit(0)))
     rows = table.select(F.floor(F.col(order) / span).alias("range"), F.col(order).alias("packet_index"), F.col(ts).alias("at"), F.struct(*names).alias("row"))
-    exits = range_states(rows, tolerance)
+    out = stepped_rows(rows, step_all, tolerance)
+    discard(table)
+    return out.withColumn("clock", F.coalesce("clock", first(out), F.lit(0)))
+
+
+def stepped_rows(rows: DataFrame, machine, limit: int) -> DataFrame:
+    """The columns of ``row`` of the written table ``rows`` (range, packet_index, at, row) with ``clock``, ``epoch``, ``held`` and ``confirmed``, as a written table."""
+    exits = range_states(rows, machine, limit)
     cut = _before(exits).withColumn("__block", F.floor(F.col("range") / 4096)).withColumn("__all", F.lit(0))
     # jumps back before each range, and the range before it that has a time
     timed = F.when(F.col("first_step").isNotNull(), F.col("range"))
@@ -205,13 +237,43 @@ def clocked(packets: DataFrame, tolerance: int = TOLERANCE, order: str = "packet
     told = states.filter(F.col("first_step") >= FORWARD).select(F.col("__timed").alias("range"), F.col("first_step").alias("next_confirms"))
     entries = states.drop("first_step", "__timed").join(told, "range", "left").withColumn("next_confirms", F.coalesce("next_confirms", F.lit(0)))
     dealt = rows.join(entries, "range").repartition("range").sortWithinPartitions("range", "packet_index")
-    kind = packets.select(F.struct("*").alias("row")).schema["row"].dataType.simpleString()
-    out = dealt.mapInArrow(_clocks(tolerance), f"row {kind}, clock bigint, epoch bigint, held boolean, confirmed tinyint").select("row.*", "clock", "epoch", "held", "confirmed")
+    kind = rows.schema["row"].dataType.simpleString()
+    out = dealt.mapInArrow(_clocks(machine, limit), f"row {kind}, clock bigint, epoch bigint, held boolean, confirmed tinyint").select("row.*", "clock", "epoch", "held", "confirmed")
     out = materialize(out, "clocked")
-    discard(table, exits, states)
-    return out.withColumn("clock", F.coalesce("clock", first(out), F.lit(0)))
+    discard(exits, states)
+    return out
 
 
 def clock_summary(table: DataFrame, order: str = "packet_index", ts: str = "ts_ns") -> DataFrame:
     """``timestamp_outliers`` and ``clock_jumps`` of a ``clocked`` table: held times that nothing confirmed, and those that were."""
     return table.agg(F.count_if(F.col("held") & (F.col("confirmed") == 0)).alias("timestamp_outliers"), F.count_if(F.col("confirmed") > 0).alias("clock_jumps"))
+
+
+def rule_clock(rows: DataFrame, ts: str, order: str, width: int, span: int = RANGE) -> DataFrame:
+    """A rule's rows in ``order`` with ``epoch`` and ``evaluated``, as a written table: the clock goes forward to the lower of the last two times, so one wrong
+    time can't move it; a time over ``width`` past it isn't evaluated. Two times over ``width`` behind it set it back and begin a new epoch, to
+    which the first of the two belongs. Times must not be null.
+
+    Where no two times are that far behind, the clock is a running maximum by ranges; else ranges are stepped as ``clocked`` steps them."""
+    names = rows.columns
+    cut = rows.withColumn("__part", F.floor(F.col(order) / span)).withColumn("__all", F.lit(0))
+    cut = carry(cut, ["__all"], "__part", __last=(F.max, F.struct(F.col(order).alias("i"), F.col(ts).alias("t"))))
+    before = F.coalesce(F.lag(ts).over(Window.partitionBy("__part").orderBy(order)), "__last.t")
+    cut = materialize(cut.withColumn("__two", F.least(ts, before)).withColumn("__high", F.greatest(ts, before)).withColumn("__two", F.when(before.isNotNull(), F.col("__two"))).select(*names, "__two", "__high"), "rule-rows")
+    clock = ranged_maximum(cut, order, "__two", span)
+    clock = materialize(clock.withColumn("clock", F.greatest("before", "__two")).withColumn("__back", F.coalesce(F.col("__high") + width < F.col("before"), F.lit(False))).drop("before", "__two", "__high"), "rule-clock")
+    discard(cut)
+    if clock.filter("__back").isEmpty():
+        late = F.coalesce(F.col(ts) > F.col("clock") + width, F.lit(False))
+        return clock.select(*names, F.lit(0).cast("bigint").alias("epoch"), (~late).alias("evaluated"))
+    whole = clock.select(F.floor(F.col(order) / span).alias("range"), F.col(order).alias("packet_index"), F.col(ts).alias("at"), F.struct(*names).alias("row"))
+    out = stepped_rows(whole, confirm_all, width)
+    # the row before a reset announced it and belongs to the new epoch, if within the width
+    cut = out.withColumn("__part", F.floor(F.col(order) / span)).withColumn("__all", F.lit(0)).withColumn("__range", -F.col("__part"))
+    first = F.struct((-F.col(order)).alias("i"), F.col("epoch").alias("e"), F.col(ts).alias("t"))
+    cut = carry(cut, ["__all"], "__range", __next=(F.max, first))
+    after = F.coalesce(F.lead(F.struct(F.lit(0).cast("bigint").alias("i"), F.col("epoch").alias("e"), F.col(ts).alias("t"))).over(Window.partitionBy("__part").orderBy(order)), "__next")
+    cut = cut.withColumn("__after", after)
+    announced = F.coalesce((F.col("__after.e") > F.col("epoch")) & (F.col(ts) + width >= F.greatest(F.col(ts), F.col("__after.t"))), F.lit(False))
+    late = (F.col("clock") >= 0) & (F.col(ts) > F.col("clock") + width)
+    return materialize(cut.select(*names, F.when(announced, F.col("__after.e")).otherwise(F.col("epoch")).alias("epoch"), (announced | ~late).alias("evaluated")), "rule-clock")

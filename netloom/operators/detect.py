@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 
 from netloom.functions.text import entropy
 
+from netloom.stored import materialize
+
 from . import rules
-from .rules import WindowRule, cited_group, evidence, placed, shaped
+from .clock import rule_clock
+from .ranges import carry
+from .rules import WindowRule, cited_groups, evidence, group_times, shaped, small
 from .windows import cited, sliding_count, sliding_distinct
 
 HAS_PORTS = "(protocol IN (6, 17) AND responder_port <> 0)"
@@ -45,15 +49,17 @@ def beacons(flows: DataFrame, min_flows: int, min_mean_s: float, max_jitter: flo
     ported = flows.filter(HAS_PORTS).filter("first_seen_ns IS NOT NULL")
     # most groups are too small; they are left out before anything is sorted
     enough = ported.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(min_flows, 3)).drop("n")
-    at = F.col("first_seen_ns") / 1e9
-    order = Window.partitionBy(*key).orderBy("first_seen_ns", "flow_id")
-    spaced = placed(ported.join(enough, key, "left_semi"), key).withColumn("before", F.lag(at).over(order))
+    ported = materialize(ported.join(enough, key, "left_semi").select(*key, "first_seen_ns", "last_seen_ns", "flow_id"), "beacon-rows")
+    # groups are cut by time, each part is told the last start of those before it
+    cut = carry(ported.withColumn("part", F.expr(f"first_seen_ns DIV {1 << 50}")), key, "part", handed=(F.max, F.col("first_seen_ns")))
+    before = F.coalesce(F.lag("first_seen_ns").over(Window.partitionBy(*key, "part").orderBy("first_seen_ns", "flow_id")), "handed")
     # the first flow of a group has no interval
-    spaced = spaced.withColumn("gap", F.when(F.col("before").isNotNull(), F.greatest(at - F.col("before"), F.lit(0.0))))
-    groups = spaced.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("stddev"), *cited_group())
+    gap = F.when(before.isNotNull(), F.greatest(F.col("first_seen_ns") / 1e9 - before / 1e9, F.lit(0.0)))
+    groups = cut.withColumn("gap", gap).groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.avg("gap").alias("mean"), F.stddev_pop("gap").alias("stddev"), *group_times())
     steady = groups.filter((F.col("mean") >= min_mean_s) & (F.col("mean") > 0)).withColumn("jitter", F.try_divide("stddev", "mean")).filter(F.col("jitter") <= max_jitter)
     confidence = F.when((F.col("n") >= 2 * max(min_flows, 3)) & (F.col("jitter") <= max_jitter / 2), "high").otherwise("medium")
     facts = evidence(connections=F.col("n"), mean_interval_seconds=F.round("mean", 3), interval_stddev_seconds=F.round("stddev", 3), jitter_ratio=F.round("jitter", 3))
+    steady = steady.join(cited_groups(ported.join(steady.select(*key), key, "left_semi"), key), key)
     return shaped(steady.withColumns({"confidence": confidence, "evidence": facts, "source": F.col("src"), "destination": F.col("dst"), "destination_port": F.col("responder_port")}), "beacon")
 
 
@@ -65,8 +71,8 @@ def rare_ports(flows: DataFrame, min_flows: int, max_uses: int) -> DataFrame:
     few = few.filter((F.col("uses") <= max_uses) & F.col("known") & F.col("answered") & ~F.col("responder_port").isin(rules.COMMON_PORTS) & (F.col("responder_port") < rules.DYNAMIC_PORTS))
     total = ported.agg(F.count(F.lit(1))).scalar()
     key = ["protocol", "responder_port"]
-    users = placed(ported.join(few.filter(total >= min_flows).select(*key), key), key)
-    groups = users.groupBy(*key).agg(F.count(F.lit(1)).alias("uses"), F.min_by("src", "place").alias("source"), F.min_by("dst", "place").alias("destination"), *cited_group())
+    users = ported.join(few.filter(total >= min_flows).select(*key), key)
+    groups = users.groupBy(*key).agg(F.count(F.lit(1)).alias("uses"), *group_times()).join(cited_groups(users, key, source="src", destination="dst"), key)
     facts = evidence(flows_to_port=F.col("uses"), protocol=F.when(F.col("protocol") == 6, "TCP").otherwise("UDP"), flows_in_capture=total)
     return shaped(groups.withColumns({"confidence": F.lit("low"), "destination_port": F.col("responder_port"), "evidence": facts}), "rare_port")
 
@@ -76,7 +82,7 @@ def outbound_ratio(flows: DataFrame, min_bytes: int, min_ratio: float, internal:
     ratio = F.try_divide(F.col("bytes_out").cast("double"), F.col("bytes_back"))
     large = flows.filter(internal & external & (F.col("bytes_out") >= min_bytes) & (ratio.isNull() | (ratio >= min_ratio))).withColumn("ratio", ratio)
     key = ["src", "dst"]
-    groups = placed(large, key).groupBy(*key).agg(F.count(F.lit(1)).alias("flows"), F.sum("bytes_out").alias("sent"), F.sum("bytes_back").alias("back"), F.min("ratio").alias("lowest"), *cited_group())
+    groups = large.groupBy(*key).agg(F.count(F.lit(1)).alias("flows"), F.sum("bytes_out").alias("sent"), F.sum("bytes_back").alias("back"), F.min("ratio").alias("lowest"), *group_times()).join(cited_groups(large, key), key)
     confidence = F.when(F.col("sent") >= 10 * min_bytes, "high").otherwise("medium")
     facts = evidence(bytes_sent=F.col("sent"), bytes_received=F.col("back"), flows=F.col("flows"), lowest_flow_ratio=F.coalesce(F.round("lowest", 1).cast("string"), F.lit("no reply bytes")))
     return shaped(groups.withColumns({"confidence": confidence, "evidence": facts, "source": F.col("src"), "destination": F.col("dst")}), "outbound_ratio")
@@ -86,7 +92,7 @@ def cleartext(flows: DataFrame, ports: list[int] = rules.CLEARTEXT_PORTS) -> Dat
     """Answered TCP flows to ports of unencrypted protocols, by pair and port."""
     key = ["src", "dst", "responder_port"]
     found = flows.filter(F.expr(f"protocol = 6 AND {ANSWERED}") & F.col("responder_port").isin(ports))
-    groups = placed(found, key).groupBy(*key).agg(F.count(F.lit(1)).alias("flows"), *cited_group())
+    groups = found.groupBy(*key).agg(F.count(F.lit(1)).alias("flows"), *group_times()).join(cited_groups(found, key), key)
     facts = evidence(destination_port=F.col("responder_port"), connections=F.col("flows"))
     return shaped(groups.withColumns({"confidence": F.lit("medium"), "evidence": facts, "source": F.col("src"), "destination": F.col("dst"), "destination_port": F.col("responder_port")}), "cleartext")
 
@@ -107,20 +113,20 @@ def dns_tunnels(packets: DataFrame, width_ns: int, min_suspicious: int, min_subd
     parent, sub = rules.split_name(F.col("dns_query"))
     asked = packets.filter("dns_query IS NOT NULL AND NOT dns_response AND src_ip IS NOT NULL").select("packet_index", "ts_ns", "src_ip", parent.alias("parent"), sub.alias("sub"), suspicious_name(F.col("dns_query"), F.col("record_type"), **limits).alias("suspicious")).filter("parent IS NOT NULL")
     key = ["src_ip", "parent"]
-    spread = sliding_distinct(asked, key, "ts_ns", "sub", width_ns, "packet_index")
-    counted = sliding_count(asked.filter("suspicious"), key, "ts_ns", width_ns, "packet_index").select("packet_index", "n")
-    both = spread.join(counted, "packet_index", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    whole = rule_clock(asked, "ts_ns", "packet_index", width_ns).filter("evaluated")
+    timed = [*key, "epoch"]
+    enough = whole.groupBy(*timed).agg(F.count_if("suspicious").alias("s"), F.count(F.lit(1)).alias("n")).filter((F.col("s") >= min_suspicious) | ((F.col("n") >= min_subdomains) & (F.col("s") > 0)))
+    asked = materialize(whole.join(enough.select(*timed), timed, "left_semi"), "asked")
+    spread = sliding_distinct(asked, timed, "ts_ns", "sub", width_ns, "packet_index")
+    counted = sliding_count(asked.filter("suspicious"), timed, "ts_ns", width_ns, "packet_index").select("packet_index", "n")
+    both = materialize(spread.join(counted, "packet_index", "left").withColumn("n", F.coalesce("n", F.lit(0))), "tunnel-windows")
     by_count, by_spread = F.col("n") >= min_suspicious, (F.col("n_distinct") >= min_subdomains) & (F.col("n") > 0)
-    first = both.filter(by_count | by_spread).groupBy(*key).agg(F.min(F.struct(F.col("ts_ns").alias("at"), F.col("packet_index").alias("id"), by_count.alias("by_count"), by_spread.alias("by_spread"))).alias("c"))
-    first = first.select(*key, F.col("c.at").alias("crossed_ns"), F.col("c.id").alias("crossed"), "c.by_count", "c.by_spread")
-    later = (F.col("ts_ns") > F.col("crossed_ns")) | ((F.col("ts_ns") == F.col("crossed_ns")) & (F.col("packet_index") >= F.col("crossed")))
+    first = both.filter(by_count | by_spread).groupBy(*key).agg(F.min(F.struct(F.col("epoch").alias("epoch"), F.col("ts_ns").alias("at"), F.col("packet_index").alias("id"), by_count.alias("by_count"), by_spread.alias("by_spread"))).alias("c"))
+    first = small(first.select(*key, F.col("c.epoch").alias("in_epoch"), F.col("c.at").alias("crossed_ns"), F.col("c.id").alias("crossed"), "c.by_count", "c.by_spread"))
+    later = F.struct("epoch", F.col("ts_ns").alias("a"), F.col("packet_index").alias("b")) >= F.struct(F.col("in_epoch").alias("epoch"), F.col("crossed_ns").alias("a"), F.col("crossed").alias("b"))
     peaks = both.join(first, key).filter(later).groupBy(*key).agg(F.max("n").alias("peak"), F.max("n_distinct").alias("peak_spread"), F.max("ts_ns").alias("last_ns"))
     # cited are the window's suspicious questions, then every question of the key
-    bearing = cited(asked, first, key, "ts_ns", "packet_index", width_ns, newest=False)
-    bearing = bearing.filter(F.col("later") | F.col("suspicious") | (F.col("packet_index") == F.col("crossed")))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("ts_ns", "packet_index"))
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("packet_index").alias("id")))), lambda x: x["id"])
-    grouped = bearing.withColumn("rank", rank).filter(F.col("rank") <= rules.CITATIONS).groupBy(*key).agg(F.min("ts_ns").alias("first_seen_ns"), ids.alias("related"))
+    grouped = cited(whole, first, key, "ts_ns", "packet_index", width_ns, newest=False, limit=rules.CITATIONS, of_window=F.col("suspicious"), epoch="epoch").drop("last_seen_ns")
     out = grouped.join(first, key).join(peaks, key)
     reached = F.when(F.col("by_count") & F.col("by_spread"), "both").when(F.col("by_spread"), "min_distinct_subdomains").otherwise("min_suspicious_queries")
     facts = evidence(parent_domain=F.col("parent"), suspicious_queries_in_window=F.col("peak"), distinct_subdomains_in_window=F.col("peak_spread"), threshold_reached=reached)

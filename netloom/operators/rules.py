@@ -11,8 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.stored import materialize
+
+from .clock import rule_clock
 from .ranges import carry
-from .windows import cited, crossings, sliding_count, sliding_distinct
+from .windows import cited, crossings, shortlist, sliding_count, sliding_distinct
 
 # The rules in catalogue order, with their severities.
 RULES = [
@@ -64,45 +67,66 @@ def shaped(alerts: DataFrame, rule: str) -> DataFrame:
     return out.select(*[F.col(c).cast(casts[c]).alias(c) if c in casts else F.col(c) for c in ALERT])
 
 
-def windowed(rows: DataFrame, rule: WindowRule, ts: str, order: str) -> DataFrame:
-    """One row per key that reaches the threshold: the key's columns, ``crossed_ns``, ``crossed`` and ``peak``."""
-    kept = rows.filter(rule.applies).filter(F.col(ts).isNotNull())
+def windowed(kept: DataFrame, rule: WindowRule, ts: str, order: str, key: list[str] | None = None) -> DataFrame:
+    """One row per key that reaches the threshold: the key's columns, ``crossed_ns``, ``crossed`` and ``peak``. Keys with too few rows are left out first."""
+    key = key or list(rule.key)
+    enough = kept.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= rule.threshold).select(*key)
+    kept = kept.join(enough, key, "left_semi")
     if rule.value is None:
-        counted, name = sliding_count(kept, list(rule.key), ts, rule.width_ns, order), "n"
+        counted, name = sliding_count(kept, key, ts, rule.width_ns, order), "n"
     else:
-        counted, name = sliding_distinct(kept, list(rule.key), ts, rule.value, rule.width_ns, order), "n_distinct"
-    return crossings(counted, list(rule.key), ts, order, name, rule.threshold)
+        counted, name = sliding_distinct(kept, key, ts, rule.value, rule.width_ns, order), "n_distinct"
+    return crossings(counted, key, ts, order, name, rule.threshold)
+
+
+#: Keys with alerts that are sent to every task; more are joined by a shuffle.
+FEW_KEYS = 100_000
+
+
+def small(found: DataFrame) -> DataFrame:
+    """A written table, marked for broadcast if it has ``FEW_KEYS`` rows at most."""
+    found = materialize(found, "found")
+    return F.broadcast(found) if found.limit(FEW_KEYS + 1).count() <= FEW_KEYS else found
+
 
+def rule_rows(rows: DataFrame, rule: WindowRule, ts: str, order: str, last: str | None = None, by_clock: bool = False) -> DataFrame:
+    """The rows that a rule reads, with the columns that it needs, written once. ``by_clock`` adds ``epoch`` and ``evaluated`` (``clock.rule_clock``)."""
+    columns = dict.fromkeys([*rule.key, *([rule.value] if rule.value else []), ts, order, *([last] if last else [])])
+    kept = rows.filter(rule.applies).filter(F.col(ts).isNotNull()).dropna(subset=list(rule.key)).select(*columns)
+    return rule_clock(kept, ts, order, rule.width_ns) if by_clock else materialize(kept, "rule-rows")
 
-def window_alerts(rows: DataFrame, rule: WindowRule, ts: str, order: str, last: str | None = None, newest: bool = True) -> DataFrame:
+
+def window_alerts(rows: DataFrame, rule: WindowRule, ts: str, order: str, last: str | None = None, newest: bool = True, by_clock: bool | None = None) -> DataFrame:
     """The rule's alerts. Flow rules cite the ``newest`` rows of the window and packet rules the oldest; confidence is high from twice
-    the threshold on. ``last`` is the column of a row's last time, its own time without it."""
-    kept = rows.filter(rule.applies).filter(F.col(ts).isNotNull())
-    found = windowed(rows, rule, ts, order)
-    bearing = cited(kept, found, list(rule.key), ts, order, rule.width_ns, newest, CITATIONS)
-    # rows of the window that aren't cited don't move the alert's times, later ones do
-    bearing = bearing.filter(F.col("place").isNotNull() | F.col("later"))
-    grouped = bearing.groupBy(*rule.key).agg(
-        F.min(ts).alias("first_seen_ns"),
-        F.max(last or ts).alias("last_seen_ns"),
-        F.first("peak").alias("peak"),
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("place").isNotNull(), F.struct(F.col("place"), F.col(order).alias("id"))))), lambda x: x["id"]).alias("related"),
-    )
+    the threshold on. ``last`` is the column of a row's last time, its own time without it. Packet rules (``by_clock``) leave out what isn't evaluated, and
+    an epoch's windows see nothing of another one; the alert is the first epoch's, cites the later ones' rows, and has the greatest peak."""
+    by_clock = not newest if by_clock is None else by_clock
+    kept = rule_rows(rows, rule, ts, order, last, by_clock)
+    key = list(rule.key)
+    if by_clock:
+        kept = kept.filter("evaluated")
+        found = windowed(kept, rule, ts, order, [*key, "epoch"])
+        first = F.min_by(F.struct("crossed_ns", "crossed", "epoch"), "epoch")
+        found = found.groupBy(*key).agg(first.alias("f"), F.max("peak").alias("peak")).select(*key, F.col("f.crossed_ns").alias("crossed_ns"), F.col("f.crossed").alias("crossed"), F.col("f.epoch").alias("in_epoch"), "peak")
+    else:
+        found = windowed(kept, rule, ts, order)
+    found = small(found)
+    grouped = cited(kept, found, key, ts, order, rule.width_ns, newest, CITATIONS, last, epoch="epoch" if by_clock else None).join(found.select(*key, "peak"), key)
     shown = {name: F.col(column) for name, column in (("source", rule.source), ("destination", rule.destination), ("destination_port", rule.port)) if column}
     facts = evidence(**{rule.evidence: F.col("peak"), "threshold": F.lit(rule.threshold), "window_s": F.lit(rule.width_ns // 1_000_000_000)})
     confidence = F.when(F.col("peak") >= 2 * rule.threshold, "high").otherwise("medium")
     return shaped(grouped.withColumns({"confidence": confidence, "evidence": facts} | shown), rule.rule)
 
 
-def cited_group(order: str = "flow_id", limit: int = CITATIONS) -> list[Column]:
-    """Aggregates of a group rule: its times and the first ``limit`` flows, for rows that hold their ``place`` in the group."""
-    held = F.when(F.col("place") <= limit, F.struct("place", F.col(order).alias("id")))
-    return [F.min("first_seen_ns").alias("first_seen_ns"), F.max("last_seen_ns").alias("last_seen_ns"), F.transform(F.array_sort(F.collect_list(held)), lambda x: x["id"]).alias("related")]
+def cited_groups(flows: DataFrame, key: list[str], limit: int = CITATIONS, **first: str) -> DataFrame:
+    """The key, its first ``limit`` flows by start and id as ``related``, and columns of the very first one."""
+    few = shortlist(flows, key, [F.asc_nulls_first("first_seen_ns"), "flow_id"], limit, "flow_id")
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("place", F.col("flow_id").alias("id")))), lambda x: x["id"])
+    return few.groupBy(*key).agg(ids.alias("related"), *[F.min_by(column, "place").alias(name) for name, column in first.items()])
 
 
-def placed(flows: DataFrame, key: list[str]) -> DataFrame:
-    """Rows with their place in the group by start and id; the group's order is that in which flows are looked at."""
-    return flows.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(F.asc_nulls_first("first_seen_ns"), "flow_id")))
+def group_times() -> list[Column]:
+    return [F.min("first_seen_ns").alias("first_seen_ns"), F.max("last_seen_ns").alias("last_seen_ns")]
 
 
 def earliest_groups(groups: DataFrame, rule: str, start: str, key: list[str], limit: int = PER_RULE) -> DataFrame:
@@ -121,10 +145,30 @@ def numbered(alerts: list[DataFrame], limit: int = PER_RULE) -> DataFrame:
     return capped.withColumn("alert_id", F.row_number().over(Window.orderBy("position", "rank"))).drop("position", "rank")
 
 
+#: Rules that cite packets; the others cite flows.
+PACKET_RULES = ["dns_volume", "dns_tunnel", "arp_conflict", "arp_gratuitous"]
+
+
+def with_citations(alerts: DataFrame, flow_of_packets: DataFrame | None = None) -> DataFrame:
+    """Numbered alerts with ``related_packets`` and ``related_flows`` for ``related``: packet rules cite packets and, in the same order, the flows of those that have one
+    (``packet_index, flow_id``). What is sent to the packets is ``CITATIONS`` ids of each numbered alert."""
+    of_packets = F.col("rule").isin(PACKET_RULES)
+    none = F.array().cast("array<bigint>")
+    both = alerts.withColumns({"related_packets": F.when(of_packets, F.col("related")).otherwise(none), "related_flows": F.when(of_packets, none).otherwise(F.col("related"))}).drop("related")
+    if flow_of_packets is None:
+        return both
+    cites = both.select("alert_id", F.posexplode("related_packets").alias("at", "packet_index"))
+    met = flow_of_packets.select("packet_index", "flow_id").join(F.broadcast(cites), "packet_index")
+    once = met.groupBy("alert_id", "flow_id").agg(F.min("at").alias("at"))
+    lists = once.groupBy("alert_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "flow_id"))), lambda x: x["flow_id"]).alias("__flows"))
+    joined = both.join(F.broadcast(lists), "alert_id", "left")
+    return joined.withColumn("related_flows", F.coalesce("__flows", "related_flows")).drop("__flows")
+
+
 def with_alerts(flows: DataFrame, alerts: DataFrame, limit: int = PER_FLOW) -> DataFrame:
-    """Flows with the alerts that cite them: ``alert_ids`` (the first ``limit``), ``alert_count`` and ``max_severity``."""
+    """Flows with the alerts that cite them (``with_citations``): ``alert_ids`` (the first ``limit``), ``alert_count`` and ``max_severity``."""
     rank = F.create_map(*[F.lit(x) for pair in (("low", 1), ("medium", 2), ("high", 3)) for x in pair])
-    pairs = alerts.select(F.explode("related").alias("flow_id"), "alert_id", "severity")
+    pairs = alerts.select(F.explode("related_flows").alias("flow_id"), "alert_id", "severity")
     ids = F.slice(F.sort_array(F.collect_list("alert_id")), 1, limit)
     links = pairs.groupBy("flow_id").agg(ids.alias("alert_ids"), F.max_by("severity", F.element_at(rank, F.col("severity"))).alias("max_severity"))
     joined = flows.join(links, "flow_id", "left")

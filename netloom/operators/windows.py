@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranges import carry
+from .ranges import SPAN, carry
 
 
 def _running(rows: DataFrame, key: list[str], ts: str, order: str, width: int, enters, leaves, name: str) -> DataFrame:
@@ -51,29 +51,42 @@ def crossings(windowed: DataFrame, key: list[str], ts: str, order: str, value: s
     return reached.groupBy(*key).agg(F.min(F.struct(F.col(ts).alias("at"), F.col(order).alias("id"))).alias("c"), F.max(value).alias("peak")).select(*key, F.col("c.at").alias("crossed_ns"), F.col("c.id").alias("crossed"), "peak")
 
 
-def cited(rows: DataFrame, found: DataFrame, key: list[str], ts: str, order: str, width: int, newest: bool, limit: int = 50) -> DataFrame:
-    """The rows of crossing keys that bear on their alert, with the columns of ``found`` and ``place`` (1 to ``limit`` where cited, else null).
+#: Parts into which the rows of a key are cut before the first of them are chosen.
+SALTS = 64
+
+
+def shortlist(rows: DataFrame, key: list[str], order: list, limit: int, spread: str) -> DataFrame:
+    """The first ``limit`` rows of each key by ``order``, with their ``place``. They are chosen in ``SALTS`` parts of the key, by a hash of ``spread``,
+    before they are put side by side, so a key never has more than ``SALTS * limit`` rows in one place."""
+    salt = F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    own = rows.withColumn("__salt", salt).withColumn("place", F.row_number().over(Window.partitionBy(*key, "__salt").orderBy(*order))).filter(F.col("place") <= limit)
+    return own.drop("__salt").withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("place") <= limit)
 
-    Cited are rows in the window of the crossing row, the ``newest`` or the oldest ``limit`` of them, then later rows of the key
-    whenever they come, until there are ``limit``. Later rows beyond that are kept too, since they move an alert's last time."""
-    joined = rows.join(found, key)
-    later = (F.col(ts) > F.col("crossed_ns")) | ((F.col(ts) == F.col("crossed_ns")) & (F.col(order) > F.col("crossed")))
-    joined = joined.withColumn("later", later).filter(F.col("later") | (F.col(ts) >= F.col("crossed_ns") - width))
-    # rank within the window from the end that is kept, and among later rows in order
-    sign = F.when(F.col("later") | F.lit(not newest), 1).otherwise(-1)
-    w = Window.partitionBy(*key, "later").orderBy(F.col(ts) * sign, F.col(order) * sign)
-    held = F.least(F.count_if(~F.col("later")).over(Window.partitionBy(*key)), F.lit(limit))
-    ranked = joined.withColumn("held", held).withColumn("rank", F.row_number().over(w))
-    place = F.when(F.col("later"), F.col("held") + F.col("rank")).otherwise(F.col("held") + 1 - F.col("rank") if newest else F.col("rank"))
-    shown = F.when(F.col("later"), F.col("held") + F.col("rank") <= limit).otherwise(F.col("rank") <= limit)
-    return ranked.withColumn("place", F.when(shown, place)).drop("rank", "held")
 
+def cited(rows: DataFrame, found: DataFrame, key: list[str], ts: str, order: str, width: int, newest: bool, limit: int = 50, last: str | None = None, of_window=None, epoch: str | None = None) -> DataFrame:
+    """One row per crossing key: ``first_seen_ns``, ``last_seen_ns`` and ``related``, up to ``limit`` rows by ``order``.
 
-def confirmed_clock(rows: DataFrame, key: list[str], ts: str, order: str) -> DataFrame:
-    """Add ``clock``, which goes forward to the lower of the last two times only, so that one wrong time can't move it."""
-    w = Window.partitionBy(*key).orderBy(order)
-    two = F.least(F.col(ts), F.coalesce(F.lag(ts).over(w), F.col(ts)))
-    return rows.withColumn("__two", two).withColumn("clock", F.max("__two").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__two")
+    Cited are rows in the window of the crossing row (those that meet ``of_window``), the ``newest`` or the oldest ``limit`` of them, then later rows of the key
+    whenever they come, until there are ``limit``. Later rows beyond that still move ``last_seen_ns``, the greatest ``last``. With ``epoch`` rows
+    of later epochs are later ones, whatever their time, and earlier ones don't count; ``found`` then has ``in_epoch``."""
+    ended = F.col(last or ts)
+    joined = rows.join(found.select(*key, "crossed_ns", "crossed", *(["in_epoch"] if epoch else [])), key)
+    later = (F.col(ts) > F.col("crossed_ns")) | ((F.col(ts) == F.col("crossed_ns")) & (F.col(order) > F.col("crossed")))
+    inside = F.col(ts) >= F.col("crossed_ns") - width
+    if of_window is not None:
+        inside = inside & (of_window | (F.col(order) == F.col("crossed")))
+    if epoch:
+        after, same = F.col(epoch) > F.col("in_epoch"), F.col(epoch) == F.col("in_epoch")
+        later, inside = after | (same & later), same & inside
+    joined = joined.withColumn("later", later).filter(F.col("later") | inside)
+    beyond = joined.filter("later").groupBy(*key).agg(F.max(ended).alias("__last"))
+    sign = F.when(F.col("later") | F.lit(not newest), 1).otherwise(-1)
+    few = shortlist(joined, [*key, "later"], [F.col(ts) * sign, F.col(order) * sign], limit, order)
+    all_ = few.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("later", F.col(ts).alias("at"), F.col(order).alias("id"), ended.alias("end")))).alias("__all"))
+    shown = all_.withColumn("__shown", F.slice("__all", 1, limit))
+    out = shown.join(beyond, key, "left")
+    ends = F.array_max(F.transform("__shown", lambda x: x["end"]))
+    return out.select(*key, F.array_min(F.transform("__shown", lambda x: x["at"])).alias("first_seen_ns"), F.greatest(ends, "__last").alias("last_seen_ns"), F.transform("__shown", lambda x: x["id"]).alias("related"))
 
 
 def values_at_crossing(rows: DataFrame, found: DataFrame, key: list[str], ts: str, order: str, value: str, width: int, shown: int = 8) -> DataFrame:
@@ -88,6 +101,24 @@ def values_at_crossing(rows: DataFrame, found: DataFrame, key: list[str], ts: st
     return listed.join(counts, key).select(*key, "values", F.greatest(F.col("n") - shown, F.lit(0)).alias("more"))
 
 
+def confirmed_clock(rows: DataFrame, key: list[str], ts: str, order: str, span: int = SPAN) -> DataFrame:
+    """Add ``clock``, which goes forward to the lower of the last two times of the key only, so that one wrong time can't move it.
+
+    Keys are cut into ranges of ``span`` of ``order``; a range is a row of its first and last time and the clock's greatest value within it."""
+    cut = rows.withColumn("__part", F.floor(F.col(order) / span))
+    w = Window.partitionBy(*key, "__part").orderBy(order)
+    cut = cut.withColumn("__lag", F.lag(ts).over(w))
+    place = F.struct(F.col(order).alias("i"), F.col(ts).alias("t"))
+    ends = cut.groupBy(*key, "__part").agg(F.min(place).alias("__first"), F.max(place).alias("__end"), F.max(F.when(F.col("__lag").isNotNull(), F.least(ts, "__lag"))).alias("__inner"))
+    v = Window.partitionBy(*key).orderBy("__part")
+    ends = ends.withColumn("__prev", F.lag("__end.t").over(v))
+    reached = F.greatest("__inner", F.least("__first.t", F.coalesce("__prev", "__first.t")))
+    ends = ends.select(*key, "__part", "__prev", F.max(reached).over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
+    cut = cut.join(ends, [*key, "__part"]).withColumn("__two", F.least(ts, F.coalesce("__lag", "__prev", ts)))
+    clock = F.greatest("__before", F.max("__two").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return cut.withColumn("clock", clock).drop("__part", "__lag", "__prev", "__before", "__two")
+
+
 def within_reach(rows: DataFrame, key: list[str], ts: str, order: str, width: int) -> DataFrame:
     """Rows with ``evaluated``: false where the time lies over ``width`` past the confirmed clock, as one wrong time does."""
     return confirmed_clock(rows, key, ts, order).withColumn("evaluated", F.col(ts) <= F.col("clock") + width)

@@ -9,6 +9,7 @@ from netloom.operators import detect, lists, rules
 from netloom.plans.catalog import FLOWS, query
 from netloom.plans.flow_queries import WIRE
 from netloom.sources import views
+from netloom.stored import materialize
 
 DAY = 86_400_000_000_000
 WIDTH, PACKET_WIDTH = 400 * DAY, 3 * DAY
@@ -42,8 +43,8 @@ PACKET_THREE = detect.packet_rules(PACKET_WIDTH, 3, 2, 2)
 NO = "CAST(NULL AS VARCHAR) AS destination, CAST(NULL AS INTEGER) AS destination_port"
 
 
-def flow_alerts(spark, d, k):
-    return rules.window_alerts(views.host_flows(spark, d), FOUR[k], "first_seen_ns", "flow_id", "last_seen_ns")
+def flow_alerts(spark, d, k, hosts=None):
+    return rules.window_alerts(views.host_flows(spark, d) if hosts is None else hosts, FOUR[k], "first_seen_ns", "flow_id", "last_seen_ns")
 
 
 def packet_alerts(spark, d, k):
@@ -154,8 +155,9 @@ THREE_SQL = f"""{HOSTS}, base AS (
 
 
 def three_alerts(spark, d):
-    hosts = views.host_flows(spark, d)
-    return rules.numbered([flow_alerts(spark, d, 2), detect.rare_ports(hosts, 50, 20), detect.cleartext(hosts)])
+    hosts = materialize(views.host_flows(spark, d), "hosts")
+    alerts = rules.numbered([flow_alerts(spark, d, 2, hosts), detect.rare_ports(hosts, 50, 20), detect.cleartext(hosts)])
+    return materialize(rules.with_citations(alerts), "alerts")
 
 
 @query(f"WITH {THREE_SQL} SELECT CAST(alert_id AS INTEGER) AS alert_id, rule, severity, confidence, source, destination, destination_port, first_seen_ns FROM alerts")

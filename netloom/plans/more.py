@@ -50,8 +50,8 @@ def t2_earliest_of_a_crossing(spark, d):
     packets = views.packets(spark, d)
     seen = windows.sliding_distinct(packets, ["src"], "ts_ns", "dst_port", 3 * DAY, "packet_index")
     found = windows.crossings(seen, ["src"], "ts_ns", "packet_index", "n_distinct", 12)
-    shown = windows.cited(packets, found, ["src"], "ts_ns", "packet_index", 3 * DAY, newest=False).filter("place IS NOT NULL")
-    return shown.groupBy("src").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "packet_index"))), lambda x: x["packet_index"].cast("string")), ",").alias("cited"))
+    shown = windows.cited(packets, found, ["src"], "ts_ns", "packet_index", 3 * DAY, newest=False)
+    return shown.select("src", F.array_join(F.transform("related", lambda x: x.cast("string")), ",").alias("cited"))
 
 
 @query(f"""WITH {PACKETS}, a AS (SELECT p.src, p.packet_index, p.ts_ns, count(DISTINCT q.dst_port) AS n FROM packets p JOIN packets q ON p.src = q.src AND q.ts_ns BETWEEN p.ts_ns - {3 * DAY} AND p.ts_ns GROUP BY ALL), c AS (SELECT src, min(packet_index) AS crossed, arg_min(ts_ns, packet_index) AS t FROM a WHERE n >= 12 GROUP BY src),
