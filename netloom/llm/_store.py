@@ -2,47 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-from weakref import WeakKeyDictionary
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_PATHS: WeakKeyDictionary = WeakKeyDictionary()
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``. Where it is unset, a temporary folder of this machine serves a local master;
-    on a cluster each executor would write to its own disk, so that is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file://" + os.path.join(tempfile.gettempdir(), "netloom-checkpoints")
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back, so that later stages
-    neither repeat it nor depend on the executors that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/netloom-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    written = spark.read.schema(df.schema).parquet(path)
-    _PATHS[written] = path
-    return written
-
+from netloom.stored import discard, materialize, shared_dir
 
-def discard(*tables: DataFrame) -> None:
-    """Delete what ``materialize`` wrote; only for tables that no later plan reads."""
-    for table in tables:
-        path = _PATHS.pop(table, None)
-        if path:
-            spark = table.sparkSession
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["discard", "hot_keys", "look_up", "materialize", "release", "shared_dir"]
 
 
 def release(spark: SparkSession) -> None:
