@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from netloom.stored import discard, materialize
 
 from .ranges import carry
+from .windows import confirmed_clock
 
 #: The largest step that needs no confirmation: a day.
 TOLERANCE = 86_400_000_000_000
@@ -256,16 +257,13 @@ def rule_clock(rows: DataFrame, ts: str, order: str, width: int, span: int = RAN
 
     Where no two times are that far behind, the clock is a running maximum by ranges; else ranges are stepped as ``clocked`` steps them."""
     names = rows.columns
-    cut = rows.withColumn("__part", F.floor(F.col(order) / span)).withColumn("__all", F.lit(0))
-    cut = carry(cut, ["__all"], "__part", __last=(F.max, F.struct(F.col(order).alias("i"), F.col(ts).alias("t"))))
-    before = F.coalesce(F.lag(ts).over(Window.partitionBy("__part").orderBy(order)), "__last.t")
-    cut = materialize(cut.withColumn("__two", F.least(ts, before)).withColumn("__high", F.greatest(ts, before)).withColumn("__two", F.when(before.isNotNull(), F.col("__two"))).select(*names, "__two", "__high"), "rule-rows")
-    clock = ranged_maximum(cut, order, "__two", span)
-    clock = materialize(clock.withColumn("clock", F.greatest("before", "__two")).withColumn("__back", F.coalesce(F.col("__high") + width < F.col("before"), F.lit(False))).drop("before", "__two", "__high"), "rule-clock")
-    discard(cut)
+    written = materialize(rows, "rule-rows")
+    timed = confirmed_clock(written.withColumn("__all", F.lit(0)), ["__all"], ts, order, span, "__earlier")
+    back = F.coalesce(F.greatest(ts, "__earlier") + width < F.col("clock"), F.lit(False))
+    clock = materialize(timed.select(*names, (F.col(ts) <= F.col("clock") + width).alias("evaluated"), back.alias("__back")), "rule-clock")
+    discard(written)
     if clock.filter("__back").isEmpty():
-        late = F.coalesce(F.col(ts) > F.col("clock") + width, F.lit(False))
-        return clock.select(*names, F.lit(0).cast("bigint").alias("epoch"), (~late).alias("evaluated"))
+        return clock.select(*names, F.lit(0).cast("bigint").alias("epoch"), "evaluated")
     whole = clock.select(F.floor(F.col(order) / span).alias("range"), F.col(order).alias("packet_index"), F.col(ts).alias("at"), F.struct(*names).alias("row"))
     out = stepped_rows(whole, confirm_all, width)
     # the row before a reset announced it and belongs to the new epoch, if within the width

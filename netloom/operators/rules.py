@@ -201,3 +201,9 @@ def flow_numbers(flows: DataFrame, first_packet: str, buckets: str, span: int =
     starts = sizes.select(buckets, (F.coalesce("__earlier", F.lit(0)) + F.coalesce(own, F.lit(0))).alias("__before"))
     within = F.row_number().over(Window.partitionBy(buckets).orderBy(first_packet))
     return ranged.join(starts, buckets).withColumn("flow_number", F.col("__before") + within).drop(buckets, "__before")
+
+
+def not_evaluated(packets: DataFrame, packet_rules: list[WindowRule], ts: str, order: str) -> DataFrame:
+    """``events_not_evaluated``: rows of packet rules that lie too far past the rule's clock, each rule's own."""
+    counts = [rule_rows(packets, r, ts, order, by_clock=True).agg(F.count_if(~F.col("evaluated")).alias("n")) for r in packet_rules]
+    return reduce(DataFrame.unionByName, counts).agg(F.sum("n").alias("events_not_evaluated"))

@@ -101,8 +101,9 @@ def values_at_crossing(rows: DataFrame, found: DataFrame, key: list[str], ts: st
     return listed.join(counts, key).select(*key, "values", F.greatest(F.col("n") - shown, F.lit(0)).alias("more"))
 
 
-def confirmed_clock(rows: DataFrame, key: list[str], ts: str, order: str, span: int = SPAN) -> DataFrame:
-    """Add ``clock``, which goes forward to the lower of the last two times of the key only, so that one wrong time can't move it.
+def confirmed_clock(rows: DataFrame, key: list[str], ts: str, order: str, span: int = SPAN, earlier: str | None = None) -> DataFrame:
+    """Add ``clock``, which goes forward to the lower of the last two times of the key only, so that one wrong time can't move it; and the
+    time before a row's as ``earlier``, if that is named.
 
     Keys are cut into ranges of ``span`` of ``order``; a range is a row of its first and last time and the clock's greatest value within it."""
     cut = rows.withColumn("__part", F.floor(F.col(order) / span))
@@ -116,7 +117,9 @@ def confirmed_clock(rows: DataFrame, key: list[str], ts: str, order: str, span:
     ends = ends.select(*key, "__part", "__prev", F.max(reached).over(v.rowsBetween(Window.unboundedPreceding, -1)).alias("__before"))
     cut = cut.join(ends, [*key, "__part"]).withColumn("__two", F.least(ts, F.coalesce("__lag", "__prev", ts)))
     clock = F.greatest("__before", F.max("__two").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return cut.withColumn("clock", clock).drop("__part", "__lag", "__prev", "__before", "__two")
+    out = cut.withColumn("clock", clock)
+    out = out.withColumn(earlier, F.coalesce("__lag", "__prev")) if earlier else out
+    return out.drop("__part", "__lag", "__prev", "__before", "__two")
 
 
 def within_reach(rows: DataFrame, key: list[str], ts: str, order: str, width: int) -> DataFrame:

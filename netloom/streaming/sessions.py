@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netloom.stored import remove, shared_dir
+
 
 def idle_sessions(packets: DataFrame, key: list[str], at: str, idle: str, late: str) -> DataFrame:
     """Sessions that end ``idle`` after their last packet. Packets later than ``late`` behind the newest time are dropped and counted
@@ -21,8 +21,7 @@ def idle_sessions(packets: DataFrame, key: list[str], at: str, idle: str, late:
 def run_once(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Everything that is there now through the stream, and the result as a table in the shared folder."""
     spark: SparkSession = stream.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "netloom-checkpoints")
-    place = f"{root.rstrip('/')}/netloom-stream-{name}-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/netloom-stream-{name}-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         # a batch written again after a failure replaces itself
@@ -30,4 +29,5 @@ def run_once(stream: DataFrame, mode: str, name: str) -> DataFrame:
 
     query = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{place}/checkpoint").foreachBatch(put).start()
     query.awaitTermination()
+    remove(spark, f"{place}/checkpoint")
     return spark.read.parquet(f"{place}/rows")
