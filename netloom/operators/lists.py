@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.stored import materialize
+
 MAX_PAGE, MAX_PER_PAGE = 1_000_000, 500
 
 # The orders of each list; ties go by the identifier.
@@ -19,18 +23,57 @@ SEVERITY_RANK = {"low": 1, "medium": 2, "high": 3}
 
 def sorted_by(rows: DataFrame, sorts: dict[str, list[str]], by: str) -> DataFrame:
     """Rows in one of the list's orders; a leading minus is descending, and nulls come last."""
+    return rows.orderBy(*sort_order(sorts, by))
+
+
+def sort_order(sorts: dict[str, list[str]], by: str) -> list[Column]:
     if by not in sorts:
         raise ValueError(f"no order {by}; there are {', '.join(sorts)}")
-    return rows.orderBy(*[F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in sorts[by]])
+    return [F.desc_nulls_last(c[1:]) if c.startswith("-") else F.asc_nulls_last(c) for c in sorts[by]]
 
 
-def page(rows: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
-    """One page of sorted rows. Spark keeps the first ``number * size`` rows of each task, not all."""
+def check_page(number: int, size: int) -> None:
     if not 1 <= number <= MAX_PAGE or not 1 <= size <= MAX_PER_PAGE:
         raise ValueError(f"pages are 1 to {MAX_PAGE} and hold 1 to {MAX_PER_PAGE} rows")
+
+
+def page(rows: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
+    """One page of sorted rows, for the first pages: Spark keeps the first ``number * size`` rows of each task. ``page_index`` serves deep ones."""
+    check_page(number, size)
     return rows.offset((number - 1) * size).limit(size)
 
 
+@dataclass(frozen=True)
+class PageIndex:
+    """A sorted list cut into ranges: the written rows with their range, and how many rows each range has."""
+
+    rows: DataFrame
+    order: list[Column]
+    counts: list[int]
+
+    def page(self, number: int = 1, size: int = 50) -> DataFrame:
+        """One page, however deep: only the ranges that it lies in are read and sorted."""
+        check_page(number, size)
+        start, ends = (number - 1) * size, list(accumulate(self.counts))
+        inside = [k for k, end in enumerate(ends) if end > start and end - self.counts[k] < start + size]
+        before = ends[inside[0]] - self.counts[inside[0]] if inside else 0
+        found = self.rows.filter(F.col("__part").isin(inside)) if inside else self.rows.filter(F.lit(False))
+        return found.orderBy(*self.order).drop("__part").offset(start - before if inside else 0).limit(size)
+
+
+def page_index(rows: DataFrame, sorts: dict[str, list[str]], by: str, ranges: int) -> PageIndex:
+    """Rows in one of the list's orders, which must end in an identifier, dealt to ``ranges`` ranges of it and written, a folder for each, so that a page's range alone is read.
+
+    The driver holds a count for each range; ``ranges`` is 10,000 at most."""
+    if not 1 <= ranges <= 10_000:
+        raise ValueError("1 to 10,000 ranges")
+    order = sort_order(sorts, by)
+    dealt = rows.repartitionByRange(ranges, *order).withColumn("__part", F.spark_partition_id())
+    written = materialize(dealt, "pages", "__part")
+    found = {r["__part"]: r["n"] for r in written.groupBy("__part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return PageIndex(written, order, [found.get(k, 0) for k in range(ranges)])
+
+
 def labelled_pages(pages: dict[str, DataFrame]) -> DataFrame:
     """Several sorted pages as one table of ``sort``, ``place`` and the pages' columns; a page has 500 rows at most."""
     from pyspark.sql import Window

@@ -101,13 +101,30 @@ def _rows(max_packets: int):
     return run
 
 
-def read_pcap(spark: SparkSession, paths: str | list[str], max_packets: int = 100_000, max_bytes: int = 512 << 20) -> DataFrame:
-    """Rows of ``NAMES``: one a packet, and one a file with ``state`` (complete, packet_limit_reached, failed) and ``error``.
+SCHEMA = "path string, packet_index bigint, file_offset bigint, ts_ns bigint, captured_length bigint, original_length bigint, data binary, link_type int, snap_length bigint, state string, error string"
+
+
+def refusal(path: Column, length: Column, max_bytes: int) -> Column:
+    """The code of a file that isn't read, by its name and size; else null."""
+    name = F.lower(path)
+    wrong = F.when(name.endswith(".pcapng"), "pcapng_not_supported").when(~name.endswith(".pcap"), "unsupported_extension")
+    return F.coalesce(wrong, F.when(length > max_bytes, "file_too_large"))
+
 
-    Names end in .pcap; larger files than ``max_bytes`` are not read. Times with a fraction out of range are null."""
-    files = spark.read.format("binaryFile").load(paths).filter(F.lower("path").endswith(".pcap") & (F.col("length") <= max_bytes))
-    schema = "path string, packet_index bigint, file_offset bigint, ts_ns bigint, captured_length bigint, original_length bigint, data binary, link_type int, snap_length bigint, state string, error string"
-    return files.select("path", "content").mapInArrow(_rows(max_packets), schema)
+def read_contents(files: DataFrame, max_packets: int = 100_000, max_bytes: int = 512 << 20) -> DataFrame:
+    """Rows of ``NAMES`` of files ``(path, length, content)``: one a packet, and one a file with ``state`` (complete, packet_limit_reached, failed) and
+    ``error``. A file that is refused by name or size has that row alone, and its content isn't read."""
+    told = files.withColumn("error", refusal(F.col("path"), F.col("length"), max_bytes))
+    read = told.filter("error IS NULL").select("path", "content").mapInArrow(_rows(max_packets), SCHEMA)
+    null = {n: F.lit(None) for n in NAMES}
+    refused = told.filter("error IS NOT NULL").select("path", "error").withColumns({n: c for n, c in null.items() if n not in ("path", "error")} | {"state": F.lit("failed")})
+    types = dict(x.split() for x in SCHEMA.split(", "))
+    return read.unionByName(refused.select(*[F.col(n).cast(types[n]).alias(n) for n in NAMES]))
+
+
+def read_pcap(spark: SparkSession, paths: str | list[str], max_packets: int = 100_000, max_bytes: int = 512 << 20) -> DataFrame:
+    """``read_contents`` of all files of the paths. Names end in .pcap; times with a fraction out of range are null."""
+    return read_contents(spark.read.format("binaryFile").load(paths).select("path", "length", "content"), max_packets, max_bytes)
 
 
 def capture_summary(rows: DataFrame) -> DataFrame:

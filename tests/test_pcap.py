@@ -55,7 +55,14 @@ def rows(spark, tmp_path_factory):
 
 def test_files_end_as_they_should(rows):
     found = {r["path"].rsplit("/", 1)[1]: (r["state"], r["error"], r["packets"]) for r in pcap.capture_summary(rows).collect()}
-    assert found == {name: wanted for name, (_, wanted) in FILES.items()}
+    refused = {"notes.txt": ("failed", "unsupported_extension", 0)}
+    assert found == {name: wanted for name, (_, wanted) in FILES.items()} | refused
+
+
+def test_refused_files_have_a_row(spark):
+    files = spark.createDataFrame([(n, len(c), c) for n, c in (("a.PCAPNG", b""), ("b.pcap", three()), ("c.pcap", three() + bytes(999)), ("d", b""))], "path string, length bigint, content binary")
+    found = {r["path"]: (r["state"], r["error"], r["packets"]) for r in pcap.capture_summary(pcap.read_contents(files, max_bytes=500)).collect()}
+    assert found == {"a.PCAPNG": ("failed", "pcapng_not_supported", 0), "b.pcap": ("complete", None, 3), "c.pcap": ("failed", "file_too_large", 0), "d": ("failed", "unsupported_extension", 0)}
 
 
 def test_lengths_times_and_warnings(spark, rows):
