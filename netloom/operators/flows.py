@@ -10,6 +10,7 @@ from netloom.stored import materialize
 from .clock import FORWARD, RANGE, TOLERANCE, clocked, ranged_maximum
 from .flow_starts import ACK, BASES, ENTRY, ENTRY_SCHEMA, EXIT_SCHEMA, FIN, RST, SYN, Idle, entries, exits, starts
 from .ranges import SPAN, carry
+from .windows import shortlist
 
 SECOND = 1_000_000_000
 # Idle times that end a flow, by what it is.
@@ -159,6 +160,32 @@ def first_values(flowed: DataFrame, value: Column, limit: int = 4) -> DataFrame:
     return ranked.groupBy("first_packet").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]), ",").alias("values"))
 
 
+#: Sizes of a flow from which its median is taken.
+MEDIAN_OF = 256
+
+
+def size_medians(flowed: DataFrame, limit: int = MEDIAN_OF) -> DataFrame:
+    """``first_packet, size_median, exact``: the median of the flow's first ``limit`` sizes, exact if it has no more.
+
+    The first ones are chosen in parts of a flow, so that a flow with most packets isn't put in order as a whole."""
+    few = shortlist(flowed.select("first_packet", "packet_index", "original_length"), ["first_packet"], ["packet_index"], limit, "packet_index")
+    medians = few.groupBy("first_packet").agg(F.median("original_length").alias("size_median"))
+    counts = flowed.groupBy("first_packet").agg((F.count(F.lit(1)) <= limit).alias("exact"))
+    return medians.join(counts, "first_packet")
+
+
+def first_lists(flowed: DataFrame, values: dict[str, Column], limit: int = 4) -> DataFrame:
+    """``first_packet`` and for each name the flow's first ``limit`` distinct values in order of arrival, as arrays; empty where there are none.
+
+    All lists are made of one pass: a value is a row of its list's name before equal ones are merged."""
+    tagged = F.array(*[F.struct(F.lit(k).alias("list"), v.alias("value")) for k, v in values.items()])
+    each = flowed.select("first_packet", "packet_index", F.explode(tagged).alias("x")).filter("x.value IS NOT NULL")
+    once = each.groupBy("first_packet", F.col("x.list").alias("list"), F.col("x.value").alias("value")).agg(F.min("packet_index").alias("at"))
+    few = shortlist(once, ["first_packet", "list"], ["at", "value"], limit, "value")
+    of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("list") == k, F.struct("place", "value")))), lambda x: x["value"]).alias(k)
+    return few.groupBy("first_packet").agg(*[of(k) for k in values])
+
+
 def tcp_summary(flowed: DataFrame) -> DataFrame:
     """``first_packet`` and the flow's TCP state, flags of both sides and counts; only flows whose first packet has a TCP header.
 

@@ -131,6 +131,25 @@ def w18_first_names(spark, d):
     return flows.first_values(flowed(spark, d), F.coalesce("http_host", "tls_sni", F.lower("dns_query")))
 
 
+@query(f"""WITH RECURSIVE {WALK}, r AS (SELECT first_packet, wire_length, row_number() OVER (PARTITION BY first_packet ORDER BY packet_index) AS place FROM flowed)
+ SELECT first_packet, median(wire_length) FILTER (place <= 256) AS size_median, count(*) <= 256 AS exact FROM r GROUP BY first_packet""")
+def w11_median_of_flows(spark, d):
+    return flows.size_medians(stored(spark, d))
+
+
+def _list_sql(name: str, value: str) -> str:
+    return f"SELECT first_packet, '{name}' AS list, {value} AS value, min(packet_index) AS seen_at FROM flowed WHERE {value} IS NOT NULL GROUP BY ALL"
+
+
+@query(f"""WITH RECURSIVE {WALK}, v AS ({_list_sql('dns', 'lower(dns_query)')} UNION ALL {_list_sql('http', 'http_host')} UNION ALL {_list_sql('tls', 'tls_sni')}),
+ r AS (SELECT *, row_number() OVER (PARTITION BY first_packet, list ORDER BY seen_at, value) AS rank FROM v) SELECT first_packet,
+ coalesce(string_agg(value, ',' ORDER BY rank) FILTER (list = 'dns'), '') AS dns_queries, coalesce(string_agg(value, ',' ORDER BY rank) FILTER (list = 'http'), '') AS http_hosts, coalesce(string_agg(value, ',' ORDER BY rank) FILTER (list = 'tls'), '') AS tls_names
+ FROM r WHERE rank <= 4 GROUP BY first_packet""")
+def w18_lists_of_flows(spark, d):
+    names = {"dns_queries": F.lower("dns_query"), "http_hosts": F.col("http_host"), "tls_names": F.col("tls_sni")}
+    return flows.first_lists(flowed(spark, d), names).select("first_packet", *[F.array_join(k, ",").alias(k) for k in names])
+
+
 @query(f"WITH RECURSIVE {WALK}, {ENDS} SELECT first_packet, end_reason, tcp_state FROM endings")
 def w22_end_reasons(spark, d):
     return ended(clock.clocked(views.wire(spark, d))).select("first_packet", "end_reason", "tcp_state")

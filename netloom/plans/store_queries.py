@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from netloom.functions import headers, networks
-from netloom.operators import lists
+from netloom.operators import lists, store
 from netloom.plans.catalog import query
 from netloom.plans.flow_queries import WIRE
 from netloom.sources import pcap, views
+from netloom.stored import shared_dir
 
 _FRAMES = f"""{WIRE}, frames AS (SELECT packet_index, ts_ns // 1000 * 1000 AS ts_ns, 'c' || packet_index % 3 || '.pcap' AS path, 14 + CASE WHEN src_ip IS NULL THEN 28 ELSE CASE WHEN src_key LIKE '6%' THEN 40 + CASE WHEN fragment THEN 8 ELSE 0 END ELSE 20 END + CASE WHEN fragment THEN 16 WHEN protocol = 6 THEN 20 + payload_length ELSE 8 + payload_length END END AS n FROM wire),
  placed AS (SELECT path, row_number() OVER w AS packet_index, 24 + CAST(coalesce(sum(n + 16) OVER (PARTITION BY path ORDER BY packet_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS file_offset, ts_ns, n FROM frames WINDOW w AS (PARTITION BY path ORDER BY packet_index)),
@@ -58,3 +61,28 @@ def u6_table_of_networks(spark, d):
     four = F.concat(F.lit("0A0000"), F.lpad(F.hex(key % 256), 2, "0"))
     table = views.table(spark, d, "supplier").select(F.concat(F.lit("n"), key.cast("string")).alias("name"), F.unhex(F.when(key % 3 == 0, six).otherwise(four)).alias("base"), F.when(key % 3 == 0, 96 + key % 9 * 4).otherwise(16 + key % 5 * 4).alias("length"))
     return networks.with_network(views.wire(spark, d), "src_bin", table).select("packet_index", "network")
+
+
+_STORED = f"""{WIRE}, p AS (SELECT packet_index % 7 AS session_id, * FROM wire), s AS (SELECT session_id, max(ts_ns) AS last_ns, count(*) AS packets FROM p GROUP BY session_id),
+ a AS (SELECT session_id, packet_index AS alert_id, CASE WHEN session_id = 3 AND packet_index = (SELECT min(packet_index) FROM p WHERE session_id = 3 AND arp) THEN 'closed' ELSE 'open' END AS status FROM p WHERE arp),
+ f AS (SELECT session_id, src_ip, dst_ip FROM p WHERE src_ip IS NOT NULL GROUP BY ALL)"""
+
+
+@query(f"""WITH {_STORED} SELECT 'sessions' AS name, session_id, count(*) AS n, CAST(sum(packets) AS BIGINT) AS checked FROM s WHERE session_id <> 2 GROUP BY session_id
+ UNION ALL SELECT 'packets', session_id, count(*), CAST(sum(packet_index) AS BIGINT) FROM p WHERE session_id <> 2 GROUP BY session_id UNION ALL SELECT 'flows', session_id, count(*), count(DISTINCT src_ip) FROM f WHERE session_id <> 2 GROUP BY session_id
+ UNION ALL SELECT 'alerts', session_id, count(*), count(*) FILTER (status = 'open') FROM a WHERE session_id <> 2 GROUP BY session_id""")
+def q13_q14_stored_changes(spark, d):
+    """A store of seven sessions of which one is deleted with all that belongs to it, and an alert of another one is closed."""
+    wire = views.wire(spark, d).withColumn("session_id", (F.col("packet_index") % 7).cast("int"))
+    held = store.Store(spark, f"{shared_dir(spark)}/netloom-store-{uuid.uuid4().hex}")
+    held.put("packets", wire.select("session_id", "packet_index", "ts_ns", "src_ip", "dst_ip", F.col("sender_mac").isNotNull().alias("arp")))
+    packets = held.read("packets")
+    held.put("sessions", packets.groupBy("session_id").agg(F.max("ts_ns").alias("last_ns"), F.count(F.lit(1)).alias("packets")))
+    held.put("flows", packets.filter("src_ip IS NOT NULL").select("session_id", "src_ip", "dst_ip").distinct())
+    held.put("alerts", packets.filter("arp").select("session_id", F.col("packet_index").alias("alert_id"), F.lit("open").alias("status")))
+    held.delete_sessions([2])
+    first = held.session("alerts", 3).agg(F.min("alert_id")).first()[0]
+    held.set_alert_status(3, first, "closed")
+    checks = {"sessions": F.sum("packets"), "packets": F.sum("packet_index"), "flows": F.count_distinct("src_ip"), "alerts": F.count_if(F.col("status") == "open")}
+    rows = [held.read(t).groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), c.cast("bigint").alias("checked")).select(F.lit(t).alias("name"), F.col("session_id").cast("bigint").alias("session_id"), "n", "checked") for t, c in checks.items()]
+    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
