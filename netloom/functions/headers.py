@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import lookups
+
 # Fixed values of the protocols.
 VLAN_TYPES, ARP, IPV4, IPV6 = (0x8100, 0x88A8, 0x9100), 0x0806, 0x0800, 0x86DD
 EXTENSIONS, FRAGMENT = (0, 43, 60), 44
@@ -85,7 +87,7 @@ def decoded(frames: DataFrame) -> DataFrame:
     )
     out = _settled(out)
     # extension headers: the next header's number, where it begins, and whether a later fragment was met
-    begin = F.struct(F.when(kind == IPV4, number(l3, 9, 1)).otherwise(number(l3, 6, 1)).alias("next"), F.col("head").cast("bigint").alias("at"), F.coalesce(F.col("fragment_word").bitwiseAND(0x1FFF) > 0, F.lit(False)).alias("part"))
+    begin = F.struct(F.when(kind == IPV4, number(l3, 9, 1)).otherwise(number(l3, 6, 1)).alias("next"), F.col("head").cast("bigint").alias("at"), F.coalesce(F.col("fragment_word").bitwiseAND(0x1FFF) > 0, F.lit(False)).alias("part"), (F.col("fragment_word").bitwiseAND(0x1FFF) * 8).alias("offset"))
 
     def step(state: Column, _: Column) -> Column:
         skip, cut = state["next"].isin(*EXTENSIONS), state["next"] == FRAGMENT
@@ -93,11 +95,12 @@ def decoded(frames: DataFrame) -> DataFrame:
         moved = F.when(inner & skip, state["at"] + (number(l3, state["at"] + 1, 1) + 1) * 8).when(inner & cut, state["at"] + 8).otherwise(state["at"])
         following = F.when(inner & (skip | cut), number(l3, state["at"], 1)).otherwise(state["next"])
         part = state["part"] | F.coalesce(inner & cut & (F.shiftright(number(l3, state["at"] + 2, 2), 3) > 0), F.lit(False))
-        return F.struct(following.alias("next"), moved.alias("at"), part.alias("part"))
+        offset = F.when(inner & cut, F.shiftright(number(l3, state["at"] + 2, 2), 3) * 8).otherwise(state["offset"])
+        return F.struct(following.alias("next"), moved.alias("at"), part.alias("part"), offset.alias("offset"))
 
     out = out.withColumn("walk", F.when(F.col("family").isNotNull(), F.aggregate(F.sequence(F.lit(1), F.lit(8)), begin, step)))
     out = _settled(out)
-    out = out.withColumns({"protocol": F.col("walk.next").cast("int"), "l4": F.substring(l3, (F.col("walk.at") + 1).cast("int"), F.lit(1 << 30)), "fragment": F.coalesce("walk.part", F.lit(False))})
+    out = out.withColumns({"protocol": F.col("walk.next").cast("int"), "l4": F.substring(l3, (F.col("walk.at") + 1).cast("int"), F.lit(1 << 30)), "fragment": F.coalesce("walk.part", F.lit(False)), "fragment_offset": F.col("walk.offset")})
     out = _settled(out)
     l4, whole = F.col("l4"), ~F.col("fragment")
     tcp, udp, icmp = (F.coalesce(whole & F.col("protocol").isin(*p), F.lit(False)) for p in ((6,), (17,), (1, 58)))
@@ -109,11 +112,16 @@ def decoded(frames: DataFrame) -> DataFrame:
             "src_port": F.when(tcp | udp, number(l4, 0, 2)).cast("int"),
             "dst_port": F.when(tcp | udp, number(l4, 2, 2)).cast("int"),
             "seq": F.when(tcp, number(l4, 4, 4)),
+            "tcp_ack": F.when(tcp, number(l4, 8, 4)),
+            "tcp_header_length": F.when(tcp, offset).cast("int"),
             "tcp_flags": F.when(tcp, number(l4, 12, 2).bitwiseAND(0x1FF)).cast("int"),
+            "tcp_window": F.when(tcp, number(l4, 14, 2)).cast("int"),
+            "tcp_urgent": F.when(tcp, number(l4, 18, 2)).cast("int"),
             "payload_length": F.when(tcp, room - offset).when(udp, number(l4, 4, 2) - 8).cast("bigint"),
             "icmp_type": F.when(icmp, number(l4, 0, 1)).cast("int"),
             "icmp_code": F.when(icmp, number(l4, 1, 1)).cast("int"),
             "echo_id": F.when(echo, number(l4, 4, 2)).cast("int"),
+            "echo_seq": F.when(echo, number(l4, 6, 2)).cast("int"),
         }
     )
     out = _settled(out)
@@ -126,6 +134,28 @@ def decoded(frames: DataFrame) -> DataFrame:
     return out.withColumns({"decode_status": status, "src_ip": address_text(F.col("src_bin")), "dst_ip": address_text(F.col("dst_bin"))}).drop("data", "l3", "l4", "walk", "head", "fragment_word", "snapped")
 
 
+def packet_info() -> Column:
+    """One text a packet of ``decoded`` rows, of its last header: ports, flags, numbers and lengths, or who asks whom. What isn't decoded whole says how it ended.
+
+    Application messages aren't decoded, so theirs is the text of the header below."""
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    c = F.col
+    flags = F.array_join(lookups.tcp_flag_names(c("tcp_flags")), ",")
+    tcp = text(c("src_port"), " -> ", c("dst_port"), " [", F.when(flags == "", "none").otherwise(flags), "] seq=", c("seq"), F.when(c("tcp_flags").bitwiseAND(16) != 0, text(" ack=", c("tcp_ack"))).otherwise(""), " win=", c("tcp_window"), " len=", c("payload_length"))
+    udp = text(c("src_port"), " -> ", c("dst_port"), " len=", c("payload_length"))
+    kind = F.when(c("protocol") == 1, lookups.icmp_type_name(c("icmp_type"))).otherwise(lookups.icmpv6_type_name(c("icmp_type")))
+    icmp = text(F.coalesce(kind, text("type ", c("icmp_type"))), " code=", c("icmp_code"), F.coalesce(text(" id=", c("echo_id"), " seq=", c("echo_seq")), F.lit("")))
+    name = F.coalesce(lookups.ip_protocol_name(c("protocol")), F.lit("unknown"))
+    part = F.when(c("fragment_offset") > 0, text("fragment offset=", c("fragment_offset"), " ")).otherwise("")
+    four = text(part, "protocol=", name, " (", c("protocol"), ")")
+    six = F.when(c("fragment_offset") > 0, text(part, "next=", name)).otherwise(text("next=", name, " (", c("protocol"), ")"))
+    asks = F.when((c("arp_operation") == 1) & c("target_ip").isNotNull() & c("sender_ip").isNotNull(), text("who-has ", c("target_ip"), " tell ", c("sender_ip")))
+    asks = asks.when((c("arp_operation") == 2) & c("sender_ip").isNotNull(), text(c("sender_ip"), " is-at ", c("sender_mac"))).otherwise(text("ARP ", F.coalesce(lookups.arp_operation_name(c("arp_operation")), F.lit("operation"))))
+    plain = F.when(c("ethertype") <= 1500, text("IEEE 802.3 frame, length ", c("ethertype"))).otherwise(text("EtherType 0x", F.lower(hexed(c("ethertype"), 2)), F.coalesce(text(" (", lookups.ethertype_name(c("ethertype")), ")"), F.lit(""))))
+    whole = F.coalesce(F.when(c("tcp_flags").isNotNull(), tcp), F.when((c("protocol") == 17) & c("src_port").isNotNull(), udp), F.when(c("icmp_type").isNotNull(), icmp), F.when(c("family") == 4, four), F.when(c("family") == 6, six), F.when(c("ethertype") == ARP, asks), plain, F.lit(""))
+    return F.when(c("decode_status") == "complete", whole).otherwise(F.concat(whole, F.when(whole == "", "").otherwise(" "), F.lit("["), c("decode_status"), F.lit("]")))
+
+
 def hexed(value: Column, size: int) -> Column:
     """A number as ``size`` bytes, big-endian, in hexadecimal."""
     return F.lpad(F.hex(value.cast("bigint")), 2 * size, "0")

@@ -18,6 +18,14 @@ def d2_d9_decoded_frames(spark, d):
     return decoded.select("packet_index", "decode_status", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "tcp_flags", "payload_length", "fragment", "sender_ip", "sender_mac", "checksum_ok")
 
 
+@query(f"""WITH {WIRE}, f AS (SELECT *, list_filter([CASE WHEN tcp_flags & 1 <> 0 THEN 'FIN' END, CASE WHEN tcp_flags & 2 <> 0 THEN 'SYN' END, CASE WHEN tcp_flags & 4 <> 0 THEN 'RST' END, CASE WHEN tcp_flags & 8 <> 0 THEN 'PSH' END, CASE WHEN tcp_flags & 16 <> 0 THEN 'ACK' END], lambda x: x IS NOT NULL) AS names FROM wire)
+ SELECT packet_index, CASE WHEN arp THEN 'who-has ' || CASE WHEN gratuitous THEN sender_ip ELSE '192.0.2.99' END || ' tell ' || sender_ip WHEN fragment AND src_key LIKE '6%' THEN 'fragment offset=24 next=' || CASE protocol WHEN 6 THEN 'TCP' ELSE 'UDP' END
+  WHEN fragment THEN 'fragment offset=24 protocol=' || CASE protocol WHEN 6 THEN 'TCP (6)' ELSE 'UDP (17)' END WHEN protocol = 17 THEN src_port || ' -> ' || dst_port || ' len=' || payload_length
+  ELSE src_port || ' -> ' || dst_port || ' [' || array_to_string(names, ',') || '] seq=' || seq || CASE WHEN tcp_flags & 16 <> 0 THEN ' ack=0' ELSE '' END || ' win=65535 len=' || payload_length END AS info FROM f""")
+def d24_packet_info(spark, d):
+    return headers.decoded(headers.ethernet_frame(views.wire(spark, d))).select("packet_index", headers.packet_info().alias("info"))
+
+
 @query(f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL {DAY // 2 // 1_000_000_000} SECOND THEN 1 ELSE 0 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
  SELECT user_id, epoch_us(min(ts)) AS first_us, count(*) AS packets, CAST(sum(floor(value * 100)) AS BIGINT) AS bytes FROM s GROUP BY user_id, n""")
 def l9_streamed_sessions(spark, d):
