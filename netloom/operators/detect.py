@@ -106,14 +106,15 @@ def suspicious_name(name: Column, record_type: Column, label: int = 40, whole: i
     return F.coalesce(long | dense | record_type.isin(10, 16), F.lit(False))
 
 
-def dns_tunnels(packets: DataFrame, width_ns: int, min_suspicious: int, min_subdomains: int, **limits: float) -> DataFrame:
-    """Clients and parent domains with many suspicious queries, or many distinct subdomains of which the present one is suspicious.
+def dns_tunnels(packets: DataFrame, width_ns: int, min_suspicious: int, min_subdomains: int, by_clock: bool = True, **limits: float) -> DataFrame:
+    """Clients and parent domains with many suspicious queries, or many distinct subdomains of which the present one is suspicious; ``by_clock`` as of
+    ``rules.window_alerts``.
 
     Subdomains are counted over all questions with three labels or more, suspicious ones by themselves; the rows of both meet by packet."""
     parent, sub = rules.split_name(F.col("dns_query"))
     asked = packets.filter("dns_query IS NOT NULL AND NOT dns_response AND src_ip IS NOT NULL").select("packet_index", "ts_ns", "src_ip", parent.alias("parent"), sub.alias("sub"), suspicious_name(F.col("dns_query"), F.col("record_type"), **limits).alias("suspicious")).filter("parent IS NOT NULL")
     key = ["src_ip", "parent"]
-    whole = rule_clock(asked, "ts_ns", "packet_index", width_ns).filter("evaluated")
+    whole = rule_clock(asked, "ts_ns", "packet_index", width_ns).filter("evaluated") if by_clock else materialize(asked.withColumn("epoch", F.lit(0).cast("bigint")), "asked")
     timed = [*key, "epoch"]
     enough = whole.groupBy(*timed).agg(F.count_if("suspicious").alias("s"), F.count(F.lit(1)).alias("n")).filter((F.col("s") >= min_suspicious) | ((F.col("n") >= min_subdomains) & (F.col("s") > 0)))
     asked = materialize(whole.join(enough.select(*timed), timed, "left_semi"), "asked")

@@ -48,7 +48,8 @@ def flow_alerts(spark, d, k, hosts=None):
 
 
 def packet_alerts(spark, d, k):
-    return rules.window_alerts(views.wire(spark, d), PACKET_THREE[k], "ts_ns", "packet_index", newest=False)
+    # every event counts, however late after the one before it; whole captures (analysis_queries) go by the rule's clock
+    return rules.window_alerts(views.wire(spark, d), PACKET_THREE[k], "ts_ns", "packet_index", newest=False, by_clock=False)
 
 
 @query(f"WITH {HOSTS}, f AS (SELECT * FROM hosts WHERE failed), {window_sql('f', 'src, dst', 'count(DISTINCT b.responder_port)', WIDTH, 12, 'CAST(src AS VARCHAR) AS source, CAST(dst AS VARCHAR) AS destination, CAST(NULL AS INTEGER) AS destination_port', 'first_seen_ns', 'flow_id', 'last_seen_ns', True, 'distinct_ports_unanswered_or_refused')}")
@@ -140,7 +141,7 @@ def u3_suspicious_names(spark, d):
  'parent_domain=' || b.parent || ';suspicious_queries_in_window=' || any_value(peak) || ';distinct_subdomains_in_window=' || any_value(spread) || ';threshold_reached=' || CASE WHEN any_value(by_count) AND any_value(by_spread) THEN 'both' WHEN any_value(by_spread) THEN 'min_distinct_subdomains' ELSE 'min_suspicious_queries' END AS evidence
  FROM b JOIN c ON b.src_ip = c.src_ip AND b.parent = c.parent JOIN pk ON b.src_ip = pk.src_ip AND b.parent = pk.parent GROUP BY b.src_ip, b.parent""")
 def r10_dns_tunnel(spark, d):
-    return shown(detect.dns_tunnels(views.wire(spark, d), 20 * DAY, 3, 4, label=20, whole=100, bits=3.4))
+    return shown(detect.dns_tunnels(views.wire(spark, d), 20 * DAY, 3, 4, by_clock=False, label=20, whole=100, bits=3.4))
 
 
 THREE_SQL = f"""{HOSTS}, base AS (

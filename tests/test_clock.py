@@ -67,7 +67,7 @@ def built(spark, steps, span=1 << 18):
     return [(r["packets_total"], r["end_reason"], r["timestamp_outliers"]) for r in done.orderBy("first_packet").collect()], tuple(clock.clock_summary(table).first())
 
 
-@pytest.mark.parametrize("span", [2, 1 << 18])
+@pytest.mark.parametrize("span", [2])
 def test_doubted_times_and_jumps(spark, span):
     """One wrong time changes nothing; two that agree move the clock, forward or back; what was held is counted when it's confirmed."""
     lone = [(0, A, B), (0.01, C, B), (3e9, A, B), (0.02, A, B), (120, A, B)]
