@@ -96,10 +96,10 @@ def _times(group: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def confirm_all(times: np.ndarray, now: int | None, previous: int | None, width: int) -> tuple[np.ndarray, np.ndarray, int | None, int | None]:
     """``(clock, step, now, previous)`` of a rule's clock, which goes forward to the lower of the last two times, and back to the higher
-    of them where both lie over ``width`` behind it. Before the second time it is ``-1``."""
+    of them where both lie over ``width`` behind it. At the first time it is not known yet; that time is given."""
     clock, step, i, n = np.empty(len(times), np.int64), np.zeros(len(times), np.int8), 0, len(times)
     if n and previous is None:
-        clock[0], previous, i = -1, int(times[0]), 1
+        clock[0], previous, i = times[0], int(times[0]), 1
     while i < n:
         before = np.concatenate([[previous], times[i:-1]])
         low, high = np.minimum(before, times[i:]), np.maximum(before, times[i:])
@@ -273,5 +273,5 @@ def rule_clock(rows: DataFrame, ts: str, order: str, width: int, span: int = RAN
     after = F.coalesce(F.lead(F.struct(F.lit(0).cast("bigint").alias("i"), F.col("epoch").alias("e"), F.col(ts).alias("t"))).over(Window.partitionBy("__part").orderBy(order)), "__next")
     cut = cut.withColumn("__after", after)
     announced = F.coalesce((F.col("__after.e") > F.col("epoch")) & (F.col(ts) + width >= F.greatest(F.col(ts), F.col("__after.t"))), F.lit(False))
-    late = (F.col("clock") >= 0) & (F.col(ts) > F.col("clock") + width)
+    late = F.col(ts) > F.col("clock") + width
     return materialize(cut.select(*names, F.when(announced, F.col("__after.e")).otherwise(F.col("epoch")).alias("epoch"), (announced | ~late).alias("evaluated")), "rule-clock")

@@ -122,3 +122,53 @@ def test_flow_starts_equal_a_walk(spark, seed):
     for span in (3, 1 << 18):
         got = {r["packet_index"]: r["first_packet"] for r in flows.flows_of(packets, span=span).select("packet_index", "first_packet").collect()}
         assert got == wanted, span
+
+
+def rule_walk(times, width):
+    previous = now = None
+    out, epoch = [], 0
+    for k, t in enumerate(times):
+        if previous is not None:
+            low, high = min(previous, t), max(previous, t)
+            if now is None or low > now:
+                now = low
+            elif high + width < now:
+                epoch, now = epoch + 1, high
+                if previous + width >= high:
+                    out[k - 1] = (epoch, True)
+        previous = t
+        out.append((epoch, now is None or t <= now + width))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(1, 3))
+def test_rule_clock_equals_a_walk(spark, seed):
+    rng = random.Random(seed)
+    times, base = [], 1000
+    for _ in range(80):
+        base += rng.choice([0, 1, 4, 15])
+        base -= rng.choice([0] * 12 + [300 * (seed > 0)])
+        times.append(base + (rng.choice([-60, 500]) if rng.random() < 0.1 else 0))
+    rows = spark.createDataFrame(list(enumerate(times)), "i bigint, t bigint")
+    for span in (5, 1 << 18):
+        got = clock.rule_clock(rows, "t", "i", 10, span=span).orderBy("i").select("epoch", "evaluated").collect()
+        assert [tuple(r) for r in got] == rule_walk(times, 10), span
+
+
+def test_flow_queries_read_their_input_once_or_twice(spark):
+    from netloom.plans import catalog, flow_queries  # noqa: F401
+
+    for name in ("w5_w6_flow_of_packets", "w7_w9_directions", "w12_w14_arrivals", "w17_duplicate_segments", "w22_end_reasons", "w24_retention", "w27_peak_active", "w28_flow_sorts"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert 1 <= plan.count("FileScan parquet") <= (3 if name.startswith("w5") else 8), name
+
+
+def test_a_hot_key_is_shortlisted_in_parts(spark):
+    from netloom.operators import windows
+
+    rows = spark.range(3000).selectExpr("IF(id < 2900, 'hot', CAST(id % 7 AS STRING)) AS k", "id", "(id * 7919) % 3001 AS t")
+    got = sorted((r["k"], r["place"], r["id"]) for r in windows.shortlist(rows, ["k"], ["t", "id"], 50, "id").collect())
+    each = {}
+    for r in rows.collect():
+        each.setdefault(r["k"], []).append((r["t"], r["id"]))
+    assert got == sorted((k, n, i) for k, v in each.items() for n, (_, i) in enumerate(sorted(v)[:50], 1))
