@@ -1,8 +1,8 @@
 """Media columns: lossless WebP images decoded into pixel arrays, and texts stored as such images.
 
-A payload's byte is the green of a pixel in an image 64 wide, with back-references, and with a palette where it has few distinct bytes. One
-part in ``FULL_SHARE``, by checksum, is stored as four-byte pixels in an image 16 wide instead, through a predictor (all 14 modes in
-turn), cross-colour or green, and with a colour cache: larger, but so the whole of the decoder is read back over any table.
+A payload's byte is the grey (red, green and blue alike) of a pixel. Every image with more than ``PALETTE_SIZE`` distinct bytes goes through
+cross-colour, which takes red and blue to zero, a predictor whose mode each tile chooses by its least differences, copies and a colour
+cache; one with fewer through a palette, which puts several pixels in one, and copies.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ from . import webp
 UNIT = 64
 #: Bytes of one stored image at most, as the format's greatest height allows; a longer payload is several files in a row.
 IMAGE_BYTES = 1 << 20
-#: Pixels across, where a pixel holds one byte, and where it holds four.
-GREY, FULL = 64, 16
-FULL_SHARE, CACHE_BITS = 64, 8
+PALETTE_SIZE, CACHE_BITS, TILE_BITS, COPY = 16, 8, 4, 8
+#: Bytes that are stored and read back together, but for a longer text.
+TOGETHER = 1 << 19
 
 
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,36 +51,25 @@ def to_payload(text: bytes) -> bytes:
     return text + b"\0" * (-len(text) % UNIT if text else UNIT)
 
 
-def _tiles(pixels: np.ndarray, value: int) -> np.ndarray:
-    return np.full((-(-pixels.shape[0] >> 9), -(-pixels.shape[1] >> 9)), 0xFF000000 | value, np.uint32)
-
-
-def full_form(part: np.ndarray, choice: int) -> bytes:
-    """Four bytes a pixel: a predictor, cross-colour or green, colour cache and copies, with the mode and factors by ``choice``."""
-    pixels = part.view("<u4").astype(np.uint32).reshape(-1, FULL)
-    transforms: list[tuple] = [(webp.PREDICTOR, 9, _tiles(pixels, (choice % 14) << 8))]
-    factor = lambda shift: (choice >> shift) & 255
-    transforms.append((webp.SUBTRACT_GREEN,) if choice % 3 == 0 else (webp.CROSS_COLOR, 9, _tiles(pixels, factor(4) << 16 | factor(12) << 8 | factor(20))))
-    moved = pixels
-    for t in transforms:
-        moved = webp.transformed(moved, t)
-    return webp.encode(pixels, tuple(transforms), CACHE_BITS, webp.find_copies(moved.ravel(), 3))
-
-
-def grey_form(part: np.ndarray) -> bytes:
-    """A byte a pixel, with copies; of few distinct bytes with a palette, which puts several pixels in one."""
-    grey = ((part.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)).reshape(-1, GREY)
-    used = np.flatnonzero(np.bincount(part, minlength=256))
-    if len(used) > 16:
-        return webp.encode(grey, (), 0, webp.find_copies(grey.ravel(), 16))
-    palette = (webp.PALETTE, (used.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000))
-    return webp.encode(grey, (palette,), 0, webp.find_copies(webp.transformed(grey, palette).ravel(), 4))
+def width_of(size: int) -> int:
+    """Pixels across of an image of ``size`` bytes: ``UNIT``, doubled until it is no higher than twice as wide."""
+    width = UNIT
+    while size > 2 * width * width:
+        width *= 2
+    return width
 
 
 def encode_part(part: np.ndarray) -> bytes:
-    """One file of a part of a payload; its form depends on its bytes alone."""
-    check = zlib.crc32(part.tobytes())
-    return full_form(part, check // FULL_SHARE) if check % FULL_SHARE == 0 else grey_form(part)
+    """One file of a part of a payload; a last row that isn't full ends in zeros. Its form depends on its bytes alone."""
+    width = width_of(len(part))
+    samples = np.concatenate([part, np.zeros(-len(part) % width, np.uint8)]).reshape(-1, width)
+    grey = samples.astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)
+    used = np.flatnonzero(np.bincount(samples.ravel(), minlength=256)).astype(np.uint32)
+    if len(used) <= PALETTE_SIZE:
+        return webp.encode(grey, ((webp.PALETTE, used * np.uint32(0x010101) | np.uint32(0xFF000000)),), 0, COPY // 2)
+    # factors of 32 are 1: red and blue less green
+    same = np.full((-(-len(grey) >> 9), -(-width >> 9)), 0xFF000000 | 32 << 8 | 32, np.uint32)
+    return webp.encode(grey, ((webp.CROSS_COLOR, 9, same), (webp.PREDICTOR, TILE_BITS, webp.best_modes(grey, TILE_BITS))), CACHE_BITS, COPY)
 
 
 def store(payload: bytes) -> bytes:
@@ -91,12 +80,23 @@ def store(payload: bytes) -> bytes:
 
 def read_back(media: bytes, size: int) -> bytes:
     """The payload's ``size`` bytes from its stored form."""
-    parts, at = [], 0
-    while at < len(media):
-        pixels, used = webp.decode(media[at:])
-        parts.append(pixels.astype("<u4").tobytes() if pixels.shape[1] == FULL else ((pixels >> np.uint32(8)) & np.uint32(255)).astype(np.uint8).tobytes())
-        at += used
-    return b"".join(parts)[:size]
+    return read_back_all([media], [size])[0]
+
+
+def read_back_all(stored: list[bytes], sizes: list[int]) -> list[bytes]:
+    """Payloads of these sizes from their stored forms."""
+    files, of = [], []
+    for k, media in enumerate(stored):
+        at = 0
+        while at < len(media):
+            end = at + webp.chunk_of(media[at:])[1]
+            files.append(media[at:end])
+            of.append(k)
+            at = end
+    parts: list[list[bytes]] = [[] for _ in stored]
+    for k, pixels in zip(of, webp.decode_many(files), strict=True):
+        parts[k].append(((pixels >> np.uint32(8)) & np.uint32(255)).astype(np.uint8).tobytes())
+    return [b"".join(p)[:size] for p, size in zip(parts, sizes, strict=True)]
 
 
 def sample_feature(payload: bytes) -> str:
@@ -109,19 +109,24 @@ def sample_feature(payload: bytes) -> str:
     return f"mean={mean:.4f};std={spread:.4f};values={int((counts > 0).sum())};step={step:.4f}"
 
 
+def _digests(texts: list[bytes]) -> Iterator[tuple]:
+    payloads = [to_payload(t) for t in texts]
+    stored = [store(p) for p in payloads]
+    for text, media, back in zip(texts, stored, read_back_all(stored, [len(p) for p in payloads]), strict=True):
+        yield len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), sample_feature(back)
+
+
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
     for batch in batches:
-        rows, done = [], 0
+        texts, size, done = [], 0, 0
         for k, text in enumerate(batch.column("text")):
-            raw = (text.as_py() or "").encode("utf-8")
-            payload = to_payload(raw)
-            media = store(payload)
-            back = read_back(media, len(payload))
-            rows.append((len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), sample_feature(back)))
-            if len(rows) == 1000 or k == batch.num_rows - 1:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            texts.append((text.as_py() or "").encode("utf-8"))
+            size += len(texts[-1])
+            if size >= TOGETHER or len(texts) == 1000 or k == batch.num_rows - 1:
+                rows = list(_digests(texts))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(rows)), *[pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)]], ["doc_id", *NAMES])
-                rows, done = [], k + 1
+                texts, size, done = [], 0, k + 1
 
 
 NAMES = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]

@@ -2,7 +2,7 @@
 
 Pixels are unsigned 32-bit ARGB. Images that have one group of codes are parsed by whole
 arrays: a table lookup at every bit gives the pixel that would start there and where it would end, and a walk
-over those ends picks the pixels that do; it stops at back-references and cached pixels. Others are read symbol by symbol.
+over those ends picks the pixels that do; it stops at back-references alone. Others are read symbol by symbol.
 """
 
 from __future__ import annotations
@@ -166,6 +166,21 @@ def _copy(out: np.ndarray, at: int, back: int, n: int) -> None:
         out[at : at + n] = np.resize(out[at - back : at], n)
 
 
+def cache_slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
+    return ((pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64)
+
+
+def _fill_cached(pixels: np.ndarray, held: np.ndarray, slot: np.ndarray, cache: np.ndarray, cache_bits: int) -> None:
+    """Put in the cached pixels of a run without copies: each is the last literal of its slot, or what ``cache`` had there before the run."""
+    slot = np.where(held, slot, cache_slots(pixels, cache_bits))
+    order = np.argsort(slot, kind="stable")
+    slot, held = slot[order], held[order]
+    place = np.arange(len(order))
+    literal = np.maximum.accumulate(np.where(held, -1, place))
+    begin = np.maximum.accumulate(np.where(np.diff(slot, prepend=-1) != 0, place, 0))
+    pixels[order] = np.where(literal >= begin, pixels[order][np.maximum(literal, 0)], cache[slot])
+
+
 def pixels_by_arrays(bits: Bits, group: list[PrefixCode], width: int, total: int, cache_bits: int = 0) -> np.ndarray:
     """Pixels of an image with one group of codes."""
     start = bits.at >> 3
@@ -176,16 +191,19 @@ def pixels_by_arrays(bits: Bits, group: list[PrefixCode], width: int, total: int
     green = group[0]
     place = np.arange(len(ahead), dtype=np.int32)
     place += green.length.take(ahead & np.uint32(green.mask), mode="clip")
-    starts = []
+    starts, after_first = [], place.copy() if cache_bits else place
     for code in group[1:4]:
         starts.append(place)
         if code.bits:
             np.minimum(place, last, out=place)
             place = place + code.length[ahead[place] & np.uint32(code.mask)]
     np.minimum(place, last, out=place)
-    # -1 where no literal can start
+    # a cached pixel has no other channels; -1 where a back-reference starts
     if int(green.symbol.max()) > 255:
-        place[green.symbol.take(ahead & np.uint32(green.mask), mode="clip") > 255] = -1
+        symbol = green.symbol.take(ahead & np.uint32(green.mask), mode="clip")
+        if cache_bits:
+            place = np.where(symbol < 280, place, np.minimum(after_first, last))
+        place[(symbol > 255) & (symbol < 280)] = -1
     place[last] = -1
     follow = memoryview(place)
     at, out = bits.at - 8 * start, np.zeros(total, np.uint32)
@@ -204,17 +222,13 @@ def pixels_by_arrays(bits: Bits, group: list[PrefixCode], width: int, total: int
         if n < total:
             key = int(ahead[at]) & green.mask
             s = int(green.symbol[key])
-            if at == last or s < 256:
+            if at == last or not 256 <= s < 280:
                 raise WebpError("the image data ends too early")
             where.append((first, n))
             bits.at = 8 * start + at + int(green.length[key])
-            if s >= 280:
-                stops.append((n, -1, s - 280))
-                n += 1
-            else:
-                size = prefix_value(bits, s - 256)
-                stops.append((n, distance(prefix_value(bits, group[4].read(bits)), width), size))
-                n += size
+            size = prefix_value(bits, s - 256)
+            stops.append((n, distance(prefix_value(bits, group[4].read(bits)), width), size))
+            n += size
             first = n
             at = bits.at - 8 * start
     bits.at = 8 * start + at
@@ -222,24 +236,25 @@ def pixels_by_arrays(bits: Bits, group: list[PrefixCode], width: int, total: int
         raise WebpError("the image data ends too early")
     where.append((first, n))
     found_at = np.array(found, np.int64)
-    value = green.symbol[ahead[found_at] & np.uint32(green.mask)].astype(np.uint32) << np.uint32(8)
+    symbol = green.symbol[ahead[found_at] & np.uint32(green.mask)]
+    value = symbol.astype(np.uint32) << np.uint32(8)
     for code, begin, shift in zip(group[1:4], starts, (16, 0, 24), strict=True):
         if code.bits:
             value |= code.symbol[ahead[np.minimum(begin[found_at], last)] & np.uint32(code.mask)].astype(np.uint32) << np.uint32(shift)
         else:
             value |= np.uint32(int(code.symbol[0]) << shift)
-    cache, cached = [0] * (1 << cache_bits), 0
+    held = symbol >= 280
+    cache, cached = np.zeros(1 << cache_bits, np.uint32), 0
     for (a, b), stop in zip(where, [*stops, None], strict=True):
         out[a:b] = value[span : span + b - a]
+        if cache_bits and held[span : span + b - a].any():
+            # pixels enter the cache in order, all that came before; of equal slots the last one stays
+            cache[cache_slots(out[cached:a], cache_bits)] = out[cached:a]
+            _fill_cached(out[a:b], held[span : span + b - a], symbol[span : span + b - a] - 280, cache, cache_bits)
+            cached = a
         span += b - a
-        if stop and stop[1] >= 0:
+        if stop:
             _copy(out, *stop)
-        elif stop:
-            # pixels enter the cache in order, all that came before
-            for x in out[cached : stop[0]].tolist():
-                cache[((x * CACHE_FACTOR) & 0xFFFFFFFF) >> (32 - cache_bits)] = x
-            cached = stop[0]
-            out[cached] = cache[stop[2]]
     return out
 
 
@@ -340,8 +355,79 @@ def _modes(modes: np.ndarray, size_bits: int, height: int, width: int) -> np.nda
     return each
 
 
+#: All but green: where only green differs from its predictions, red and blue stay 0 and alpha 255, whatever the modes.
+NOT_GREEN = 0xFFFF00FF
+
+
+def green_predictions(left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Predictions of one channel by all 14 modes (a row each), where no other channel differs between neighbours."""
+    out = np.empty((14, len(left)), np.int16)
+    out[0], out[1], out[2], out[3], out[4] = 0, left, top, right, corner
+    out[5] = (((left + right) >> 1) + top) >> 1
+    out[6] = (left + corner) >> 1
+    out[7] = (left + top) >> 1
+    out[8] = (corner + top) >> 1
+    out[9] = (top + right) >> 1
+    out[10] = (out[6] + out[9]) >> 1
+    out[11] = np.where(np.abs(top - corner) < np.abs(left - corner), left, top)
+    out[12] = left + top - corner
+    step = out[7] - corner
+    out[13] = out[7] + ((step + (step < 0)) >> 1)
+    np.clip(out[12:], 0, 255, out=out[12:])
+    return out
+
+
+def _green_neighbours(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Green as a row of numbers, and its predictions."""
+    width = pixels.shape[1]
+    green = ((pixels.ravel() >> np.uint32(8)) & np.uint32(255)).astype(np.int16)
+    padded, n = np.concatenate([np.zeros(width + 1, np.int16), green]), len(green)
+    return green, green_predictions(padded[width : width + n], padded[1 : n + 1], padded[2 : n + 2] if width > 1 else padded[1 : n + 1], padded[:n])
+
+
+def best_modes(pixels: np.ndarray, size_bits: int) -> np.ndarray:
+    """The predictor's small image: each tile has the mode whose differences of green are least in sum, the lowest of equals."""
+    green, guesses = _green_neighbours(pixels)
+    off = (green - guesses) & 255
+    off = np.minimum(off, 256 - off).reshape(14, *pixels.shape)
+    for axis in (1, 2):
+        off = np.add.reduceat(off, np.arange(0, off.shape[axis], 1 << size_bits), axis=axis, dtype=np.int32)
+    return (off.argmin(axis=0).astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)
+
+
+def undo_green_predictors(images: list[tuple[np.ndarray, np.ndarray, int]]) -> list[np.ndarray]:
+    """``undo_predictor`` of several images ``(pixels, modes, size_bits)`` of which only green differs from its predictions.
+
+    Pixels with one sum of column and twice the row are ready together, in all images at once."""
+    fronts, widths, modes, bases, sizes = [], [], [], [], []
+    for pixels, tiles, size_bits in images:
+        height, width = pixels.shape
+        fronts.append((2 * np.arange(height, dtype=np.uint16)[:, None] + np.arange(width, dtype=np.uint16)).ravel())
+        mode = _modes(tiles, size_bits, height, width).ravel()
+        modes.append(np.where(mode > 13, 0, mode))
+        widths.append(np.full(pixels.size, width, np.int64))
+        bases.append(sum(sizes))
+        sizes.append(pixels.size)
+    front, mode, wide = np.concatenate(fronts), np.concatenate(modes), np.concatenate(widths)
+    left_over = np.concatenate([((p.ravel() >> np.uint32(8)) & np.uint32(255)).astype(np.int16) for p, _, _ in images])
+    order = np.argsort(front, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    wide, mode, left_over = wide[order], mode[order], left_over[order]
+    # neighbours that lie outside aren't used, as the first row and column have modes of their own
+    near = [rank[np.maximum(order - back, 0)] for back in (1, wide, wide - 1, wide + 1)]
+    x, at, ends = np.zeros(len(order), np.int16), np.arange(len(order)), np.cumsum(np.bincount(front)).tolist()
+    for a, b in zip([0, *ends[:-1]], ends, strict=True):
+        guesses = green_predictions(*[x[n[a:b]] for n in near])
+        x[a:b] = (left_over[a:b] + guesses[mode[a:b], at[: b - a]]) & 255
+    green = (x[rank].astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)
+    return [green[base : base + size].reshape(pixels.shape) for base, size, (pixels, _, _) in zip(bases, sizes, images, strict=True)]
+
+
 def undo_predictor(pixels: np.ndarray, modes: np.ndarray, size_bits: int) -> np.ndarray:
     """A pixel needs its left and upper right neighbours: those with one sum of column and twice the row are ready together."""
+    if not (pixels & np.uint32(NOT_GREEN)).any():
+        return undo_green_predictors([(pixels, modes, size_bits)])[0]
     height, width = pixels.shape
     mode = _modes(modes, size_bits, height, width)
     x = channels(pixels).astype(np.int64)
@@ -363,6 +449,10 @@ def undo_predictor(pixels: np.ndarray, modes: np.ndarray, size_bits: int) -> np.
 
 def apply_predictor(pixels: np.ndarray, modes: np.ndarray, size_bits: int) -> np.ndarray:
     height, width = pixels.shape
+    if (pixels & np.uint32(NOT_GREEN) == 0xFF000000).all():
+        green, guesses = _green_neighbours(pixels)
+        mode = _modes(modes, size_bits, height, width).ravel()
+        return ((green - guesses[np.where(mode > 13, 0, mode), np.arange(len(green))]) & 255).astype(np.uint32).reshape(height, width) << np.uint32(8)
     x = channels(pixels).astype(np.int64).reshape(-1, 4)
     at = np.arange(len(x))
     near = [x[np.maximum(at - back, 0)] for back in (1, width, width - 1, width + 1)]
@@ -408,7 +498,8 @@ def palette_bits(size: int) -> int:
     return 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
 
 
-def decode_vp8l(data: bytes) -> np.ndarray:
+def parse_vp8l(data: bytes) -> tuple[np.ndarray, list[tuple]]:
+    """The stored pixels, and the transforms to undo, last first: ``(kind, its small image or table, size bits or width)``."""
     bits = Bits(data)
     if bits.read(8) != 0x2F:
         raise WebpError("no lossless signature")
@@ -425,22 +516,54 @@ def decode_vp8l(data: bytes) -> np.ndarray:
         if kind in (PREDICTOR, CROSS_COLOR):
             size_bits = bits.read(3) + 2
             tiles = read_image(bits, -(-inner >> size_bits), -(-height >> size_bits), False)
-            undo.append(lambda x, t=tiles, b=size_bits, f=undo_predictor if kind == PREDICTOR else undo_cross_color: f(x, t, b))
+            undo.append((kind, tiles, size_bits))
         elif kind == SUBTRACT_GREEN:
-            undo.append(undo_subtract_green)
+            undo.append((kind,))
         else:
             table = read_image(bits, bits.read(8) + 1, 1, False)[0]
             table = joined(np.cumsum(channels(table).astype(np.int64), axis=0) & 255)
-            undo.append(lambda x, t=table, w=inner: undo_palette(x, t, w))
+            undo.append((kind, table, inner))
             inner = -(-inner >> palette_bits(len(table)))
-    pixels = read_image(bits, inner, height, True)
-    for f in reversed(undo):
-        pixels = f(pixels)
+    return read_image(bits, inner, height, True), undo[::-1]
+
+
+UNDO = {PREDICTOR: undo_predictor, CROSS_COLOR: undo_cross_color, SUBTRACT_GREEN: undo_subtract_green, PALETTE: undo_palette}
+
+
+def decode_vp8l(data: bytes) -> np.ndarray:
+    pixels, undo = parse_vp8l(data)
+    for kind, *how in undo:
+        pixels = UNDO[kind](pixels, *how)
     return pixels
 
 
+def decode_many(files: list[bytes]) -> list[np.ndarray]:
+    """Pixels of lossless WebP files; predictors of green alone are undone in all of them at once."""
+    images = [parse_vp8l(chunk_of(f)[0]) for f in files]
+    out: list[np.ndarray] = [pixels for pixels, _ in images]
+    left = [undo for _, undo in images]
+    while any(left):
+        together = []
+        for k, undo in enumerate(left):
+            while undo and not (undo[0][0] == PREDICTOR and not (out[k] & np.uint32(NOT_GREEN)).any()):
+                kind, *how = undo.pop(0)
+                out[k] = UNDO[kind](out[k], *how)
+            together += [k] if undo else []
+        if together:
+            undone = undo_green_predictors([(out[k], *left[k].pop(0)[1:]) for k in together])
+            for k, pixels in zip(together, undone, strict=True):
+                out[k] = pixels
+    return out
+
+
 def decode(data: bytes) -> tuple[np.ndarray, int]:
     """Pixels of the lossless WebP file that ``data`` begins with, and the file's size."""
+    chunk, end = chunk_of(data)
+    return decode_vp8l(chunk), end
+
+
+def chunk_of(data: bytes) -> tuple[bytes, int]:
+    """The lossless image in the file that ``data`` begins with, and the file's size."""
     if len(data) < 20 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
         raise WebpError("not a WebP file")
     end = 8 + int.from_bytes(data[4:8], "little")
@@ -448,7 +571,7 @@ def decode(data: bytes) -> tuple[np.ndarray, int]:
     while at + 8 <= min(end, len(data)):
         size = int.from_bytes(data[at + 4 : at + 8], "little")
         if data[at : at + 4] == b"VP8L":
-            return decode_vp8l(data[at + 8 : at + 8 + size]), end
+            return data[at + 8 : at + 8 + size], end
         at += 8 + size + (size & 1)
     raise WebpError("no lossless image in the file")
 
@@ -674,11 +797,12 @@ def bits_of(out: BitWriter) -> np.ndarray:
     return np.unpackbits(np.frombuffer(out.value.to_bytes((out.size + 7) // 8, "little"), np.uint8), bitorder="little")[: out.size]
 
 
-def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copies: list[tuple[int, int, int]] | None = None) -> bytes:
+def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copies: list[tuple[int, int, int]] | int | None = None) -> bytes:
     """A lossless WebP file of ARGB pixels.
 
     ``transforms`` are applied in order: ``(PREDICTOR, size_bits, modes)``, ``(CROSS_COLOR, size_bits, tiles)``, ``(SUBTRACT_GREEN,)`` or
-    ``(PALETTE, colours)``; tiles are small images as the format stores them. ``copies`` are those of the transformed pixels."""
+    ``(PALETTE, colours)``; tiles are small images as the format stores them. ``copies`` are those of the transformed pixels, or the
+    least length of those to look for."""
     height, width = pixels.shape
     if not (0 < width <= 1 << 14 and 0 < height <= 1 << 14):
         raise WebpError("sides are 1 to 16384 pixels")
@@ -705,7 +829,7 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copi
             done += [bits_of(out), body]
             out = BitWriter()
     out.put(0, 1)
-    body = write_image(out, pixels, True, cache_bits, copies)
+    body = write_image(out, pixels, True, cache_bits, find_copies(pixels.ravel(), copies) if isinstance(copies, int) else copies)
     data = np.packbits(np.concatenate([*done, bits_of(out), body]), bitorder="little").tobytes()
     chunk = b"VP8L" + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk

@@ -1,3 +1,7 @@
+import collections
+import hashlib
+import zlib
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -171,22 +175,65 @@ def test_files_with_every_feature_round_trip(data):
     assert (back == pixels).all()
 
 
-def test_payloads_use_every_feature(monkeypatch):
-    seen = set()
-    encode = webp.encode
-
-    def watched(pixels, transforms=(), cache_bits=0, copies=None):
-        seen.update((t[0], int(t[2][0, 0] >> 8) & 15) if t[0] == webp.PREDICTOR else t[0] for t in transforms)
-        seen.update({"cache"} if cache_bits else set())
-        seen.update({"copies"} if copies else set())
-        return encode(pixels, transforms, cache_bits, copies)
-
-    monkeypatch.setattr(webp, "encode", watched)
-    for k in range(8000):
-        payload = media.to_payload(f"text number {k} of them, text number {k} of them".encode() * 3)
-        assert media.read_back(media.store(payload), len(payload)) == payload
-    media.store(media.to_payload(b"abababab" * 40))
-    assert {"cache", "copies", webp.CROSS_COLOR, webp.SUBTRACT_GREEN, webp.PALETTE, *[(webp.PREDICTOR, m) for m in range(14)]} <= seen
+def test_every_text_of_a_table_goes_through_the_whole_decoder(spark, monkeypatch):
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    seen, written = collections.Counter(), []
+    symbols = webp.Symbols
+
+    def watched(tokens, cache_bits):
+        written.append(np.bincount(tokens[:, 0], minlength=3))
+        return symbols(tokens, cache_bits)
+
+    monkeypatch.setattr(webp, "Symbols", watched)
+    for text in [*texts, "abababab" * 40]:
+        payload = media.to_payload(text.encode())
+        stored = media.store(payload)
+        assert media.read_back(stored, len(payload)) == payload
+        undo = webp.parse_vp8l(webp.chunk_of(stored)[0])[1]
+        kinds = [k for k, *_ in undo]
+        few = len(set(payload)) <= media.PALETTE_SIZE
+        assert kinds == ([webp.PALETTE] if few else [webp.PREDICTOR, webp.CROSS_COLOR])
+        seen["palette"] += few
+        if not few:
+            assert written[-1][2] > 0, "cached pixels"
+            seen["copies"] += bool(written[-1][1])
+            seen.update(((undo[0][1] >> np.uint32(8)) & np.uint32(15)).ravel().tolist())
+    assert seen["palette"] and seen["copies"] > 10 and {*range(1, 14)} <= {*seen}, seen
+
+
+def test_predictors_of_green_equal_the_general_ones():
+    rng = np.random.default_rng(5)
+    images = []
+    for height, width in ((1, 1), (1, 9), (7, 1), (9, 11), (33, 20), (4, 64)):
+        tiles = rng.integers(0, 16, (-(-height >> 2), -(-width >> 2))).astype(np.uint32) << np.uint32(8)
+        images.append((rng.integers(0, 256, (height, width), dtype=np.uint32) << np.uint32(8), tiles, 2))
+    for (pixels, tiles, bits), undone in zip(images, webp.undo_green_predictors(images), strict=True):
+        plain = plain_predictor(pixels, np.where(tiles >> np.uint32(8) > 13, np.uint32(0), tiles), bits)
+        assert (undone == plain).all()
+        assert (webp.apply_predictor(undone, tiles, bits) == pixels).all()
+
+
+def test_cached_pixels_equal_those_read_one_by_one(monkeypatch):
+    rng = np.random.default_rng(6)
+    for bits in (1, 3, 8, 11):
+        for colours in (3, 40, 900):
+            pixels = rng.choice(rng.integers(0, 2**32, colours, dtype=np.uint32), (30, 31))
+            data = webp.encode(pixels, (), bits, 2)
+            assert (webp.decode(data)[0] == pixels).all()
+            with monkeypatch.context() as m:
+                m.setattr(webp, "pixels_by_arrays", lambda b, g, w, n, c=0: webp.pixels_by_symbols(b, [g], None, 0, w, n // w, c).ravel())
+                assert (webp.decode(data)[0] == pixels).all()
+
+
+def test_media_digests_of_a_table_equal_plain_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    found = sorted(tuple(r)[:5] for r in media.media_digests(docs).collect())
+    plain = []
+    for r in docs.select("doc_id", "text").collect():
+        raw = (r["text"] or "").encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        plain.append((r["doc_id"], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:])))
+    assert found == sorted(plain)
 
 
 def test_long_payload_is_several_files():
