@@ -7,7 +7,6 @@ over those ends picks the pixels that do; it stops at back-references alone. Oth
 
 from __future__ import annotations
 
-import heapq
 from bisect import bisect_left
 from functools import lru_cache
 
@@ -122,20 +121,29 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
         small[LENGTH_ORDER[k]] = bits.read(3)
     code = PrefixCode(small)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, before = 0, 8
-    while at < alphabet and left > 0:
+    # what is left of them takes 14 bits a symbol at most
+    first = bits.at >> 3
+    word = int.from_bytes(bits.data[first : first + 2 * min(left, alphabet) + 4], "little") >> (bits.at & 7)
+    out: list[int] = []
+    before, used, mask, symbols, taken = 8, 0, code.mask, code.symbols, code.lengths
+    while len(out) < alphabet and left > 0:
         left -= 1
-        s = code.read(bits)
+        k = (word >> used) & mask
+        s = symbols[k]
+        used += taken[k]
         if s < 16:
-            lengths[at] = s
-            at += 1
+            out.append(s)
             before = s or before
         else:
-            value, times = (before, 3 + bits.read(2)) if s == 16 else (0, 3 + bits.read(3)) if s == 17 else (0, 11 + bits.read(7))
-            if at + times > alphabet:
-                raise WebpError("code lengths run over the alphabet")
-            lengths[at : at + times] = value
-            at += times
+            size, least = (2, 3) if s == 16 else (3, 3) if s == 17 else (7, 11)
+            out += [before if s == 16 else 0] * (least + ((word >> used) & ((1 << size) - 1)))
+            used += size
+    bits.at += used
+    if bits.at > bits.end:
+        raise WebpError("the image data ends too early")
+    if len(out) > alphabet:
+        raise WebpError("code lengths run over the alphabet")
+    lengths[: len(out)] = out
     return PrefixCode(lengths)
 
 
@@ -173,12 +181,12 @@ def cache_slots(pixels: np.ndarray, cache_bits: int) -> np.ndarray:
 def _fill_cached(pixels: np.ndarray, held: np.ndarray, slot: np.ndarray, cache: np.ndarray, cache_bits: int) -> None:
     """Put in the cached pixels of a run without copies: each is the last literal of its slot, or what ``cache`` had there before the run."""
     slot = np.where(held, slot, cache_slots(pixels, cache_bits))
-    order = np.argsort(slot, kind="stable")
-    slot, held = slot[order], held[order]
+    order = np.argsort(slot.astype(np.uint16), kind="stable")
+    slot, held, inside = slot[order], held[order], pixels[order]
     place = np.arange(len(order))
     literal = np.maximum.accumulate(np.where(held, -1, place))
-    begin = np.maximum.accumulate(np.where(np.diff(slot, prepend=-1) != 0, place, 0))
-    pixels[order] = np.where(literal >= begin, pixels[order][np.maximum(literal, 0)], cache[slot])
+    # a literal of another slot lies before this one's rows
+    pixels[order] = np.where((literal >= 0) & (slot[literal] == slot), inside[literal], cache[slot])
 
 
 def pixels_by_arrays(bits: Bits, group: list[PrefixCode], width: int, total: int, cache_bits: int = 0) -> np.ndarray:
@@ -189,21 +197,25 @@ def pixels_by_arrays(bits: Bits, group: list[PrefixCode], width: int, total: int
     ahead = (word[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
     last = len(ahead) - 1
     green = group[0]
+    key = ahead & np.uint32(green.mask)
     place = np.arange(len(ahead), dtype=np.int32)
-    place += green.length.take(ahead & np.uint32(green.mask), mode="clip")
-    starts, after_first = [], place.copy() if cache_bits else place
-    for code in group[1:4]:
-        starts.append(place)
-        if code.bits:
-            np.minimum(place, last, out=place)
-            place = place + code.length[ahead[place] & np.uint32(code.mask)]
-    np.minimum(place, last, out=place)
-    # a cached pixel has no other channels; -1 where a back-reference starts
-    if int(green.symbol.max()) > 255:
-        symbol = green.symbol.take(ahead & np.uint32(green.mask), mode="clip")
+    copies = (green.symbol > 255) & (green.symbol < 280)
+    starts = [place] * 3
+    # below 0 where a back-reference starts; a cached pixel has no other channels
+    if not any(code.bits for code in group[1:4]):
+        place = place + np.where(copies, np.int32(-(1 << 30)), green.length).take(key, mode="clip")
+    else:
+        place += green.length.take(key, mode="clip")
+        starts, after_first = [], place.copy() if cache_bits else place
+        for code in group[1:4]:
+            starts.append(place)
+            if code.bits:
+                np.minimum(place, last, out=place)
+                place = place + code.length[ahead[place] & np.uint32(code.mask)]
         if cache_bits:
-            place = np.where(symbol < 280, place, np.minimum(after_first, last))
-        place[(symbol > 255) & (symbol < 280)] = -1
+            place = np.where((green.symbol < 280).take(key, mode="clip"), place, after_first)
+        place[copies.take(key, mode="clip")] = -1
+    np.minimum(place, last, out=place)
     place[last] = -1
     follow = memoryview(place)
     at, out = bits.at - 8 * start, np.zeros(total, np.uint32)
@@ -220,12 +232,11 @@ def pixels_by_arrays(bits: Bits, group: list[PrefixCode], width: int, total: int
             at = following
         n += len(found) - before
         if n < total:
-            key = int(ahead[at]) & green.mask
-            s = int(green.symbol[key])
+            s = int(green.symbol[key[at]])
             if at == last or not 256 <= s < 280:
                 raise WebpError("the image data ends too early")
             where.append((first, n))
-            bits.at = 8 * start + at + int(green.length[key])
+            bits.at = 8 * start + at + int(green.length[key[at]])
             size = prefix_value(bits, s - 256)
             stops.append((n, distance(prefix_value(bits, group[4].read(bits)), width), size))
             n += size
@@ -236,7 +247,7 @@ def pixels_by_arrays(bits: Bits, group: list[PrefixCode], width: int, total: int
         raise WebpError("the image data ends too early")
     where.append((first, n))
     found_at = np.array(found, np.int64)
-    symbol = green.symbol[ahead[found_at] & np.uint32(green.mask)]
+    symbol = green.symbol[key[found_at]]
     value = symbol.astype(np.uint32) << np.uint32(8)
     for code, begin, shift in zip(group[1:4], starts, (16, 0, 24), strict=True):
         if code.bits:
@@ -291,6 +302,10 @@ def pixels_by_symbols(bits: Bits, groups: list[list[PrefixCode]], choice: np.nda
     return out
 
 
+#: Images of so few pixels are read symbol by symbol, since a table over the bits that follow would take longer.
+FEW = 256
+
+
 def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
@@ -302,7 +317,10 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         choice = ((tiles >> np.uint32(8)) & np.uint32(0xFFFF)).astype(np.int64)
         count = int(choice.max()) + 1
     groups = [read_group(bits, cache_bits) for _ in range(count)]
-    if choice is None:
+    if choice is None and not any(code.bits for code in groups[0][:4]) and groups[0][0].symbols[0] < 256:
+        g, r, b, a = (code.symbols[0] for code in groups[0][:4])
+        return np.full((height, width), a << 24 | r << 16 | g << 8 | b, np.uint32)
+    if choice is None and width * height > FEW:
         return pixels_by_arrays(bits, groups[0], width, width * height, cache_bits).reshape(height, width)
     return pixels_by_symbols(bits, groups, choice, choice_bits, width, height, cache_bits).reshape(height, width)
 
@@ -388,8 +406,7 @@ def _green_neighbours(pixels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def best_modes(pixels: np.ndarray, size_bits: int) -> np.ndarray:
     """The predictor's small image: each tile has the mode whose differences of green are least in sum, the lowest of equals."""
     green, guesses = _green_neighbours(pixels)
-    off = (green - guesses) & 255
-    off = np.minimum(off, 256 - off).reshape(14, *pixels.shape)
+    off = np.abs((green - guesses).astype(np.int8)).view(np.uint8).reshape(14, *pixels.shape)
     for axis in (1, 2):
         off = np.add.reduceat(off, np.arange(0, off.shape[axis], 1 << size_bits), axis=axis, dtype=np.int32)
     return (off.argmin(axis=0).astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000)
@@ -462,16 +479,17 @@ def apply_predictor(pixels: np.ndarray, modes: np.ndarray, size_bits: int) -> np
 def undo_cross_color(pixels: np.ndarray, tiles: np.ndarray, size_bits: int, sign: int = 1) -> np.ndarray:
     """With ``sign`` -1 the transform itself."""
     height, width = pixels.shape
-    each = channels(tiles).view(np.int8).astype(np.int64)
-    each = each[np.arange(height)[:, None] >> size_bits, np.arange(width)[None, :] >> size_bits]
+    each = channels(tiles).view(np.int8).astype(np.int16)
+    if tiles.size > 1:
+        each = each[np.arange(height)[:, None] >> size_bits, np.arange(width)[None, :] >> size_bits]
     green_to_red, green_to_blue, red_to_blue = each[..., 0], each[..., 1], each[..., 2]
-    x = channels(pixels)
-    signed = lambda c: c.astype(np.uint8).view(np.int8).astype(np.int64)
-    green = signed(x[..., 1])
-    red = (x[..., 2] + sign * ((green_to_red * green) >> 5)) & 255
-    plain = red if sign > 0 else x[..., 2]
-    blue = (x[..., 0] + sign * ((green_to_blue * green) >> 5) + sign * ((red_to_blue * signed(plain)) >> 5)) & 255
-    return joined(np.stack([blue, x[..., 1], red, x[..., 3]], axis=-1))
+    # products of two signed bytes fit in 16 bits, and sums are taken modulo 256
+    channel = lambda shift: (pixels >> np.uint32(shift)).astype(np.uint8)
+    move = lambda factor, by: ((factor * by.view(np.int8).astype(np.int16)) >> 5).astype(np.uint8) * np.uint8(sign & 255)
+    green, red = channel(8), channel(16)
+    moved = red + move(green_to_red, green)
+    blue = channel(0) + move(green_to_blue, green) + move(red_to_blue, moved if sign > 0 else red)
+    return (pixels & np.uint32(0xFF00FF00)) | (moved.astype(np.uint32) << np.uint32(16)) | blue
 
 
 def undo_subtract_green(pixels: np.ndarray, sign: int = 1) -> np.ndarray:
@@ -586,20 +604,31 @@ def code_lengths(counts: np.ndarray, limit: int) -> np.ndarray:
     if len(used) < 2:
         lengths[used or [0]] = 1
         return lengths
-    weights = counts[used].tolist()
+    weights = counts[used]
+    order = np.argsort(weights, kind="stable")
+    n, own, weights = len(used), np.array(used)[order], weights[order].tolist()
     while True:
-        heap = [(w, k) for k, w in enumerate(weights)]
-        heapq.heapify(heap)
-        parent = [0] * (2 * len(used) - 1)
-        for node in range(len(used), 2 * len(used) - 1):
-            a, b = heapq.heappop(heap), heap[0]
-            parent[a[1]] = parent[b[1]] = node
-            heapq.heapreplace(heap, (a[0] + b[0], node))
-        depth = [0] * len(parent)
-        for node in range(len(parent) - 2, -1, -1):
+        # leaves in order of weight, then the nodes made of them, which come in order too: the lighter head of both is next
+        weight = [*weights, *[0] * (n - 1)]
+        parent = [0] * (2 * n - 1)
+        leaf, inner = 0, n
+        for node in range(n, 2 * n - 1):
+            if leaf < n and (inner >= node or weight[leaf] <= weight[inner]):
+                a, leaf = leaf, leaf + 1
+            else:
+                a, inner = inner, inner + 1
+            if leaf < n and (inner >= node or weight[leaf] <= weight[inner]):
+                b, leaf = leaf, leaf + 1
+            else:
+                b, inner = inner, inner + 1
+            parent[a] = parent[b] = node
+            weight[node] = weight[a] + weight[b]
+        depth = parent
+        depth[-1] = 0
+        for node in range(2 * n - 3, -1, -1):
             depth[node] = depth[parent[node]] + 1
-        if max(depth[: len(used)]) <= limit:
-            lengths[used] = depth[: len(used)]
+        if depth[0] <= limit:
+            lengths[own] = depth[:n]
             return lengths
         weights = [(w + 1) // 2 + sum(weights) // (1 << limit) for w in weights]
 
@@ -637,11 +666,10 @@ def write_code(out: BitWriter, lengths: np.ndarray) -> None:
     for s in LENGTH_ORDER[: last + 1]:
         out.put(int(small[s]), 3)
     out.put(0, 1)
-    codes = reversed_codes(small).tolist()
-    bits = small.tolist() if np.count_nonzero(small) > 1 else [0] * 19
-    for s, extra, n in symbols:
-        out.put(codes[s], bits[s])
-        out.put(extra, n)
+    codes, bits = reversed_codes(small), small if np.count_nonzero(small) > 1 else np.zeros(19, np.int64)
+    which, extra, size = np.array(symbols).T
+    _, body = _joined_bits([(codes[which], bits[which]), (extra, size)])
+    out.put(int.from_bytes(np.packbits(body, bitorder="little").tobytes(), "little"), len(body))
 
 
 #: Longest code, and longest copy.
@@ -650,6 +678,8 @@ LIMIT, MAX_COPY = 15, 4096
 
 def prefix_parts(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Prefix symbol, extra bits and their number, of lengths and distance codes from 1 on."""
+    if not len(value):
+        return value, value, value
     v = value - 1
     high = np.frexp(np.maximum(v, 1).astype(np.float64))[1] - 1
     small = v < 4
@@ -702,8 +732,8 @@ def tokens_of(x: np.ndarray, copies: list[tuple[int, int, int]], cache_bits: int
     out = np.zeros((len(where), 3), np.int64)
     out[:, 1] = x[where]
     if cache_bits:
-        slot = ((x * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - cache_bits)).astype(np.int64)
-        order = np.argsort(slot, kind="stable")
+        slot = cache_slots(x, cache_bits)
+        order = np.argsort(slot.astype(np.uint16), kind="stable")
         held = np.zeros(len(x), bool)
         held[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (x[order[1:]] == x[order[:-1]])
         hits = held[where]
@@ -747,6 +777,12 @@ def bits_needed(counts: list[np.ndarray]) -> float:
 
 def write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int = 0, copies: list[tuple[int, int, int]] | None = None) -> np.ndarray:
     """Write the codes to ``out``, and return the bits of the pixels that follow them."""
+    if not main and (pixels == pixels[0, 0]).all():
+        value = int(pixels[0, 0])
+        out.put(0, 1)
+        for symbol in (value >> 8 & 255, value >> 16 & 255, value & 255, value >> 24, 0):
+            out.put(symbol << 3 | 0b101, 11)
+        return np.empty(0, np.uint8)
     symbols = Symbols(tokens_of(pixels.ravel(), copies or [], cache_bits), cache_bits)
     out.put(int(cache_bits > 0), 1)
     if cache_bits:
@@ -755,6 +791,10 @@ def write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
         out.put(0, 1)
     tables = []
     for c in symbols.counts:
+        if np.count_nonzero(c) < 2 and (only := int(c.argmax())) < 256:
+            out.put(only << 3 | 0b101, 11)
+            tables.append((np.zeros(len(c), np.int64),) * 2)
+            continue
         lengths = code_lengths(c, LIMIT)
         write_code(out, lengths)
         tables.append((reversed_codes(lengths), lengths if np.count_nonzero(lengths) > 1 else np.zeros_like(lengths)))
