@@ -126,7 +126,9 @@ def decoded(frames: DataFrame) -> DataFrame:
     )
     out = _settled(out)
     need = F.when(kind == ARP, 28).when(kind == IPV4, 20).when(kind == IPV6, 40)
-    short = (F.octet_length(data) < 14) | (F.octet_length(l3) < need) | (F.octet_length(l3) < F.col("head")) | (F.octet_length(l4) < F.when(tcp, 20).when(udp, 8).when(icmp, 4))
+    # extension headers that end behind the bytes, or whose length does
+    cut = (F.col("family") == 6) & (F.col("walk.at").isNull() | (F.octet_length(l3) < F.col("walk.at")))
+    short = cut | (F.octet_length(data) < 14) | (F.octet_length(l3) < need) | (F.octet_length(l3) < F.col("head")) | (F.octet_length(l4) < F.when(tcp, 20).when(udp, 8).when(icmp, 4))
     wrong = ((kind > 1500) & (kind < 0x0600)) | (F.col("head") < 20) | (F.col("ip_length") < F.col("head")) | (tcp & ((offset < 20) | (room < offset))) | (udp & ((number(l4, 4, 2) < 8) | (number(l4, 4, 2) > room))) | (F.shiftright(number(l3, 0, 1), 4) != F.col("family"))
     unknown = (F.col("link_type") != 1) | (kind <= 1500) | (kind.isin(*VLAN_TYPES)) | ~(kind.isin(ARP, IPV4, IPV6)) | (F.col("family").isNotNull() & whole & ~F.col("protocol").isin(1, 6, 17, 58, 59))
     says = lambda c: F.coalesce(c, F.lit(False))
@@ -134,6 +136,11 @@ def decoded(frames: DataFrame) -> DataFrame:
     return out.withColumns({"decode_status": status, "src_ip": address_text(F.col("src_bin")), "dst_ip": address_text(F.col("dst_bin"))}).drop("data", "l3", "l4", "walk", "head", "fragment_word", "snapped")
 
 
+def status_counts(rows: DataFrame) -> DataFrame:
+    """``decode_status, packets, first_index`` of ``decoded`` rows; a status without packets has no row, and no packets give none."""
+    return rows.groupBy("decode_status").agg(F.count("*").alias("packets"), F.min("packet_index").alias("first_index"))
+
+
 def packet_info() -> Column:
     """One text a packet of ``decoded`` rows, of its last header: ports, flags, numbers and lengths, or who asks whom. What isn't decoded whole says how it ended.
 

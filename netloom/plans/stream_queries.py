@@ -26,6 +26,14 @@ def d24_packet_info(spark, d):
     return headers.decoded(headers.ethernet_frame(views.wire(spark, d))).select("packet_index", headers.packet_info().alias("info"))
 
 
+@query(f"""WITH {WIRE}, f AS (SELECT packet_index, 12 + packet_index % 70 AS captured, CASE WHEN arp THEN 42 ELSE CASE WHEN src_key LIKE '4%' THEN 34 WHEN fragment THEN 62 ELSE 54 END + CASE WHEN fragment THEN 0 WHEN protocol = 6 THEN 20 ELSE 8 END END AS headers FROM wire)
+ SELECT CASE WHEN captured < headers THEN 'truncated' ELSE 'complete' END AS decode_status, count(*) AS packets, min(packet_index) AS first_index FROM f GROUP BY 1""")
+def d25_status_counts(spark, d):
+    """Frames of which the capture kept 12 to 81 bytes."""
+    kept = F.expr("substring(data, 1, cast(12 + packet_index % 70 as int))")
+    return headers.status_counts(headers.decoded(headers.ethernet_frame(views.wire(spark, d)).withColumn("data", kept)))
+
+
 @query(f"""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL {DAY // 2 // 1_000_000_000} SECOND THEN 1 ELSE 0 END AS fresh FROM events), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
  SELECT user_id, epoch_us(min(ts)) AS first_us, count(*) AS packets, CAST(sum(floor(value * 100)) AS BIGINT) AS bytes FROM s GROUP BY user_id, n""")
 def l9_streamed_sessions(spark, d):

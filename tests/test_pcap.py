@@ -143,3 +143,16 @@ def test_stream_equals_batch_and_drops_late_packets(spark, tmp_path):
     assert whole == [("a", 1), ("a", 1), ("a", 2), ("b", 1), ("b", 1)]
     closed = sorted((r["k"], r["packets"]) for r in sessions.run_once(stream(), "append", "closed").collect())
     assert closed == [("a", 1), ("a", 2), ("b", 1)]
+
+
+def test_extension_headers_cut_anywhere_are_truncated(spark):
+    """An IPv6 frame with hop-by-hop options and a fragment header before UDP, cut after every byte."""
+    ip = bytes.fromhex("6000000000200040" + "20010db8" + "00" * 11 + "01" + "20010db8" + "00" * 11 + "02")
+    frame = bytes.fromhex("020000000001020000000002" + "86dd") + ip + bytes.fromhex("2c00010400000000" + "1100000100000007" + "0035003500100000" + "0102030405060708")
+    rows = [(n, bytearray(frame[:n]), len(frame), 1) for n in range(len(frame) + 1)]
+    frames = spark.createDataFrame(rows, "packet_index bigint, data binary, original_length bigint, link_type int")
+    out = {r["packet_index"]: (r["decode_status"], r["dst_port"]) for r in headers.decoded(frames).collect()}
+    assert {n: s for n, (s, _) in out.items()} == {n: "truncated" if n < 14 + 40 + 16 + 8 else "complete" for n in out}
+    assert out[len(frame)][1] == 53
+    counts = {r["decode_status"]: (r["packets"], r["first_index"]) for r in headers.status_counts(headers.decoded(frames)).collect()}
+    assert counts == {"truncated": (78, 0), "complete": (9, 78)}
