@@ -64,3 +64,16 @@ def test_users_beyond_16_bits_have_addresses_of_their_own(spark, tmp_path, name)
     names = [d[0] for d in wanted.description]
     got = catalog.QUERIES[name](spark, str(tmp_path)).select(*names)
     assert Counter(map(tuple, got.collect())) == Counter(wanted.fetchall())
+
+
+def test_failed_flows_with_one_number_count_as_in_sql(spark, tmp_path):
+    con = duckdb.connect()
+    # one client with 200 failed lines, every second number twice
+    con.execute(f"COPY (SELECT CAST(i // 2 * 2 AS BIGINT) AS l_orderkey, CAST(7 AS BIGINT) AS l_partkey, CAST(3 AS BIGINT) AS l_suppkey, 1 AS l_linenumber, 5.0 AS l_quantity, 10.0 AS l_extendedprice, 0.0 AS l_discount, 0.0 AS l_tax, 'N' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP '1995-01-01' + INTERVAL 1 DAY * CAST(i // 2 AS INTEGER) AS l_shipdate FROM range(200) r(i)) TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"COPY (SELECT i AS o_orderkey, CAST(23 AS BIGINT) AS o_custkey FROM range(200) r(i)) TO '{tmp_path}/orders.parquet'")
+    for table in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet'")
+    wanted = con.execute(catalog.ORACLE_SQL["r4_tcp_fail"])
+    names = [d[0] for d in wanted.description]
+    got = catalog.QUERIES["r4_tcp_fail"](spark, str(tmp_path)).select(*names)
+    assert sorted(map(tuple, got.collect())) == sorted(wanted.fetchall())
