@@ -19,25 +19,27 @@ _FRAMES = f"""{WIRE}, frames AS (SELECT packet_index, ts_ns // 1000 * 1000 AS ts
 
 
 def files(spark, d):
-    """Three captures of the wire's frames, one of them cut short, and others that are refused."""
+    """Three captures of the wire's frames in parts, one of them cut short, and others that are refused."""
     wire = views.wire(spark, d).select("packet_index", "ts_ns")
     frames = headers.ethernet_frame(views.wire(spark, d)).join(wire, "packet_index").withColumn("path", F.concat(F.lit("c"), (F.col("packet_index") % 3).cast("string"), F.lit(".pcap")))
-    whole = pcap.as_pcap(frames).select("path", "content")
-    cut = whole.filter("path = 'c0.pcap'").select(F.lit("cut.pcap").alias("path"), F.expr("substring(content, 1, length(content) - 5)").alias("content"))
-    others = whole.filter("path = 'c1.pcap'").select(F.explode(F.array(F.lit("notes.txt"), F.lit("next.pcapng"))).alias("path"), "content")
-    return whole.union(cut).union(others).withColumn("length", F.octet_length("content").cast("bigint"))
+    whole = pcap.as_parts(frames)
+    first = whole.filter("path = 'c0.pcap'")
+    end = first.agg(F.max("part")).scalar()
+    cut = first.select(F.lit("cut.pcap").alias("path"), "part", F.when(F.col("part") == end, F.expr("substring(content, 1, length(content) - 5)")).otherwise(F.col("content")).alias("content"))
+    others = whole.filter("path = 'c1.pcap'").select(F.explode(F.array(F.lit("notes.txt"), F.lit("next.pcapng"))).alias("path"), "part", "content")
+    return whole.union(cut).union(others)
 
 
 @query(f"WITH {_FRAMES} SELECT path, packet_index, file_offset, ts_ns, CAST(n AS BIGINT) AS captured_length, CAST(n AS BIGINT) AS original_length FROM files")
 def s1_s4_records_of_files(spark, d):
-    rows = pcap.read_contents(files(spark, d), max_packets=10**9)
+    rows = pcap.read_parts(files(spark, d), max_packets=10**9, max_bytes=1 << 40)
     return rows.filter("packet_index IS NOT NULL").select("path", "packet_index", "file_offset", "ts_ns", "captured_length", "original_length")
 
 
 @query(f"""WITH {_FRAMES} SELECT path, count(*) AS packets, CAST(sum(n) AS BIGINT) AS captured_bytes, min(ts_ns) AS first_ns, max(ts_ns) AS last_ns, CASE path WHEN 'cut.pcap' THEN 'failed' ELSE 'complete' END AS state, CASE path WHEN 'cut.pcap' THEN 'truncated_record_data' END AS error FROM files GROUP BY path
  UNION ALL SELECT 'notes.txt', 0, 0, NULL, NULL, 'failed', 'unsupported_extension' UNION ALL SELECT 'next.pcapng', 0, 0, NULL, NULL, 'failed', 'pcapng_not_supported'""")
 def s5_s12_capture_summaries(spark, d):
-    return pcap.capture_summary(pcap.read_contents(files(spark, d), max_packets=10**9)).select("path", "packets", "captured_bytes", "first_ns", "last_ns", "state", "error")
+    return pcap.capture_summary(pcap.read_parts(files(spark, d), max_packets=10**9, max_bytes=1 << 40)).select("path", "packets", "captured_bytes", "first_ns", "last_ns", "state", "error")
 
 
 @query(f"WITH {WIRE}, n AS (SELECT count(*) // 50 - 1 AS number FROM wire) SELECT packet_index, wire_length AS original_length FROM (SELECT packet_index, CASE WHEN arp THEN NULL ELSE wire_length END AS wire_length FROM wire) ORDER BY wire_length DESC NULLS LAST, packet_index LIMIT 50 OFFSET (SELECT (number - 1) * 50 FROM n)")

@@ -156,3 +156,22 @@ def test_extension_headers_cut_anywhere_are_truncated(spark):
     assert out[len(frame)][1] == 53
     counts = {r["decode_status"]: (r["packets"], r["first_index"]) for r in headers.status_counts(headers.decoded(frames)).collect()}
     assert counts == {"truncated": (78, 0), "complete": (9, 78)}
+
+
+def test_files_in_parts_give_what_whole_files_give(spark):
+    rows = [("a.pcap", i, i * 1_000_000_007_000, 60 + i, bytes([i]) * (40 + i % 5)) for i in range(1, 60)] + [("b.pcap", 3, 5_000, 10, b"x" * 10)]
+    packets = spark.createDataFrame(rows, "path string, packet_index bigint, ts_ns bigint, original_length bigint, data binary")
+    parts = pcap.as_parts(packets, span=7)
+    assert parts.groupBy("path").count().collect() and max(len(r["content"]) for r in parts.collect()) < 7 * (16 + 45)
+    whole = pcap.as_pcap(packets)
+    for name, content in [(r["path"], bytes(r["content"])) for r in whole.collect()]:
+        assert b"".join(bytes(r["content"]) for r in parts.filter(parts["path"] == name).orderBy("part").collect()) == content
+    # cut anywhere, also within headers, and with limits
+    data = bytes(whole.filter("path = 'a.pcap'").first()["content"])
+    files = {f"{size}-{left}.pcap": (data[: len(data) - left], size) for size in (5, 24, 61, 1000) for left in (0, 3, 50, len(data) - 10)} | {"wrong.pcap": (b"abcd" + data, 9), "x.txt": (data, 100)}
+    pieces = [(p, k, d[a : a + n]) for p, (d, n) in files.items() for k, a in enumerate(range(0, len(d), n))]
+    given = spark.createDataFrame(pieces, "path string, part bigint, content binary")
+    contents = spark.createDataFrame([(p, len(d), d) for p, (d, _) in files.items()], "path string, length bigint, content binary")
+    for limit in (10**9, 12):
+        got, wanted = pcap.read_parts(given, limit), pcap.read_contents(contents, limit)
+        assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect()))
