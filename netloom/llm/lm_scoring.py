@@ -3,8 +3,7 @@
 1. Texts are laid into blocks of about ``BLOCK_BYTES``; a block gives a row for each of its distinct words. Their counts
    over all training texts are a plain grouped sum.
 2. The words with an output of their own (about the root of the vocabulary) go to the driver and into every task. The
-   network is trained on segments of every training text: hashed segments make up ``FIT_SHARE`` of all tokens, and each
-   text gives one at least. Slots of about ``SLOT_TOKENS`` are trained on side by side, and their weights averaged
+   network is trained on all segments of every training text. Slots of about ``SLOT_TOKENS`` are trained on side by side, and their weights averaged
    in Spark after each of ``ROUNDS`` rounds, which have a part of the slots each.
 3. Blocks look up the counts of their other words, those in many blocks by broadcast, and meet them in one task each, where every text is scored whole.
 """
@@ -25,8 +24,8 @@ from ._labels import fold
 from ._store import discard, look_up, materialize, release
 
 BLOCK_BYTES = 8 << 20
-#: Share of the training tokens that the network is trained on, in segments of this many tokens; counts come from all.
-FIT_SHARE, SEGMENT = 0.25, 96
+#: Share of the training tokens that the network is trained on, in segments of this many tokens.
+FIT_SHARE, SEGMENT = 1.0, 96
 SLOT_TOKENS = 1_000_000
 ROUNDS = 3
 END = np.uint64(0x9D5C0FB1A3E7426B)
@@ -122,7 +121,9 @@ def chosen_segments(keys: np.ndarray, first: np.ndarray, share: float) -> tuple[
     text = np.add.reduceat(_text.mix(keys + within.astype(np.uint64)), first[:-1])
     hashed = _text.mix(text[owner] + place.astype(np.uint64))
     least = np.minimum.reduceat(hashed, np.cumsum(parts) - parts)
-    taken = (hashed < np.uint64(min(share, 1.0) * (2**64 - 2**11))) | (hashed == least[owner])
+    if share >= 1:
+        return start, end, hashed
+    taken = (hashed < np.uint64(share * (2**64 - 2**11))) | (hashed == least[owner])
     return start[taken], end[taken], hashed[taken]
 
 
@@ -175,6 +176,7 @@ def fit(segments: DataFrame, slots: int, start: gru_lm.Weights, rounds: int = RO
         rows = some.groupBy("part").applyInArrow(_add_up, schema).orderBy("part").collect()
         if rows:
             weights = gru_lm.from_parts([np.frombuffer(bytes(r["sums"]), np.float64) / r["size"] for r in rows], start)
+        release(segments.sparkSession)
     return weights
 
 

@@ -380,3 +380,10 @@ def test_licence_headers_and_files(spark):
     out = {r["file_id"]: r for r in licenses.license_scan(spark.createDataFrame(rows, "file_id bigint, path string, text string")).collect()}
     assert {k: out[k]["license"] for k in wanted} == {k: name for k, (_, name) in wanted.items()}
     assert all(out[k]["origin"] == "none" for k in out if k >= 100)
+
+
+def test_the_network_is_trained_on_every_token():
+    rng = np.random.default_rng(5)
+    keys, first = rng.integers(0, 2**63, 5000).astype(np.uint64), np.array([0, 1, 900, 1500, 5000])
+    start, end, _ = lm_scoring.chosen_segments(keys, first, lm_scoring.FIT_SHARE)
+    assert start[0] == 0 and (start[1:] == end[:-1]).all() and end[-1] == len(keys)
