@@ -77,3 +77,18 @@ def test_failed_flows_with_one_number_count_as_in_sql(spark, tmp_path):
     names = [d[0] for d in wanted.description]
     got = catalog.QUERIES["r4_tcp_fail"](spark, str(tmp_path)).select(*names)
     assert sorted(map(tuple, got.collect())) == sorted(wanted.fetchall())
+
+
+OVER_FLOWS = ["w5_w6_flow_of_packets", "w7_w9_directions", "w15_w16_tcp_state", "w17_duplicate_segments", "w18_first_names", "w18_lists_of_flows", "w22_end_reasons", "w27_peak_active", "w28_flow_sorts"]
+
+
+@pytest.mark.parametrize("name", OVER_FLOWS)
+def test_times_that_begin_again_leave_the_flows_of_the_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    # all events once more after the last one, with other users and the same times, 30 days behind the clock
+    con.execute(f"COPY (SELECT event_id + c * (SELECT max(event_id) + 1 FROM '{SMALL}/events.parquet') AS event_id, ts, user_id + 1500 * c AS user_id, event_type, value, props FROM '{SMALL}/events.parquet', range(2) r(c)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    wanted = con.execute(catalog.ORACLE_SQL[name])
+    names = [d[0] for d in wanted.description]
+    got = catalog.QUERIES[name](spark, str(tmp_path)).select(*names)
+    assert Counter(map(tuple, got.collect())) == Counter(wanted.fetchall())
