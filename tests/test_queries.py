@@ -7,8 +7,9 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from netloom.operators import rules
-from netloom.plans import catalog
+from netloom.operators import flows, rules
+from netloom.plans import catalog, flow_queries
+from netloom.sources import views
 
 SMALL = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events pages documents".split()
@@ -92,3 +93,16 @@ def test_times_that_begin_again_leave_the_flows_of_the_sql(spark, tmp_path, name
     names = [d[0] for d in wanted.description]
     got = catalog.QUERIES[name](spark, str(tmp_path)).select(*names)
     assert Counter(map(tuple, got.collect())) == Counter(wanted.fetchall())
+
+
+def test_keys_of_few_packets_are_walked_whole(spark, monkeypatch):
+    wire = views.wire(spark, SMALL)
+    wanted = flows.flows_of(wire, flow_queries.TCP_IDLE, flow_queries.OTHER_IDLE, flow_queries.LINGER).select("packet_index", "first_packet").collect()
+
+    def never(idle):
+        raise AssertionError("a key of few packets was cut")
+
+    monkeypatch.setattr(flows, "exits", never)
+    # 10,000 indexes in parts of 1,000, and no key with as many packets
+    got = flows.flows_of(wire, flow_queries.TCP_IDLE, flow_queries.OTHER_IDLE, flow_queries.LINGER, span=1000).select("packet_index", "first_packet").collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, wanted))
