@@ -4,10 +4,11 @@ import math
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
-from netloom.operators import flows, rules
+from netloom.operators import clock, flows, rules
 from netloom.plans import catalog, flow_queries
 from netloom.sources import views
 
@@ -106,3 +107,11 @@ def test_keys_of_few_packets_are_walked_whole(spark, monkeypatch):
     # 10,000 indexes in parts of 1,000, and no key with as many packets
     got = flows.flows_of(wire, flow_queries.TCP_IDLE, flow_queries.OTHER_IDLE, flow_queries.LINGER, span=1000).select("packet_index", "first_packet").collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, wanted))
+
+
+def test_a_range_is_not_put_together_with_its_rows():
+    batch = lambda at: pa.RecordBatch.from_pydict({"range": [0] * 3, "at": at, "row": [{"x": a} for a in at], "in_now": [None] * 3, "in_candidate": [None] * 3, "in_epoch": [0] * 3, "next_confirms": [0] * 3})
+    out = list(clock._clocks(clock.step_all, 10)(iter([batch([1, 2, 3]), batch([500, 5, 4])])))
+    assert [b.num_rows for b in out] == [3, 3]
+    assert [x for b in out for x in b.column("clock").to_pylist()] == [1, 2, 3, 3, 5, 5]
+    assert [x for b in out for x in b.column("held").to_pylist()] == [False, False, False, True, False, False]
