@@ -6,7 +6,9 @@
 2. Equal slices are one slice with a count, added up before anything meets. A slice that stands twice repeats wherever it stands.
 3. Different slices of one key, one of each, are cut from their texts and dealt by key. A task lays them side by side and finds the
    windows that repeat by interval expansion on their Burrows-Wheeler transform (``bwt``). A key with more than ``BLOCK`` different slices is
-   cut into blocks; what a block holds goes on as hashes of windows, each once, to be compared with the other blocks.
+   narrowed: a slice's windows are told apart by the bytes that they have before the anchor, and cut into ``PARTS`` ranges of those. All windows
+   of a range hold the same middle of the slice, so only slices that are alike there can share one; slices alike in the whole range share all
+   of it, and one of them stands for the others. Groups that are still large are cut again, down to one window.
 4. Spans of a text are merged and cut out of it, once for all of its copies.
 """
 
@@ -14,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ from ._store import discard, look_up, materialize, release
 LEAST, GRAM = 200, 40
 #: Different slices of one key in a block, and bytes of slices that are compared at once.
 BLOCK, CHUNK = 1024, 1 << 20
+#: Ranges that a group of more than ``BLOCK`` slices is cut into.
+PARTS = 4
 #: Bits of a place within a piece of text; the rest of 64 are the anchor's hash.
 PLACE_BITS = 20
 PIECE = (1 << PLACE_BITS) - 1024
@@ -124,21 +129,35 @@ def _runs(least: int, gram: int):
 RUNS = "key bigint, digest bigint, h1 bigint, h2 bigint, start bigint, size int, n int"
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The slices that ``wanted`` names, cut from each text."""
-    for batch in batches:
-        data, at = _text.utf8(batch.column("text"))
-        raw = data.tobytes()
-        for k in range(batch.num_rows):
-            wanted = batch.column("wanted").slice(k, 1).flatten()
-            cols = {c: wanted.field(c).to_pylist() for c in ("start", "size")}
-            parts = [raw[at[k] + s : at[k] + s + z] for s, z in zip(cols["start"], cols["size"], strict=True)]
-            same = [pa.array(np.full(len(parts), batch.column(c)[k].as_py()), pa.int64()) for c in ("h1", "h2")]
-            yield pa.RecordBatch.from_arrays([*[wanted.field(c) for c in ("key", "block", "split", "alone", "start")], *same, pa.array(parts, pa.binary())], ["key", "block", "split", "alone", "start", "h1", "h2", "slice"])
+def anchor_at(piece: bytes, gram: int) -> int:
+    """Where in a slice its anchor begins."""
+    hashed = gram_hashes(np.frombuffer(piece, np.uint8), gram)
+    return int(np.argmin(hashed >> np.uint64(PLACE_BITS)))
+
+
+def _cut(gram: int):
+    """The slices that ``wanted`` names, cut from each text; of split keys also the place of the anchor."""
+    names = ["key", "split", "alone", "start", "h1", "h2", "slice", "anchor"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = _text.utf8(batch.column("text"))
+            raw = data.tobytes()
+            for k in range(batch.num_rows):
+                wanted = batch.column("wanted").slice(k, 1).flatten()
+                cols = {c: wanted.field(c).to_pylist() for c in ("start", "size", "split")}
+                parts = [raw[at[k] + s : at[k] + s + z] for s, z in zip(cols["start"], cols["size"], strict=True)]
+                anchors = [anchor_at(x, gram) if split else 0 for x, split in zip(parts, cols["split"], strict=True)]
+                same = [pa.array(np.full(len(parts), batch.column(c)[k].as_py()), pa.int64()) for c in ("h1", "h2")]
+                yield pa.RecordBatch.from_arrays([*[wanted.field(c) for c in ("key", "split", "alone", "start")], *same, pa.array(parts, pa.binary()), pa.array(anchors, pa.int32())], names)
+
+    return run
 
 
 def _spans_of(starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """First bytes and lengths of the stretches that the windows at sorted ``starts`` cover."""
+    if not len(starts):
+        return starts, starts
     new = np.ones(len(starts), bool)
     new[1:] = starts[1:] > starts[:-1] + least
     first = np.flatnonzero(new)
@@ -147,42 +166,24 @@ def _spans_of(starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(least: int, chunk: int):
-    """Spans of slices that stand alone, by windows that other slices of their key have too; of split keys also each window's hash."""
-    names = ["h1", "h2", "start", "length", "w1", "w2"]
+    """Spans of slices that stand alone, by windows that other slices of their group have too."""
+    names = ["h1", "h2", "start", "length"]
 
     def compare(rows: list[tuple]) -> pa.RecordBatch:
-        # rows: key, block, split, alone, start, h1, h2, slice
-        sizes = np.array([len(r[7]) for r in rows])
-        data = np.frombuffer(bytes([SEPARATOR]).join([r[7] for r in rows] + [b""]), np.uint8)
+        # rows: key, group, alone, start, h1, h2, slice
+        sizes = np.array([len(r[6]) for r in rows])
+        data = np.frombuffer(bytes([SEPARATOR]).join([r[6] for r in rows] + [b""]), np.uint8)
         base = np.cumsum(sizes + 1) - sizes - 1
         owner = np.repeat(np.arange(len(rows)), sizes + 1)
         place = np.arange(len(data)) - base[owner]
         valid = place <= sizes[owner] - least
         again = bwt.repeated_starts(data, valid, least)
-        alone = np.array([r[3] for r in rows])
-        start, h1, h2 = (np.array([r[k] for r in rows], np.int64) for k in (4, 5, 6))
-        hit = np.flatnonzero(again & alone[owner])
-        out = []
-        if len(hit):
-            # slices lie apart by a separator, and a window never reaches over it
-            first, length = _spans_of(hit, least)
-            of = owner[first]
-            out.append([h1[of], h2[of], place[first] + start[of], length, None, None])
-        split = np.array([r[2] for r in rows])
-        if split.any():
-            at = np.flatnonzero(valid & split[owner])
-            w1, w2 = (gram_hashes(data, least, k)[at].view(np.int64) for k in (0, 1))
-            order = np.lexsort((w2, w1))
-            at, w1, w2 = at[order], w1[order], w2[order]
-            new = np.ones(len(at), bool)
-            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-            at, w1, w2 = at[new], w1[new], w2[new]
-            open_ = alone[owner[at]] & ~again[at]
-            out.append([h1[owner[at]], h2[owner[at]], place[at] + start[owner[at]], np.where(open_, least, 0), w1, w2])
-        if not out:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 6, names)
-        columns = [pa.concat_arrays([pa.nulls(len(o[0]), pa.int64()) if o[k] is None else pa.array(o[k], pa.int64()) for o in out]) for k in range(6)]
-        return pa.RecordBatch.from_arrays(columns, names)
+        alone = np.array([r[2] for r in rows])
+        start, h1, h2 = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        # slices lie apart by a separator, and a window never reaches over it
+        first, length = _spans_of(np.flatnonzero(again & alone[owner]), least)
+        of = owner[first]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (h1[of], h2[of], place[first] + start[of], length)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held, last = [], 0, None
@@ -193,7 +194,7 @@ def _compare(least: int, chunk: int):
                     rows, held = [], 0
                 last = row[:2]
                 rows.append(row)
-                held += len(row[7]) + 1
+                held += len(row[6]) + 1
         if rows:
             yield compare(rows)
 
@@ -233,6 +234,48 @@ def _half(text: Column, first: int) -> Column:
     return F.conv(F.substring(F.md5(text), first, 16), 16, -10).cast("bigint")
 
 
+def _narrowed(slices: DataFrame, least: int, gram: int, block: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Tables of groups (key, group, alone, start, h1, h2, slice, different): those of ``block`` different slices at most hold what is left to compare. And tables of spans that are known already.
+
+    ``slices``: key, alone, start, h1, h2, slice, anchor. A window has ``w`` bytes beside its anchor, ``least`` less ``gram``, and ``a`` of them before it; a row stands for the
+    windows of its slice whose ``a`` lies within ``low`` to ``high``. No window of a slice is in two rows, and ranges of a slice never overlap."""
+    spark, w = slices.sparkSession, least - gram
+    tables, spans = [], []
+    live, width = slices.withColumn("low", F.lit(0)).withColumn("group", F.lit(0).cast("bigint")), w + 1
+    while width > 1:
+        width, before = -(-width // PARTS), width
+        cuts = F.array(*[F.lit(x) for x in range(0, before, width)])
+        ranges = live.withColumn("from", F.explode(cuts)).withColumn("low", F.col("low") + F.col("from"))
+        high = F.least(F.col("low") + F.lit(width - 1), F.col("low") - F.col("from") + F.lit(before - 1), F.lit(w))
+        ranges = ranges.withColumn("high", high)
+        # what of the range the slice has: a window before its first has too few bytes ahead of the anchor, one after its last too few behind
+        fewest = F.col("anchor") - F.octet_length("slice") + F.lit(least)
+        ranges = ranges.withColumns({"own_low": F.greatest("low", fewest), "own_high": F.least("high", F.col("anchor"))}).filter("own_low <= own_high")
+        part = lambda a, b: F.substring(F.col("slice"), F.col("anchor") - a + 1, F.lit(gram) + a + F.lit(w) - b)
+        middle = F.xxhash64("group", "low", part(F.col("low"), F.col("high")))
+        whole = part(F.col("own_high"), F.col("own_low"))
+        ranges = ranges.select("key", middle.alias("group"), "low", "own_low", "own_high", F.md5(whole).alias("digest"), "alone", (F.col("start") + F.col("anchor") - F.col("own_high")).alias("start"), "h1", "h2", whole.alias("slice"), F.col("own_high").alias("anchor"))
+        ranges = materialize(ranges, "repeats-ranges")
+        # slices alike in all that they have of a range: one stands for them
+        alike = ["key", "group", "own_low", "own_high", "digest"]
+        one = F.min_by(F.struct("alone", "start", "h1", "h2", "slice", "anchor", "low"), F.struct("h1", "h2", "start"))
+        once = materialize(ranges.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"), one.alias("one")), "repeats-once")
+        several = once.filter("n > 1").select(*alike, F.col("n").alias("__rows"))
+        same = look_up(ranges.filter("alone"), several.drop("__rows"), alike, several)
+        spans.append(materialize(same.select("h1", "h2", "start", F.octet_length("slice").cast("bigint").alias("length")), "repeats-alike"))
+        sizes = once.groupBy("key", "group").agg(F.count(F.lit(1)).alias("different")).filter("different > 1")
+        sizes = materialize(sizes, "repeats-groups")
+        left = once.select("key", "group", "n", "one.*").withColumn("alone", F.col("alone") & (F.col("n") == 1)).drop("n")
+        left = materialize(look_up(left, sizes, ["key", "group"], sizes.withColumnRenamed("different", "__rows")), "repeats-left")
+        discard(ranges, once, sizes)
+        tables.append(left)
+        live = left.filter(F.col("different") > block).drop("different")
+        release(spark)
+        if live.isEmpty():
+            break
+    return tables, spans
+
+
 def repeated_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
     """``h1, h2, start, length`` of stretches of the texts ``(h1, h2, text)`` whose bytes are covered; stretches of a text may overlap.
 
@@ -248,26 +291,28 @@ def repeated_spans(texts: DataFrame, least: int = LEAST, gram: int = GRAM, block
     release(spark)
 
     # one of each of the different slices of a key
-    blocks = F.ceil(F.col("different") / F.lit(block)).cast("int")
-    several = shared.filter("different > 1").select("at.*", "key", "size", (F.col("n") == 1).alias("alone"), (blocks > 1).alias("split"), F.pmod(F.xxhash64("digest"), blocks).cast("int").alias("block"))
-    wanted = several.groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "block", "split", "alone", "start", "size")).alias("wanted"))
+    several = shared.filter("different > 1").select("at.*", "key", "size", (F.col("n") == 1).alias("alone"), (F.col("different") > block).alias("split"))
+    wanted = several.groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "split", "alone", "start", "size")).alias("wanted"))
     once = texts.groupBy("h1", "h2").agg(F.first("text").alias("text"))
-    cut = once.join(wanted, ["h1", "h2"]).mapInArrow(_cut, "key bigint, block int, split boolean, alone boolean, start bigint, h1 bigint, h2 bigint, slice binary")
-    dealt = cut.repartition("key", "block").sortWithinPartitions("key", "block")
-    found = materialize(dealt.mapInArrow(_compare(least, chunk), "h1 bigint, h2 bigint, start bigint, length bigint, w1 bigint, w2 bigint"), "repeats-found")
+    cut = once.join(wanted, ["h1", "h2"]).mapInArrow(_cut(gram), "key bigint, split boolean, alone boolean, start bigint, h1 bigint, h2 bigint, slice binary, anchor int")
+    narrowed, alike = [], []
+    if not several.filter("split").isEmpty():
+        cut = materialize(cut, "repeats-cut")
+        narrowed, alike = _narrowed(cut.filter("split").drop("split"), least, gram, block)
+    columns = ["key", "group", "alone", "start", "h1", "h2", "slice"]
+    few = [cut.filter("NOT split").withColumn("group", F.lit(0).cast("bigint")), *[t.filter(F.col("different") <= block) for t in narrowed]]
+    dealt = reduce(DataFrame.unionByName, [t.select(*columns) for t in few]).repartition("key", "group").sortWithinPartitions("key", "group")
+    found = materialize(dealt.mapInArrow(_compare(least, chunk), "h1 bigint, h2 bigint, start bigint, length bigint"), "repeats-found")
+    discard(cut, *narrowed)
     release(spark)
-    windows = found.filter("w1 IS NOT NULL")
-    # a block gives a window once: what two rows have stands in two blocks, and as many rows are the most that a key has here
-    across = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("blocks")).filter("blocks > 1")
-    split = windows.filter("length > 0").join(across, ["w1", "w2"])
 
     twice = shared.filter("n > 1").select("key", "digest", "n")
     whole = look_up(runs, twice.drop("n"), ["key", "digest"], twice.withColumnRenamed("n", "__rows"))
     covered = F.col("size") + (F.col("n") - 1) * (F.col("size") - F.lit(least - 1))
     names = ["h1", "h2", "start", "length"]
-    spans = whole.select("h1", "h2", "start", covered.cast("bigint").alias("length")).unionByName(found.filter("w1 IS NULL").select(*names)).unionByName(split.select(*names))
+    spans = reduce(DataFrame.unionByName, [whole.select("h1", "h2", "start", covered.cast("bigint").alias("length")), found.select(*names), *alike])
     spans = materialize(spans.distinct(), "repeats-spans")
-    discard(found, shared)
+    discard(found, shared, *alike)
     release(spark)
     return spans
 

@@ -189,6 +189,28 @@ def test_many_different_slices_of_one_anchor_are_split(spark):
     assert got == plain_repeats(texts, 200)
 
 
+def test_near_copies_make_few_rows(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    passage = sentence(rng, 120)
+    texts = []
+    for k in range(240):
+        at = int(rng.integers(0, len(passage)))
+        texts.append(f"{passage[:at]}<{k}>{passage[at:]}")
+    rows, write = [], repeats.materialize
+
+    def counted(df, tag, *more):
+        table = write(df, tag, *more)
+        rows.append((table.count(), tag))
+        return table
+
+    monkeypatch.setattr(repeats, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [tuple(r)[1:] for r in sorted(repeats.remove_repeats(docs, block=8, chunk=3000).collect())]
+    assert got == plain_repeats(texts, 200)
+    slices = dict((t, n) for n, t in rows)["repeats-slices"]
+    assert max(rows)[0] <= 4 * slices, sorted(rows)
+
+
 # --- look-ups ------------------------------------------------------------------------------------------------------
 
 
