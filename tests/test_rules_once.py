@@ -14,3 +14,7 @@ def reads(df):
 def test_rare_ports_leave_no_join_of_all_flows(spark):
     assert reads(views.host_flows(spark, SF)) == 1
     assert reads(alert_queries.r6_rare_ports(spark, SF)) == 0
+
+
+def test_flows_with_alerts_read_stored_flows(spark):
+    assert reads(alert_queries.u10_u11_flows_with_alerts(spark, SF)) == 0
