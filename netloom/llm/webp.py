@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 
@@ -22,6 +23,7 @@ NEAR = [
     (0, 7), (7, 0), (1, 7), (-1, 7), (5, 5), (-5, 5), (7, 1), (-7, 1), (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5),
     (8, 0), (4, 7), (-4, 7), (7, 4), (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 ]
+NEAR_LEFT_UP = np.array(NEAR)
 CACHE_FACTOR = 0x1E35A7BD
 PREDICTOR, CROSS_COLOR, SUBTRACT_GREEN, PALETTE = range(4)
 
@@ -148,7 +150,16 @@ def read_code(bits: Bits, alphabet: int) -> PrefixCode:
 
 
 def read_group(bits: Bits, cache_bits: int) -> list[PrefixCode]:
-    return [read_code(bits, n) for n in (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40)]
+    group = []
+    for n in (280 + ((1 << cache_bits) if cache_bits else 0), 256, 256, 256, 40):
+        head = bits.peek15()
+        if head & 7 == 0b101 and bits.at + 11 <= bits.end and head >> 3 & 255 < n:
+            # one symbol of 8 bits, as most codes are
+            bits.at += 11
+            group.append(_one_symbol(head >> 3 & 255, n))
+        else:
+            group.append(read_code(bits, n))
+    return group
 
 
 def prefix_value(bits: Bits, prefix: int) -> int:
@@ -306,7 +317,15 @@ def pixels_by_symbols(bits: Bits, groups: list[list[PrefixCode]], choice: np.nda
 FEW = 256
 
 
-def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
+class Unread:
+    """A main image whose codes are read and whose pixels follow."""
+
+    def __init__(self, bits: Bits, group: list[PrefixCode], width: int, height: int, cache_bits: int):
+        self.bits, self.group, self.width, self.height, self.cache_bits = bits, group, width, height, cache_bits
+
+
+def read_image(bits: Bits, width: int, height: int, main: bool, later: bool = False) -> np.ndarray | Unread:
+    """Pixels of an image; with ``later`` those that ``pixels_together`` reads aren't read yet."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
         raise WebpError("a colour cache too large")
@@ -321,10 +340,172 @@ def read_image(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
         g, r, b, a = (code.symbols[0] for code in groups[0][:4])
         return np.full((height, width), a << 24 | r << 16 | g << 8 | b, np.uint32)
     if choice is None and width * height > FEW:
+        if later and groups[0][0].bits and not any(code.bits for code in groups[0][1:4]):
+            return Unread(bits, groups[0], width, height, cache_bits)
         return pixels_by_arrays(bits, groups[0], width, width * height, cache_bits).reshape(height, width)
     return pixels_by_symbols(bits, groups, choice, choice_bits, width, height, cache_bits).reshape(height, width)
 
 
+#: Steps that are walked side by side before images which have ended are left out, and the fewest images for it.
+STRIDE, ABREAST = 64, 8
+
+
+def _ends_of_copies(at: np.ndarray, word: np.ndarray, image: Unread, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where copies that start at the bits ``at`` end, their pixels and distances."""
+
+    def ahead(at: np.ndarray) -> np.ndarray:
+        return word[np.minimum(at >> 3, len(word) - 1)].astype(np.int64) >> (at & 7)
+
+    def number(at: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        extra = np.where(prefix < 4, 0, (prefix - 2) >> 1)
+        low = ahead(at) & ((1 << extra) - 1)
+        return at + extra, np.where(prefix < 4, prefix, ((2 + (prefix & 1)) << extra) + low) + 1
+
+    at, size = number(at + (entry & 15), (entry >> 4) - 256)
+    far = image.group[4]
+    key = ahead(at) & far.mask
+    at, code = number(at + far.length[key], far.symbol[key].astype(np.int64))
+    near = np.maximum(NEAR_LEFT_UP @ np.array([1, image.width]), 1)
+    return at, size, np.where(code > 120, code - 120, near[np.minimum(code, 120) - 1])
+
+
+def _walked(follow: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places met from each of the ``starts`` on, up to its end and some beyond: a row per image after the other, and their numbers."""
+    alive, at = np.arange(len(starts)), starts.astype(np.int32)
+    walks: list[tuple[np.ndarray, np.ndarray]] = []
+    rows = np.zeros(len(starts), np.int64)
+    single: dict[int, np.ndarray] = {}
+    while len(alive) >= ABREAST:
+        met = np.empty((STRIDE, len(alive)), np.int32)
+        met[0] = at
+        for k in range(1, STRIDE):
+            follow.take(met[k - 1], out=met[k], mode="clip")
+        at = follow.take(met[-1], mode="clip")
+        walks.append((alive, met))
+        rows[alive] += 1
+        on = at < ends[alive]
+        alive, at = alive[on], at[on]
+    numbers = memoryview(follow)
+    for k, place in zip(alive.tolist(), at.tolist(), strict=True):
+        met, end = [], int(ends[k])
+        add = met.append
+        while place < end:
+            add(place)
+            place = numbers[place]
+        met += [place] * (-len(met) % STRIDE)
+        single[k] = np.array(met, np.int32)
+    row_of = np.concatenate([[0], np.cumsum(rows + [len(single.get(k, ())) // STRIDE for k in range(len(starts))])])
+    out = np.empty((row_of[-1], STRIDE), np.int32)
+    for number, (which, met) in enumerate(walks):
+        out[row_of[which] + number] = met.T
+    for k, met in single.items():
+        out[row_of[k] + rows[k] : row_of[k + 1]] = met.reshape(-1, STRIDE)
+    return out.ravel(), np.diff(row_of) * STRIDE
+
+
+def pixels_together(images: list[Unread]) -> list[np.ndarray]:
+    """Pixels of images in which green alone has a code of several symbols.
+
+    A table lookup at every bit gives where the pixel or copy that would start there would end; all images are walked side by side."""
+    begins, pieces, at = [], [], 0
+    for image in images:
+        first = image.bits.at >> 3
+        begins.append((at * 8 + (image.bits.at & 7), (at + len(image.bits.data) - first) * 8))
+        pieces += [image.bits.data[first:], b"\0" * 8]
+        at += len(image.bits.data) - first + 8
+    starts, ends = np.array(begins, np.int64).T
+    data = np.frombuffer(b"".join([*pieces, b"\0" * 3]), np.uint8).astype(np.uint32)
+    word = data[:-3] | data[1:-2] << np.uint32(8) | data[2:-1] << np.uint32(16) | data[3:] << np.uint32(24)
+    many = 8 * len(word)
+    # symbols and 4 bits fit 16 bits but in the largest cache
+    kind = np.int16 if max(image.cache_bits for image in images) < 11 else np.int32
+    entry, follow = np.empty(many, kind), np.arange(many, dtype=np.int32)
+    copy_at, copy_size, copy_back = [], [], []
+    cuts = [*(starts & ~7).tolist(), many]
+    for image, a, b in zip(images, cuts[:-1], cuts[1:], strict=True):
+        green = image.group[0]
+        # symbol and bits in one number, which is below 0 for copies
+        copies = (green.symbol > 255) & (green.symbol < 280)
+        table = (green.symbol << 4 | green.length).astype(kind)
+        for at in range(a, b, 1 << 17):
+            upto = min(at + (1 << 17), b)
+            here, part = word[at >> 3 : upto >> 3], entry[at:upto]
+            key = np.empty((len(here), 8), np.int64)
+            for k in range(8):
+                np.bitwise_and(here >> np.uint32(k), np.uint32(green.mask), out=key[:, k])
+            np.where(copies, ~table, table).take(key.ravel(), out=part, mode="clip")
+            if copies.any():
+                some = np.flatnonzero(part < 0)
+                part[some] = ~part[some]
+                follow[at:upto] += part & 15
+                end, size, back = _ends_of_copies(at + some, word, image, part[some].astype(np.int64))
+                follow[at:upto][some] = np.minimum(end, many - 1)
+                copy_at.append(at + some), copy_size.append(size), copy_back.append(back)
+            else:
+                follow[at:upto] += part & 15
+    np.minimum(follow[-64:], many - 1, out=follow[-64:])
+    met, steps = _walked(follow, starts, ends)
+    symbol = entry.take(met, mode="clip") >> 4
+    size = np.ones(len(met), np.int64)
+    is_copy = (symbol > 255) & (symbol < 280)
+    which = np.flatnonzero(is_copy)
+    if len(which):
+        known, sizes, backs = (np.concatenate(x) for x in (copy_at, copy_size, copy_back))
+        row = np.searchsorted(known, met[which])
+        size[which], back = sizes[row], backs[row]
+    totals = np.array([image.width * image.height for image in images])
+    first_step, first_pixel = np.cumsum(steps) - steps, np.cumsum(totals) - totals
+    place = np.cumsum(size) - size
+    place -= np.repeat(place[first_step], steps)
+    of = np.repeat(np.arange(len(images), dtype=np.int32), steps)
+    inside = place < totals[of]
+    # an image's last symbol ends where its pixels do and before its data's end
+    last = first_step + np.add.reduceat(inside, first_step, dtype=np.int64) - 1
+    if (place[last] + size[last] != totals).any() or (follow[met[last]] > ends).any():
+        raise WebpError("the image data ends too early")
+    place += first_pixel[of]
+    n = int(totals.sum())
+    constant = np.array([[code.symbols[0] for code in image.group[1:4]] for image in images], np.uint32) @ np.array([1 << 16, 1, 1 << 24], np.uint32)
+    cache_sizes = np.array([1 << image.cache_bits for image in images])
+    out, slot, held = np.zeros(n, np.uint32), np.zeros(n, np.int32), np.zeros(n, bool)
+    literal = np.flatnonzero(inside & (symbol < 256))
+    out[place[literal]] = symbol[literal].astype(np.uint32) << np.uint32(8) | constant[of[literal]]
+    cached = np.flatnonzero(inside & (symbol >= 280))
+    slot[place[cached]], held[place[cached]] = symbol[cached] - 280, True
+    if len(cached):
+        # a literal's slot; a cached pixel has its own
+        shift = np.repeat((32 - np.array([image.cache_bits for image in images])).astype(np.uint64), totals)
+        slot = np.where(held, slot, ((out * np.uint32(CACHE_FACTOR)).astype(np.uint64) >> shift).astype(np.int32))
+        slot += np.repeat((np.cumsum(cache_sizes) - cache_sizes).astype(np.int32), totals)
+    source = np.arange(n + 1, dtype=np.int32)
+    if len(which):
+        keep = inside[which]
+        which, back = which[keep], back[keep]
+        rows = zip(place[which].tolist(), first_pixel[of[which]].tolist(), back.tolist(), size[which].tolist(), (first_pixel + totals)[of[which]].tolist(), strict=True)
+        for at, first, far, many, end in rows:
+            _copy(source[first:end], at - first, far, many)
+        # a copied pixel has its source's slot, and is in the cache from there on
+        slot, held = slot[source[:-1]], held & (source[:-1] == np.arange(n))
+    if len(cached):
+        _point_at_slots(source, held, slot)
+    moved = np.flatnonzero(source[:-1] != np.arange(n))
+    at = source[moved]
+    while ((further := source[at]) != at).any():
+        source[moved] = at = further
+    out[moved] = np.append(out, np.uint32(0))[at]
+    return [out[a : a + image.width * image.height].reshape(image.height, image.width) for a, image in zip(first_pixel.tolist(), images, strict=True)]
+
+
+def _point_at_slots(source: np.ndarray, held: np.ndarray, slot: np.ndarray) -> None:
+    """Each cached pixel's source is the last one of its slot that isn't itself cached, or the place after all pixels (0) before the first."""
+    order = np.argsort(slot.astype(np.uint16) if int(slot.max()) < 1 << 16 else slot, kind="stable").astype(np.int32)
+    slot, held = slot[order], held[order]
+    literal = np.maximum.accumulate(np.where(held, np.int32(-1), np.arange(len(order), dtype=np.int32)))
+    rows = np.flatnonzero(held)
+    literal = literal[rows]
+    source[order[rows]] = np.where((literal >= 0) & (slot[literal] == slot[rows]), order[literal], len(order))
+
+
 # --- inverse transforms ----------------------------------------------------------------------------------------
 
 
@@ -516,7 +697,7 @@ def palette_bits(size: int) -> int:
     return 3 if size <= 2 else 2 if size <= 4 else 1 if size <= 16 else 0
 
 
-def parse_vp8l(data: bytes) -> tuple[np.ndarray, list[tuple]]:
+def parse_vp8l(data: bytes, later: bool = False) -> tuple[np.ndarray | Unread, list[tuple]]:
     """The stored pixels, and the transforms to undo, last first: ``(kind, its small image or table, size bits or width)``."""
     bits = Bits(data)
     if bits.read(8) != 0x2F:
@@ -542,7 +723,7 @@ def parse_vp8l(data: bytes) -> tuple[np.ndarray, list[tuple]]:
             table = joined(np.cumsum(channels(table).astype(np.int64), axis=0) & 255)
             undo.append((kind, table, inner))
             inner = -(-inner >> palette_bits(len(table)))
-    return read_image(bits, inner, height, True), undo[::-1]
+    return read_image(bits, inner, height, True, later), undo[::-1]
 
 
 UNDO = {PREDICTOR: undo_predictor, CROSS_COLOR: undo_cross_color, SUBTRACT_GREEN: undo_subtract_green, PALETTE: undo_palette}
@@ -556,9 +737,13 @@ def decode_vp8l(data: bytes) -> np.ndarray:
 
 
 def decode_many(files: list[bytes]) -> list[np.ndarray]:
-    """Pixels of lossless WebP files; predictors of green alone are undone in all of them at once."""
-    images = [parse_vp8l(chunk_of(f)[0]) for f in files]
+    """Pixels of lossless WebP files; pixels and predictors of green alone are read and undone in all of them at once."""
+    images = [parse_vp8l(chunk_of(f)[0], True) for f in files]
     out: list[np.ndarray] = [pixels for pixels, _ in images]
+    unread = [k for k, pixels in enumerate(out) if isinstance(pixels, Unread)]
+    if unread:
+        for k, pixels in zip(unread, pixels_together([out[k] for k in unread]), strict=True):
+            out[k] = pixels
     left = [undo for _, undo in images]
     while any(left):
         together = []
@@ -649,27 +834,33 @@ def write_code(out: BitWriter, lengths: np.ndarray) -> None:
         out.put(0b101, 3)
         out.put(int(used[0]), 8)
         return
-    edges = np.flatnonzero(np.diff(lengths)) + 1
     symbols: list[tuple[int, int, int]] = []
-    for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(lengths)], strict=True):
-        value, n = int(lengths[a]), b - a
+    for value, run in groupby(lengths.tolist()):
+        n = len(list(run))
         while value == 0 and n >= 3:
             take = min(n, 138)
             symbols.append((18, take - 11, 7) if take >= 11 else (17, take - 3, 3))
             n -= take
         symbols += [(value, 0, 0)] * n
-    small = code_lengths(np.bincount([s for s, _, _ in symbols], minlength=19), 7)
+    counts = [0] * 19
+    for which, _, _ in symbols:
+        counts[which] += 1
+    small = code_lengths(np.array(counts), 7)
+    codes, bits = reversed_codes(small).tolist(), small.tolist()
     out.put(0, 1)
-    last = max(k for k, s in enumerate(LENGTH_ORDER) if small[s])
+    last = max(k for k, s in enumerate(LENGTH_ORDER) if bits[s])
     last = max(last, 3)
     out.put(last + 1 - 4, 4)
     for s in LENGTH_ORDER[: last + 1]:
-        out.put(int(small[s]), 3)
+        out.put(bits[s], 3)
     out.put(0, 1)
-    codes, bits = reversed_codes(small), small if np.count_nonzero(small) > 1 else np.zeros(19, np.int64)
-    which, extra, size = np.array(symbols).T
-    _, body = _joined_bits([(codes[which], bits[which]), (extra, size)])
-    out.put(int.from_bytes(np.packbits(body, bitorder="little").tobytes(), "little"), len(body))
+    if np.count_nonzero(small) < 2:
+        bits = [0] * 19
+    value = size = 0
+    for which, extra, n in symbols:
+        value |= (codes[which] | extra << bits[which]) << size
+        size += bits[which] + n
+    out.put(value, size)
 
 
 #: Longest code, and longest copy.
@@ -689,38 +880,53 @@ def prefix_parts(value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def find_copies(x: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """``(place, length, distance)`` of copies of ``least`` pixels or more, first come first served.
+    """``(place, length, distance)`` of copies of ``least`` pixels or more, first come first served."""
+    return copies_of_all(x, np.array([0, len(x)]), least)[0]
+
+
+def copies_of_all(x: np.ndarray, first: np.ndarray, least: int) -> list[list[tuple[int, int, int]]]:
+    """``find_copies`` of images that stand one after the other, ``first`` being n+1 offsets.
 
     A place's candidate is the nearest earlier one with the same ``least`` pixels, among those that share a short hash."""
-    n = len(x) - least + 1
+    n, images = len(x) - least + 1, range(len(first) - 1)
     if n < 2:
-        return []
+        return [[] for _ in images]
     wide = x.astype(np.uint64)
     key = wide[:n].copy()
     for k in range(1, least):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + wide[k : n + k]
+        key *= np.uint64(0x9E3779B97F4A7C15)
+        key += wide[k : n + k]
     order = np.argsort(((key * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.uint16), kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    sorted_key = key[order]
+    same = np.flatnonzero(sorted_key[1:] == sorted_key[:-1])
     before = np.full(n, -1)
     before[order[1:][same]] = order[:-1][same]
-    places = np.flatnonzero(before >= 0).tolist()
-    copies, k, at = [], 0, 0
-    while (k := bisect_left(places, at, k)) < len(places):
-        at = places[k]
-        back = at - int(before[at])
-        size = least
-        while True:
-            room = min(size * 4, MAX_COPY, len(x) - at)
-            differ = np.flatnonzero(x[at : at + room] != x[at - back : at - back + room])
-            size = int(differ[0]) if len(differ) else room
-            if len(differ) or room == min(MAX_COPY, len(x) - at):
-                break
-        if size >= least:
-            copies.append((at, size, back))
-            at += size
-        else:
-            at += 1
-    return copies
+    places = np.flatnonzero(before >= 0)
+    where, found = places.tolist(), before[places].tolist()
+    out = []
+    for base, end in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        copies, at = [], base
+        k = bisect_left(where, base)
+        while (k := bisect_left(where, at, k)) < len(where) and where[k] <= end - least:
+            at = where[k]
+            back = at - found[k]
+            if found[k] < base:
+                at += 1
+                continue
+            size = least
+            while True:
+                room = min(size * 4, MAX_COPY, end - at)
+                differ = (x[at : at + room] != x[at - back : at - back + room]).nonzero()[0]
+                size = int(differ[0]) if len(differ) else room
+                if len(differ) or room == min(MAX_COPY, end - at):
+                    break
+            if size >= least:
+                copies.append((at - base, size, back))
+                at += size
+            else:
+                at += 1
+        out.append(copies)
+    return out
 
 
 def tokens_of(x: np.ndarray, copies: list[tuple[int, int, int]], cache_bits: int) -> np.ndarray:
@@ -775,14 +981,13 @@ def bits_needed(counts: list[np.ndarray]) -> float:
     return total
 
 
-def write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int = 0, copies: list[tuple[int, int, int]] | None = None) -> np.ndarray:
-    """Write the codes to ``out``, and return the bits of the pixels that follow them."""
+def write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int = 0, copies: list[tuple[int, int, int]] | None = None) -> None:
     if not main and (pixels == pixels[0, 0]).all():
         value = int(pixels[0, 0])
         out.put(0, 1)
         for symbol in (value >> 8 & 255, value >> 16 & 255, value & 255, value >> 24, 0):
             out.put(symbol << 3 | 0b101, 11)
-        return np.empty(0, np.uint8)
+        return
     symbols = Symbols(tokens_of(pixels.ravel(), copies or [], cache_bits), cache_bits)
     out.put(int(cache_bits > 0), 1)
     if cache_bits:
@@ -793,48 +998,43 @@ def write_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int
     for c in symbols.counts:
         if np.count_nonzero(c) < 2 and (only := int(c.argmax())) < 256:
             out.put(only << 3 | 0b101, 11)
-            tables.append((np.zeros(len(c), np.int64),) * 2)
+            tables.append(None)
             continue
         lengths = code_lengths(c, LIMIT)
         write_code(out, lengths)
-        tables.append((reversed_codes(lengths), lengths if np.count_nonzero(lengths) > 1 else np.zeros_like(lengths)))
-    # each token's first symbol as a row of bits, filled up with 2
-    codes, lengths = tables[0]
-    place = np.arange(LIMIT)
-    table = np.where(place < lengths[:, None], (codes[:, None] >> place) & 1, 2).astype(np.uint8)
-    first = table[:, : max(int(lengths.max()), 1)][symbols.first]
-    ends = np.cumsum(lengths[symbols.first])
-    # what follows it: other channels, or the rest of a copy
-    tails = []
-    if any(t[1].any() for t in tables[1:4]):
-        tails.append((symbols.literal, *_joined_bits([(t[0][x], t[1][x]) for t, x in zip(tables[1:4], symbols.others, strict=True)])))
+        tables.append((reversed_codes(lengths).astype(np.uint64), lengths) if np.count_nonzero(lengths) > 1 else None)
+    # a token takes 4 codes of 15 bits at most, or 2 and up to 28 bits that are written as they are
+    n = len(symbols.first)
+    value, size = (tables[0][0][symbols.first], tables[0][1][symbols.first]) if tables[0] else (np.zeros(n, np.uint64), np.zeros(n, np.int64))
+
+    def follow(rows: np.ndarray, code: np.ndarray, bits: np.ndarray) -> None:
+        value[rows] |= code.astype(np.uint64) << size[rows].astype(np.uint64)
+        size[rows] += bits
+
+    for table, x in zip(tables[1:4], symbols.others, strict=True):
+        if table:
+            follow(symbols.literal, table[0][x], table[1][x])
     if len(symbols.copy):
-        far = (tables[4][0][symbols.far], tables[4][1][symbols.far])
-        tails.append((symbols.copy, *_joined_bits([(symbols.length_extra, symbols.length_bits), far, (symbols.far_extra, symbols.far_bits)])))
-    bits = first[first < 2]
-    if not tails:
-        return bits
-    at = np.concatenate([np.repeat(ends[rows], size) for rows, size, _ in tails])
-    order = np.argsort(at, kind="stable")
-    return np.insert(bits, at[order], np.concatenate([b for _, _, b in tails])[order])
-
-
-def _joined_bits(fields: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Fields ``(value, bits)`` written one after the other in each row: the rows' sizes, and all their bits in a row."""
-    value, size = np.zeros(len(fields[0][0]), np.int64), np.zeros(len(fields[0][0]), np.int64)
-    for x, n in fields:
-        value |= np.where(n > 0, x, 0) << size
-        size += n
-    rows = []
-    for at in range(0, len(value), 1 << 15):
-        v, n = value[at : at + (1 << 15), None], size[at : at + (1 << 15), None]
-        place = np.arange(int(n.max()))
-        rows.append(((v >> place) & 1).astype(np.uint8)[place < n])
-    return size, np.concatenate(rows) if rows else np.empty(0, np.uint8)
-
-
-def bits_of(out: BitWriter) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(out.value.to_bytes((out.size + 7) // 8, "little"), np.uint8), bitorder="little")[: out.size]
+        follow(symbols.copy, symbols.length_extra, symbols.length_bits)
+        if tables[4]:
+            follow(symbols.copy, tables[4][0][symbols.far], tables[4][1][symbols.far])
+        follow(symbols.copy, symbols.far_extra, symbols.far_bits)
+    out.put(*joined_bits(value, size))
+
+
+def joined_bits(value: np.ndarray, size: np.ndarray) -> tuple[int, int]:
+    """Fields of up to 63 bits one after the other, lowest bit first, as one number; and its size."""
+    ends = np.cumsum(size)
+    start = ends - size
+    total = int(ends[-1])
+    word, shift = start >> 6, (start & 63).astype(np.uint64)
+    heads = np.flatnonzero(np.diff(word, prepend=-1))
+    words = np.zeros((total >> 6) + 2, np.uint64)
+    # bits of different fields differ in place, so that a sum joins them
+    words[word[heads]] = np.add.reduceat(value << shift, heads)
+    over = np.flatnonzero((start & 63) + size > 64)
+    words[word[over] + 1] |= value[over] >> (np.uint64(64) - shift[over])
+    return int.from_bytes(words.astype("<u8").tobytes(), "little"), total
 
 
 def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copies: list[tuple[int, int, int]] | int | None = None) -> bytes:
@@ -846,31 +1046,79 @@ def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, copi
     height, width = pixels.shape
     if not (0 < width <= 1 << 14 and 0 < height <= 1 << 14):
         raise WebpError("sides are 1 to 16384 pixels")
+    alpha = int(bool((pixels >> np.uint32(24) != 255).any()))
+    written = []
+    for kind, *how in transforms:
+        if kind == PALETTE:
+            parts = channels(how[0]).astype(np.int64)
+            written.append((kind, len(how[0]) - 1, joined(np.diff(parts, axis=0, prepend=np.zeros((1, 4), np.int64)) & 255)[None, :]))
+        else:
+            written.append((kind, *how) if how else (kind, 0, None))
+        pixels = transformed(pixels, (kind, *how))
+    return _file(width, height, alpha, written, pixels, cache_bits, find_copies(pixels.ravel(), copies) if isinstance(copies, int) else copies)
+
+
+def predicted_together(greens: list[np.ndarray], size_bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``best_modes`` and ``apply_predictor`` of images of one width in which only green differs; ``greens`` are their bytes."""
+    width, tile = greens[0].shape[1], 1 << size_bits
+    heights = [len(g) for g in greens]
+    none = np.zeros(width + 1, np.int16)
+    # a row of zeros and one more before each image are what lies outside
+    flat = np.concatenate([x for g in greens for x in (none, g.ravel().astype(np.int16))])
+    begins = np.cumsum([0, *(h * width + width + 1 for h in heights[:-1])]) + width + 1
+    n = len(flat) - width - 1
+    guesses = green_predictions(flat[width : width + n], flat[1 : n + 1], flat[2 : n + 2], flat[:n])
+    green = flat[width + 1 :]
+    off = np.abs((green - guesses).astype(np.int8)).view(np.uint8)
+    out = []
+    for begin, height in zip((begins - width - 1).tolist(), heights, strict=True):
+        here = slice(begin, begin + height * width)
+        sums = np.add.reduceat(off[:, here].reshape(14, height, width), np.arange(0, height, tile), axis=1, dtype=np.int32)
+        sums = np.add.reduceat(sums, np.arange(0, width, tile), axis=2) if width % tile else sums.reshape(14, len(sums[0]), -1, tile).sum(axis=3)
+        modes = sums.argmin(axis=0)
+        each = np.repeat(np.repeat(modes, tile, axis=0)[:height], tile, axis=1)[:, :width]
+        each[0], each[:, 0] = 1, 2
+        each[0, 0] = 0
+        guess = guesses[:, here][each.ravel(), np.arange(height * width)]
+        left_over = ((green[here] - guess) & 255).astype(np.uint32) << np.uint32(8)
+        out.append(((modes.astype(np.uint32) << np.uint32(8)) | np.uint32(0xFF000000), left_over.reshape(height, width)))
+    return out
+
+
+def encode_greys(greys: list[np.ndarray], size_bits: int, cache_bits: int, least: int) -> list[bytes]:
+    """Files of grey images of one width, given as bytes, each as ``encode`` gives it with cross-colour of factors 1 in tiles
+    of 512, the predictor of ``best_modes``, a colour cache and copies."""
+    predicted = predicted_together(greys, size_bits)
+    together = np.concatenate([left_over.ravel() for _, left_over in predicted])
+    copies = copies_of_all(together, np.cumsum([0, *(g.size for g in greys)]), least)
+    out = []
+    for (modes, left_over), own in zip(predicted, copies, strict=True):
+        height, width = left_over.shape
+        same = np.full((-(-height >> 9), -(-width >> 9)), 0xFF000000 | 32 << 8 | 32, np.uint32)
+        out.append(_file(width, height, 0, [(CROSS_COLOR, 9, same), (PREDICTOR, size_bits, modes)], left_over, cache_bits, own))
+    return out
+
+
+def _file(width: int, height: int, alpha: int, transforms: list[tuple], pixels: np.ndarray, cache_bits: int, copies: list[tuple[int, int, int]] | None) -> bytes:
+    """A file of transformed pixels; ``transforms`` are kinds, what follows them in bits, and small images."""
     out = BitWriter()
     out.put(0x2F, 8)
     out.put(width - 1, 14)
     out.put(height - 1, 14)
-    out.put(int(bool((pixels >> np.uint32(24) != 255).any())), 1)
+    out.put(alpha, 1)
     out.put(0, 3)
-    done = []
-    for kind, *how in transforms:
+    for kind, number, small in transforms:
         out.put(1, 1)
         out.put(kind, 2)
         if kind in (PREDICTOR, CROSS_COLOR):
-            out.put(how[0] - 2, 3)
-            small = how[1]
+            out.put(number - 2, 3)
         elif kind == PALETTE:
-            out.put(len(how[0]) - 1, 8)
-            parts = channels(how[0]).astype(np.int64)
-            small = joined(np.diff(parts, axis=0, prepend=np.zeros((1, 4), np.int64)) & 255)[None, :]
-        pixels = transformed(pixels, (kind, *how))
-        if kind != SUBTRACT_GREEN:
-            body = write_image(out, small, False)
-            done += [bits_of(out), body]
-            out = BitWriter()
+            out.put(number, 8)
+        if small is not None:
+            write_image(out, small, False)
     out.put(0, 1)
-    body = write_image(out, pixels, True, cache_bits, find_copies(pixels.ravel(), copies) if isinstance(copies, int) else copies)
-    data = np.packbits(np.concatenate([*done, bits_of(out), body]), bitorder="little").tobytes()
+    write_image(out, pixels, True, cache_bits, copies)
+    data = out.value.to_bytes((out.size + 7) // 8, "little")
     chunk = b"VP8L" + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) & 1)
     return b"RIFF" + (4 + len(chunk)).to_bytes(4, "little") + b"WEBP" + chunk
 

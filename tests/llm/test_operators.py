@@ -387,3 +387,38 @@ def test_the_network_is_trained_on_every_token():
     keys, first = rng.integers(0, 2**63, 5000).astype(np.uint64), np.array([0, 1, 900, 1500, 5000])
     start, end, _ = lm_scoring.chosen_segments(keys, first, lm_scoring.FIT_SHARE)
     assert start[0] == 0 and (start[1:] == end[:-1]).all() and end[-1] == len(keys)
+
+
+def test_payloads_stored_and_read_together_equal_those_alone(monkeypatch):
+    rng = np.random.default_rng(9)
+    word = [bytes(rng.integers(97, 123, int(n), dtype=np.uint8)) for n in rng.integers(2, 9, 60)]
+    texts = [b"", b"ab" * 300, bytes(range(256)) * 9, *(b" ".join(word[k] for k in rng.integers(0, 60, int(n))) for n in rng.integers(1, 2500, 30))]
+    payloads = [media.to_payload(t) for t in texts]
+    stored = media.store_all(payloads)
+    assert stored == [media.store(p) for p in payloads]
+    calls, together = [], webp.pixels_together
+    monkeypatch.setattr(webp, "pixels_together", lambda images: calls.append(len(images)) or together(images))
+    assert media.read_back_all(stored, [len(p) for p in payloads]) == payloads
+    assert len(calls) == 1 and calls[0] > 25, "the pixels of all images are read in one walk"
+    grey = np.frombuffer(payloads[2], np.uint8).reshape(-1, 64).astype(np.uint32) * np.uint32(0x010101) | np.uint32(0xFF000000)
+    ways = ((webp.CROSS_COLOR, 9, np.full((1, 1), 0xFF002020, np.uint32)), (webp.PREDICTOR, 4, webp.best_modes(grey, 4)))
+    assert stored[2] == webp.encode(grey, ways, media.CACHE_BITS, media.COPY)
+    for file, payload in zip(stored, payloads, strict=True):
+        # read by itself
+        assert ((webp.decode(file)[0] >> np.uint32(8)) & np.uint32(255)).astype(np.uint8).tobytes()[: len(payload)] == payload
+
+
+def test_copies_of_cached_pixels_read_together_equal_the_pixels():
+    rng = np.random.default_rng(10)
+    files, plain = [], []
+    for bits in (0, 1, 4, 11):
+        for colours in (3, 40, 200):
+            row = rng.choice(rng.integers(0, 256, colours, dtype=np.uint32), 400)
+            pixels = (np.concatenate([row, row[100:350], row, row[::-1]])[: 29 * 50].reshape(29, 50) << np.uint32(8)) | np.uint32(0xFF000000)
+            plain.append(pixels)
+            files.append(webp.encode(pixels, (), bits, 2))
+    assert all((a == b).all() for a, b in zip(webp.decode_many(files), plain, strict=True))
+    body = webp.chunk_of(files[5])[0]
+    with pytest.raises(webp.WebpError):
+        cut = body[: len(body) // 2]
+        webp.decode_many([b"RIFF" + (12 + len(cut)).to_bytes(4, "little") + b"WEBPVP8L" + len(cut).to_bytes(4, "little") + cut])
