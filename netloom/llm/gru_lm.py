@@ -17,6 +17,8 @@ UNITS = 24
 WINDOW, STREAMS = 24, 256
 #: A short text is laid in fewer streams, so that there are about this many steps.
 STEPS = 160
+#: Outputs that are computed at once, at least.
+OUTPUTS = 8192
 _NEVER = np.float32(-1e4)
 Weights = dict[str, np.ndarray]
 
@@ -31,13 +33,21 @@ def place_of_others(w: Weights) -> int:
     return w["word_b"].size
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _sigmoid_in(x: np.ndarray) -> None:
+    # float32 exp is vectorised and tanh isn't; where it overflows, the result is 0 as it should be
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    np.reciprocal(x, out=x)
 
 
-def _tanh(x: np.ndarray) -> np.ndarray:
-    # float32 exp is vectorised and tanh isn't; where it overflows, the result is -1 as it should be
-    return 2 / (1 + np.exp(-2 * x)) - 1
+def _softmax_in(x: np.ndarray) -> None:
+    """Turn rows of ``x`` into their softmax."""
+    if not (x.max() < 60 and x[:, 0].min() > -60):
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    # by a product: a sum along short rows takes longer
+    x /= (x @ np.ones(x.shape[1], x.dtype))[:, None]
 
 
 def start_weights(counts: np.ndarray, others: float, side: int, seed: int = 3) -> Weights:
@@ -61,11 +71,6 @@ def start_weights(counts: np.ndarray, others: float, side: int, seed: int = 3) -
     }
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def _by_class(group: np.ndarray, side: int):
     """``(class, rows)`` of every class of frequent words that occurs."""
     order = np.argsort(group, kind="stable")
@@ -76,28 +81,45 @@ def _by_class(group: np.ndarray, side: int):
 
 
 def _log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row at its chosen column."""
-    if not -60 < x.max() < 60:
+    """Log of the softmax of each row at its chosen column; ``x`` is overwritten."""
+    if not (x.max() < 60 and x[:, 0].min() > -60):
         x -= x.max(axis=1, keepdims=True)
-    return x[np.arange(len(x)), chosen] - np.log(np.exp(x) @ np.ones(x.shape[1], x.dtype))
+    own = x[np.arange(len(x)), chosen]
+    np.exp(x, out=x)
+    own -= np.log(x @ np.ones(x.shape[1], x.dtype))
+    return own
 
 
 def output_log(w: Weights, h: np.ndarray, word: np.ndarray) -> np.ndarray:
     """Natural log of the share of each word's class times its share in the class (1 in the class of others)."""
     side = len(w["word_b"])
     group = word // side
-    out = _log_share(h @ w["class_w"] + w["class_b"], group)
+    x = h @ w["class_w"]
+    x += w["class_b"]
+    out = _log_share(x, group)
     for c, rows in _by_class(group, side):
-        out[rows] += _log_share(h[rows] @ w["word_w"][c] + w["word_b"][c], word[rows] - c * side)
+        x = h[rows] @ w["word_w"][c]
+        x += w["word_b"][c]
+        out[rows] += _log_share(x, word[rows] - c * side)
     return out
 
 
 def advance(w: Weights, h: np.ndarray, word: np.ndarray) -> np.ndarray:
     u = UNITS
     x, s = w["input"][word], h @ w["state"]
-    gates = _sigmoid(x[:, : 2 * u] + s[:, : 2 * u])
-    new = _tanh(x[:, 2 * u :] + gates[:, u:] * s[:, 2 * u :])
-    return new + gates[:, :u] * (h - new)
+    gates = x[:, : 2 * u] + s[:, : 2 * u]
+    _sigmoid_in(gates)
+    new = gates[:, u:] * s[:, 2 * u :]
+    new += x[:, 2 * u :]
+    # tanh by the sigmoid of twice the number
+    new *= 2
+    _sigmoid_in(new)
+    new *= 2
+    new -= 1
+    h = h - new
+    h *= gates[:, :u]
+    h += new
+    return h
 
 
 def document_logs(w: Weights, words: np.ndarray, first: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -109,29 +131,35 @@ def document_logs(w: Weights, words: np.ndarray, first: np.ndarray, window: int
     sizes = np.diff(first)
     order = np.argsort(-sizes, kind="stable")
     begin, size = first[:-1][order], sizes[order]
+    words = words.astype(np.int32)
     total = np.zeros(n)
     h = np.zeros((n, UNITS), np.float32)
-    longest = int(size[0]) if n else 0
+    longest, each = int(size[0]) if n else 0, np.arange(n)
     with np.errstate(over="ignore"):
-        for at in range(0, longest, window):
+        at = 0
+        # documents that go beyond each place
+        beyond = n - np.cumsum(np.bincount(size, minlength=longest + 1))
+        while at < longest:
             states, taken, owner = [], [], []
-            for t in range(at, min(at + window, longest)):
-                active = int(np.searchsorted(-size, -t, side="left"))
+            # where few documents are left, a window is longer
+            end = min(at + max(window, OUTPUTS // int(beyond[at])), longest)
+            for t, active in enumerate(beyond[at:end].tolist(), at):
                 h = h[:active]
                 word = words[begin[:active] + t]
                 states.append(h)
                 taken.append(word)
-                owner.append(np.arange(active))
+                owner.append(each[:active])
                 h = advance(w, h, word)
             log = output_log(w, np.concatenate(states), np.concatenate(taken))
             total += np.bincount(np.concatenate(owner), log, minlength=n)
+            at = end
     out = np.empty(n)
     out[order] = total
     return out
 
 
-def gradients(w: Weights, h: np.ndarray, words: np.ndarray, fresh: np.ndarray) -> tuple[float, Weights, np.ndarray]:
-    """Loss and gradients of one window of streams ``words[time, stream]``, and the state after it.
+def gradients(w: Weights, h: np.ndarray, words: np.ndarray, fresh: np.ndarray, losses: bool = True) -> tuple[float, Weights, np.ndarray]:
+    """Loss (0 without ``losses``) and gradients of one window of streams ``words[time, stream]``, and the state after it.
 
     Where ``fresh`` is true a document begins and its stream's state is set to 0 before the word.
     A negative word is padding: it has no loss and leaves no trace."""
@@ -139,56 +167,99 @@ def gradients(w: Weights, h: np.ndarray, words: np.ndarray, fresh: np.ndarray) -
     steps, n = words.shape
     real = words >= 0
     taken = np.where(real, words, 0)
-    before, zs, rs, news, parts = [], [], [], [], []
+    kind = w["state"].dtype
+    # 0 where a document begins, by which the state is multiplied
+    keep = (~fresh).astype(kind)[:, :, None]
+    fresh_at = fresh.any(axis=1).tolist()
+    x = w["input"][taken]
+    before, gates, news, parts = (np.empty((steps, n, k), kind) for k in (u, 2 * u, u, u))
     for t in range(steps):
-        h = np.where(fresh[t][:, None], np.float32(0), h)
-        x, s = w["input"][taken[t]], h @ w["state"]
-        gates = _sigmoid(x[:, : 2 * u] + s[:, : 2 * u])
-        z, r = gates[:, :u], gates[:, u:]
-        new = _tanh(x[:, 2 * u :] + r * s[:, 2 * u :])
-        before.append(h)
-        zs.append(z), rs.append(r), news.append(new), parts.append(s[:, 2 * u :])
-        h = new + z * (h - new)
-    flat_h, flat_w, counted = np.concatenate(before), taken.reshape(-1), np.flatnonzero(real.reshape(-1))
-    g = {k: np.zeros_like(v) for k, v in w.items()}
+        h = np.multiply(h, keep[t], out=before[t]) if fresh_at[t] else h
+        if not fresh_at[t]:
+            before[t] = h
+        s = h @ w["state"]
+        gate, new = gates[t], news[t]
+        np.add(x[t, :, : 2 * u], s[:, : 2 * u], out=gate)
+        _sigmoid_in(gate)
+        parts[t] = s[:, 2 * u :]
+        np.multiply(gate[:, u:], parts[t], out=new)
+        new += x[t, :, 2 * u :]
+        # tanh by the sigmoid of twice the number
+        new *= 2
+        _sigmoid_in(new)
+        new *= 2
+        new -= 1
+        h = h - new
+        h *= gate[:, :u]
+        h += new
+    flat_h, flat_w = before.reshape(-1, u), taken.reshape(-1)
+    counted = np.flatnonzero(real.reshape(-1))
+    g = {k: np.empty_like(v) if k in ("class_w", "class_b", "state") else np.zeros_like(v) for k, v in w.items()}
     size = max(len(counted), 1)
-    scale = w["state"].dtype.type(1 / size)
-    group = flat_w // side
-    out = _log_softmax(flat_h @ w["class_w"] + w["class_b"])
-    loss = -out[counted, group[counted]].sum()
-    d = np.exp(out)
-    d[np.arange(len(group)), group] -= 1
-    d *= scale * real.reshape(-1, 1)
-    g["class_w"], g["class_b"] = flat_h.T @ d, d.sum(0)
+    scale = kind.type(1 / size)
+    group, each, loss = flat_w // side, np.arange(len(flat_w)), 0.0
+
+    def logs(x: np.ndarray, chosen: np.ndarray) -> float:
+        return float(np.log(np.maximum(x[each[: len(x)], chosen], np.finfo(kind).tiny)).sum()) if losses else 0.0
+
+    d = flat_h @ w["class_w"]
+    d += w["class_b"]
+    _softmax_in(d)
+    loss -= logs(d[counted] if losses else d, group[counted])
+    d[each, group] -= 1
+    d *= scale if len(counted) == len(group) else (scale * real.reshape(-1, 1)).astype(kind)
+    g["class_w"], g["class_b"] = flat_h.T @ d, np.ones(len(d), kind) @ d
     back = d @ w["class_w"].T
-    for c, own in _by_class(group[counted], side):
-        rows = counted[own]
-        inner = _log_softmax(flat_h[rows] @ w["word_w"][c] + w["word_b"][c])
-        place = flat_w[rows] - c * side
-        loss -= inner[np.arange(len(rows)), place].sum()
-        d = np.exp(inner)
-        d[np.arange(len(rows)), place] -= 1
+    # in order of words, and so of classes
+    order = counted[np.argsort(flat_w[counted].astype(np.uint16) if w["input"].shape[0] <= 1 << 16 else flat_w[counted], kind="stable")]
+    word, states = flat_w[order], flat_h[order]
+    place, inner = word % side, np.zeros((len(order), u), kind)
+    cuts = np.searchsorted(word, np.arange(side + 1) * side).tolist()
+    for c, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if a == b:
+            continue
+        d = states[a:b] @ w["word_w"][c]
+        d += w["word_b"][c]
+        _softmax_in(d)
+        loss -= logs(d, place[a:b])
+        d[each[: b - a], place[a:b]] -= 1
         d *= scale
-        g["word_w"][c], g["word_b"][c] = flat_h[rows].T @ d, d.sum(0)
-        back[rows] += d @ w["word_w"][c].T
+        np.matmul(states[a:b].T, d, out=g["word_w"][c])
+        np.matmul(np.ones(b - a, kind), d, out=g["word_b"][c])
+        np.matmul(d, w["word_w"][c].T, out=inner[a:b])
+    back[order] += inner
     back = back.reshape(steps, n, u)
+    # what a step's gradients are multiplied by doesn't depend on the later ones
+    z, r = gates[:, :, :u], gates[:, :, u:]
+    by_z = before - news
+    by_z *= z
+    rest = 1 - z
+    by_z *= rest
+    news *= news
+    np.subtract(1, news, out=news)
+    news *= rest
+    parts *= r
+    parts *= 1 - r
     after = np.zeros_like(h)
-    inputs = np.empty((steps, n, 3 * u), h.dtype)
+    inputs, moved = np.empty((steps, n, 3 * u), kind), np.empty((steps, n, 3 * u), kind)
+    state = np.ascontiguousarray(w["state"].T)
     for t in range(steps - 1, -1, -1):
-        h0, z, r, new = before[t], zs[t], rs[t], news[t]
-        d_new = after * (1 - z) * (1 - new * new)
-        inputs[t, :, :u] = after * (h0 - new) * z * (1 - z)
-        inputs[t, :, u : 2 * u] = d_new * parts[t] * r * (1 - r)
-        inputs[t, :, 2 * u :] = d_new
-        d_s = inputs[t].copy()
-        d_s[:, 2 * u :] *= r
-        g["state"] += h0.T @ d_s
-        after = after * z + d_s @ w["state"].T + back[t]
-        after = np.where(fresh[t][:, None], h.dtype.type(0), after)
-    order = np.argsort(flat_w, kind="stable")
-    starts = np.flatnonzero(np.diff(flat_w[order], prepend=-1))
-    g["input"][flat_w[order[starts]]] = np.add.reduceat(inputs.reshape(-1, 3 * u)[order], starts, axis=0)
-    return float(loss) / size, g, h
+        d_in, d_s = inputs[t], moved[t]
+        np.multiply(after, news[t], out=d_in[:, 2 * u :])
+        np.multiply(after, by_z[t], out=d_in[:, :u])
+        np.multiply(d_in[:, 2 * u :], parts[t], out=d_in[:, u : 2 * u])
+        d_s[:, : 2 * u] = d_in[:, : 2 * u]
+        np.multiply(d_in[:, 2 * u :], r[t], out=d_s[:, 2 * u :])
+        after *= z[t]
+        after += d_s @ state
+        after += back[t]
+        if fresh_at[t]:
+            after *= keep[t]
+    g["state"] = flat_h.T @ moved.reshape(-1, 3 * u)
+    starts = np.flatnonzero(np.diff(word, prepend=-1))
+    if len(starts):
+        g["input"][word[starts]] = np.add.reduceat(inputs.reshape(-1, 3 * u)[order], starts, axis=0)
+    return loss / size, g, h
 
 
 def train(w: Weights, words: np.ndarray, begins: np.ndarray, rate: float = 0.01) -> Weights:
@@ -208,7 +279,7 @@ def train(w: Weights, words: np.ndarray, begins: np.ndarray, rate: float = 0.01)
     with np.errstate(over="ignore"):
         for step in range(1, windows + 1):
             rows = slice((step - 1) * WINDOW, step * WINDOW)
-            _, g, h = gradients(w, h, text[rows], fresh[rows])
+            _, g, h = gradients(w, h, text[rows], fresh[rows], False)
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             now = np.float32(rate * min(1.0, step / 20) * (1.0 - 0.9 * step / windows) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))

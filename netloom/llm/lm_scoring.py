@@ -225,11 +225,11 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, fit_sha
     scores are 0. Repeated rows count and stay each. Other columns aren't read. An empty table gives an empty table.
     """
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (fold("doc_id", folds) == held_out).alias("held_out"))
-    laid = materialize(base.mapInArrow(_lay_blocks, "doc_id bigint, text string, held_out boolean, block bigint"), "lm-blocks")
-    words = materialize(laid.mapInArrow(_block_words, "block bigint, word bigint, n bigint"), "lm-words")
+    laid = materialize(base.mapInArrow(_lay_blocks, "doc_id bigint, text string, held_out boolean, block bigint"), "lm-blocks", codec="zstd")
+    words = materialize(laid.mapInArrow(_block_words, "block bigint, word bigint, n bigint"), "lm-words", codec="zstd")
     # a word's count is a plain grouped sum, which tasks add up beforehand; a common word has a row in every block
     counts = words.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"))
-    counts = materialize(counts.filter("n > 0"), "lm-counts")
+    counts = materialize(counts.filter("n > 0"), "lm-counts", codec="zstd")
     release(docs.sparkSession)
     totals = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     n, v = int(totals[0] or 0), int(totals[1])
@@ -239,7 +239,7 @@ def score_documents(docs: DataFrame, folds: int = 10, held_out: int = 0, fit_sha
 
     slots = max(1, int(n * min(fit_share, 1.0)) // SLOT_TOKENS)
     chosen = laid.filter("NOT held_out").select("text").mapInArrow(_segments(top, side * side, slots, fit_share), "slot bigint, hash bigint, places array<int>")
-    segments = materialize(chosen, "lm-segments")
+    segments = materialize(chosen, "lm-segments", codec="zstd")
     weights = fit(segments, slots, start)
     discard(segments)
     release(docs.sparkSession)

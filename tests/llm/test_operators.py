@@ -422,3 +422,19 @@ def test_copies_of_cached_pixels_read_together_equal_the_pixels():
     with pytest.raises(webp.WebpError):
         cut = body[: len(body) // 2]
         webp.decode_many([b"RIFF" + (12 + len(cut)).to_bytes(4, "little") + b"WEBPVP8L" + len(cut).to_bytes(4, "little") + cut])
+
+
+def test_long_documents_take_few_windows_and_training_needs_no_loss(monkeypatch):
+    rng = np.random.default_rng(4)
+    w = {k: v + rng.normal(0, 0.2, v.shape).astype(np.float32) for k, v in gru_lm.start_weights(np.arange(SIDE * SIDE, 0, -1.0), 50.0, SIDE).items()}
+    words = rng.integers(0, SIDE * SIDE + 1, 3000)
+    first, calls, plain = np.array([0, 2900, 2990, 3000]), [], gru_lm.output_log
+    monkeypatch.setattr(gru_lm, "output_log", lambda w, h, word: calls.append(len(word)) or plain(w, h, word))
+    together = gru_lm.document_logs(w, words, first)
+    assert len(calls) == 2 and sum(calls) == 3000, "a window a step of 24 words before"
+    monkeypatch.setattr(gru_lm, "OUTPUTS", 1)
+    assert np.allclose(together, gru_lm.document_logs(w, words, first), rtol=1e-4)
+    text, fresh = words[:480].reshape(24, 20), np.zeros((24, 20), bool)
+    h = np.zeros((20, gru_lm.UNITS), np.float32)
+    (loss, g, _), (none, same, _) = (gru_lm.gradients(w, h, text, fresh, x) for x in (True, False))
+    assert loss > 0 and none == 0 and all((g[k] == same[k]).all() for k in g)
