@@ -56,6 +56,15 @@ def test_flows_of_a_capture(spark):
     assert flows.peak_active(spans, "first_seen_ns", "last_seen_ns").first()["peak"] == 1
 
 
+def test_medians_are_of_all_sizes(spark):
+    """A flow whose sizes grow after its 256th packet, one of two packets, one of a single one and one without sizes."""
+    rows = [(1, i + 1, 60 if i < 256 else 60 + i) for i in range(700)] + [(1001, 1001, 60), (1001, 1002, 71), (1003, 1003, 90), (1004, 1004, None)]
+    flowed = spark.createDataFrame(rows, "first_packet bigint, packet_index bigint, original_length int").repartition(8)
+    medians = lambda **limit: {r["first_packet"]: (r["size_median"], r["exact"]) for r in flows.size_medians(flowed, **limit).collect()}
+    assert medians() == {1: (409.5, True), 1001: (65.5, True), 1003: (90.0, True), 1004: (None, True)}
+    assert medians(limit=256) == {1: (60.0, False), 1001: (65.5, True), 1003: (90.0, True), 1004: (None, True)}
+
+
 def test_ranges_change_nothing(spark):
     """One key holds all rows, cut into ranges of three packets: the same flows, sessions and gaps as uncut."""
     rng = random.Random(3)
